@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from docloom.llm import mixing, quality, urls, warc
+from docloom.llm import decontaminate, lines, mixing, quality, tokens, toxicity, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op1_tokens": tokens.op1_tokens,
         "op3_urls": urls.op3_urls,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_quality": quality.op5_quality,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_lines": lines.op7_lines,
         "op9_mixing": mixing.op9_mixing,
         "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {
+        "op4_decontaminate": decontaminate.ORACLE_SQL,
+        "op5_quality": quality.ORACLE_SQL,
+        "op7_lines": lines.ORACLE_SQL,
+        "op9_mixing": mixing.ORACLE_SQL,
+    }

@@ -17,9 +17,9 @@ SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1 << 40, 1 << 62)) * 8 + 3
+_BASE = int(_rng.integers(1 << 40, 1 << 60)) * 8 + 3
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_STEP = np.uint64(int(_rng.integers(1 << 40, 1 << 62)) * 8 + 5)
+_STEP = np.uint64(int(_rng.integers(1 << 40, 1 << 60)) * 8 + 5)
 
 
 def _class_table(is_word) -> np.ndarray:
