@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontaminate, lines, mixing, quality, tokens, toxicity, urls, warc
+from docloom.llm import decontaminate, jaccard, lines, mixing, quality, tokens, toxicity, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_tokens": tokens.op1_tokens,
+        "op2_jaccard": jaccard.op2_jaccard,
         "op3_urls": urls.op3_urls,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_quality": quality.op5_quality,
