@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontaminate, jaccard, lines, mixing, quality, tokens, toxicity, urls, warc
+from docloom.llm import decontaminate, jaccard, lines, mixing, quality, substrings, tokens, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_lines": lines.op7_lines,
+        "op8_suffix_dedup": substrings.op8_suffix_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_warc": warc.op10_warc,
     }
