@@ -41,6 +41,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -350,10 +351,12 @@ def _verify(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFra
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, max_hot: int = MAX_HOT, least_hot: int = 8) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links``: one row per row of ``docs``.
+    """``doc_id, n_shingles, component_id, n_links, text_class, stays``: one row per row of ``docs``.
 
     Two texts link when ``den * intersection >= num * union``; a component is
     named by its smallest id. ``n_links``: verified links at the row's class.
+    ``text_class``: hash of the text's word sequence. ``stays``: whether the
+    row is of the one (id, text class) that stands for its component.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -415,14 +418,44 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     joined = components(work, links, "joined")
     degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
     labelled = classes.select("class", F.col("_row")).join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    named = labelled.groupBy("comp").agg(F.min("_row").alias("component_id"))
-    labels = work.table(labelled.join(named, "comp").join(degree, "class", "left").select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
+    named = labelled.groupBy("comp").agg(F.min("_row").alias("component_id"), F.min_by("class", F.struct(F.col("_row").isNull(), "_row", "class")).alias("kept"))
+    labels = labelled.join(named, "comp").join(degree, "class", "left")
+    labels = work.table(labels.select("class", "component_id", "kept", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
     for name in ("lead", "tokens", "matrix", "several"):
         work.drop(name)
-    out = texts.select("id", "class", "size").join(labels, (texts["class"] == labels["class"]) & (F.col("size") > 0), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = texts.select("id", F.col("class").alias("text_class"), "size").join(labels, (F.col("text_class") == labels["class"]) & (F.col("size") > 0), "left")
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_class",
+        F.coalesce((F.col("kept") == F.col("text_class")) & F.col("id").eqNullSafe(F.col("component_id")), F.lit(True)).alias("stays"),
+    )
+
+
+def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each component; texts without words all stay."""
+    work = Workspace(docs.sparkSession, "representatives")
+    found = work.table(jaccard_components(docs, id_col=id_col, text_col=text_col, width=width, num=num, den=den).select("doc_id", "text_class", "stays", "n_shingles"), "found")
+    gone = found.where("NOT stays").select(F.col("doc_id").alias("_gone")).distinct()
+    repeated = found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    if repeated.isEmpty():
+        few = gone.count() <= MAX_BROADCAST_IDS
+        return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+    # ids do not name rows: rows are told apart by id and text class, and repeats of the row that stays go
+    base = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+    @F.pandas_udf("long")
+    def class_of(texts: pd.Series) -> pd.Series:
+        parts = [sequence_hash(split_words(data, bounds, BLANK_SEPARATED)).view(np.int64) for _, _, data, bounds in text_slices(pa.array(texts, pa.large_string(), from_pandas=True))]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
+    staying = found.where("stays AND n_shingles > 0").select(F.col("doc_id").alias("_i"), F.col("text_class").alias("_c")).distinct()
+    rows = base.withColumn("_class", class_of("_text"))
+    wordless = rows.join(found.where("n_shingles = 0").select(F.col("text_class").alias("_c")).distinct(), F.col("_class") == F.col("_c"), "left_semi")
+    kept = rows.join(staying, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_class") == F.col("_c")), "left_semi").dropDuplicates(["_id", "_class"])
+    return kept.union(wordless).drop("_id", "_text", "_class")
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_components(docs, width=4, num=85, den=100)
+    return jaccard_components(docs, width=4, num=85, den=100).drop("text_class", "stays")

@@ -26,11 +26,13 @@ frame; other columns are not carried into shards.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +48,24 @@ _SKIPPABLE_TABLE = 0x184D2A5E
 _SEEKABLE_MAGIC = 0x8F92EAB1
 _TABLE_DESCRIPTOR = 0x80  # checksums present
 
-_L = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u017f"
-#: Characters for which the cut below is known to equal the pre-tokenizer's.
-_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00a9\\u00ab-\\u00b1\\u00b4\\u00b6-\\u00b8\\u00bb\\u00bf-\\u017f\\u2010-\\u2027\\u2030-\\u205e]*\\Z")
-_PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[0-9]+| ?[^\\s{_L}0-9]+|\\s+(?!\\S)|\\s+")
+#: Characters that are blanks, letters, digits or symbols for the pre-tokenizer as for us.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ff\\u0100-\\u017f\\u2010-\\u2027\\u2030-\\u205e]*\\Z")
+#: Pairs of blanks; with them, or a blank at either end, a text is not cut.
+_ODD_BLANKS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+#: A word and the stops after it: the pre-tokenizer cuts between a letter and such a run.
+_STOPPED = re.compile("(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f])([.,;:!?|]+)\\Z")
 
 
 class Encoder:
-    """Texts to id bytes with one tokenizer file; remembers encoded pieces up to ``max_pieces``."""
+    """Texts to id bytes with one tokenizer file; remembers the ids of pieces it has met.
 
-    def __init__(self, path: str, end_id: int, max_pieces: int = 300_000):
+    A text is cut before every blank between two words, where the pre-tokenizer
+    cuts as well, and a piece is kept under its text without that blank. Pieces
+    are remembered in two generations of at most ``max_pieces`` each; a full
+    young one becomes the old one, so what is in use survives.
+    """
+
+    def __init__(self, path: str, end_id: int, max_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,33 +76,79 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuttable = self._is_byte_level()
         self.max_pieces = max_pieces
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
 
     def _is_byte_level(self) -> bool:
-        import json
-
         told = json.loads(self.tokenizer.to_str())
         pre = told.get("pre_tokenizer") or {}
         return told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.cumsum([0, *map(len, ids)]) * self.width
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes[-1]) // self.width).tobytes()
+        return [flat[a:b] for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist())]
+
+    def _can_cut(self, text: str) -> bool:
+        if not self.cuttable or text[:1] == " " or text[-1:] == " " or any(s in text for s in _ODD_BLANKS) or any(s in text for s in self.special):
+            return False
+        return _PLAIN.match(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.cuttable and _PLAIN.match(t) is not None and not any(s in t for s in self.special) for t in texts]
-        cut = [_PIECE.findall(t) if p else None for t, p in zip(texts, plain)]
-        known = self.known
-        if len(known) > self.max_pieces:
-            known.clear()
-        fresh = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        known.update(zip(fresh, self._bytes(fresh)))
-        other = iter(self._bytes([t for t, p in zip(texts, plain) if not p]))
-        out = [b"".join([known[p] for p in pieces]) + self.end if pieces is not None else next(other) + self.end for pieces in cut]
-        if any(len(p) > 1000 for p in fresh):
-            for p in fresh:
-                if len(p) > 1000:
-                    del known[p]
-        return out
+        if len(self.young) > self.max_pieces:
+            self.old, self.young = self.young, {}
+        known, find = self.young, self.young.get
+        out: list = [None] * len(texts)
+        gaps, missing, whole = [], {}, []
+        for k, text in enumerate(texts):
+            if not self._can_cut(text):
+                whole.append((k, -1, text))
+                continue
+            head, *pieces = text.split(" ")
+            found = list(map(find, pieces))
+            found.insert(0, b"")
+            whole.append((k, 0, head))
+            out[k] = found
+            if None in found:
+                at = [i for i, x in enumerate(found) if x is None]
+                gaps.append((found, at, [pieces[i - 1] for i in at]))
+                missing.update(dict.fromkeys(gaps[-1][2]))
+        fresh, composed = {}, []
+        for piece in missing:
+            ids = self.old.get(piece)
+            if ids is not None:
+                known[piece] = ids
+            elif (parts := _STOPPED.match(piece)) is None:
+                fresh[piece] = None
+            else:
+                stem, stop = parts.groups()
+                composed.append((piece, stem, stop))
+                if stem not in known:
+                    ids = self.old.get(stem)
+                    if ids is not None:
+                        known[stem] = ids
+                    else:
+                        fresh[stem] = None
+        known.update(zip(fresh, self._bytes([" " + p for p in fresh])))
+        for piece, stem, stop in composed:
+            if stop not in self.stops:
+                self.stops[stop] = self._bytes([stop])[0]
+            known[piece] = known[stem] + self.stops[stop]
+        for found, at, pieces in gaps:
+            for i, piece in zip(at, pieces):
+                found[i] = known[piece]
+        for (k, place, _), ids in zip(whole, self._bytes([t for _, _, t in whole])):
+            if place < 0:
+                out[k] = [ids]
+            else:
+                out[k][0] = ids
+        for piece in [p for p in (*fresh, *(c[0] for c in composed)) if len(p) > 1000]:
+            del known[piece]
+        if len(self.stops) > 10_000:
+            self.stops.clear()
+        return [b"".join(found) + self.end for found in out]
 
 
 _encoders: dict[tuple, Encoder] = {}
