@@ -50,10 +50,10 @@ from docloom.ship import ship
 
 _PLACE = np.uint64((1 << 20) - 1)
 _SEGMENT = 1 << 19
-_FLUSH_UNITS = 750_000
-HOT_UNITS = 256
+_FLUSH_UNITS = 350_000
+HOT_UNITS = 128
 MAX_BROADCAST = 2_000_000
-_SA_SYMBOLS = 2_000_000
+_SA_SYMBOLS = 500_000
 _END, _SEPARATOR, _FOLD = 0, 1, 2
 
 
@@ -373,7 +373,7 @@ def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram:
     opened = _with_texts(docs, work.table(spans, "spans"))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode("utf-8", "surrogatepass")
                 cols = [[s[k] for s in spans] for k in ("anchor", "first", "count", "offset")]
