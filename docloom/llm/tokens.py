@@ -16,7 +16,8 @@ documents asked for.
 
 Encoding: a text of plain Latin characters is cut where the tokenizer's own
 pre-tokenizer always cuts, and each distinct piece is encoded once by the
-library and remembered; any other text goes to the library whole.
+library and remembered (under a 64-bit hash); any other text goes to the
+library whole.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an id
 all appear, ordered by a hash of their text; null ids come first; an empty
@@ -41,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.shared import Workspace
+from docloom.llm.words import mix, span_hash, split_words
 from docloom.ship import ship
 
 _SKIPPABLE_INDEX = 0x184D2A50
@@ -49,23 +51,25 @@ _SEEKABLE_MAGIC = 0x8F92EAB1
 _TABLE_DESCRIPTOR = 0x80  # checksums present
 
 #: Characters that are blanks, letters, digits or symbols for the pre-tokenizer as for us.
-_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ff\\u0100-\\u017f\\u2010-\\u2027\\u2030-\\u205e]*\\Z")
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u017f\\u2010-\\u2027\\u2030-\\u205e]*\\Z")
 #: Pairs of blanks; with them, or a blank at either end, a text is not cut.
 _ODD_BLANKS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
-#: A word and the stops after it: the pre-tokenizer cuts between a letter and such a run.
-_STOPPED = re.compile("(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f])([.,;:!?|]+)\\Z")
+_AT_BLANKS = np.array([0 if b == 32 else b for b in range(256)], np.uint8)
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_NOT_STOP = _ALNUM | (np.arange(256) >= 128) | (np.arange(256) <= 32)
 
 
 class Encoder:
     """Texts to id bytes with one tokenizer file; remembers the ids of pieces it has met.
 
-    A text is cut before every blank between two words, where the pre-tokenizer
-    cuts as well, and a piece is kept under its text without that blank. Pieces
-    are remembered in two generations of at most ``max_pieces`` each; a full
-    young one becomes the old one, so what is in use survives.
+    A text is cut where the pre-tokenizer always cuts: before every blank
+    between two words, and between a letter or digit and the ASCII symbols that
+    end a word. Pieces are found, hashed and looked up in numpy; only a piece
+    that the table lacks goes to the library. The table holds at most about
+    ``max_pieces`` pieces and starts anew when it is full.
     """
 
-    def __init__(self, path: str, end_id: int, max_pieces: int = 500_000):
+    def __init__(self, path: str, end_id: int, max_pieces: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,79 +80,96 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuttable = self._is_byte_level()
         self.max_pieces = max_pieces
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted piece hashes
+        self.places = np.zeros(0, np.int64)  # of each key's ids in flat
+        self.sizes = np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, self.dtype), 0
 
     def _is_byte_level(self) -> bool:
         told = json.loads(self.tokenizer.to_str())
         pre = told.get("pre_tokenizer") or {}
         return told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.cumsum([0, *map(len, ids)]) * self.width
-        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes[-1]) // self.width).tobytes()
-        return [flat[a:b] for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist())]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum())), sizes
 
     def _can_cut(self, text: str) -> bool:
         if not self.cuttable or text[:1] == " " or text[-1:] == " " or any(s in text for s in _ODD_BLANKS) or any(s in text for s in self.special):
             return False
         return _PLAIN.match(text) is not None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.max_pieces:
-            self.old, self.young = self.young, {}
-        known, find = self.young, self.young.get
-        out: list = [None] * len(texts)
-        gaps, missing, whole = [], {}, []
-        for k, text in enumerate(texts):
-            if not self._can_cut(text):
-                whole.append((k, -1, text))
+    def _add(self, keys: np.ndarray, texts: list[str]) -> None:
+        ids, sizes = self._ids(texts)
+        if len(self.keys) + len(keys) > self.max_pieces:
+            self._clear()
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.places = np.insert(self.places, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.used += len(ids)
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text number, start, end, whether a blank precedes) of all pieces, in order."""
+        words = split_words(data, bounds, _AT_BLANKS)
+        start, end, owner = words.start, words.end, words.owners()
+        blank = np.ones(len(start), bool)
+        blank[words.first[:-1][words.counts > 0]] = False
+        index = np.where(_NOT_STOP[data], np.arange(len(data)), -1)
+        stem = np.maximum.accumulate(index)[end - 1] + 1  # end of the word without its last symbols
+        final, before = data[np.maximum(stem, 1) - 1], data[np.maximum(stem, 2) - 2]
+        letter = _ALNUM[final] | ((final >= 128) & (before >= 0xC3) & (before <= 0xC5) & ~((before == 0xC3) & ((final == 0x97) | (final == 0xB7))))
+        split = (stem > start) & (stem < end) & letter
+        stem = np.where(split, stem, end)
+        order = np.arange(len(start)) + np.cumsum(split) - split
+        n = len(start) + int(split.sum())
+        out = [np.zeros(n, c.dtype) for c in (owner, start, end, blank)]
+        for k, c in enumerate((owner, start, stem, blank)):
+            out[k][order] = c
+        tail = order[split] + 1
+        out[0][tail], out[1][tail], out[2][tail] = owner[split], stem[split], end[split]
+        return tuple(out)
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        owner, start, end, blank = self._cut(data, np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+        if not len(start):
+            return [b""] * len(texts)
+        keys = mix(span_hash(data, start, end) + blank.astype(np.uint64))
+        distinct, sample, which = np.unique(keys, return_index=True, return_inverse=True)
+        for _ in range(2):
+            at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+            lacks = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+            if not lacks.any():
+                break
+            if len(self.keys) + int(lacks.sum()) > self.max_pieces:
+                self._clear()
                 continue
-            head, *pieces = text.split(" ")
-            found = list(map(find, pieces))
-            found.insert(0, b"")
-            whole.append((k, 0, head))
-            out[k] = found
-            if None in found:
-                at = [i for i, x in enumerate(found) if x is None]
-                gaps.append((found, at, [pieces[i - 1] for i in at]))
-                missing.update(dict.fromkeys(gaps[-1][2]))
-        fresh, composed = {}, []
-        for piece in missing:
-            ids = self.old.get(piece)
-            if ids is not None:
-                known[piece] = ids
-            elif (parts := _STOPPED.match(piece)) is None:
-                fresh[piece] = None
-            else:
-                stem, stop = parts.groups()
-                composed.append((piece, stem, stop))
-                if stem not in known:
-                    ids = self.old.get(stem)
-                    if ids is not None:
-                        known[stem] = ids
-                    else:
-                        fresh[stem] = None
-        known.update(zip(fresh, self._bytes([" " + p for p in fresh])))
-        for piece, stem, stop in composed:
-            if stop not in self.stops:
-                self.stops[stop] = self._bytes([stop])[0]
-            known[piece] = known[stem] + self.stops[stop]
-        for found, at, pieces in gaps:
-            for i, piece in zip(at, pieces):
-                found[i] = known[piece]
-        for (k, place, _), ids in zip(whole, self._bytes([t for _, _, t in whole])):
-            if place < 0:
-                out[k] = [ids]
-            else:
-                out[k][0] = ids
-        for piece in [p for p in (*fresh, *(c[0] for c in composed)) if len(p) > 1000]:
-            del known[piece]
-        if len(self.stops) > 10_000:
-            self.stops.clear()
-        return [b"".join(found) + self.end for found in out]
+            pieces = [(" " if b else "") + data[x:y].tobytes().decode() for b, x, y in zip(*(c[sample[lacks]].tolist() for c in (blank, start, end)))]
+            self._add(distinct[lacks], pieces)
+        at = np.searchsorted(self.keys, distinct)
+        size, place = self.sizes[at][which], self.places[at][which]
+        to = np.cumsum(size)
+        ids = self.flat[np.arange(to[-1]) + np.repeat(place - (to - size), size)].tobytes()
+        cut = np.concatenate(([0], to))[np.searchsorted(owner, np.arange(len(texts) + 1))] * self.width
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self._can_cut(t) for t in texts]
+        known = iter(self._encode_cut([t for t, c in zip(texts, cut) if c]) if any(cut) else ())
+        ids, sizes = self._ids([t for t, c in zip(texts, cut) if not c])
+        to = np.cumsum(sizes).tolist()
+        other = (ids[b - n : b].tobytes() for b, n in zip(to, sizes.tolist()))
+        return [(next(known) if c else next(other)) + self.end for c in cut]
 
 
 _encoders: dict[tuple, Encoder] = {}

@@ -109,6 +109,15 @@ def split_words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> Word
     return Words(data, bounds, start, end, np.searchsorted(start, bounds), mix(h))
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans ``data[start:end]``."""
+    n = len(data)
+    up, down = _power_tables(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) of consecutive rows with about ``limit`` bytes; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
