@@ -23,32 +23,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _LINES = "split(coalesce({t}, ''), '\\n')"
-_SAID = "filter(sequence(0, size(_all) - 1), i -> _all[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+_SAID = "filter(sequence(0, size(__dl_all) - 1), i -> __dl_all[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds ``n_lines`` (non-blank), ``n_removed`` and ``deduped`` (the text without covered lines)."""
-    own = ("n_lines", "n_removed", "deduped", "_all", "_said", "_key", "_gone", "_cut")
+    own = ("n_lines", "n_removed", "deduped", "__dl_all", "__dl_said", "__dl_key", "__dl_gone", "__dl_cut")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in own and c not in (id_col, text_col)])
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    lines = keyed.withColumn("_all", F.expr(_LINES.format(t=f"`{text_col}`"))).withColumn("_said", F.expr(_SAID))
+    keyed = docs.withColumn("__dl_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    lines = keyed.withColumn("__dl_all", F.expr(_LINES.format(t=f"`{text_col}`"))).withColumn("__dl_said", F.expr(_SAID))
     places = lines.select(
-        F.col(id_col).alias("_id"), "_key",
-        F.posexplode(F.expr("""CASE WHEN size(_said) < 3 THEN array() ELSE transform(sequence(0, size(_said) - 3), i -> struct(
-            xxhash64(_all[_said[i]], _all[_said[i + 1]], _all[_said[i + 2]]) AS a,
-            xxhash64('w', _all[_said[i + 2]], _all[_said[i + 1]], _all[_said[i]]) AS b)) END""")).alias("_pos", "_h"),
-    ).select("_id", "_key", "_pos", "_h.a", "_h.b").select("*", F.struct("_id", "_key", "_pos").alias("_at"))
+        F.col(id_col).alias("__dl_id"), "__dl_key",
+        F.posexplode(F.expr("""CASE WHEN size(__dl_said) < 3 THEN array() ELSE transform(sequence(0, size(__dl_said) - 3), i -> struct(
+            xxhash64(__dl_all[__dl_said[i]], __dl_all[__dl_said[i + 1]], __dl_all[__dl_said[i + 2]]) AS a,
+            xxhash64('w', __dl_all[__dl_said[i + 2]], __dl_all[__dl_said[i + 1]], __dl_all[__dl_said[i]]) AS b)) END""")).alias("_pos", "_h"),
+    ).select("__dl_id", "__dl_key", "_pos", "_h.a", "_h.b").select("*", F.struct("__dl_id", "__dl_key", "_pos").alias("_at"))
     firsts = places.groupBy("a", "b").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where("_first < _last").select("a", "b", "_first")
     later = places.join(firsts, ["a", "b"]).where(F.col("_first") < F.col("_at"))
-    gone = later.groupBy("_id", F.col("_key").alias("_k")).agg(F.collect_set("_pos").alias("_gone"))
-    joined = lines.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
-    cut = joined.withColumn("_cut", F.expr("CASE WHEN _gone IS NULL THEN cast(array() AS array<int>) ELSE array_distinct(flatten(transform(_gone, p -> array(_said[p], _said[p + 1], _said[p + 2])))) END"))
-    kept = F.expr(f"CASE WHEN _gone IS NULL THEN `{text_col}` ELSE array_join(transform(array_except(sequence(0, size(_all) - 1), _cut), i -> _all[i]), '\\n') END")
+    gone = later.groupBy("__dl_id", F.col("__dl_key").alias("__dl_k")).agg(F.collect_set("_pos").alias("__dl_gone"))
+    joined = lines.join(gone, F.col(id_col).eqNullSafe(F.col("__dl_id")) & (F.col("__dl_key") == F.col("__dl_k")), "left")
+    cut = joined.withColumn("__dl_cut", F.expr("CASE WHEN __dl_gone IS NULL THEN cast(array() AS array<int>) ELSE array_distinct(flatten(transform(__dl_gone, p -> array(__dl_said[p], __dl_said[p + 1], __dl_said[p + 2])))) END"))
+    kept = F.expr(f"CASE WHEN __dl_gone IS NULL THEN `{text_col}` ELSE array_join(transform(array_except(sequence(0, size(__dl_all) - 1), __dl_cut), i -> __dl_all[i]), '\\n') END")
     return (
-        cut.withColumn("n_lines", F.size("_said").cast("long"))
-        .withColumn("n_removed", F.size("_cut").cast("long"))
+        cut.withColumn("n_lines", F.size("__dl_said").cast("long"))
+        .withColumn("n_removed", F.size("__dl_cut").cast("long"))
         .withColumn("deduped", kept)
-        .drop("_all", "_said", "_key", "_gone", "_cut", "_id", "_k")
+        .drop("__dl_all", "__dl_said", "__dl_key", "__dl_gone", "__dl_cut", "__dl_id", "__dl_k")
     )
 
 

@@ -82,8 +82,8 @@ def mix_sources(
         sized = sized.drop(text_col)
     totals = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
     table = Workspace(spark, "mix").table(source_targets(totals, weights, max_repeat), "targets")
-    table = table.select(F.col("source").alias("_source"), "source_size", "target")
-    joined = sized.join(table, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
+    table = table.select(F.col("source").alias("__dl_source"), "source_size", "target")
+    joined = sized.join(table, F.col(source_col).eqNullSafe(F.col("__dl_source")), "left").drop("__dl_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     extra = (coin(F.col(id_col), seed) < rate - whole).cast("int")
@@ -92,8 +92,8 @@ def mix_sources(
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """Each document ``copies`` times, without the columns the mix added."""
-    again = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return again.drop("size", "source_size", "target", "copies", "taken", "_copy")
+    again = mixed.where("copies > 0").withColumn("__dl_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.drop("size", "source_size", "target", "copies", "taken", "__dl_copy")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -51,32 +51,32 @@ def line_passes(line: Column) -> Column:
 
 def assess(docs: DataFrame, *, text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_lost_pct: int = 50) -> DataFrame:
     """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, cleaned, lost_chars, kept``."""
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost_chars", "kept", "_t", "_w", "_h", "_l", "_s")
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost_chars", "kept", "__dl_t", "__dl_w", "__dl_h", "__dl_l", "__dl_s")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added and c != text_col])
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(text, F.lit(_BLANK))
     none = F.array().cast("array<string>")
     base = (
-        docs.withColumn("_t", text)
-        .withColumn("_w", F.when(bare == "", none).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+")))
-        .withColumn("_h", F.expr("CASE WHEN size(_w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END"))
-        .withColumn("_s", F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(transform(_h, (h, i) -> struct(h AS h, i AS i))) END"))
-        .withColumn("_l", F.split(F.col("_t"), "\n"))
+        docs.withColumn("__dl_t", text)
+        .withColumn("__dl_w", F.when(bare == "", none).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+")))
+        .withColumn("__dl_h", F.expr("CASE WHEN size(__dl_w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(__dl_w) - 3), i -> xxhash64(__dl_w[i], __dl_w[i + 1], __dl_w[i + 2])) END"))
+        .withColumn("__dl_s", F.expr("CASE WHEN size(array_distinct(__dl_h)) < size(__dl_h) THEN sort_array(transform(__dl_h, (h, i) -> struct(h AS h, i AS i))) END"))
+        .withColumn("__dl_l", F.split(F.col("__dl_t"), "\n"))
     )
     repeated = F.expr("""
-        CASE WHEN _s IS NULL THEN 0 ELSE size(array_distinct(flatten(transform(
-            filter(sequence(0, size(_s) - 1), j -> (j > 0 AND _s[greatest(j - 1, 0)].h = _s[j].h) OR (j < size(_s) - 1 AND _s[least(j + 1, size(_s) - 1)].h = _s[j].h)),
-            j -> array(_s[j].i, _s[j].i + 1, _s[j].i + 2))))) END""")
-    spoken = F.filter("_l", lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
+        CASE WHEN __dl_s IS NULL THEN 0 ELSE size(array_distinct(flatten(transform(
+            filter(sequence(0, size(__dl_s) - 1), j -> (j > 0 AND __dl_s[greatest(j - 1, 0)].h = __dl_s[j].h) OR (j < size(__dl_s) - 1 AND __dl_s[least(j + 1, size(__dl_s) - 1)].h = __dl_s[j].h)),
+            j -> array(__dl_s[j].i, __dl_s[j].i + 1, __dl_s[j].i + 2))))) END""")
+    spoken = F.filter("__dl_l", lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     measured = (
-        base.withColumn("n_words", F.size("_w").cast("long"))
-        .withColumn("word_chars", F.length(F.regexp_replace("_t", "[\\x20\\x09-\\x0D]+", "")).cast("long"))
-        .withColumn("n_symbols", _removed(F.col("_t"), _SYMBOLS).cast("long"))
-        .withColumn("_said", spoken)
-        .withColumn("n_dup_lines", (F.size("_said") - F.size(F.array_distinct("_said"))).cast("long"))
+        base.withColumn("n_words", F.size("__dl_w").cast("long"))
+        .withColumn("word_chars", F.length(F.regexp_replace("__dl_t", "[\\x20\\x09-\\x0D]+", "")).cast("long"))
+        .withColumn("n_symbols", _removed(F.col("__dl_t"), _SYMBOLS).cast("long"))
+        .withColumn("__dl_said", spoken)
+        .withColumn("n_dup_lines", (F.size("__dl_said") - F.size(F.array_distinct("__dl_said"))).cast("long"))
         .withColumn("n_repeat_words", repeated.cast("long"))
-        .withColumn("cleaned", F.array_join(F.filter("_l", line_passes), "\n"))
-        .drop("_w", "_h", "_s", "_l", "_said")
+        .withColumn("cleaned", F.array_join(F.filter("__dl_l", line_passes), "\n"))
+        .drop("__dl_w", "__dl_h", "__dl_s", "__dl_l", "__dl_said")
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     lost = F.col("word_chars") - F.length(F.regexp_replace("cleaned", "[\\x20\\x09-\\x0D]+", ""))
@@ -84,7 +84,7 @@ def assess(docs: DataFrame, *, text_col: str = "text", min_words: int = 50, max_
         measured.withColumn("base_failed", failed)
         .withColumn("lost_chars", lost)
         .withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_pct * F.col("word_chars")))
-        .drop("_t")
+        .drop("__dl_t")
     )
 
 

@@ -347,17 +347,17 @@ def _hot_windows(with_spans: DataFrame, length: int) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, work: Workspace, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_doc``, a long that orders documents and names one (id, text): the id itself where ids are unique."""
+    """``docs`` with ``__dl_doc``, a long that orders documents and names one (id, text): the id itself where ids are unique."""
     ids = docs.select(F.col(id_col).cast("long").alias("i"))
     unique = ids.where("i IS NULL").isEmpty() and ids.groupBy("i").count().where("count > 1").isEmpty()
     if unique:
-        return docs.withColumn("_doc", F.col(id_col).cast("long"))
+        return docs.withColumn("__dl_doc", F.col(id_col).cast("long"))
     spark = docs.sparkSession
-    keyed = docs.withColumn("_i", F.col(id_col).cast("long")).withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    ordered = keyed.select("_i", "_t").distinct().orderBy(F.col("_i").asc_nulls_first(), "_t")
+    keyed = docs.withColumn("__dl_i", F.col(id_col).cast("long")).withColumn("__dl_t", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    ordered = keyed.select("__dl_i", "__dl_t").distinct().orderBy(F.col("__dl_i").asc_nulls_first(), "__dl_t")
     numbered = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
-    table = work.table(spark.createDataFrame(numbered, "_i2 long, _t2 long, _doc long"), "numbers")
-    return keyed.join(table, F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_t") == F.col("_t2"))).drop("_i", "_t", "_i2", "_t2")
+    table = work.table(spark.createDataFrame(numbered, "__dl_i2 long, __dl_t2 long, __dl_doc long"), "numbers")
+    return keyed.join(table, F.col("__dl_i").eqNullSafe(F.col("__dl_i2")) & (F.col("__dl_t") == F.col("__dl_t2"))).drop("__dl_i", "__dl_t", "__dl_i2", "__dl_t2")
 
 
 def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram: int = 40) -> DataFrame:
@@ -412,25 +412,25 @@ def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram:
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40) -> DataFrame:
     """Adds ``n_bytes, n_removed, n_spans`` and ``kept`` (binary, what is left of the text)."""
     ship(docs.sparkSession)
-    added = ("n_bytes", "n_removed", "n_spans", "kept", "_doc", "_i", "_t", "_i2", "_t2", "_spans", "_raw")
+    added = ("n_bytes", "n_removed", "n_spans", "kept", "__dl_doc", "__dl_i", "__dl_t", "__dl_i2", "__dl_t2", "__dl_spans", "__dl_raw")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added and c not in (id_col, text_col)])
     work = Workspace(docs.sparkSession, "substrings")
     numbered = _numbered(docs, work, id_col, text_col)
-    spans = covered_spans(numbered.select(F.col("_doc").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), work, length=length, gram=gram)
-    spans = spans.select(F.col("doc").alias("_d"), F.col("spans").alias("_spans"))
-    few = (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= MAX_BROADCAST
-    joined = numbered.join(F.broadcast(spans) if few else spans, F.col("_doc") == F.col("_d"), "left").drop("_d", "_doc")
-    joined = joined.withColumn("_raw", F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")))
-    joined = joined.withColumn("n_bytes", F.octet_length("_raw").cast("long"))
-    gone = F.expr("CASE WHEN _spans IS NULL THEN 0L ELSE aggregate(_spans, 0L, (s, x) -> s + x.z - x.a) END")
+    spans = covered_spans(numbered.select(F.col("__dl_doc").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), work, length=length, gram=gram)
+    spans = spans.select(F.col("doc").alias("__dl_d"), F.col("spans").alias("__dl_spans"))
+    few = (spans.agg(F.sum(F.size("__dl_spans"))).first()[0] or 0) <= MAX_BROADCAST
+    joined = numbered.join(F.broadcast(spans) if few else spans, F.col("__dl_doc") == F.col("__dl_d"), "left").drop("__dl_d", "__dl_doc")
+    joined = joined.withColumn("__dl_raw", F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")))
+    joined = joined.withColumn("n_bytes", F.octet_length("__dl_raw").cast("long"))
+    gone = F.expr("CASE WHEN __dl_spans IS NULL THEN 0L ELSE aggregate(__dl_spans, 0L, (s, x) -> s + x.z - x.a) END")
     # what lies between the removed stretches
-    kept = F.expr("""CASE WHEN _spans IS NULL THEN _raw
-        ELSE aggregate(transform(sequence(0, size(_spans)), k -> substring(_raw,
-            cast(CASE WHEN k = 0 THEN 1 ELSE _spans[greatest(k - 1, 0)].z + 1 END AS int),
-            cast(CASE WHEN k = size(_spans) THEN n_bytes ELSE _spans[least(k, size(_spans) - 1)].a END
-               - CASE WHEN k = 0 THEN 0 ELSE _spans[greatest(k - 1, 0)].z END AS int))), X'', (s, x) -> concat(s, x)) END""")
-    spans = F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_spans")).cast("long")
-    return joined.withColumn("n_removed", gone).withColumn("n_spans", spans).withColumn("kept", kept).drop("_spans", "_raw")
+    kept = F.expr("""CASE WHEN __dl_spans IS NULL THEN __dl_raw
+        ELSE aggregate(transform(sequence(0, size(__dl_spans)), k -> substring(__dl_raw,
+            cast(CASE WHEN k = 0 THEN 1 ELSE __dl_spans[greatest(k - 1, 0)].z + 1 END AS int),
+            cast(CASE WHEN k = size(__dl_spans) THEN n_bytes ELSE __dl_spans[least(k, size(__dl_spans) - 1)].a END
+               - CASE WHEN k = 0 THEN 0 ELSE __dl_spans[greatest(k - 1, 0)].z END AS int))), X'', (s, x) -> concat(s, x)) END""")
+    spans = F.when(F.col("__dl_spans").isNull(), 0).otherwise(F.size("__dl_spans")).cast("long")
+    return joined.withColumn("n_removed", gone).withColumn("n_spans", spans).withColumn("kept", kept).drop("__dl_spans", "__dl_raw")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -106,8 +106,6 @@ class Encoder:
 
     def _add(self, keys: np.ndarray, texts: list[str]) -> None:
         ids, sizes = self._ids(texts)
-        if len(self.keys) + len(keys) > self.max_pieces:
-            self._clear()
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used : self.used + len(ids)] = ids
@@ -151,7 +149,7 @@ class Encoder:
             lacks = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
             if not lacks.any():
                 break
-            if len(self.keys) + int(lacks.sum()) > self.max_pieces:
+            if len(self.keys) and len(self.keys) + int(lacks.sum()) > self.max_pieces:
                 self._clear()
                 continue
             pieces = [(" " if b else "") + data[x:y].tobytes().decode() for b, x, y in zip(*(c[sample[lacks]].tolist() for c in (blank, start, end)))]

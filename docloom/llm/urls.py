@@ -117,7 +117,7 @@ def train(rows: Sequence[tuple[str, str, int]], *, steps: int = 400, rate: float
 
 def split_url(url) -> tuple:
     """(host, path) columns; ASCII capitals of the host are lowered."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("`_url`"))).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     host = F.translate(F.regexp_extract(rest, "(?s)^([^/?#]*)", 1), capitals, capitals.lower())
     return host, F.regexp_extract(rest, "(?s)^[^/?#]*([^?#]*)", 1)
@@ -145,14 +145,14 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", rules=RULES, weights:
         for hosts, paths in batches:
             yield pd.Series(1 / (1 + np.exp(-_logits(w, hosts.tolist(), paths.tolist()))), dtype=float)
 
-    added = ("host", "path", "rule", "verdict", "score", "_url", "_rule")
-    pages = pages.withColumn("_url", F.coalesce(F.col(url_col), F.lit("")))
-    pages = pages.drop(*[c for c in pages.columns if c.lower() in added and c not in ("_url", url_col)])
-    host, path = split_url(F.col("_url"))
+    added = ("host", "path", "rule", "verdict", "score", "__dl_url", "__dl_rule")
+    pages = pages.withColumn("__dl_url", F.coalesce(F.col(url_col), F.lit("")))
+    pages = pages.drop(*[c for c in pages.columns if c.lower() in added and c not in ("__dl_url", url_col)])
+    host, path = split_url(F.col("__dl_url"))
     out = pages.withColumns({"host": host, "path": path}).withColumn("score", score("host", "path"))
-    out = out.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
+    out = out.withColumn("__dl_rule", matched_rule(F.col("host"), F.col("path"), rules))
     learned = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), learned)).drop("_url", "_rule")
+    return out.withColumn("rule", F.col("__dl_rule.rule")).withColumn("verdict", F.coalesce(F.col("__dl_rule.verdict"), learned)).drop("__dl_url", "__dl_rule")
 
 
 def op3_urls(spark, sf_dir: str) -> DataFrame:
