@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows here are whole documents, so Arrow batches are kept small unless the session says otherwise.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Hand the package's source to the cluster's workers once per application."""
+    """Hand the package's source to the cluster's workers once per application; bound the session's Arrow batches."""
     context = spark.sparkContext
+    for key, (default, small) in _BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent

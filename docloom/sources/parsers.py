@@ -351,17 +351,18 @@ def parse(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame
 
     @F.pandas_udf(_PARSED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        nothing = dict.fromkeys(("content", "elements", "metadata", "file_type", "outcome"))
         for contents, names, categories in batches:
             rows = []
             for content, name, category in zip(contents, names, categories):
-                row = {"content": None, "elements": None, "metadata": None, "file_type": None, "outcome": "fallback"}
+                row = nothing | {"outcome": "fallback"}
                 try:
                     found = handlers[_name_parts(name)[1]](bytes(content), name, category)
-                    row = {"outcome": "text"} if found is None else {"file_type": None} | found | {"outcome": "parsed"}
+                    row = nothing | ({"outcome": "text"} if found is None else found | {"outcome": "parsed"})
                 except Exception:  # whatever a damaged file raises, its text is still wanted
                     pass
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=["content", "elements", "metadata", "file_type", "outcome"])
+            yield pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=object) for k in nothing})
 
     suffix = X.suffix(F.col("file_name"))
     routed = files.withColumn("_suffix", suffix).withColumn("_special", F.col("_suffix").isin(*handlers) & F.col("content").isNotNull())

@@ -1,0 +1,182 @@
+import io
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.operators.normalize import flat_units, normalize, normalized_totals, summary_stats
+from docloom.sources.files import read_bytes, read_files
+from docloom.sources.parsers import ParserRegistry, parse
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+P = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+R = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+T = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
+
+
+def packed(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, text in parts.items():
+            archive.writestr(name, text)
+    return out.getvalue()
+
+
+def docx():
+    def para(text, style=None):
+        return f'<w:p>{f"""<w:pPr><w:pStyle w:val="{style}"/></w:pPr>""" if style else ""}<w:r><w:t>{text}</w:t></w:r></w:p>'
+
+    def cell(text, extra=""):
+        return f"<w:tc>{f'<w:tcPr>{extra}</w:tcPr>' if extra else ''}{para(text)}</w:tc>"
+
+    table = "<w:tbl><w:tr>" + cell("") + cell("h2") + "</w:tr><w:tr>" + cell("wide", '<w:gridSpan w:val="2"/>') + "</w:tr></w:tbl>"
+    body = para("intro") + para(" ") + para("First", "H1") + para("Second", "H1") + para("line one") + table + para("line two") + para("Last", "H1")
+    styles = f'<w:styles {W}><w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:type="paragraph" w:default="1" w:styleId="N"><w:name w:val="Normal"/></w:style></w:styles>'
+    return packed({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>", "word/styles.xml": styles})
+
+
+def pptx():
+    def shape(text, kind=None):
+        place = f'<p:ph type="{kind}"/>' if kind else ""
+        paragraphs = "".join(f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>" for t in text)
+        return f"<p:sp><p:nvSpPr><p:nvPr>{place}</p:nvPr></p:nvSpPr><p:txBody>{paragraphs}</p:txBody></p:sp>"
+
+    def slide(*shapes):
+        return f"<p:sld {P}><p:cSld><p:spTree>{''.join(shapes)}</p:spTree></p:cSld></p:sld>"
+
+    table = "<p:graphicFrame><a:tbl><a:tr><a:tc><p:txBody><a:p><a:r><a:t>k</a:t></a:r></a:p></p:txBody></a:tc><a:tc><p:txBody><a:p><a:r><a:t>v</a:t></a:r></a:p></p:txBody></a:tc></a:tr></a:tbl></p:graphicFrame>"
+    return packed(
+        {
+            "ppt/presentation.xml": f'<p:presentation {P}><p:sldIdLst><p:sldId id="1" r:id="a"/><p:sldId id="2" r:id="b"/></p:sldIdLst></p:presentation>',
+            "ppt/_rels/presentation.xml.rels": f'<Relationships {R}><Relationship Id="a" Type="{T}slide" Target="slides/slide1.xml"/><Relationship Id="b" Type="{T}slide" Target="slides/slide2.xml"/></Relationships>',
+            "ppt/slides/slide1.xml": slide(shape([" "])),
+            "ppt/slides/slide2.xml": slide(shape(["Our Plan"], "title"), shape(["point one", "", "point two"]), table),
+            "ppt/slides/_rels/slide2.xml.rels": f'<Relationships {R}><Relationship Id="n" Type="{T}notesSlide" Target="../notesSlides/n1.xml"/></Relationships>',
+            "ppt/notesSlides/n1.xml": slide(shape(["say hello"], "body")),
+        }
+    )
+
+
+def xlsx():
+    def sheet(rows):
+        cells = "".join(f'<row r="{k}">' + "".join(c for c in row) + "</row>" for k, row in enumerate(rows, 1))
+        return f"<worksheet {S}><sheetData>{cells}</sheetData></worksheet>"
+
+    text = lambda at, s: f'<c r="{at}" t="inlineStr"><is><t>{s}</t></is></c>'
+    number = lambda at, n: f'<c r="{at}"><v>{n}</v></c>'
+    names = ("One", "Empty", "Three")
+    return packed(
+        {
+            "xl/workbook.xml": f"<workbook {S}><sheets>" + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(names, 1)) + "</sheets></workbook>",
+            "xl/_rels/workbook.xml.rels": f"<Relationships {R}>" + "".join(f'<Relationship Id="r{k}" Type="{T}worksheet" Target="worksheets/s{k}.xml"/>' for k in (1, 2, 3)) + "</Relationships>",
+            "xl/worksheets/s1.xml": sheet([[text("A1", "name"), text("B1", "n")], [text("A2", "x"), number("B2", 3)], [], [text("A4", "y"), number("B4", 4)]]),
+            "xl/worksheets/s2.xml": sheet([[text("A1", "only a head")]]),
+            "xl/worksheets/s3.xml": sheet([[text("A1", "q")], [number("A2", 1.5)]]),
+        }
+    )
+
+
+@pytest.fixture(scope="module")
+def parsed(spark):
+    files = [
+        ("a/plain.txt", b"one\r\ntwo\x85three\n"), ("a/latin.txt", b"caf\xe9"), ("a/empty.txt", b""), ("data/ok.json", '﻿{"b": 1}'.encode("utf-8")), ("data/good.json", b'{"b": [1, 1.50], "a": "\xc3\xa9"}'),
+        ("data/two.jsonl", b'{"a": 1}\n{"a": 2}\n'), ("data/one.jsonl", b'{"a": 1}\n'), ("data/t.csv", b"x,y\n1,2\n,\n3,4\n"), ("data/h.tsv", b"x\ty\n"), ("data/bad.csv", b"a,b\n1,2\n1,2,3,4\n"),
+        ("bin/blob.xyz", bytes(range(128, 256)) + b"hello world" + bytes(60)), ("bin/nothing.xyz", b""), ("bin/text.xyz", b"readable enough"), ("bin/cjk.xyz", ("日本語" * 20).encode()),
+        ("o/d.docx", docx()), ("o/p.pptx", pptx()), ("o/s.xlsx", xlsx()), ("o/broken.docx", b"PK not a zip"), ("o/some.pdf", b"%PDF-1.4 plain"), ("noext", b"| a |\n| b |"),
+    ]
+    rows = {r.relative_path: r for r in parse(read_bytes(spark, files)).collect()}
+    assert set(rows) == {n for n, _ in files}
+    return rows
+
+
+def test_text_files(parsed):
+    r = parsed["a/plain.txt"]
+    assert r.content == "one\ntwoÂ\x85three\n" or r.content == "one\ntwo\x85three\n"
+    assert r.metadata.line_count == len(r.content.splitlines()) and r.metadata.char_count == len(r.content) and r.file_type == ".txt" and r.category == "a"
+    assert parsed["a/latin.txt"].content == "café"
+    assert len(parsed["a/empty.txt"].elements) == 1 and parsed["a/empty.txt"].content == ""
+    assert r.elements[0].title == "plain" and r.elements[0].metadata.line_count == r.metadata.line_count and r.metadata.file_size_bytes == 15
+
+
+def test_json_files(parsed):
+    good = parsed["data/good.json"]
+    assert good.content == json.dumps({"b": [1, 1.5], "a": "é"}, indent=2) and good.metadata.data_type == "dict" and good.elements[0].title == "good"
+    assert parsed["data/ok.json"].content.startswith("﻿") and parsed["data/ok.json"].metadata.data_type is None
+    assert parsed["data/two.jsonl"].metadata.line_count == 2 and parsed["data/one.jsonl"].metadata.data_type == "dict"
+
+
+def test_tabular_files(parsed):
+    t = parsed["data/t.csv"]
+    assert (t.metadata.rows, t.metadata.columns, t.elements[0].element_type) == (2, 2, "sheet")
+    assert parsed["data/h.tsv"].metadata.rows == 0 and len(parsed["data/h.tsv"].elements) == 1
+    assert parsed["data/bad.csv"].metadata.parsed_via == "universal_fallback" and parsed["data/bad.csv"].file_type == ".csv"
+
+
+def test_fallback(parsed):
+    assert parsed["bin/text.xyz"].content == "readable enough" and parsed["bin/text.xyz"].file_type == ".xyz"
+    assert parsed["bin/blob.xyz"].content == "[Binary Document Extracted Strings]\n\nhello world"
+    assert parsed["bin/nothing.xyz"].content == "[Binary Document Extracted Strings]\n\n"
+    assert parsed["bin/cjk.xyz"].content == "[Binary Document Extracted Strings]\n\n"
+    assert parsed["noext"].file_type == "unknown" and parsed["noext"].category == "root"
+    assert parsed["o/broken.docx"].metadata.parsed_via == "universal_fallback" and parsed["o/some.pdf"].content == "%PDF-1.4 plain"
+
+
+def test_office_files(parsed):
+    d = parsed["o/d.docx"]
+    assert [(e.element_type, e["index"], e.title, e.content) for e in d.elements] == [("section", 1, "Overview", "intro"), ("section", 2, "Second", "line one\nline two"), ("table", 1, "Table 1", " | h2\nwide | wide")]
+    assert d.content == "## Overview\nintro\n\n## Second\nline one\nline two\n\n--- Tables ---\n | h2\nwide | wide" and (d.metadata.section_count, d.metadata.table_count) == (3, 1)
+    p = parsed["o/p.pptx"]
+    assert [(e["index"], e.title, e.content, e.metadata.has_notes) for e in p.elements] == [(2, "Our Plan", "Our Plan\npoint one\npoint two\nk | v\n[Speaker Notes: say hello]", True)] and p.metadata.total_slides == 2
+    s = parsed["o/s.xlsx"]
+    assert [(e["index"], e.title, e.metadata.rows, e.metadata.columns) for e in s.elements] == [(1, "One", 2, 2), (3, "Three", 1, 1)] and s.metadata.sheet_names == ["One", "Empty", "Three"]
+
+
+def test_normalised_office_units(spark):
+    docs = normalize(parse(read_bytes(spark, [("o/p.pptx", pptx()), ("o/d.docx", docx()), ("a/empty.txt", b""), ("a/pipes.txt", b"a | b\nc")])))
+    units = {r.unit_id: r for r in docs.select(F.explode("units").alias("u")).select("u.*").collect()}
+    slide = units["p.pptx_slide_1"]
+    assert slide.slide_number == 1 and slide.breadcrumbs == "o > p.pptx > Our Plan" and slide.metadata.has_notes
+    assert units["d.docx_section_2"].section_name == "Second" and units["d.docx_table_3"].is_table and (units["d.docx_table_3"].table_info.rows, units["d.docx_table_3"].table_info.columns) == (1, 0)
+    assert units["pipes.txt_document_1"].table_info.has_markdown_format
+    assert {r.file_name: len(r.units) for r in docs.collect()}["empty.txt"] == 0
+    assert flat_units(docs).where("file_name = 'empty.txt'").count() == 0
+    totals = normalized_totals(docs).first()
+    assert (totals.total_documents, totals.total_structural_units) == (4, 5)
+
+
+def test_missing_file_and_stats(spark):
+    files = read_bytes(spark, [("x/gone.MD", b"")]).withColumn("content", F.lit(None).cast("binary"))
+    docs = parse(files)
+    row = docs.first()
+    assert row.error == "File not found: x/gone.MD" and row.file_type == ".md" and row.elements == []
+    unit = normalize(docs).first().units[0]
+    assert (unit.unit_id, unit.title, unit.breadcrumbs, unit.content) == ("gone.MD_unit_1", "gone", "x > gone.MD", "")
+    stats = summary_stats(docs).first()
+    assert (stats.total_documents, stats.error_count, stats.categories) == (1, 1, {"x": 1})
+    empty = summary_stats(docs.limit(0)).first()
+    assert (empty.total_documents, empty.total_characters, empty.categories) == (0, 0, {})
+
+
+def test_custom_handlers(spark):
+    registry = ParserRegistry()
+    registry.register(["XML", ".note"], lambda content, name, category: {"content": name.upper(), "elements": [], "metadata": {}})
+    rows = {r.file_name: r for r in parse(read_bytes(spark, [("a.xml", b"<x/>"), ("b.note", b"y")]), registry).collect()}
+    assert rows["a.xml"].content == "A.XML" and rows["b.note"].elements == []
+    registry.register("xml", lambda content, name, category: {"content": "last", "elements": [], "metadata": {}})
+    assert parse(read_bytes(spark, [("a.xml", b"<x/>")]), registry).first().content == "last"
+
+
+def test_discovery(spark, tmp_path):
+    keep = ["_under.md", "a/_u/f.txt", ".hid/in.txt", "c._COPYING_", "empty.bin", "noext", "a/b.tar.gz", "sp ace/ü é.TXT"]
+    for name in [*keep, ".dot.txt", "~$lock.docx"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "empty.bin" else name.encode())
+    (tmp_path / "link.txt").symlink_to(tmp_path / "noext")
+    rows = {r.relative_path: r for r in read_files(spark, str(tmp_path)).collect()}
+    assert set(rows) == {*keep, "link.txt"}
+    assert rows["a/_u/f.txt"].category == "a/_u" and rows["noext"].category == "root" and rows["noext"].extension == "no_extension"
+    assert rows["a/b.tar.gz"].extension == ".gz" and rows["empty.bin"].file_size_bytes == 0 and bytes(rows["noext"].content) == b"noext"
+    assert rows["link.txt"].file_name == "noext"
+    assert read_files(spark, str(tmp_path / "absent")).count() == 0
