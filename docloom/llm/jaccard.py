@@ -7,7 +7,7 @@ with equal word sequences form one class and take part once. Then:
    hold it (as compressed sorted runs, merged by ranges of the hash). The most
    frequent shingles, at most ``max_hot`` of them, are broadcast.
 2. Grouping. Eight one-permutation min-hashes propose, for each class, the
-   smallest class with the same min-hash; proposals that agree in at least half
+   most central class with the same min-hash; proposals that agree in at least half
    of the eight are verified exactly, and verified links make the groups. Large
    families of near copies collapse here with one link per member.
 3. Matrix. Shingles are ordered: rare ones by hash, frequent ones last, by
@@ -19,9 +19,10 @@ with equal word sequences form one class and take part once. Then:
    bounds the overlap of any two members: the set whose shingles end first in
    the order has all its leading shingles decided, so at most n - alpha of them
    may be missing from the other, alpha being the overlap that the threshold
-   asks for. Groups that fall short are never opened.
-5. Opening. Members of qualifying pairs are bounded one by one in the same way,
-   and what is left is verified exactly on the texts. Verified links join groups.
+   asks for. Leading shingles that no other group holds are missing anyway.
+   Groups that fall short are never opened.
+5. Opening. The members of qualifying pairs are bounded one by one in the same
+   way, block by block, and what is left is verified exactly on the texts. Verified links join groups.
 
 The result is exact but for 63-bit hash collisions: no link between classes of
 different groups is lost, and within a group nothing more is needed. Hot
@@ -43,6 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,8 @@ _HOT = np.uint64(1 << 63)
 _LOW43 = np.uint64((1 << 43) - 1)
 MAX_HOT = 1 << 19
 MAX_BROADCAST_IDS = 1_000_000
-_FLUSH = 4_000_000
+_FLUSH = 3_000_000
+BLOCK = 64
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,10 +206,10 @@ def _order_keys(h: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _leading_pass(docs: DataFrame, width: int, num: int, den: int, ranges: int, frequent: np.ndarray) -> DataFrame:
-    """``class, size, last`` per text and its leading shingles: rare ones as sorted runs by range, frequent ones as rows."""
+    """``class, size, last, rare`` per text and its leading shingles: rare ones as sorted runs by range, frequent ones as rows."""
     order = np.argsort(frequent, kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
-    schema = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("last", pa.int64()), ("token", pa.int64()), ("range", pa.int32()), ("runs", pa.binary()), ("classes", pa.binary())])
+    schema = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("last", pa.int64()), ("rare", pa.int64()), ("token", pa.int64()), ("range", pa.int32()), ("runs", pa.binary()), ("classes", pa.binary())])
 
     def rows(**known):
         n = len(next(iter(known.values())))
@@ -242,7 +245,8 @@ def _leading_pass(docs: DataFrame, width: int, num: int, den: int, ranges: int,
                 lead = np.arange(len(key)) - begin[owner] < leading[owner]
                 some = np.flatnonzero(size)
                 last = key[begin[some] + leading[some] - 1]
-                yield rows(**{"class": of[some].view(np.int64), "size": size[some], "last": (last ^ _HOT).view(np.int64)})
+                rare = np.bincount(owner[key < _HOT], minlength=len(size))[some]
+                yield rows(**{"class": of[some].view(np.int64), "size": size[some], "last": (last ^ _HOT).view(np.int64), "rare": rare})
                 owner, key = owner[lead], key[lead]
                 frequent_one = key >= _HOT
                 if frequent_one.any():
@@ -250,13 +254,13 @@ def _leading_pass(docs: DataFrame, width: int, num: int, den: int, ranges: int,
                 tokens.append(key[~frequent_one])
                 classes.append(of[owner[~frequent_one]])
                 n_held += int((~frequent_one).sum())
-                if n_held > _FLUSH // 2:
+                if n_held > _FLUSH // 4:
                     yield flush()
                     tokens, classes, n_held = [], [], 0
         if n_held:
             yield flush()
 
-    return docs.mapInArrow(run, "class long, size long, last long, token long, range int, runs binary, classes binary")
+    return docs.mapInArrow(run, "class long, size long, last long, rare long, token long, range int, runs binary, classes binary")
 
 
 def _shared_tokens(runs: DataFrame, ranges: int) -> DataFrame:
@@ -319,6 +323,44 @@ def _count_overlap(first, stop, data, bounds, width, inter, union) -> None:
     union[first // 2 : stop // 2] = size.reshape(-1, 2).sum(1) - shared
 
 
+def _open_blocks(num: int, den: int):
+    """Pairs (a, b) of members of two blocks that share enough leading shingles; see step 4 of the module's text."""
+
+    def matrix(block):
+        """Member columns, and (token, member) sorted by token."""
+        items = block.values
+        n, last, of = (items.field(k).to_numpy() for k in ("n", "l", "class"))
+        lists = items.field("tokens")
+        token = lists.flatten().to_numpy()
+        member = np.repeat(np.arange(len(n)), pa.compute.list_value_length(lists).to_numpy())
+        order = np.argsort(token, kind="stable")
+        return n, last, of, token[order], member[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for x, y in zip(batch.column(0), batch.column(1)):
+                nx, lx, cx, tx, mx = matrix(x)
+                ny, ly, cy, ty, my = matrix(y)
+                low, high = np.searchsorted(ty, tx, "left"), np.searchsorted(ty, tx, "right")
+                count = high - low
+                if not count.sum():
+                    continue
+                at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+                code, shared = np.unique(np.repeat(mx, count) * len(ny) + my[at], return_counts=True)
+                i, j = code // len(ny), code % len(ny)
+                p, q = nx[i], ny[j]
+                ends = np.where(lx[i] <= ly[j], p, q)
+                need = -(-num * (p + q) // (num + den)) + 1 - -(-num * ends // den)
+                good = (shared >= need) & (den * p >= num * q) & (den * q >= num * p)
+                a.append(cx[i[good]])
+                b.append(cy[j[good]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
 def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows (class, text) whose text is of the class."""
     for batch in batches:
@@ -370,48 +412,60 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = work.table(filled.groupBy("class").agg(F.min("id").alias("_row"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
     frequent = _frequent(first.where("range IS NOT NULL").select("range", "runs", "counts"), ranges, least_hot, max_hot)
 
+    lead = work.table(_leading_pass(rows.select("text"), width, num, den, ranges, frequent), "lead")
+    last = work.table(lead.where("size IS NOT NULL").select("class", "size", "last", "rare").dropDuplicates(["class"]), "last")
+
     keyed = classes.select("class", F.posexplode("keys").alias("bin", "key")).where("key <> 0")
-    leaders = keyed.groupBy("bin", "key").agg(F.min("class").alias("leader"), F.max("class").alias("_most")).where("leader < _most").drop("_most")
-    proposed = keyed.join(leaders, ["bin", "key"]).where("class <> leader").groupBy(F.col("class").alias("a"), F.col("leader").alias("b")).count()
+    met = keyed.groupBy("bin", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = work.table(keyed.join(met, ["bin", "key"]), "shared")
+    # the leader of the classes with one min-hash is the middle of a family: the smallest share of shingles that few texts hold
+    common = shared.groupBy("class").agg(F.sum("n").alias("n")).join(last, "class")
+    central = common.select("class", F.struct(F.round(-F.col("rare") / F.col("size"), 3), "n", "class").alias("score"))
+    leaders = shared.join(central, "class").groupBy("bin", "key").agg(F.max("score")["class"].alias("leader"))
+    proposed = shared.join(leaders, ["bin", "key"]).where("class <> leader").groupBy(F.col("class").alias("a"), F.col("leader").alias("b")).count()
     star = work.table(proposed.where(F.col("count") >= BINS // 2).select("a", "b"), "star")
     star_links = _verify(work, rows, classes, star, width, num, den, "star")
     groups = components(work, star_links, "groups")
 
-    lead = work.table(_leading_pass(rows.select("text"), width, num, den, ranges, frequent), "lead")
     held = _shared_tokens(lead.where("range IS NOT NULL").select("range", "runs", "classes"), ranges).union(lead.where("token IS NOT NULL").select("token", "class").distinct())
-    last = lead.where("size IS NOT NULL").select("class", "size", "last").dropDuplicates(["class"])
-    member = last.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    member = last.drop("rare").join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     tokens = work.table(held.join(member, "class"), "tokens")
-    union = tokens.groupBy("token", "comp").agg(F.min("size").alias("n0"), F.max("size").alias("n1"), F.min("last").alias("l0"), F.max("last").alias("l1"))
-    union = work.table(union, "matrix")
-    several = union.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token")
-    matrix = work.table(union.join(several, "token", "left_semi"), "several")
+    several = work.table(tokens.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token"), "several")
+    inside = tokens.join(several, "token", "left_semi")
+    # leading shingles that no other group holds are missing from every other set, so ``reach`` bounds any overlap
+    alive = inside.groupBy("class").agg(F.count("*").alias("alive"))
+    reach = F.expr(f"size - (size - ceil({num} * size / {den}) + 1 - alive)")
+    inside = work.table(inside.join(alive, "class").withColumn("reach", reach), "inside")
+    matrix = inside.groupBy("token", "comp").agg(F.min("size").alias("n0"), F.max("size").alias("n1"), F.min("last").alias("l0"), F.max("last").alias("l1"), F.max("reach").alias("r"))
+    matrix = work.table(matrix, "matrix")
 
     def side(df: DataFrame, k: str, names: list[str]) -> DataFrame:
         return df.select("token", *[F.col(c).alias(c + k) for c in names])
 
-    sizes = ["comp", "n0", "n1", "l0", "l1"]
+    alpha = f"ceil({num} * (n0x + n0y) / {num + den})"
+    sizes = ["comp", "n0", "n1", "l0", "l1", "r"]
     met = side(matrix, "x", sizes).join(side(matrix, "y", sizes), "token")
-    met = met.where(f"compx < compy AND {den} * n1x >= {num} * n0y AND {den} * n1y >= {num} * n0x")
+    met = met.where(f"compx < compy AND {den} * n1x >= {num} * n0y AND {den} * n1y >= {num} * n0x AND rx >= {alpha} AND ry >= {alpha}")
     met = met.groupBy("compx", "compy").agg(F.count("*").alias("s"), *[f(c + k).alias(c + k) for k in "xy" for c, f in (("n0", F.min), ("n1", F.max), ("l0", F.min), ("l1", F.max))])
-    alpha = f"ceil({num} * (n0x + n0y) / {num + den})"
     spare = lambda k: f"(1 - ceil({num} * n1{k} / {den}))"  # noqa: E731  leading shingles less all, of the largest member
     need = f"{alpha} + CASE WHEN l1x <= l0y THEN {spare('x')} WHEN l1y <= l0x THEN {spare('y')} ELSE least({spare('x')}, {spare('y')}) END"
     opened = work.table(met.where(f"s >= {need}").select("compx", "compy"), "opened")
 
-    inside = tokens.join(several, "token", "left_semi").select("token", "class", "comp", F.col("size").alias("n"), F.col("last").alias("l"))
+    inside = inside.select("token", "class", "comp", F.col("size").alias("n"), F.col("last").alias("l"))
     # a pair of groups of one class each is a pair of classes already, bounded exactly above
     crowd = work.table(member.groupBy("comp").agg(F.count("*").alias("members"), F.min("class").alias("only")), "crowd")
     counted = opened.join(crowd.select(F.col("comp").alias("compx"), F.col("members").alias("mx"), F.col("only").alias("onlyx")), "compx")
     counted = work.table(counted.join(crowd.select(F.col("comp").alias("compy"), F.col("members").alias("my"), F.col("only").alias("onlyy")), "compy"), "counted")
     single = counted.where("mx = 1 AND my = 1").select(F.col("onlyx").alias("a"), F.col("onlyy").alias("b"))
     within = counted.where("mx > 1 OR my > 1").select("compx", "compy")
-    of_x = inside.select("token", F.col("comp").alias("compx"), F.col("class").alias("a"), F.col("n").alias("nx"), F.col("l").alias("lx"))
-    of_y = inside.select("token", F.col("comp").alias("compy"), F.col("class").alias("b"), F.col("n").alias("ny"), F.col("l").alias("ly"))
-    pairs = within.join(of_x, "compx").join(of_y, ["compy", "token"]).where(f"{den} * nx >= {num} * ny AND {den} * ny >= {num} * nx")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("s"), *[F.first(c).alias(c) for c in ("nx", "ny", "lx", "ly")])
-    exact = f"ceil({num} * (nx + ny) / {num + den}) + CASE WHEN lx <= ly THEN 1 - ceil({num} * nx / {den}) ELSE 1 - ceil({num} * ny / {den}) END"
-    candidates = work.table(single.union(pairs.where(f"s >= {exact}").select("a", "b")).distinct(), "candidates")
+    # a larger group is opened in blocks of members, so that one row meets a block and no pair is a row before it is bounded
+    some = within.select(F.col("compx").alias("comp")).union(within.select(F.col("compy").alias("comp"))).distinct()
+    held = inside.join(some, "comp", "left_semi").groupBy("comp", "class").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list("token").alias("tokens"))
+    sized = held.join(crowd.select("comp", "members"), "comp").withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / BLOCK)))
+    blocks = work.table(sized.groupBy("comp", "block").agg(F.collect_list(F.struct("class", "n", "l", "tokens")).alias("held")), "blocks")
+    met = within.join(blocks.select(F.col("comp").alias("compx"), F.col("held").alias("x")), "compx").join(blocks.select(F.col("comp").alias("compy"), F.col("held").alias("y")), "compy")
+    pairs = met.select("x", "y").mapInArrow(_open_blocks(num, den), "a long, b long")
+    candidates = work.table(single.union(pairs).distinct(), "candidates")
     more_links = _verify(work, rows, classes, candidates, width, num, den, "open")
 
     links = work.table(star_links.union(more_links), "links")
@@ -421,7 +475,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     named = labelled.groupBy("comp").agg(F.min("_row").alias("component_id"), F.min_by("class", F.struct(F.col("_row").isNull(), "_row", "class")).alias("kept"))
     labels = labelled.join(named, "comp").join(degree, "class", "left")
     labels = work.table(labels.select("class", "component_id", "kept", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
-    for name in ("lead", "tokens", "matrix", "several"):
+    for name in ("lead", "tokens", "matrix", "several", "inside", "blocks", "shared"):
         work.drop(name)
     out = texts.select("id", F.col("class").alias("text_class"), "size").join(labels, (F.col("text_class") == labels["class"]) & (F.col("size") > 0), "left")
     return out.select(
@@ -435,25 +489,25 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """``docs`` with one document of each component; texts without words all stay."""
     work = Workspace(docs.sparkSession, "representatives")
     found = work.table(jaccard_components(docs, id_col=id_col, text_col=text_col, width=width, num=num, den=den).select("doc_id", "text_class", "stays", "n_shingles"), "found")
-    gone = found.where("NOT stays").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where("NOT stays").select(F.col("doc_id").alias("__dl_gone")).distinct()
     repeated = found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
         few = gone.count() <= MAX_BROADCAST_IDS
-        return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+        return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__dl_gone"), "left_anti")
 
     # ids do not name rows: rows are told apart by id and text class, and repeats of the row that stays go
-    base = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    base = docs.withColumn("__dl_id", F.col(id_col).cast("long")).withColumn("__dl_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
     @F.pandas_udf("long")
     def class_of(texts: pd.Series) -> pd.Series:
         parts = [sequence_hash(split_words(data, bounds, BLANK_SEPARATED)).view(np.int64) for _, _, data, bounds in text_slices(pa.array(texts, pa.large_string(), from_pandas=True))]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
-    staying = found.where("stays AND n_shingles > 0").select(F.col("doc_id").alias("_i"), F.col("text_class").alias("_c")).distinct()
-    rows = base.withColumn("_class", class_of("_text"))
-    wordless = rows.join(found.where("n_shingles = 0").select(F.col("text_class").alias("_c")).distinct(), F.col("_class") == F.col("_c"), "left_semi")
-    kept = rows.join(staying, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_class") == F.col("_c")), "left_semi").dropDuplicates(["_id", "_class"])
-    return kept.union(wordless).drop("_id", "_text", "_class")
+    staying = found.where("stays AND n_shingles > 0").select(F.col("doc_id").alias("__dl_i"), F.col("text_class").alias("__dl_c")).distinct()
+    rows = base.withColumn("__dl_class", class_of("__dl_text"))
+    wordless = rows.join(found.where("n_shingles = 0").select(F.col("text_class").alias("__dl_c")).distinct(), F.col("__dl_class") == F.col("__dl_c"), "left_semi")
+    kept = rows.join(staying, F.col("__dl_id").eqNullSafe(F.col("__dl_i")) & (F.col("__dl_class") == F.col("__dl_c")), "left_semi").dropDuplicates(["__dl_id", "__dl_class"])
+    return kept.union(wordless).drop("__dl_id", "__dl_text", "__dl_class")
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

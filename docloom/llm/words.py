@@ -1,7 +1,7 @@
 """Vectorised word and window hashing over Arrow string columns.
 
 A batch's texts lie one after another in a byte buffer. All work is numpy on
-slices of about a megabyte of that buffer, so a Python worker's memory follows
+slices of about half a megabyte of that buffer, so a Python worker's memory follows
 the slice (or one longer text), not the batch or the partition.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
