@@ -88,11 +88,18 @@ def flat_units(normalized: DataFrame) -> DataFrame:
     )
 
 
-def load_normalized_dataset(spark, path: str) -> DataFrame:
-    """Flat units from a summary JSON file; missing keys become null."""
+def load_normalized_dataset(spark, path: str, *, one_file: bool = True) -> DataFrame:
+    """Flat units from a summary JSON file with a ``documents`` list; missing keys become null.
+
+    With ``one_file=False`` the path is a folder of documents, one JSON object a
+    line, as the exports of this package write them.
+    """
     unit = "struct<unit_id: string, unit_type: string, title: string, content: string, breadcrumbs: string, word_count: bigint, char_count: bigint>"
-    schema = f"documents array<struct<file_name: string, category: string, units: array<{unit}>>>"
-    docs = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("documents").alias("d"))
+    document = f"file_name: string, category: string, units: array<{unit}>"
+    if one_file:
+        docs = spark.read.schema(f"documents array<struct<{document}>>").json(path, multiLine=True).select(F.explode("documents").alias("d"))
+    else:
+        docs = spark.read.schema(document).json(path).select(F.struct("*").alias("d"))
     flat = docs.select("d.file_name", "d.category", F.explode("d.units").alias("u"))
     return flat.select("u.unit_id", "file_name", "category", "u.breadcrumbs", "u.title", "u.unit_type", "u.content", "u.word_count", "u.char_count")
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import os
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.operators import embed as E
 from docloom.operators.normalize import flat_units, normalize, summary_stats
 from docloom.operators.search import report, top_k
-from docloom.sources.files import read_files
+from docloom.sources.files import FILES_SCHEMA, read_files
 from docloom.sources.parsers import ParserRegistry, parse
 from docloom.sources.sinks import export_normalized, export_parsed, write_embeddings
 
@@ -27,6 +29,23 @@ def load_all(spark: SparkSession, root: str, registry: ParserRegistry | None = N
     return parse(read_files(spark, root), registry)
 
 
+def load_single(spark: SparkSession, path: str, registry: ParserRegistry | None = None, category: str = "general") -> DataFrame:
+    """One file as a parsed document outside any tree: its own name as relative path, no folders, size 0. A missing file gives an error row."""
+    found = os.path.isfile(path)
+    content = None
+    if found:
+        with open(path, "rb") as file:
+            content = file.read()
+    name = os.path.basename(os.path.realpath(path))
+    row = (os.path.realpath(path), name, name, [], category, 0, "", content)
+    return parse(spark.createDataFrame([row], FILES_SCHEMA), registry)
+
+
+def as_dicts(docs: DataFrame) -> Iterator[dict]:
+    """Documents as nested dicts, fetched partition by partition."""
+    return (row.asDict(recursive=True) for row in docs.toLocalIterator())
+
+
 def process_all(spark: SparkSession, root: str, registry: ParserRegistry | None = None, stage: str | None = None) -> DataFrame:
     """Normalised documents. With ``stage`` the parsed ones are written there first, as parsing is the costly step."""
     parsed = load_all(spark, root, registry)

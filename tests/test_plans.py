@@ -9,7 +9,7 @@ from docloom.operators import embed as E
 from docloom.operators import search as S
 from docloom.operators.layout import heading_segments
 from docloom.operators.normalize import flat_units, load_normalized_dataset
-from docloom.plans.pipelines import load_all, process_all, run_embedding_pipeline
+from docloom.plans.pipelines import as_dicts, load_all, load_single, process_all, run_embedding_pipeline
 from docloom.sources.sinks import as_json, export_normalized, export_parsed
 
 
@@ -39,6 +39,16 @@ def test_exports(spark, tree, tmp_path):
     totals = json.loads("".join(f.read_text() for f in (tmp_path / "n" / "normalized_dataset_summary" / "totals").glob("*.json")))
     assert totals["total_documents"] == 3
     assert all(set(json.loads(r.json)) == set(docs.columns) for r in as_json(docs).collect())
+    again = load_normalized_dataset(spark, str(tmp_path / "n" / "normalized_dataset_summary" / "documents"), one_file=False)
+    assert sorted(r.unit_id for r in again.collect()) == sorted(r.unit_id for r in flat_units(docs).collect())
+
+
+def test_single_file_and_dicts(spark, tree):
+    (row,) = as_dicts(load_single(spark, str(tree / "hr" / "leave_policy.md")))
+    assert (row["relative_path"], row["category"], row["metadata"]["file_size_bytes"], row["error"]) == ("leave_policy.md", "general", 0, None)
+    assert row["elements"][0]["content"].startswith("# Leave")
+    (gone,) = as_dicts(load_single(spark, str(tree / "absent.PDF")))
+    assert gone["error"].startswith("File not found: ") and gone["file_type"] == ".pdf" and gone["elements"] == []
 
 
 def test_summary_round_trip(spark, tmp_path):
