@@ -95,11 +95,11 @@ def load_normalized_dataset(spark, path: str, *, one_file: bool = True) -> DataF
     line, as the exports of this package write them.
     """
     unit = "struct<unit_id: string, unit_type: string, title: string, content: string, breadcrumbs: string, word_count: bigint, char_count: bigint>"
-    document = f"file_name: string, category: string, units: array<{unit}>"
+    fields = (("file_name", "string"), ("category", "string"), ("units", f"array<{unit}>"))
     if one_file:
-        docs = spark.read.schema(f"documents array<struct<{document}>>").json(path, multiLine=True).select(F.explode("documents").alias("d"))
+        docs = spark.read.schema(f"documents array<struct<{', '.join(map(': '.join, fields))}>>").json(path, multiLine=True).select(F.explode("documents").alias("d"))
     else:
-        docs = spark.read.schema(document).json(path).select(F.struct("*").alias("d"))
+        docs = spark.read.schema(", ".join(map(" ".join, fields))).json(path).select(F.struct("*").alias("d"))
     flat = docs.select("d.file_name", "d.category", F.explode("d.units").alias("u"))
     return flat.select("u.unit_id", "file_name", "category", "u.breadcrumbs", "u.title", "u.unit_type", "u.content", "u.word_count", "u.char_count")
 
