@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from docloom.llm.shared import Workspace
 from docloom.llm.words import ALPHANUMERIC, Words, split_words, text_slices
-from docloom.ship import ship
+from docloom.ship import released, ship
 
 _HIT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ADDED = ("n_words", "n_hit", "item_ids", "hits", "contaminated")
@@ -58,7 +58,7 @@ def _item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int)
                     yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int32()), "item_id": pa.array(item, pa.string()), "words": pa.array(text, pa.binary())})
 
     items = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
-    return items.mapInArrow(windows, "n int, item_id string, words binary").distinct()
+    return items.mapInArrow(released(windows), "n int, item_id string, words binary").distinct()
 
 
 class _Lookup:
@@ -133,7 +133,7 @@ def _scan_pass(docs: DataFrame, text_col: str, windows: list[tuple[int, str, byt
             columns += [pa.array(counts, pa.int64()), pa.array(hit_counts, pa.int64()), pa.array(spans, hit_type), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_hit", "hits", "item_ids"])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(released(scan), schema)
 
 
 def find_contamination(
@@ -195,7 +195,7 @@ def remove_spans(scanned: DataFrame, *, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return scanned.mapInArrow(cut, T.StructType(base))
+    return scanned.mapInArrow(released(cut), T.StructType(base))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from docloom.llm.graph import components
 from docloom.llm.shared import Workspace
 from docloom.llm.words import _STEP, BLANK_SEPARATED, Words, _power_tables, mix, split_words, text_slices
-from docloom.ship import ship
+from docloom.ship import released, ship
 
 BINS = 8
 _HOT = np.uint64(1 << 63)
@@ -160,7 +160,7 @@ def _first_pass(docs: DataFrame, width: int, ranges: int) -> DataFrame:
         if n_held and sum(map(len, held)):
             yield flush()
 
-    return docs.mapInArrow(run, _FIRST)
+    return docs.mapInArrow(released(run), _FIRST)
 
 
 def _frequent(runs: DataFrame, ranges: int, least: int, max_hot: int) -> np.ndarray:
@@ -190,7 +190,7 @@ def _frequent(runs: DataFrame, ranges: int, least: int, max_hot: int) -> np.ndar
             yield done()
 
     dealt = runs.repartition(ranges, "range").sortWithinPartitions("range")
-    counted = dealt.mapInArrow(merge, "bucket long, n long")
+    counted = dealt.mapInArrow(released(merge), "bucket long, n long")
     found = counted.orderBy(F.desc("n"), "bucket").limit(max_hot).toPandas()
     return found["bucket"].to_numpy(np.int64)[::-1].astype(np.uint32)
 
@@ -260,7 +260,7 @@ def _leading_pass(docs: DataFrame, width: int, num: int, den: int, ranges: int,
         if n_held:
             yield flush()
 
-    return docs.mapInArrow(run, "class long, size long, last long, rare long, token long, range int, runs binary, classes binary")
+    return docs.mapInArrow(released(run), "class long, size long, last long, rare long, token long, range int, runs binary, classes binary")
 
 
 def _shared_tokens(runs: DataFrame, ranges: int) -> DataFrame:
@@ -290,7 +290,7 @@ def _shared_tokens(runs: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield done()
 
-    return runs.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(merge, "token long, class long")
+    return runs.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(released(merge), "token long, class long")
 
 
 def _overlaps(a: pa.Array, b: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -376,7 +376,7 @@ def _verify(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFra
     few = wanted.count() <= MAX_BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_row"))).select("class", "text")
     # rows that share an id may differ in text; rows that repeat are needed once
-    texts = work.table(texts.mapInArrow(_of_class, "class long, text string").dropDuplicates(["class"]), f"{name}_texts")
+    texts = work.table(texts.mapInArrow(released(_of_class), "class long, text string").dropDuplicates(["class"]), f"{name}_texts")
     joined = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +386,7 @@ def _verify(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFra
                 inter, union = _overlaps(part.column(2), part.column(3), width)
                 yield part.select([0, 1]).filter(pa.array((den * inter >= num * union) & (inter > 0)))
 
-    linked = joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    linked = joined.select("a", "b", "text_a", "text_b").mapInArrow(released(check), "a long, b long")
     out = work.table(linked, f"{name}_links")
     work.drop(f"{name}_texts")
     return out
@@ -464,7 +464,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sized = held.join(crowd.select("comp", "members"), "comp").withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / BLOCK)))
     blocks = work.table(sized.groupBy("comp", "block").agg(F.collect_list(F.struct("class", "n", "l", "tokens")).alias("held")), "blocks")
     met = within.join(blocks.select(F.col("comp").alias("compx"), F.col("held").alias("x")), "compx").join(blocks.select(F.col("comp").alias("compy"), F.col("held").alias("y")), "compy")
-    pairs = met.select("x", "y").mapInArrow(_open_blocks(num, den), "a long, b long")
+    pairs = met.select("x", "y").mapInArrow(released(_open_blocks(num, den)), "a long, b long")
     candidates = work.table(single.union(pairs).distinct(), "candidates")
     more_links = _verify(work, rows, classes, candidates, width, num, den, "open")
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.shared import Workspace
 from docloom.llm.words import mix, span_hash, split_words
-from docloom.ship import ship
+from docloom.ship import released, ship
 
 _SKIPPABLE_INDEX = 0x184D2A50
 _SKIPPABLE_TABLE = 0x184D2A5E
@@ -69,7 +69,7 @@ class Encoder:
     ``max_pieces`` pieces and starts anew when it is full.
     """
 
-    def __init__(self, path: str, end_id: int, max_pieces: int = 2_000_000):
+    def __init__(self, path: str, end_id: int, max_pieces: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -290,7 +290,7 @@ def write_tokens(docs: DataFrame, root: str, *, tokenizer: str, end_id: int, id_
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(F.col("id"), F.col("tie")).sortWithinPartitions("id", "tie", "text").select("id", "text")
-    done = ordered.mapInArrow(write, "path string, documents long, tokens long").collect()
+    done = ordered.mapInArrow(released(write), "path string, documents long, tokens long").collect()
     return sorted((r.path, r.documents, r.tokens) for r in done)
 
 
@@ -325,7 +325,7 @@ def read_tokens(spark: SparkSession, shards: list[tuple[str, int, int]], *, doc_
     for path, _, tokens in shards:
         listed.append((path, start))
         start += tokens
-    return spark.createDataFrame(listed, "path string, start long").repartition(len(listed)).mapInArrow(read, schema)
+    return spark.createDataFrame(listed, "path string, start long").repartition(len(listed)).mapInArrow(released(read), schema)
 
 
 def production_tokenizer() -> str:

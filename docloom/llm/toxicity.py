@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.words import _BYTE, ALPHANUMERIC, _power_tables, mix, split_words, text_slices
-from docloom.ship import ship
+from docloom.ship import released, ship
 
 #: Insults, as whole lower-case words.
 LEXICON = (
@@ -125,7 +125,7 @@ def _count_patterns(sample: DataFrame) -> DataFrame:
                     zero = np.zeros(len(n), np.int64)
                     yield pa.RecordBatch.from_pydict({"pattern": pattern.view(np.int64), "toxic": n if value else zero, "clean": zero if value else n})
 
-    return sample.mapInArrow(count, "pattern long, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.mapInArrow(released(count), "pattern long, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def propose(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, held_out: int, folds: int, max_labelled: int, max_patterns: int) -> Patterns:
@@ -164,7 +164,7 @@ def _vote_counts(docs: DataFrame, text_col: str, patterns: Patterns) -> dict[int
                     total[int(v)] = total.get(int(v), 0) + int(n)
         yield pa.RecordBatch.from_pydict({"votes": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
-    counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(vote, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(released(vote), "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
     return {r.votes: r.n for r in counted.collect()}
 
 
@@ -259,7 +259,7 @@ def fit(
 
     chosen = inside.select(F.col(id_col).alias("_id")).orderBy(_order(F.col("_id")), "_id").limit(max_training).distinct()
     sample = inside.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "_id").select("t")
-    rows = sample.mapInArrow(features, "votes long, patterns array<long>").groupBy("votes", "patterns").count().collect()
+    rows = sample.mapInArrow(released(features), "votes long, patterns array<long>").groupBy("votes", "patterns").count().collect()
     repeat = [min(r["count"], max_training) for r in rows]
     target = np.repeat(model.posterior(np.array([r.votes for r in rows], np.int64)), repeat) if rows else np.zeros(0)
     lists = [np.array(r.patterns, np.int64) for r, k in zip(rows, repeat) for _ in range(k)]

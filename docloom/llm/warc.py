@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.shared import Workspace
-from docloom.ship import ship
+from docloom.ship import released, ship
 
 CHUNK_BYTES = 1 << 20
 _NAMESPACE = uuid.UUID("5f3bc1a2-7f0e-4a53-9f6e-0d8d2a1c77aa")
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", payl
     chunks = numbered.withColumn("_data", kind_data).withColumn("_c", F.explode(cut)).select("page_id", "copy", "sha", "size", "refers_to", "_c.chunk_no", "_c.data")
     fs, at = pafs.FileSystem.from_uri(root)
     fs.create_dir(at, recursive=True)
-    done = chunks.mapInArrow(_writer(root), "path string, records long")
+    done = chunks.mapInArrow(released(_writer(root)), "path string, records long")
     return sorted(r.path for r in done.collect())
 
 
@@ -263,7 +263,7 @@ def read_archives(spark: SparkSession, paths: list[str], *, chunk_bytes: int = C
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-    return listed.mapInArrow(read, CHUNKS)
+    return listed.mapInArrow(released(read), CHUNKS)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
