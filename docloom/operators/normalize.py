@@ -105,17 +105,21 @@ def load_normalized_dataset(spark, path: str, *, one_file: bool = True) -> DataF
 
 
 def summary_stats(parsed: DataFrame) -> DataFrame:
-    """One row: documents, elements, characters, errors, and counts by category and by format as maps."""
-    totals = parsed.agg(
-        F.count("*").alias("total_documents"),
-        F.coalesce(F.sum(F.greatest(F.size("elements"), F.lit(0))), F.lit(0)).cast("long").alias("total_structural_elements"),
-        F.coalesce(F.sum(X.char_count(F.col("content"))), F.lit(0)).cast("long").alias("total_characters"),
-        F.count_if(F.col("error").isNotNull()).alias("error_count"),
+    """One row: documents, elements, characters, errors, and counts by category and by format as maps.
+
+    One scan: grouping sets give the totals and both histograms, and the few
+    rows they leave are folded into one.
+    """
+    measured = parsed.select("category", "file_type", F.greatest(F.size("elements"), F.lit(0)).cast("long").alias("_e"), X.char_count(F.col("content")).alias("_c"), "error")
+    sets = measured.groupingSets([[F.col("category")], [F.col("file_type")], []], "category", "file_type").agg(
+        F.grouping_id().alias("_g"), F.count("*").alias("n"), F.sum("_e").alias("_e"), F.sum("_c").alias("_c"), F.count_if(F.col("error").isNotNull()).alias("_x")
     )
-    for column, name in (("category", "categories"), ("file_type", "file_formats")):
-        counted = parsed.groupBy(column).count().agg(F.map_from_entries(F.collect_list(F.struct(column, "count"))).alias(name))
-        totals = totals.crossJoin(counted)  # one row with one row
-    return totals
+    total = lambda c: F.coalesce(F.max(F.when(F.col("_g") == 3, F.col(c))), F.lit(0)).cast("long")
+    counts = lambda g, c: F.map_from_entries(F.collect_list(F.when((F.col("_g") == g) & F.col(c).isNotNull(), F.struct(c, "n"))))
+    return sets.agg(
+        total("n").alias("total_documents"), total("_e").alias("total_structural_elements"), total("_c").alias("total_characters"), total("_x").alias("error_count"),
+        counts(1, "category").alias("categories"), counts(2, "file_type").alias("file_formats"),
+    )
 
 
 def normalized_totals(normalized: DataFrame) -> DataFrame:
