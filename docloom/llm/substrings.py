@@ -16,6 +16,7 @@ corpus-wide question splits into one small string per anchor:
    distinct units are joined to a string, the anchor gram folded to one symbol,
    and its suffix array is built (see ``suffixes``). Windows that share their
    prefix are neighbours there; all but the earliest of them are covered.
+   An anchor with many units is first cut by the windows' distance from it.
 3. Anchors with very many different units in one task, such as the edges of a
    passage that a third of all documents share, are not gathered: their windows
    are compared by 128-bit hash with map-side combined aggregates.
@@ -46,7 +47,7 @@ from docloom.llm.jaccard import _pack, _pack_sorted, _unpack, _unpack_sorted
 from docloom.llm.shared import Workspace
 from docloom.llm.suffixes import equal_windows
 from docloom.llm.words import _BYTE, _power_tables, mix, text_slices
-from docloom.ship import ship
+from docloom.ship import released, ship
 
 _PLACE = np.uint64((1 << 20) - 1)
 _SEGMENT = 1 << 19
@@ -54,6 +55,7 @@ _FLUSH_UNITS = 350_000
 HOT_UNITS = 128
 MAX_BROADCAST = 2_000_000
 _SA_SYMBOLS = 500_000
+SPLIT_UNITS = 64
 _END, _SEPARATOR, _FOLD = 0, 1, 2
 
 
@@ -184,7 +186,7 @@ def _unit_pass(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if n_held:
             yield from flush()
 
-    return docs.mapInArrow(run, _FIRST_DDL)
+    return docs.mapInArrow(released(run), _FIRST_DDL)
 
 
 def _split_runs(runs: DataFrame, ranges: int, hot: np.ndarray) -> DataFrame:
@@ -210,7 +212,7 @@ def _split_runs(runs: DataFrame, ranges: int, hot: np.ndarray) -> DataFrame:
                 if out:
                     yield _rows(schema, **dict(zip(("range", *names), zip(*out))))
 
-    return runs.select(*names).mapInArrow(split, "range int, anchors binary, units binary, docs binary, firsts binary, counts binary, offsets binary, doc long, first long, count long, offset long")
+    return runs.select(*names).mapInArrow(released(split), "range int, anchors binary, units binary, docs binary, firsts binary, counts binary, offsets binary, doc long, first long, count long, offset long")
 
 
 def _merge_runs(parts: DataFrame, ranges: int, length: int) -> DataFrame:
@@ -252,7 +254,7 @@ def _merge_runs(parts: DataFrame, ranges: int, length: int) -> DataFrame:
             yield from done()
 
     dealt = parts.where("range IS NOT NULL").select("range", "anchors", "units", "docs", "firsts", "counts", "offsets").repartition(ranges, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(merge, "doc long, a long, z long, anchor long, first long, count long, offset long")
+    return dealt.mapInArrow(released(merge), "doc long, a long, z long, anchor long, first long, count long, offset long")
 
 
 def _with_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -261,6 +263,30 @@ def _with_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(spans) if few <= MAX_BROADCAST else spans, "doc")
 
 
+def _split_group(group: list[tuple], length: int, step: int = 8) -> tuple[list[tuple], list[tuple]]:
+    """An anchor's units (group, doc, first, count, offset, body) cut by distance from the anchor.
+
+    Windows at distances ``step * c`` to ``step * (c + 1) - 1`` share a core of
+    bytes; only those with equal cores can be equal and stay together. Returns
+    the parts that met a different part, and (doc, first, count) of parts that
+    repeat an earlier one byte by byte.
+    """
+    parts: dict[tuple, dict[bytes, list]] = {}
+    for anchor, doc, first, count, offset, body in group:
+        for c in range((offset - count + 1) // step, offset // step + 1):
+            a, z = max(0, offset - step * (c + 1) + 1), min(count - 1, offset - step * c)
+            core = body[offset - step * c : offset - step * (c + 1) + 1 + length]
+            parts.setdefault((anchor, c, core), {}).setdefault(body[a : z + length], []).append((doc, first + a, z - a + 1, offset - a))
+    kept, repeats = [], []
+    for number, bodies in enumerate(parts.values()):
+        for places in bodies.values():
+            places.sort()
+            repeats += [p[:3] for p in places[1:]]
+        if len(bodies) > 1:
+            kept += [((group[0][0], number), *places[0], body) for body, places in bodies.items()]
+    return kept, repeats
+
+
 def _decide(units: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
     """Suffix arrays over each anchor's units (anchor, doc, first, count, offset, body): covered stretches (doc, a, z)."""
     window = length - gram + 1
@@ -269,7 +295,31 @@ def _decide(units: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
         held, symbols, last = [], 0, None
 
         def done():
-            anchor, doc, first, count, offset = (np.array(c, np.int64) for c in list(zip(*held))[:5])
+            rows, repeats, at = [], [], 0
+            while at < len(held):
+                stop = at
+                while stop < len(held) and held[stop][0] == held[at][0]:
+                    stop += 1
+                kept, again = _split_group(held[at:stop], length) if stop - at > SPLIT_UNITS else (held[at:stop], [])
+                rows += kept
+                repeats += again
+                at = stop
+            if repeats:
+                doc_, a, n = (np.array(c, np.int64) for c in zip(*repeats))
+                doc_, a, z = _merged(doc_, a, a + n + length - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_), pa.array(a), pa.array(z)], ["doc", "a", "z"])
+            part, held_in_part = [], 0
+            for k, row in enumerate(rows):
+                part.append(row)
+                held_in_part += len(row[5])
+                if k + 1 == len(rows) or (held_in_part > 2 * _SA_SYMBOLS and rows[k + 1][0] != row[0]):
+                    yield from sorted_out(part)
+                    part, held_in_part = [], 0
+
+        def sorted_out(held):
+            number: dict = {}
+            anchor = np.array([number.setdefault(h[0], len(number)) for h in held], np.int64)
+            doc, first, count, offset = (np.array(c, np.int64) for c in list(zip(*held))[1:5])
             bodies = [h[5] for h in held]
             raw = np.frombuffer(b"".join(bodies), np.uint8)
             sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
@@ -315,7 +365,7 @@ def _decide(units: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
             yield from done()
 
     dealt = units.repartition(ranges, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "doc long, a long, z long")
+    return dealt.mapInArrow(released(run), "doc long, a long, z long")
 
 
 def _hot_windows(with_spans: DataFrame, length: int) -> DataFrame:
@@ -343,7 +393,7 @@ def _hot_windows(with_spans: DataFrame, length: int) -> DataFrame:
                     hashes.append(mix((total[start + length] - total[start]) * down[start]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), pa.array(ids[top + owner]), pa.array(start - bounds[owner])], ["h1", "h2", "doc", "a"])
 
-    return with_spans.select("doc", "text", "spans").mapInArrow(run, "h1 long, h2 long, doc long, a long")
+    return with_spans.select("doc", "text", "spans").mapInArrow(released(run), "h1 long, h2 long, doc long, a long")
 
 
 def _numbered(docs: DataFrame, work: Workspace, id_col: str, text_col: str) -> DataFrame:
@@ -381,7 +431,7 @@ def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram:
                 arrays = [pa.array(cols[0], pa.int64()), pa.array([doc] * len(spans), pa.int64()), *[pa.array(c, pa.int64()) for c in cols[1:]], pa.array(found, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["anchor", "doc", "first", "count", "offset", "body"])
 
-    units = opened.select("doc", "text", "spans").mapInArrow(bodies, "anchor long, doc long, first long, count long, offset long, body binary")
+    units = opened.select("doc", "text", "spans").mapInArrow(released(bodies), "anchor long, doc long, first long, count long, offset long, body binary")
     decided = work.table(_decide(units, ranges, length, gram), "decided")
     covered = first.where("doc IS NOT NULL").select("doc", "a", "z").union(merged.where("z IS NOT NULL").select("doc", "a", "z")).union(decided)
     if len(hot):
@@ -403,7 +453,7 @@ def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram:
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))], ["doc", "spans"])
 
     gathered = covered.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    out = work.table(gathered.mapInArrow(merge, "doc long, spans array<struct<a: long, z: long>>"), "covered")
+    out = work.table(gathered.mapInArrow(released(merge), "doc long, spans array<struct<a: long, z: long>>"), "covered")
     for name in ("first", "merged", "spans", "decided", "hot_windows", "hot_spans"):
         work.drop(name)
     return out

@@ -46,9 +46,10 @@ def brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [128, 3])
-def test_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,split", [(128, 64), (3, 64), (128, 2)])
+def test_equals_brute_force(spark, monkeypatch, hot, split):
     monkeypatch.setattr(substrings, "HOT_UNITS", hot)
+    monkeypatch.setattr(substrings, "SPLIT_UNITS", split)
     rng = random.Random(7)
     passages = [sentence(rng, 30) for _ in range(4)]
     rows = []
