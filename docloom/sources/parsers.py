@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -215,7 +217,26 @@ def parse_pptx(content: bytes, name: str, category: str) -> dict:
     return {"file_type": ".pptx", "content": "\n\n".join(blocks), "elements": elements, "metadata": {"total_slides": len(slides)}}
 
 
-def _sheet_rows(archive: zipfile.ZipFile, part: str, strings: list[str]) -> list[list]:
+#: The built-in number formats that show dates and times.
+_DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
+
+def _date_styles(archive: zipfile.ZipFile) -> set[int]:
+    """Indexes of the cell styles that show dates: by built-in format, or by letters of date parts in an own one."""
+    if "xl/styles.xml" not in archive.namelist():
+        return set()
+    root = ElementTree.fromstring(archive.read("xl/styles.xml"))
+    own = _child(root, "numFmts")
+    dates = set(_DATE_FORMATS)
+    for node in own if own is not None else ():
+        bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", node.get("formatCode", "").lower())
+        if any(c in bare for c in "ymdhs") and "general" not in bare:
+            dates.add(int(node.get("numFmtId", -1)))
+    used = _child(root, "cellXfs")
+    return {k for k, node in enumerate(used if used is not None else ()) if int(node.get("numFmtId", 0)) in dates}
+
+
+def _sheet_rows(archive: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> list[list]:
     rows: list[list] = []
     data = _child(ElementTree.fromstring(archive.read(part)), "sheetData")
     for node in data if data is not None else ():
@@ -237,6 +258,8 @@ def _sheet_rows(archive: zipfile.ZipFile, part: str, strings: list[str]) -> list
                 value = strings[int(raw.text)]
             elif kind == "b":
                 value = raw.text == "1"
+            elif kind == "n" and int(cell.get("s", 0)) in dates:
+                value = datetime(1899, 12, 30) + timedelta(days=float(raw.text))
             elif kind == "n":
                 number = float(raw.text)
                 value = int(number) if number.is_integer() and "." not in raw.text and "E" not in raw.text.upper() else number
@@ -256,11 +279,11 @@ def parse_xlsx(content: bytes, name: str, category: str) -> dict:
             for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")):
                 strings.append("".join(t.text or "" for t in item.iter() if _local(t.tag) == "t"))
         relations = _relations(archive, "xl/workbook.xml")
-        sheets = _child(ElementTree.fromstring(archive.read("xl/workbook.xml")), "sheets")
+        sheets, dates = _child(ElementTree.fromstring(archive.read("xl/workbook.xml")), "sheets"), _date_styles(archive)
         for number, sheet in enumerate(sheets, 1):
             title = sheet.get("name")
             names.append(title)
-            rows = _sheet_rows(archive, relations[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))][1], strings)
+            rows = _sheet_rows(archive, relations[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))][1], strings, dates)
             width = max(map(len, rows), default=0)
             rows = [r + [None] * (width - len(r)) for r in rows]
             if not rows:

@@ -71,9 +71,10 @@ def xlsx():
         {
             "xl/workbook.xml": f"<workbook {S}><sheets>" + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(names, 1)) + "</sheets></workbook>",
             "xl/_rels/workbook.xml.rels": f"<Relationships {R}>" + "".join(f'<Relationship Id="r{k}" Type="{T}worksheet" Target="worksheets/s{k}.xml"/>' for k in (1, 2, 3)) + "</Relationships>",
-            "xl/worksheets/s1.xml": sheet([[text("A1", "name"), text("B1", "n")], [text("A2", "x"), number("B2", 3)], [], [text("A4", "y"), number("B4", 4)]]),
+            "xl/worksheets/s1.xml": sheet([[text("A1", "name"), text("B1", "n")], [text("A2", "x"), '<c r="B2" s="1"><v>45292</v></c>'], [], [text("A4", "y"), '<c r="B4" s="2"><v>4</v></c>']]),
             "xl/worksheets/s2.xml": sheet([[text("A1", "only a head")]]),
             "xl/worksheets/s3.xml": sheet([[text("A1", "q")], [number("A2", 1.5)]]),
+            "xl/styles.xml": f'<styleSheet {S}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="0.00 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>',
         }
     )
 
@@ -131,6 +132,7 @@ def test_office_files(parsed):
     assert [(e["index"], e.title, e.content, e.metadata.has_notes) for e in p.elements] == [(2, "Our Plan", "Our Plan\npoint one\npoint two\nk | v\n[Speaker Notes: say hello]", True)] and p.metadata.total_slides == 2
     s = parsed["o/s.xlsx"]
     assert [(e["index"], e.title, e.metadata.rows, e.metadata.columns) for e in s.elements] == [(1, "One", 2, 2), (3, "Three", 1, 1)] and s.metadata.sheet_names == ["One", "Empty", "Three"]
+    assert "2024-01-01" in s.content and s.content.startswith("--- Sheet: One ---")
 
 
 def test_normalised_office_units(spark):
