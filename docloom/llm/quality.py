@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 _BLANK = " \t\n\x0b\x0c\r"
 _SYMBOLS = "[#*$%&|<>]"
+BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Up to so many different repeated windows are looked up one by one.
+FEW = 32
 #: Phrases that mark boilerplate lines, matched in lower case.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies",
@@ -35,23 +38,31 @@ def _removed(text: Column, pattern: str) -> Column:
 
 
 
-def line_passes(line: Column) -> Column:
-    """The per-line rules; true keeps the line."""
-    bare = F.btrim(line, F.lit(_BLANK))
+def line_passes(bare: Column, words: Column) -> Column:
+    """The per-line rules on a stripped line and its number of words; true keeps the line."""
     chars = F.length(bare)
-    words = F.size(F.split(bare, "[\\x20\\x09-\\x0D]+"))
     noisy = _removed(bare, _SYMBOLS) * 12 > chars
-    letters = F.length(F.regexp_replace(bare, "[^\\p{L}]", ""))
+    letters = F.length(F.regexp_replace(bare, "[^\\p{L}]+", ""))
     shouting = (words >= 4) & (_removed(bare, "\\p{Lu}") * 10 > letters * 7)
-    navigation = F.length(bare) - F.length(F.replace(bare, F.lit("|"), F.lit(""))) >= 2
+    navigation = chars - F.length(F.replace(bare, F.lit("|"), F.lit(""))) >= 2
     unfinished = (words >= 3) & ~bare.rlike("[.!?:;,…\"'”’»)\\]。！？]$")
-    boilerplate = F.lower(bare).rlike("|".join(BOILERPLATE))
-    return (bare == "") | ~(noisy | shouting | navigation | unfinished | boilerplate)
+    lowered = F.lower(bare)
+    boilerplate = F.contains(lowered, F.lit(BOILERPLATE[0]))
+    for phrase in BOILERPLATE[1:]:
+        boilerplate = boilerplate | F.contains(lowered, F.lit(phrase))
+    return (bare == "") | ~(noisy | navigation | unfinished | shouting | boilerplate)
+
+
+def _cleaned(lines: Column) -> Column:
+    """Lines that pass, joined; what a line needs twice is computed once."""
+    stripped = F.transform(lines, lambda x: F.struct(x.alias("l"), F.btrim(x, F.lit(_BLANK)).alias("b")))
+    counted = F.transform(stripped, lambda s: F.struct(s["l"].alias("l"), s["b"].alias("b"), F.size(F.split(s["b"], BLANKS)).alias("w")))
+    return F.array_join(F.transform(F.filter(counted, lambda s: line_passes(s["b"], s["w"])), lambda s: s["l"]), "\n")
 
 
 def assess(docs: DataFrame, *, text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_lost_pct: int = 50) -> DataFrame:
     """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, cleaned, lost_chars, kept``."""
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost_chars", "kept", "__dl_t", "__dl_w", "__dl_h", "__dl_l", "__dl_s")
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost_chars", "kept", "__dl_t", "__dl_w", "__dl_h", "__dl_o", "__dl_d", "__dl_l", "__dl_s", "__dl_said")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added and c != text_col])
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(text, F.lit(_BLANK))
@@ -60,11 +71,17 @@ def assess(docs: DataFrame, *, text_col: str = "text", min_words: int = 50, max_
         docs.withColumn("__dl_t", text)
         .withColumn("__dl_w", F.when(bare == "", none).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+")))
         .withColumn("__dl_h", F.expr("CASE WHEN size(__dl_w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(__dl_w) - 3), i -> xxhash64(__dl_w[i], __dl_w[i + 1], __dl_w[i + 2])) END"))
-        .withColumn("__dl_s", F.expr("CASE WHEN size(array_distinct(__dl_h)) < size(__dl_h) THEN sort_array(transform(__dl_h, (h, i) -> struct(h AS h, i AS i))) END"))
+        .withColumn("__dl_o", F.sort_array("__dl_h"))
+        .withColumn("__dl_d", F.expr("CASE WHEN size(__dl_o) < 2 THEN cast(array() AS array<bigint>) ELSE array_distinct(transform(filter(sequence(1, size(__dl_o) - 1), j -> __dl_o[j] = __dl_o[j - 1]), j -> __dl_o[j])) END"))
+        .withColumn("__dl_s", F.expr(f"CASE WHEN size(__dl_d) > {FEW} THEN sort_array(transform(__dl_h, (h, i) -> struct(h AS h, i AS i))) END"))
         .withColumn("__dl_l", F.split(F.col("__dl_t"), "\n"))
     )
+    # a few repeated windows are looked for one by one; many are neighbours among the sorted (window, position) pairs
     repeated = F.expr("""
-        CASE WHEN __dl_s IS NULL THEN 0 ELSE size(array_distinct(flatten(transform(
+        CASE WHEN size(__dl_d) = 0 THEN 0
+        WHEN __dl_s IS NULL THEN size(array_distinct(flatten(transform(
+            filter(sequence(0, size(__dl_h) - 1), i -> array_contains(__dl_d, __dl_h[i])), i -> array(i, i + 1, i + 2)))))
+        ELSE size(array_distinct(flatten(transform(
             filter(sequence(0, size(__dl_s) - 1), j -> (j > 0 AND __dl_s[greatest(j - 1, 0)].h = __dl_s[j].h) OR (j < size(__dl_s) - 1 AND __dl_s[least(j + 1, size(__dl_s) - 1)].h = __dl_s[j].h)),
             j -> array(__dl_s[j].i, __dl_s[j].i + 1, __dl_s[j].i + 2))))) END""")
     spoken = F.filter("__dl_l", lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
@@ -75,8 +92,8 @@ def assess(docs: DataFrame, *, text_col: str = "text", min_words: int = 50, max_
         .withColumn("__dl_said", spoken)
         .withColumn("n_dup_lines", (F.size("__dl_said") - F.size(F.array_distinct("__dl_said"))).cast("long"))
         .withColumn("n_repeat_words", repeated.cast("long"))
-        .withColumn("cleaned", F.array_join(F.filter("__dl_l", line_passes), "\n"))
-        .drop("__dl_w", "__dl_h", "__dl_s", "__dl_l", "__dl_said")
+        .withColumn("cleaned", _cleaned(F.col("__dl_l")))
+        .drop("__dl_w", "__dl_h", "__dl_o", "__dl_d", "__dl_s", "__dl_l", "__dl_said")
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     lost = F.col("word_chars") - F.length(F.regexp_replace("cleaned", "[\\x20\\x09-\\x0D]+", ""))
