@@ -152,7 +152,7 @@ def find_contamination(
     ship(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in _ADDED])
     work = Workspace(spark, "decontaminate")
-    windows = work.table(_item_windows(benchmark, item_id_col, item_text_col, width), "windows")
+    windows = work.keep(_item_windows(benchmark, item_id_col, item_text_col, width), "windows")
     blocks = max(1, -(-windows.count() // max_windows))
     out = docs
     for k in range(blocks):
@@ -160,6 +160,7 @@ def find_contamination(
         out = _scan_pass(out, text_col, [(r.n, r.item_id, bytes(r.words)) for r in block.toLocalIterator()])
         if k < blocks - 1:
             out = work.table(out, f"pass{k}")
+    work.drop("windows")
     share = round(1 / min_hit_share)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 

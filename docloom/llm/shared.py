@@ -8,9 +8,11 @@ lost executor costs a re-read and never a recomputation of a lost block.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError(f"set {_SETTING} to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
 
@@ -38,13 +41,16 @@ def delete(spark: SparkSession, path: str) -> None:
 class Workspace:
     """One query's folder below the shared one. Its tables are Parquet.
 
-    ``drop`` frees a table that no later step reads; what the returned lazy
-    result still needs is removed when the driver exits.
+    ``table`` writes one and reads it back. ``keep`` holds a smaller, short-lived
+    one on the executors' disks with its lineage, so that parts lost with an
+    executor are computed again. ``drop`` frees either; what the returned lazy
+    result still needs must be a written table, and goes when the driver exits.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom/{label}-{uuid.uuid4().hex}"
+        self.kept: dict[str, DataFrame] = {}
         atexit.register(self._close)
 
     def path(self, name: str) -> str:
@@ -53,11 +59,32 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: lineage is cut and its size is known."""
         at = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        df.write.mode("overwrite").options(compression="zstd", **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, name: str) -> None:
-        delete(self.spark, self.path(name))
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Compute ``df`` now and keep its rows on disk for the steps to come.
+
+        The result is a leaf for the planner (a plan that held the plans of all
+        steps before would grow with every join), yet its RDD knows its parents,
+        so what a lost executor held is computed again.
+        """
+        df = df.persist(StorageLevel.DISK_ONLY)
+        df.count()
+        self.kept[name] = df
+        plan = df.select("*")._jdf
+        leaf = self.spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False)
+        return DataFrame(leaf, self.spark)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.kept:
+                self.kept.pop(name).unpersist()
+            else:
+                delete(self.spark, self.path(name))
+
+    def drop_kept(self) -> None:
+        self.drop(*list(self.kept))
 
     def _close(self) -> None:
         try:

@@ -454,8 +454,7 @@ def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram:
 
     gathered = covered.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     out = work.table(gathered.mapInArrow(released(merge), "doc long, spans array<struct<a: long, z: long>>"), "covered")
-    for name in ("first", "merged", "spans", "decided", "hot_windows", "hot_spans"):
-        work.drop(name)
+    work.drop("first", "merged", "spans", "decided", "hot_windows", "hot_spans")
     return out
 
 

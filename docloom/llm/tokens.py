@@ -325,7 +325,8 @@ def read_tokens(spark: SparkSession, shards: list[tuple[str, int, int]], *, doc_
     for path, _, tokens in shards:
         listed.append((path, start))
         start += tokens
-    return spark.createDataFrame(listed, "path string, start long").repartition(len(listed)).mapInArrow(released(read), schema)
+    table = pa.table({"path": [x[0] for x in listed], "start": pa.array([x[1] for x in listed], pa.int64())})
+    return spark.createDataFrame(table).repartition(len(listed)).mapInArrow(released(read), schema)
 
 
 def production_tokenizer() -> str:

@@ -32,7 +32,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -274,18 +273,20 @@ def score(docs: DataFrame, patterns: Patterns, weights: np.ndarray, *, text_col:
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted") and c != text_col])
     shared = docs.sparkSession.sparkContext.broadcast((patterns, weights))
 
-    @F.pandas_udf(T.DoubleType())
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = docs.columns.index(text_col)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w = shared.value
-        for texts in batches:
-            out = np.zeros(len(texts))
-            for first, stop, data, bounds in text_slices(pa.array(texts, pa.large_string(), from_pandas=True)):
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for first, stop, data, bounds in text_slices(batch.column(at).cast(pa.string())):
                 text, pattern = known.presence(data, bounds)
                 logit = w[-1] + np.bincount(text, w[pattern], stop - first)
                 out[first:stop] = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-            yield pd.Series(out)
+            yield batch.append_column("score", pa.array(out))
 
-    return docs.withColumn("score", judge(F.col(text_col).cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = docs.mapInArrow(released(judge), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -262,7 +262,7 @@ def read_archives(spark: SparkSession, paths: list[str], *, chunk_bytes: int = C
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
+    listed = spark.createDataFrame(pa.table({"path": paths})).repartition(len(paths))
     return listed.mapInArrow(released(read), CHUNKS)
 
 

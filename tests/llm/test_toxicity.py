@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from helpers import frame, odd_rows, sentence
 
 from docloom.llm import toxicity
@@ -26,7 +27,7 @@ def test_held_out_accuracy(spark):
     docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
     patterns, weights, model = toxicity.fit(docs, table)
     truth = dict(labels)
-    got = toxicity.score(docs, patterns, weights).select("doc_id", "score", "predicted", toxicity.fold(docs.doc_id).alias("fold")).collect()
+    got = toxicity.score(docs, patterns, weights).select("doc_id", "score", "predicted", toxicity.fold(F.col("doc_id")).alias("fold")).collect()
     held = [r for r in got if r.fold == 0]
     assert held and all(r.fold == zlib.crc32(str(r.doc_id).encode()) % 5 for r in got)
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
