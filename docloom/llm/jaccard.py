@@ -42,11 +42,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.graph import components
 from docloom.llm.shared import Workspace
@@ -372,7 +372,7 @@ def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
     """The pairs (a, b of classes) whose sets link, checked on one text of each class."""
     named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = work.table(named.join(classes.select("class", "_row"), "class"), f"{name}_wanted")
+    wanted = work.keep(named.join(classes.select("class", "_row"), "class"), f"{name}_wanted")
     few = wanted.count() <= MAX_BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_row"))).select("class", "text")
     # rows that share an id may differ in text; rows that repeat are needed once
@@ -387,7 +387,7 @@ def _verify(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFra
                 yield part.select([0, 1]).filter(pa.array((den * inter >= num * union) & (inter > 0)))
 
     linked = joined.select("a", "b", "text_a", "text_b").mapInArrow(released(check), "a long, b long")
-    out = work.table(linked, f"{name}_links")
+    out = work.keep(linked, f"{name}_links")
     work.drop(f"{name}_texts")
     return out
 
@@ -423,7 +423,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     central = common.select("class", F.struct(F.round(-F.col("rare") / F.col("size"), 3), "n", "class").alias("score"))
     leaders = shared.join(central, "class").groupBy("bin", "key").agg(F.max("score")["class"].alias("leader"))
     proposed = shared.join(leaders, ["bin", "key"]).where("class <> leader").groupBy(F.col("class").alias("a"), F.col("leader").alias("b")).count()
-    star = work.table(proposed.where(F.col("count") >= BINS // 2).select("a", "b"), "star")
+    star = work.keep(proposed.where(F.col("count") >= BINS // 2).select("a", "b"), "star")
     star_links = _verify(work, rows, classes, star, width, num, den, "star")
     groups = components(work, star_links, "groups")
 
@@ -449,13 +449,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     met = met.groupBy("compx", "compy").agg(F.count("*").alias("s"), *[f(c + k).alias(c + k) for k in "xy" for c, f in (("n0", F.min), ("n1", F.max), ("l0", F.min), ("l1", F.max))])
     spare = lambda k: f"(1 - ceil({num} * n1{k} / {den}))"  # noqa: E731  leading shingles less all, of the largest member
     need = f"{alpha} + CASE WHEN l1x <= l0y THEN {spare('x')} WHEN l1y <= l0x THEN {spare('y')} ELSE least({spare('x')}, {spare('y')}) END"
-    opened = work.table(met.where(f"s >= {need}").select("compx", "compy"), "opened")
+    opened = work.keep(met.where(f"s >= {need}").select("compx", "compy"), "opened")
 
     inside = inside.select("token", "class", "comp", F.col("size").alias("n"), F.col("last").alias("l"))
     # a pair of groups of one class each is a pair of classes already, bounded exactly above
-    crowd = work.table(member.groupBy("comp").agg(F.count("*").alias("members"), F.min("class").alias("only")), "crowd")
+    crowd = work.keep(member.groupBy("comp").agg(F.count("*").alias("members"), F.min("class").alias("only")), "crowd")
     counted = opened.join(crowd.select(F.col("comp").alias("compx"), F.col("members").alias("mx"), F.col("only").alias("onlyx")), "compx")
-    counted = work.table(counted.join(crowd.select(F.col("comp").alias("compy"), F.col("members").alias("my"), F.col("only").alias("onlyy")), "compy"), "counted")
+    counted = work.keep(counted.join(crowd.select(F.col("comp").alias("compy"), F.col("members").alias("my"), F.col("only").alias("onlyy")), "compy"), "counted")
     single = counted.where("mx = 1 AND my = 1").select(F.col("onlyx").alias("a"), F.col("onlyy").alias("b"))
     within = counted.where("mx > 1 OR my > 1").select("compx", "compy")
     # a larger group is opened in blocks of members, so that one row meets a block and no pair is a row before it is bounded
@@ -465,18 +465,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     blocks = work.table(sized.groupBy("comp", "block").agg(F.collect_list(F.struct("class", "n", "l", "tokens")).alias("held")), "blocks")
     met = within.join(blocks.select(F.col("comp").alias("compx"), F.col("held").alias("x")), "compx").join(blocks.select(F.col("comp").alias("compy"), F.col("held").alias("y")), "compy")
     pairs = met.select("x", "y").mapInArrow(released(_open_blocks(num, den)), "a long, b long")
-    candidates = work.table(single.union(pairs).distinct(), "candidates")
+    candidates = work.keep(single.union(pairs).distinct(), "candidates")
     more_links = _verify(work, rows, classes, candidates, width, num, den, "open")
 
-    links = work.table(star_links.union(more_links), "links")
+    links = work.keep(star_links.union(more_links), "links")
     joined = components(work, links, "joined")
     degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
     labelled = classes.select("class", F.col("_row")).join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     named = labelled.groupBy("comp").agg(F.min("_row").alias("component_id"), F.min_by("class", F.struct(F.col("_row").isNull(), "_row", "class")).alias("kept"))
     labels = labelled.join(named, "comp").join(degree, "class", "left")
     labels = work.table(labels.select("class", "component_id", "kept", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
-    for name in ("lead", "tokens", "matrix", "several", "inside", "blocks", "shared"):
-        work.drop(name)
+    work.drop_kept()
+    work.drop("lead", "last", "shared", "tokens", "several", "inside", "matrix")
     out = texts.select("id", F.col("class").alias("text_class"), "size").join(labels, (F.col("text_class") == labels["class"]) & (F.col("size") > 0), "left")
     return out.select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
@@ -498,13 +498,14 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     # ids do not name rows: rows are told apart by id and text class, and repeats of the row that stays go
     base = docs.withColumn("__dl_id", F.col(id_col).cast("long")).withColumn("__dl_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
-    @F.pandas_udf("long")
-    def class_of(texts: pd.Series) -> pd.Series:
-        parts = [sequence_hash(split_words(data, bounds, BLANK_SEPARATED)).view(np.int64) for _, _, data, bounds in text_slices(pa.array(texts, pa.large_string(), from_pandas=True))]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+    def with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("__dl_text")
+            parts = [sequence_hash(split_words(data, bounds, BLANK_SEPARATED)).view(np.int64) for _, _, data, bounds in text_slices(batch.column(at))]
+            yield batch.append_column("__dl_class", pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
     staying = found.where("stays AND n_shingles > 0").select(F.col("doc_id").alias("__dl_i"), F.col("text_class").alias("__dl_c")).distinct()
-    rows = base.withColumn("__dl_class", class_of("__dl_text"))
+    rows = base.mapInArrow(released(with_class), T.StructType([*base.schema.fields, T.StructField("__dl_class", T.LongType())]))
     wordless = rows.join(found.where("n_shingles = 0").select(F.col("text_class").alias("__dl_c")).distinct(), F.col("__dl_class") == F.col("__dl_c"), "left_semi")
     kept = rows.join(staying, F.col("__dl_id").eqNullSafe(F.col("__dl_i")) & (F.col("__dl_class") == F.col("__dl_c")), "left_semi").dropDuplicates(["__dl_id", "__dl_class"])
     return kept.union(wordless).drop("__dl_id", "__dl_text", "__dl_class")
