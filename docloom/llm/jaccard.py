@@ -19,8 +19,9 @@ with equal word sequences form one class and take part once. Then:
    bounds the overlap of any two members: the set whose shingles end first in
    the order has all its leading shingles decided, so at most n - alpha of them
    may be missing from the other, alpha being the overlap that the threshold
-   asks for. Leading shingles that no other group holds are missing anyway.
-   Groups that fall short are never opened.
+   asks for. Its leading shingles that lead in no other group are missing anyway;
+   of the other set this says nothing, as they may lie behind this one's leading
+   part. Groups that fall short are never opened.
 5. Opening. The members of qualifying pairs are bounded one by one in the same
    way, block by block, and what is left is verified exactly on the texts. Verified links join groups.
 
@@ -432,7 +433,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     tokens = work.table(held.join(member, "class"), "tokens")
     several = work.table(tokens.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token"), "several")
     inside = tokens.join(several, "token", "left_semi")
-    # leading shingles that no other group holds are missing from every other set, so ``reach`` bounds any overlap
+    # leading shingles that lead in no other group are missing from every set whose leading shingles end later:
+    # ``reach`` bounds the overlap with those sets, and with no others
     alive = inside.groupBy("class").agg(F.count("*").alias("alive"))
     reach = F.expr(f"size - (size - ceil({num} * size / {den}) + 1 - alive)")
     inside = work.table(inside.join(alive, "class").withColumn("reach", reach), "inside")
@@ -444,8 +446,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     alpha = f"ceil({num} * (n0x + n0y) / {num + den})"
     sizes = ["comp", "n0", "n1", "l0", "l1", "r"]
+    reached = "CASE WHEN l1x <= l0y THEN rx WHEN l1y <= l0x THEN ry ELSE greatest(rx, ry) END"
     met = side(matrix, "x", sizes).join(side(matrix, "y", sizes), "token")
-    met = met.where(f"compx < compy AND {den} * n1x >= {num} * n0y AND {den} * n1y >= {num} * n0x AND rx >= {alpha} AND ry >= {alpha}")
+    met = met.where(f"compx < compy AND {den} * n1x >= {num} * n0y AND {den} * n1y >= {num} * n0x AND {reached} >= {alpha}")
     met = met.groupBy("compx", "compy").agg(F.count("*").alias("s"), *[f(c + k).alias(c + k) for k in "xy" for c, f in (("n0", F.min), ("n1", F.max), ("l0", F.min), ("l1", F.max))])
     spare = lambda k: f"(1 - ceil({num} * n1{k} / {den}))"  # noqa: E731  leading shingles less all, of the largest member
     need = f"{alpha} + CASE WHEN l1x <= l0y THEN {spare('x')} WHEN l1y <= l0x THEN {spare('y')} ELSE least({spare('x')}, {spare('y')}) END"

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import frame, near_copies, odd_rows, sentence
 
@@ -50,6 +52,40 @@ def test_components_equal_brute_force(spark, width, num, den, least_hot):
     assert run(spark, rows, width, num, den, least_hot=least_hot) == brute(rows, width, num, den)
 
 
+def min_hashes(texts, width):
+    lowest = []
+    for _, _, data, bounds in jaccard.text_slices(pa.array(texts, pa.large_string())):
+        owner, h, _ = jaccard.shingle_sets(jaccard.split_words(data, bounds, jaccard.BLANK_SEPARATED), width)
+        low = np.full((len(bounds) - 1, jaccard.BINS), 2**63, np.uint64)
+        np.minimum.at(low, (owner, (h >> np.uint64(60)).astype(np.int64)), h)
+        lowest.append(low)
+    return np.concatenate(lowest)
+
+
+def test_inserted_and_deleted_segments_of_frequent_texts(spark):
+    """Links that min-hashes do not propose, between a frequent text and one whose own rare shingles lead."""
+    rng = random.Random(11)
+    texts, far = [], 0
+    for family in range(4):
+        base = sentence(rng, 93).split()
+        texts += [" ".join(base)] * 8
+        # 88 of 90 shingles and 12 own ones, at the end or with the cut at the front: 88 / 102
+        tries = [" ".join(base[2:] + sentence(rng, 12).split() if family % 2 else sentence(rng, 12).split() + base[:-2]) for _ in range(4000)]
+        differ = (min_hashes(tries, 4) != min_hashes([texts[-1]], 4)).sum(1)
+        far += int(differ.max() > jaccard.BINS // 2)
+        texts.append(tries[int(differ.argmax())])
+        for _ in range(6):
+            w = list(base)
+            a = rng.randrange(len(w))
+            w[a:a] = sentence(rng, rng.randint(1, 14)).split()
+            b = rng.randrange(len(w))
+            del w[b : b + rng.randint(0, 6)]
+            texts.append(" ".join(w))
+    assert far
+    rows = list(enumerate(texts))
+    assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
+
+
 def test_odd_rows(spark):
     rows = odd_rows()
     assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
