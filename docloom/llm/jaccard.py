@@ -399,7 +399,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Two texts link when ``den * intersection >= num * union``; a component is
     named by its smallest id. ``n_links``: verified links at the row's class.
     ``text_class``: hash of the text's word sequence. ``stays``: whether the
-    row is of the one (id, text class) that stands for its component.
+    row is of the one (id, text class) that stands for its component, or has no words.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -484,7 +484,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_class",
-        F.coalesce((F.col("kept") == F.col("text_class")) & F.col("id").eqNullSafe(F.col("component_id")), F.lit(True)).alias("stays"),
+        ((F.col("size") == 0) | (F.col("kept") == F.col("text_class")) & F.col("id").eqNullSafe(F.col("component_id"))).alias("stays"),
     )
 
 

@@ -98,6 +98,12 @@ def test_one_of_each_component_stays(spark):
     assert kept == {c for _, _, c in brute(rows, 5, 80, 100)}
 
 
+def test_wordless_rows_of_unique_ids_stay(spark):
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, "a b c d e f g"), (5, "a b c d e f g"), (6, "one"), (7, None), (8, "")]
+    kept = {r.doc_id for r in jaccard.keep_representatives(frame(spark, rows)).collect()}
+    assert kept == {1, 2, 3, 4, 6, 7, 8}
+
+
 def test_representatives_of_repeated_ids(spark):
     rows = odd_rows()
     docs = frame(spark, rows)
