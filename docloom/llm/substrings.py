@@ -396,22 +396,22 @@ def _hot_windows(with_spans: DataFrame, length: int) -> DataFrame:
     return with_spans.select("doc", "text", "spans").mapInArrow(released(run), "h1 long, h2 long, doc long, a long")
 
 
-def _numbered(docs: DataFrame, work: Workspace, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``__dl_doc``, a long that orders documents and names one (id, text): the id itself where ids are unique."""
+def _numbered(docs: DataFrame, work: Workspace, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``docs`` with ``__dl_doc``, a long that orders documents and names one (id, text), and whether it is the id itself, as ids are unique."""
     ids = docs.select(F.col(id_col).cast("long").alias("i"))
     unique = ids.where("i IS NULL").isEmpty() and ids.groupBy("i").count().where("count > 1").isEmpty()
     if unique:
-        return docs.withColumn("__dl_doc", F.col(id_col).cast("long"))
+        return docs.withColumn("__dl_doc", F.col(id_col).cast("long")), True
     spark = docs.sparkSession
     keyed = docs.withColumn("__dl_i", F.col(id_col).cast("long")).withColumn("__dl_t", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     ordered = keyed.select("__dl_i", "__dl_t").distinct().orderBy(F.col("__dl_i").asc_nulls_first(), "__dl_t")
     numbered = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
     table = work.table(spark.createDataFrame(numbered, "__dl_i2 long, __dl_t2 long, __dl_doc long"), "numbers")
-    return keyed.join(table, F.col("__dl_i").eqNullSafe(F.col("__dl_i2")) & (F.col("__dl_t") == F.col("__dl_t2"))).drop("__dl_i", "__dl_t", "__dl_i2", "__dl_t2")
+    return keyed.join(table, F.col("__dl_i").eqNullSafe(F.col("__dl_i2")) & (F.col("__dl_t") == F.col("__dl_t2"))).drop("__dl_i", "__dl_t", "__dl_i2", "__dl_t2"), False
 
 
 def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram: int = 40) -> DataFrame:
-    """``doc, text`` -> ``doc, spans array<struct<a, z>>``: the merged covered stretches, only documents that have some."""
+    """``doc, text``, one row per ``doc`` -> ``doc, spans array<struct<a, z>>``: the merged covered stretches, only documents that have some."""
     spark = docs.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     first = work.table(_unit_pass(docs, length, gram), "first")
@@ -464,8 +464,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     added = ("n_bytes", "n_removed", "n_spans", "kept", "__dl_doc", "__dl_i", "__dl_t", "__dl_i2", "__dl_t2", "__dl_spans", "__dl_raw")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added and c not in (id_col, text_col)])
     work = Workspace(docs.sparkSession, "substrings")
-    numbered = _numbered(docs, work, id_col, text_col)
-    spans = covered_spans(numbered.select(F.col("__dl_doc").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), work, length=length, gram=gram)
+    numbered, unique = _numbered(docs, work, id_col, text_col)
+    texts = numbered.select(F.col("__dl_doc").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if not unique:  # repeated rows are one document
+        texts = work.table(texts.dropDuplicates(["doc"]), "texts")
+    spans = covered_spans(texts, work, length=length, gram=gram)
+    work.drop("texts")
     spans = spans.select(F.col("doc").alias("__dl_d"), F.col("spans").alias("__dl_spans"))
     few = (spans.agg(F.sum(F.size("__dl_spans"))).first()[0] or 0) <= MAX_BROADCAST
     joined = numbered.join(F.broadcast(spans) if few else spans, F.col("__dl_doc") == F.col("__dl_d"), "left").drop("__dl_d", "__dl_doc")

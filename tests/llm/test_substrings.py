@@ -86,3 +86,13 @@ def test_ties_and_repeats(spark):
     assert all(len(v) == 1 for v in by.values())
     assert by[(9, odd_rows()[-1][1])] == {(72000, 72000, 1)}
     assert len(substrings.dedup_substrings(frame(spark, [])).collect()) == 0
+
+
+def test_repeated_rows_equal_brute_force(spark):
+    rng = random.Random(9)
+    passage = sentence(rng, 40)
+    rows = [(k, sentence(rng, 20) + passage[rng.randrange(60) :] + sentence(rng, 20)) for k in range(12)]
+    repeated = rows + rows[:6] * 2
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.dedup_substrings(frame(spark, repeated)).collect())
+    want = {r[0]: r for r in brute(rows, 100)}
+    assert got == sorted(want[i] for i, _ in repeated)
