@@ -10,7 +10,8 @@ block before (written to the shared folder in between), so memory stays bounded
 whatever the benchmark's size.
 
 Defined cases: a null or empty text has no words and is never contaminated; a
-null or wordless item has no window; equal windows of several items count for
+null or wordless item has no window; an item without id hits like any other and
+is not listed in ``item_ids``; equal windows of several items count for
 each; repeated rows are judged alike; empty tables give empty or clean results;
 other columns are kept and the added ones (``n_words, n_hit, item_ids, hits,
 contaminated``) replace columns so named.
@@ -57,7 +58,7 @@ def _item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int)
                     n, item, text = zip(*rows)
                     yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int32()), "item_id": pa.array(item, pa.string()), "words": pa.array(text, pa.binary())})
 
-    items = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
+    items = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
     return items.mapInArrow(released(windows), "n int, item_id string, words binary").distinct()
 
 
@@ -68,7 +69,7 @@ class _Lookup:
         by = defaultdict(set)
         for n, item, text in rows:
             by[n, text].add(item)
-        self.items: dict[tuple[int, bytes], list[str]] = {k: sorted(v) for k, v in by.items()}
+        self.items: dict[tuple[int, bytes], list[str | None]] = {k: list(v) for k, v in by.items()}
         self.hashes: dict[int, np.ndarray] = {}
         for n in {n for n, _ in by}:
             texts = [t for m, t in by if m == n]
@@ -76,7 +77,7 @@ class _Lookup:
             words = split_words(data, np.concatenate(([0], np.cumsum([len(t) for t in texts]))), ALPHANUMERIC)
             self.hashes[n] = np.unique(words.windows(n)[0])
 
-    def scan(self, words: Words) -> tuple[np.ndarray, list[tuple[int, int, list[str]]]]:
+    def scan(self, words: Words) -> tuple[np.ndarray, list[tuple[int, int, list[str | None]]]]:
         """Per word whether it is hit, and (first word, number of words, items) of each verified occurrence."""
         change = np.zeros(len(words.hash) + 1, np.int64)
         found = []
@@ -128,7 +129,7 @@ def _scan_pass(docs: DataFrame, text_col: str, windows: list[tuple[int, str, byt
                     hit_counts.append(int(marks.sum()))
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.view(np.int8), [0])))) if hit_counts[-1] else []
                     spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
-                    items.append(sorted(also))
+                    items.append(sorted(also, key=lambda i: (i is None, i)))
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             columns += [pa.array(counts, pa.int64()), pa.array(hit_counts, pa.int64()), pa.array(spans, hit_type), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_hit", "hits", "item_ids"])
@@ -136,7 +137,12 @@ def _scan_pass(docs: DataFrame, text_col: str, windows: list[tuple[int, str, byt
     return docs.mapInArrow(released(scan), schema)
 
 
-def find_contamination(
+def find_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Adds ``n_words, n_hit, hits, item_ids, contaminated``; contaminated: some hit words and at least the share. Options as of ``_found``."""
+    return _found(docs, benchmark, **options).withColumn("item_ids", F.array_compact("item_ids"))
+
+
+def _found(
     docs: DataFrame,
     benchmark: DataFrame,
     *,
@@ -147,7 +153,7 @@ def find_contamination(
     min_hit_share: float = 0.05,
     max_windows: int = 200_000,
 ) -> DataFrame:
-    """Adds ``n_words, n_hit, hits, item_ids, contaminated``; contaminated: some hit words and at least the share."""
+    """``find_contamination`` with one null in ``item_ids`` for all items without an id."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in _ADDED])
@@ -202,7 +208,7 @@ def remove_spans(scanned: DataFrame, *, text_col: str = "text") -> DataFrame:
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_contamination(docs, benchmark)
+    found = _found(docs, benchmark)  # items without an id count as one in n_items
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"), "contaminated",

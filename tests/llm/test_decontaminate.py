@@ -48,6 +48,17 @@ def test_equals_brute_force(spark, max_windows):
     assert sorted((r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got) == sorted(brute(t, items) for _, t in rows)
 
 
+@pytest.mark.parametrize("max_windows", [200_000, 20])
+def test_items_without_id_hit(spark, max_windows):
+    items, rows = sample()
+    nameless = [(None if k % 2 else i, t) for k, (i, t) in enumerate(items)]
+    benchmark = spark.createDataFrame(nameless, "item_id string, text string")
+    got = decontaminate.find_contamination(frame(spark, rows), benchmark, max_windows=max_windows).collect()
+    named = {i for i, _ in nameless}
+    want = [(n, hit, [i for i in found if i in named], bad) for n, hit, found, bad in (brute(t, items) for _, t in rows)]
+    assert sorted((r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got) == sorted(want)
+
+
 def test_actions(spark):
     items, rows = sample()
     benchmark = spark.createDataFrame(items, "item_id string, text string")
@@ -65,3 +76,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.find_contamination(frame(spark, []), none).count() == 0
     assert decontaminate.find_contamination(frame(spark, odd_rows()), none).where("n_hit > 0").count() == 0
+
+
+def test_query_counts_items_without_id(spark, tmp_path):
+    items, rows = sample()
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    nameless = [(None if k % 2 else i, t) for k, (i, t) in enumerate(items)]
+    frame(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(nameless, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duckdb = pytest.importorskip("duckdb").connect()
+    for name in ("documents", "benchmark"):
+        duckdb.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duckdb.execute(decontaminate.ORACLE_SQL).fetchall()
+    assert sorted(tuple(r) for r in decontaminate.op4_decontaminate(spark, str(tmp_path)).collect()) == sorted(want)
