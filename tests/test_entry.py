@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -48,10 +49,17 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
 
 
-def test_entry_imports_without_the_llm_parts(tmp_path):
+@pytest.mark.parametrize("pipeline_stays", [True, False])
+def test_entry_imports_without_the_llm_parts(tmp_path, pipeline_stays):
     import shutil
 
     shutil.copytree(ROOT / "docloom", tmp_path / "docloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert 'topk_cosine' in e.queries() and not any(k.startswith('op1') for k in e.queries()); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    if pipeline_stays and (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; assert 'topk_cosine' in e.queries() and 'pipeline' not in e.queries() and not any(k.startswith('op1') for k in e.queries()); e.oracle_sql()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+    listed = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=tmp_path, check=True, env=env, capture_output=True, text=True)
+    assert "test_entry" in listed.stdout and "error" not in listed.stdout
