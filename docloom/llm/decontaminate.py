@@ -5,9 +5,10 @@ and broadcast; training texts are scanned once, every window hash is looked up,
 and each hit is verified word by word before it counts.
 
 The broadcast holds at most ``max_windows`` windows. A larger benchmark is taken
-in blocks of that many: each block scans the documents that are left from the
-block before (written to the shared folder in between), so memory stays bounded
-whatever the benchmark's size.
+in blocks of that many: each further block scans the texts once more and leaves
+a row only for texts that hit, named by the md5 of the text; these rows are
+joined to the first block's result once, so memory stays bounded whatever the
+benchmark's size and the corpus is never written.
 
 Defined cases: a null or empty text has no words and is never contaminated; a
 null or wordless item has no window; an item without id hits like any other and
@@ -19,8 +20,10 @@ contaminated``) replace columns so named.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.shared import Workspace
+from docloom.llm.shared import Columns, Workspace, join_groups
 from docloom.llm.words import ALPHANUMERIC, Words, split_words, text_slices
 from docloom.ship import released, ship
 
@@ -95,20 +98,29 @@ class _Lookup:
         return np.cumsum(change)[:-1] > 0, found
 
 
-def _scan_pass(docs: DataFrame, text_col: str, windows: list[tuple[int, str, bytes]]) -> DataFrame:
-    """Adds ``n_words, hits, item_ids`` or merges into those of the pass before."""
-    ship(docs.sparkSession)
-    base = [f for f in docs.schema.fields if f.name not in _ADDED]
-    again = "hits" in docs.columns
-    schema = T.StructType([*base, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", _HIT), T.StructField("item_ids", T.ArrayType(T.StringType()))])
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    names, at = [f.name for f in base], [f.name for f in base].index(text_col)
-    hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_HIT_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_LISTS = [T.StructField("hits", _HIT), T.StructField("item_ids", T.ArrayType(T.StringType()))]
+
+
+def _spans(marks: np.ndarray) -> list[dict]:
+    """Runs of marked words."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.view(np.int8), [0])))) if marks.any() else []
+    return [{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])]
+
+
+def _ordered(items) -> list:
+    return sorted(items, key=lambda i: (i is None, i))
+
+
+def _scan_pass(docs: DataFrame, text_col: str, lookup: _Lookup, only_hits: bool) -> DataFrame:
+    """All rows with ``n_words, hits, item_ids`` added; or, for texts that hit only, ``key`` (the text's md5) with the lists."""
+    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Lookup(shared.value)
+        lookup = shared.value
         for batch in batches:
-            counts, hit_counts, spans, items = [], [], [], []
+            counts, spans, items, keys = [], [], [], []
             for first, stop, data, bounds in text_slices(batch.column(at)):
                 words = split_words(data, bounds, ALPHANUMERIC)
                 hit, occurrences = lookup.scan(words)
@@ -116,25 +128,45 @@ def _scan_pass(docs: DataFrame, text_col: str, windows: list[tuple[int, str, byt
                 named = defaultdict(set)
                 for w, _, found in occurrences:
                     named[int(owner[w])].update(found)
-                for k in range(stop - first):
+                bounds = words.bounds
+                for k in sorted(named) if only_hits else range(stop - first):
                     a, b = int(words.first[k]), int(words.first[k + 1])
-                    marks, also = hit[a:b], named.get(k, set())
-                    if again:
-                        old = batch.column(batch.schema.get_field_index("hits"))[first + k].as_py()
-                        marks = marks.copy()
-                        for run in old:
-                            marks[run["start"] : run["end"]] = True
-                        also = also | set(batch.column(batch.schema.get_field_index("item_ids"))[first + k].as_py())
                     counts.append(b - a)
-                    hit_counts.append(int(marks.sum()))
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.view(np.int8), [0])))) if hit_counts[-1] else []
-                    spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
-                    items.append(sorted(also, key=lambda i: (i is None, i)))
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            columns += [pa.array(counts, pa.int64()), pa.array(hit_counts, pa.int64()), pa.array(spans, hit_type), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_hit", "hits", "item_ids"])
-
-    return docs.mapInArrow(released(scan), schema)
+                    spans.append(_spans(hit[a:b]))
+                    items.append(_ordered(named.get(k, ())))
+                    if only_hits:
+                        keys.append(hashlib.md5(data[bounds[k] : bounds[k + 1]].tobytes()).hexdigest())
+            lists = [pa.array(spans, _HIT_TYPE), pa.array(items, pa.list_(pa.string()))]
+            if only_hits:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *lists], ["key", "hits", "item_ids"])
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), *lists], [*names, "n_words", "hits", "item_ids"])
+
+    if only_hits:
+        return docs.mapInArrow(released(scan), T.StructType([T.StructField("key", T.StringType()), *_LISTS]))
+    return docs.mapInArrow(released(scan), T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), *_LISTS]))
+
+
+def _with_more(scanned: DataFrame, more: DataFrame) -> DataFrame:
+    """``scanned`` with the hits of further blocks (``more_hits``, ``more_items``: lists of lists) merged in."""
+    names = scanned.columns
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda n: batch.column(batch.schema.get_field_index(n))
+            extra, spans, items = column("more_hits").to_pylist(), column("hits").to_pylist(), column("item_ids").to_pylist()
+            for k, (found, named) in enumerate(zip(extra, column("more_items").to_pylist())):
+                if found:
+                    marks = np.zeros(column("n_words")[k].as_py(), bool)
+                    for run in (r for runs in (spans[k], *found) for r in runs):
+                        marks[run["start"] : run["end"]] = True
+                    spans[k], items[k] = _spans(marks), _ordered(set(items[k]).union(*named))
+            own = [column(n) for n in names if n not in ("hits", "item_ids")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(spans, _HIT_TYPE), pa.array(items, pa.list_(pa.string()))], schema.names)
+
+    fields = [f for f in scanned.schema.fields if f.name not in ("hits", "item_ids")]
+    schema = T.StructType([*fields, *_LISTS])
+    return more.mapInArrow(released(merge), schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -150,25 +182,34 @@ def _found(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     width: int = 13,
-    min_hit_share: float = 0.05,
+    min_hit_share: float | str | Fraction = "1/20",
     max_windows: int = 200_000,
 ) -> DataFrame:
-    """``find_contamination`` with one null in ``item_ids`` for all items without an id."""
+    """``find_contamination`` with one null in ``item_ids`` for all items without an id. ``min_hit_share`` is taken as the exact decimal or fraction it shows."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in _ADDED])
-    work = Workspace(spark, "decontaminate")
-    windows = work.keep(_item_windows(benchmark, item_id_col, item_text_col, width), "windows")
+    columns, work, share = Columns(docs), Workspace(spark, "decontaminate"), Fraction(str(min_hit_share))
+    text = columns.at(text_col)
+    windows = work.table(_item_windows(benchmark, item_id_col, item_text_col, width), "windows")
     blocks = max(1, -(-windows.count() // max_windows))
-    out = docs
-    for k in range(blocks):
+    plain = columns.plain.withColumn("said", F.col(text).cast("string"))
+
+    def lookup(k: int) -> _Lookup:
         block = windows.where(F.pmod(F.xxhash64("n", "words"), F.lit(blocks)) == k).select("n", "item_id", "words")
-        out = _scan_pass(out, text_col, [(r.n, r.item_id, bytes(r.words)) for r in block.toLocalIterator()])
-        if k < blocks - 1:
-            out = work.table(out, f"pass{k}")
-    work.drop("windows")
-    share = round(1 / min_hit_share)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+        return _Lookup([(r.n, r.item_id, bytes(r.words)) for r in block.toLocalIterator()])
+
+    out = _scan_pass(plain, "said", lookup(0), False)
+    if blocks > 1:
+        side = [_scan_pass(plain.select("said"), "said", lookup(k), True).groupBy("key").agg(F.first("hits").alias("hits"), F.first("item_ids").alias("item_ids"), F.count("*").alias("n")) for k in range(1, blocks)]
+        union = side[0]
+        for one in side[1:]:
+            union = union.union(one)
+        more = work.table(union.groupBy("key").agg(F.collect_list("hits").alias("more_hits"), F.collect_list("item_ids").alias("more_items"), F.max("n").alias("n")), "more")
+        keyed = out.withColumn("key", F.md5(F.coalesce(F.col("said"), F.lit("")).cast("binary")))
+        out = _with_more(out, join_groups(keyed, more, ["key"], F.struct(columns.plain.columns[:1])).drop("n", "key"))
+    out = out.withColumn("n_hit", F.expr("cast(aggregate(hits, 0, (s, h) -> s + h.end - h.start) AS long)"))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (share.denominator * F.col("n_hit") >= share.numerator * F.col("n_words")))
+    return columns.back(out, "n_words", "n_hit", "hits", "item_ids", "contaminated")
 
 
 def drop_contaminated(scanned: DataFrame) -> DataFrame:

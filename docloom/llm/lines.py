@@ -6,8 +6,8 @@ aggregate, and later places are covered; the covered lines of a document are
 merged and removed. Blank lines belong to no window and stay.
 
 A window that a third of all documents share is never gathered: the aggregate
-keeps one row per window and task, and the join back can be split by adaptive
-execution.
+keeps one row per window and task, and the places of the windows that hold most
+are told their first place by a broadcast of bounded size (``join_groups``).
 
 Defined cases: null and empty texts have no lines and stay as they are; texts
 under three non-blank lines have no window; places are ordered by document id
@@ -22,34 +22,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.shared import Columns, Workspace, join_groups
+
 _LINES = "split(coalesce({t}, ''), '\\n')"
-_SAID = "filter(sequence(0, size(__dl_all) - 1), i -> __dl_all[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+_SAID = "filter(sequence(0, size(line) - 1), i -> line[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds ``n_lines`` (non-blank), ``n_removed`` and ``deduped`` (the text without covered lines)."""
-    own = ("n_lines", "n_removed", "deduped", "__dl_all", "__dl_said", "__dl_key", "__dl_gone", "__dl_cut")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in own and c not in (id_col, text_col)])
-    keyed = docs.withColumn("__dl_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    lines = keyed.withColumn("__dl_all", F.expr(_LINES.format(t=f"`{text_col}`"))).withColumn("__dl_said", F.expr(_SAID))
+    columns, work = Columns(docs), Workspace(docs.sparkSession, "lines")
+    id_, text = F.col(columns.at(id_col)), columns.at(text_col)
+    keyed = columns.plain.withColumn("key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    lines = keyed.withColumn("line", F.expr(_LINES.format(t=text))).withColumn("said", F.expr(_SAID))
     places = lines.select(
-        F.col(id_col).alias("__dl_id"), "__dl_key",
-        F.posexplode(F.expr("""CASE WHEN size(__dl_said) < 3 THEN array() ELSE transform(sequence(0, size(__dl_said) - 3), i -> struct(
-            xxhash64(__dl_all[__dl_said[i]], __dl_all[__dl_said[i + 1]], __dl_all[__dl_said[i + 2]]) AS a,
-            xxhash64('w', __dl_all[__dl_said[i + 2]], __dl_all[__dl_said[i + 1]], __dl_all[__dl_said[i]]) AS b)) END""")).alias("_pos", "_h"),
-    ).select("__dl_id", "__dl_key", "_pos", "_h.a", "_h.b").select("*", F.struct("__dl_id", "__dl_key", "_pos").alias("_at"))
-    firsts = places.groupBy("a", "b").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where("_first < _last").select("a", "b", "_first")
-    later = places.join(firsts, ["a", "b"]).where(F.col("_first") < F.col("_at"))
-    gone = later.groupBy("__dl_id", F.col("__dl_key").alias("__dl_k")).agg(F.collect_set("_pos").alias("__dl_gone"))
-    joined = lines.join(gone, F.col(id_col).eqNullSafe(F.col("__dl_id")) & (F.col("__dl_key") == F.col("__dl_k")), "left")
-    cut = joined.withColumn("__dl_cut", F.expr("CASE WHEN __dl_gone IS NULL THEN cast(array() AS array<int>) ELSE array_distinct(flatten(transform(__dl_gone, p -> array(__dl_said[p], __dl_said[p + 1], __dl_said[p + 2])))) END"))
-    kept = F.expr(f"CASE WHEN __dl_gone IS NULL THEN `{text_col}` ELSE array_join(transform(array_except(sequence(0, size(__dl_all) - 1), __dl_cut), i -> __dl_all[i]), '\\n') END")
-    return (
-        cut.withColumn("n_lines", F.size("__dl_said").cast("long"))
-        .withColumn("n_removed", F.size("__dl_cut").cast("long"))
-        .withColumn("deduped", kept)
-        .drop("__dl_all", "__dl_said", "__dl_key", "__dl_gone", "__dl_cut", "__dl_id", "__dl_k")
-    )
+        id_.alias("id"), "key",
+        F.posexplode(F.expr("""CASE WHEN size(said) < 3 THEN array() ELSE transform(sequence(0, size(said) - 3), i -> struct(
+            xxhash64(line[said[i]], line[said[i + 1]], line[said[i + 2]]) AS a,
+            xxhash64('w', line[said[i + 2]], line[said[i + 1]], line[said[i]]) AS b)) END""")).alias("pos", "h"),
+    ).select("id", "key", "pos", "h.a", "h.b").select("*", F.struct("id", "key", "pos").alias("place"))
+    firsts = places.groupBy("a", "b").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    firsts = work.table(firsts.select("a", "b", "lo", "n"), "firsts")
+    later = join_groups(places, firsts, ["a", "b"], F.struct("id", "key", "pos")).where(F.col("lo") < F.col("place"))
+    gone = work.table(later.groupBy(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).agg(F.collect_set("pos").alias("gone")), "gone")
+    joined = lines.join(gone, id_.eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    cut = joined.withColumn("cut", F.expr("CASE WHEN gone IS NULL THEN cast(array() AS array<int>) ELSE array_distinct(flatten(transform(gone, p -> array(said[p], said[p + 1], said[p + 2])))) END"))
+    kept = F.expr(f"CASE WHEN gone IS NULL THEN {text} ELSE array_join(transform(array_except(sequence(0, size(line) - 1), cut), i -> line[i]), '\n') END")
+    out = cut.withColumns({"n_lines": F.size("said").cast("long"), "n_removed": F.size("cut").cast("long"), "deduped": kept})
+    return columns.back(out, "n_lines", "n_removed", "deduped")
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:

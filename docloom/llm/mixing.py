@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.shared import Workspace
+from docloom.llm.shared import Columns, Workspace
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -75,25 +75,27 @@ def mix_sources(
 ) -> DataFrame:
     """Every document with ``size, source_size, target, copies, taken``; see the module's text."""
     spark = docs.sparkSession
-    added = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    sized = docs.withColumn("size", word_count(F.col(text_col)))
+    columns = Columns(docs)
+    text, source = columns.at(text_col), F.col(columns.at(source_col))
+    sized = columns.plain.withColumn("size", word_count(F.col(text)))
     if not keep_text:
-        sized = sized.drop(text_col)
-    totals = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
+        sized = sized.drop(text)
+    totals = sized.groupBy(source.alias("source")).agg(F.sum("size").alias("source_size"))
     table = Workspace(spark, "mix").table(source_targets(totals, weights, max_repeat), "targets")
-    table = table.select(F.col("source").alias("__dl_source"), "source_size", "target")
-    joined = sized.join(table, F.col(source_col).eqNullSafe(F.col("__dl_source")), "left").drop("__dl_source")
+    joined = sized.join(table, source.eqNullSafe(F.col("source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    extra = (coin(F.col(id_col), seed) < rate - whole).cast("int")
-    return joined.withColumn("copies", F.least(whole + extra, F.lit(max_repeat)).cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
+    extra = (coin(F.col(columns.at(id_col)), seed) < rate - whole).cast("int")
+    mixed = joined.withColumn("copies", F.least(whole + extra, F.lit(max_repeat)).cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
+    return columns.back(mixed, "size", "source_size", "target", "copies", "taken", without=() if keep_text else (text_col,))
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """Each document ``copies`` times, without the columns the mix added."""
-    again = mixed.where("copies > 0").withColumn("__dl_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return again.drop("size", "source_size", "target", "copies", "taken", "__dl_copy")
+    columns = Columns(mixed)
+    copies = F.col(columns.at("copies"))
+    again = columns.plain.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return columns.back(again, without=("size", "source_size", "target", "copies", "taken"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Every line is judged on its own (noise, shouting, navigation, boilerplate,
 missing end punctuation); failing lines go, and a document goes when too much
 of its text went with them, or when it fails the whole-text base rules.
 
-Repeated three-word windows are found inside the row: an array of window
-hashes is sorted with its positions and equal neighbours are marked, so no
+Repeated three-word windows are found inside the row: an array of 64-bit window
+hashes (which stand for the windows) is sorted with its positions and equal neighbours are marked, so no
 word is ever shuffled and a long text costs n log n.
 
 Defined cases: null and empty texts have no words, fail the base rule and are
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.shared import Columns
+
 _BLANK = " \t\n\x0b\x0c\r"
 _SYMBOLS = "[#*$%&|<>]"
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -62,47 +64,45 @@ def _cleaned(lines: Column) -> Column:
 
 def assess(docs: DataFrame, *, text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_lost_pct: int = 50) -> DataFrame:
     """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, cleaned, lost_chars, kept``."""
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost_chars", "kept", "__dl_t", "__dl_w", "__dl_h", "__dl_o", "__dl_d", "__dl_l", "__dl_s", "__dl_said")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added and c != text_col])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    columns = Columns(docs)
+    text = F.coalesce(F.col(columns.at(text_col)), F.lit(""))
     bare = F.btrim(text, F.lit(_BLANK))
     none = F.array().cast("array<string>")
     base = (
-        docs.withColumn("__dl_t", text)
-        .withColumn("__dl_w", F.when(bare == "", none).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+")))
-        .withColumn("__dl_h", F.expr("CASE WHEN size(__dl_w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(__dl_w) - 3), i -> xxhash64(__dl_w[i], __dl_w[i + 1], __dl_w[i + 2])) END"))
-        .withColumn("__dl_o", F.sort_array("__dl_h"))
-        .withColumn("__dl_d", F.expr("CASE WHEN size(__dl_o) < 2 THEN cast(array() AS array<bigint>) ELSE array_distinct(transform(filter(sequence(1, size(__dl_o) - 1), j -> __dl_o[j] = __dl_o[j - 1]), j -> __dl_o[j])) END"))
-        .withColumn("__dl_s", F.expr(f"CASE WHEN size(__dl_d) > {FEW} THEN sort_array(transform(__dl_h, (h, i) -> struct(h AS h, i AS i))) END"))
-        .withColumn("__dl_l", F.split(F.col("__dl_t"), "\n"))
+        columns.plain.withColumn("t", text)
+        .withColumn("w", F.when(bare == "", none).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+")))
+        .withColumn("h", F.expr("CASE WHEN size(w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END"))
+        .withColumn("o", F.sort_array("h"))
+        .withColumn("d", F.expr("CASE WHEN size(o) < 2 THEN cast(array() AS array<bigint>) ELSE array_distinct(transform(filter(sequence(1, size(o) - 1), j -> o[j] = o[j - 1]), j -> o[j])) END"))
+        .withColumn("s", F.expr(f"CASE WHEN size(d) > {FEW} THEN sort_array(transform(h, (h, i) -> struct(h AS h, i AS i))) END"))
+        .withColumn("l", F.split(F.col("t"), "\n"))
     )
     # a few repeated windows are looked for one by one; many are neighbours among the sorted (window, position) pairs
     repeated = F.expr("""
-        CASE WHEN size(__dl_d) = 0 THEN 0
-        WHEN __dl_s IS NULL THEN size(array_distinct(flatten(transform(
-            filter(sequence(0, size(__dl_h) - 1), i -> array_contains(__dl_d, __dl_h[i])), i -> array(i, i + 1, i + 2)))))
+        CASE WHEN size(d) = 0 THEN 0
+        WHEN s IS NULL THEN size(array_distinct(flatten(transform(
+            filter(sequence(0, size(h) - 1), i -> array_contains(d, h[i])), i -> array(i, i + 1, i + 2)))))
         ELSE size(array_distinct(flatten(transform(
-            filter(sequence(0, size(__dl_s) - 1), j -> (j > 0 AND __dl_s[greatest(j - 1, 0)].h = __dl_s[j].h) OR (j < size(__dl_s) - 1 AND __dl_s[least(j + 1, size(__dl_s) - 1)].h = __dl_s[j].h)),
-            j -> array(__dl_s[j].i, __dl_s[j].i + 1, __dl_s[j].i + 2))))) END""")
-    spoken = F.filter("__dl_l", lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
+            filter(sequence(0, size(s) - 1), j -> (j > 0 AND s[greatest(j - 1, 0)].h = s[j].h) OR (j < size(s) - 1 AND s[least(j + 1, size(s) - 1)].h = s[j].h)),
+            j -> array(s[j].i, s[j].i + 1, s[j].i + 2))))) END""")
+    spoken = F.filter("l", lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     measured = (
-        base.withColumn("n_words", F.size("__dl_w").cast("long"))
-        .withColumn("word_chars", F.length(F.regexp_replace("__dl_t", "[\\x20\\x09-\\x0D]+", "")).cast("long"))
-        .withColumn("n_symbols", _removed(F.col("__dl_t"), _SYMBOLS).cast("long"))
-        .withColumn("__dl_said", spoken)
-        .withColumn("n_dup_lines", (F.size("__dl_said") - F.size(F.array_distinct("__dl_said"))).cast("long"))
+        base.withColumn("n_words", F.size("w").cast("long"))
+        .withColumn("word_chars", F.length(F.regexp_replace("t", "[\\x20\\x09-\\x0D]+", "")).cast("long"))
+        .withColumn("n_symbols", _removed(F.col("t"), _SYMBOLS).cast("long"))
+        .withColumn("said", spoken)
+        .withColumn("n_dup_lines", (F.size("said") - F.size(F.array_distinct("said"))).cast("long"))
         .withColumn("n_repeat_words", repeated.cast("long"))
-        .withColumn("cleaned", _cleaned(F.col("__dl_l")))
-        .drop("__dl_w", "__dl_h", "__dl_o", "__dl_d", "__dl_s", "__dl_l", "__dl_said")
+        .withColumn("cleaned", _cleaned(F.col("l")))
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     lost = F.col("word_chars") - F.length(F.regexp_replace("cleaned", "[\\x20\\x09-\\x0D]+", ""))
-    return (
+    judged = (
         measured.withColumn("base_failed", failed)
         .withColumn("lost_chars", lost)
         .withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_pct * F.col("word_chars")))
-        .drop("__dl_t")
     )
+    return columns.back(judged, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost_chars", "kept")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

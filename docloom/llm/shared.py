@@ -1,8 +1,10 @@
 """Shared storage for intermediate tables and binary artefacts.
 
-Everything an operator writes between two jobs goes to the folder named by
-``spark.checkpoint.dir``, which every executor and the driver can reach, so a
-lost executor costs a re-read and never a recomputation of a lost block.
+What an operator writes between two jobs goes to the folder named by
+``spark.checkpoint.dir``, which every executor and the driver can reach, so what
+a lost executor had written is read again and not computed again. Only small
+tables of a few steps (``Workspace.keep``) stay on the executors' disks, with
+their lineage down to the written tables they come from.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -38,6 +41,55 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Columns:
+    """A caller's columns under names of our own while an operator works on them.
+
+    ``plain`` holds them as ``c0, c1, ...``, so no name of the caller can meet a
+    helper column. ``back`` gives them their names again, next to the added
+    ones; a caller's column that has the name of an added one is replaced.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.plain = df.toDF(*[f"c{k}" for k in range(len(self.names))])
+
+    def at(self, name: str) -> str:
+        """The plain name of a caller's column."""
+        found = [k for k, n in enumerate(self.names) if n == name] or [k for k, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"there is no column {name}")
+        return f"c{found[0]}"
+
+    def back(self, df: DataFrame, *added: str, without: tuple[str, ...] = ()) -> DataFrame:
+        taken = {a.lower() for a in (*added, *without)}
+        return df.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(self.names) if n.lower() not in taken], *added)
+
+
+#: A group is large when it holds more than one in so many of all rows; so there are at most as many large groups.
+LARGE_GROUPS = 4096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, total: int | None = None) -> DataFrame:
+    """Each row with the columns of its group (null without one); no group's rows meet in one task.
+
+    ``groups`` is a written table with one row per ``keys`` and the group's number
+    of rows in ``n``. Groups with more than one in ``LARGE_GROUPS`` of all ``n``
+    are at most that many whatever the data's size, and are broadcast; their rows are
+    dealt by ``spread`` where the others are dealt by key, and match nothing there.
+    """
+    total = (groups.agg(F.sum("n")).first()[0] or 0) if total is None else total
+    large = F.col("n") * LARGE_GROUPS > total
+    values = F.struct(*[c for c in groups.columns if c not in keys])
+    side = lambda where, tag: groups.where(where).select(*[F.col(k).alias(f"{tag}{k}") for k in keys], values.alias(f"{tag}values"))
+    met = lambda tag: [F.col(k) == F.col(f"{tag}{k}") for k in keys]
+    known = rows.join(F.broadcast(side(large, "__large_")), met("__large_"), "left")
+    known = known.withColumn("__deal", F.when(F.col("__large_values").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 30))).cast("int"))
+    # always 0, but no constant: the planner would fold one away and deal by the keys alone
+    small = side(~large, "__small_").withColumn("__dealt", F.pmod(F.col("__small_values.n"), F.lit(1)).cast("int"))
+    found = known.join(small, [F.col("__deal") == F.col("__dealt"), *met("__small_")], "left").withColumn("__values", F.coalesce("__large_values", "__small_values"))
+    return found.select(*rows.columns, *[F.col(f"__values.{c}").alias(c) for c in groups.columns if c not in keys])
+
+
 class Workspace:
     """One query's folder below the shared one. Its tables are Parquet.
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.shared import Columns
 from docloom.ship import ship
 
 DIMENSIONS = 1 << 16
@@ -33,31 +34,55 @@ RULES = (
     ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 )
 
-#: The labelled table, as (1 = unwanted, first labels of the host).
-LABELLED_HOSTS = (
-    (1, "spam-farm"), (1, "cheap-pills"), (1, "casino-win"), (1, "free-bets"), (1, "ads-track"), (1, "adult-x"),
-    (1, "casino-bonus"), (1, "best-casino"), (1, "online-bets"), (1, "bets-free"), (1, "pills-online"), (1, "cheap-meds"),
-    (1, "spam-links"), (1, "link-farm"), (1, "adult-cam"), (1, "xxx-adult"), (1, "ads-click"), (1, "track-ads"), (1, "win-prize"),
-    (1, "free-spins"), (1, "poker-win"), (1, "viagra-shop"), (1, "payday-loans"), (1, "seo-spam"),
-    (0, "news"), (0, "docs"), (0, "library"), (0, "university"), (0, "museum"), (0, "recipes"), (0, "weather"), (0, "garden"),
-    (0, "science"), (0, "history"), (0, "travel-notes"), (0, "open-data"), (0, "city-council"), (0, "book-club"), (0, "thornton"),
-    (0, "theatre"), (0, "therapy"), (0, "thesis"), (0, "athens"), (0, "nation"), (0, "station"), (0, "education"), (0, "motion"),
-    (0, "thread"), (0, "other"), (0, "bother"), (0, "weekly"), (0, "healthy"), (0, "monthly"), (0, "things"), (0, "reading"),
-    (0, "writing"), (0, "thunder"), (0, "heather"), (0, "earth"), (0, "north"), (0, "south"), (0, "truth"), (0, "growth"),
+#: The vocabulary of the labelled table, what unwanted and wanted hosts are named after, and words that either carries.
+UNWANTED = (
+    "casino", "poker", "betting", "bets", "slots", "jackpot", "roulette", "lottery", "viagra", "pills", "meds", "steroids", "slimming",
+    "porn", "xxx", "adult", "escort", "webcam", "nude", "spam", "popup", "ads", "adserver", "tracker", "clicks", "banner", "payday", "loans",
+    "forex", "doubler", "warez", "keygen", "crack", "torrent", "replica", "prize", "giveaway",
 )
+WANTED = (
+    "news", "docs", "library", "university", "museum", "recipes", "weather", "garden", "science", "history", "travel", "council", "books",
+    "theatre", "therapy", "school", "nation", "station", "education", "motion", "research", "health", "music", "film", "sports", "farming",
+    "forest", "kitchen", "village", "church", "hospital", "railway", "football", "weaving", "pottery", "physics", "biology", "archive",
+    "journal", "gazette", "dictionary", "heritage", "engineering", "software", "tutorial", "gallery", "orchestra", "astronomy",
+    "weather", "nature", "bridge", "harbour", "mountain", "river", "cycling", "sailing", "reading", "writing", "painting", "baking",
+    "brewing", "knitting", "teacher", "student", "parent", "children", "another", "together", "northern", "southern", "weekly", "monthly",
+    "thought", "method", "author", "growth", "earth", "truth", "health", "strength", "thread", "leather", "feather", "mother", "father",
+    "brother", "athlete", "athens", "thirteen", "thursday", "question", "solution", "election", "collection", "translation", "tradition",
+    "invention", "vegetable", "sustainable", "portable", "notebook", "handbook", "observatory", "laboratory", "cathedral", "parliament",
+    "embassy", "insurance", "transport", "timetable", "bakery", "butcher", "carpenter", "plumber", "dentist", "veterinary", "nursery",
+    "charity", "volunteer", "festival", "concert", "poetry", "novel", "essay", "lecture", "seminar", "chemistry", "geology", "statistics",
+)
+EITHER = ("best", "my", "top", "online", "the", "daily", "global", "super", "royal", "city", "easy", "fast", "live", "world", "hub", "zone", "club", "land", "point", "star", "home", "direct")
+#: Beginnings of paths that only one side has; most labelled paths are of the third kind, which says nothing.
+UNWANTED_PATHS = ("/bonus/", "/deposit/", "/jackpot/", "/go/offer/", "/click/", "/order-now/", "/aff/", "/xxx/", "/promo/win/")
+WANTED_PATHS = ("/article/", "/docs/", "/wiki/", "/research/", "/about/", "/lesson/", "/archive/", "/chapter/", "/exhibition/")
+NAMES_PER_WORD = 18
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, label): every labelled name under several domains, languages and path shapes."""
+    """(host, path, label): every word of the vocabulary in several names, each with a path of its side or one that says nothing."""
     rows = []
-    for k, (label, name) in enumerate(LABELLED_HOSTS):
-        for j, (sub, domain) in enumerate((("", "example.com"), ("www.", "example.net"), ("m.", "example.org"), ("blog.", "example.com"))):
-            language = ("en", "de", "fr", "es")[(k + j) % 4]
-            tail = ("", "/", ".html")[(k * 3 + j) % 3]
-            rows.append((f"{sub}{name}.{domain}", f"/{language}/{(k * 37 + j * 211) % 1000}{tail}", label))
+    for label, words, paths in ((1, UNWANTED, UNWANTED_PATHS), (0, WANTED, WANTED_PATHS)):
+        for k, word in enumerate(words):
+            for j in range(NAMES_PER_WORD):
+                n = k * NAMES_PER_WORD + j
+                other = EITHER[(5 * k + 7 * j) % len(EITHER)]
+                name = (f"{other}-{word}", f"{word}-{other}", f"{other}{word}", f"{word}{other}", f"{word}{n}", f"{other}-{word}-{n % 10}")[j % 6]
+                host = f"{('', 'www.', 'm.', 'blog.', 'shop.')[n % 5]}{name}.{('com', 'net', 'org', 'example.com', 'example.net', 'example.org', 'info')[n % 7]}"
+                tail = f"{(n * 37) % 1000}{('', '/', '.html')[n % 3]}"
+                rows.append((host, f"/{('en', 'de', 'fr', 'es')[n % 4]}/{tail}" if j % 3 else f"{paths[n % len(paths)]}{tail}", label))
+        for k, path in enumerate(paths):  # hosts that say nothing
+            rows += [(f"{a}-{b}.{('com', 'net', 'org')[k % 3]}", f"{path}{k * 13 + j}", label) for j, (a, b) in enumerate(zip(EITHER[k::4], EITHER[k + 1 :: 4]))]
     return rows
 
 
+def name_of(host: str) -> str:
+    """The label of a host that names it, without subdomains in common use and without numbers."""
+    found = [x for x in host.split(".") if x not in ("www", "m", "blog", "shop", "com", "net", "org", "info", "example")]
+    return found[0] if found else host
+
+
 def _features(texts: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of each n-gram; the text is framed so that its ends count."""
     framed = [b"\x02" + t + b"\x03" for t in texts]
@@ -80,38 +105,36 @@ def _features(texts: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(buckets)
 
 
-def _url_features(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+def _url_features(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of all n-grams; those of a host, and those of a path, have length one together."""
     found = []
     for kind, texts in enumerate((hosts, paths)):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         rows, buckets = _features(raw, kind)
-        filled = np.fromiter((len(t) > 0 for t in raw), bool, len(raw))
-        found.append((rows[filled[rows]], buckets[filled[rows]]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        filled = np.fromiter((len(t) > 0 for t in raw), bool, len(raw))[rows]
+        rows, buckets = rows[filled], buckets[filled]
+        found.append((rows, buckets, 1 / np.sqrt(np.bincount(rows, minlength=len(raw)))[rows]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _logits(weights: np.ndarray, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
-    rows, buckets = _url_features(hosts, paths)
-    n = len(hosts)
-    total = np.bincount(rows, weights[1:][buckets], n)
-    count = np.bincount(rows, minlength=n)
-    return weights[0] + total / np.sqrt(np.maximum(count, 1))
+    rows, buckets, value = _url_features(hosts, paths)
+    return weights[0] + np.bincount(rows, weights[1:][buckets] * value, len(hosts))
 
 
-def train(rows: Sequence[tuple[str, str, int]], *, steps: int = 400, rate: float = 2.0, ridge: float = 1e-4) -> np.ndarray:
-    """Weights (intercept first) by full-batch gradient descent with balanced classes."""
+def train(rows: Sequence[tuple[str, str, int]], *, steps: int = 300, rate: float = 1.0, ridge: float = 1e-5) -> np.ndarray:
+    """Weights (intercept first) of logistic regression by full-batch gradient descent with a step size per weight."""
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"the labelled table has {len(rows)} rows; at most {MAX_LABELLED} are fitted on the driver")
-    hosts, paths, labels = [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows], float)
-    at, buckets = _url_features(hosts, paths)
-    scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=len(rows)), 1))
-    share = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
-    weights = np.zeros(DIMENSIONS + 1)
+    n, labels = max(len(rows), 1), np.array([r[2] for r in rows], float)
+    at, buckets, value = _url_features([r[0] for r in rows], [r[1] for r in rows])
+    weights, seen = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-8)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-_logits(weights, hosts, paths)))
-        error = share * (p - labels)
-        weights[0] -= rate * error.sum()
-        weights[1:] -= rate * (np.bincount(buckets, (error * scale)[at], DIMENSIONS) + ridge * weights[1:])
+        logit = weights[0] + np.bincount(at, weights[1:][buckets] * value, len(rows))
+        error = (1 / (1 + np.exp(-logit)) - labels) / n
+        slope = np.concatenate(([error.sum()], np.bincount(buckets, error[at] * value, DIMENSIONS) + ridge * weights[1:]))
+        seen += slope**2
+        weights -= rate * slope / np.sqrt(seen)
     return weights
 
 
@@ -145,14 +168,13 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", rules=RULES, weights:
         for hosts, paths in batches:
             yield pd.Series(1 / (1 + np.exp(-_logits(w, hosts.tolist(), paths.tolist()))), dtype=float)
 
-    added = ("host", "path", "rule", "verdict", "score", "__dl_url", "__dl_rule")
-    pages = pages.withColumn("__dl_url", F.coalesce(F.col(url_col), F.lit("")))
-    pages = pages.drop(*[c for c in pages.columns if c.lower() in added and c not in ("__dl_url", url_col)])
-    host, path = split_url(F.col("__dl_url"))
-    out = pages.withColumns({"host": host, "path": path}).withColumn("score", score("host", "path"))
-    out = out.withColumn("__dl_rule", matched_rule(F.col("host"), F.col("path"), rules))
+    columns = Columns(pages)
+    host, path = split_url(F.coalesce(F.col(columns.at(url_col)).cast("string"), F.lit("")))
+    out = columns.plain.withColumns({"host": host, "path": path}).withColumn("score", score("host", "path"))
+    out = out.withColumn("fits", matched_rule(F.col("host"), F.col("path"), rules))
     learned = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return out.withColumn("rule", F.col("__dl_rule.rule")).withColumn("verdict", F.coalesce(F.col("__dl_rule.verdict"), learned)).drop("__dl_url", "__dl_rule")
+    out = out.withColumn("rule", F.col("fits.rule")).withColumn("verdict", F.coalesce(F.col("fits.verdict"), learned))
+    return columns.back(out, "host", "path", "rule", "verdict", "score")
 
 
 def op3_urls(spark, sf_dir: str) -> DataFrame:

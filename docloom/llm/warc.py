@@ -1,23 +1,25 @@
 """WARC archives through a chunked record table.
 
-Writing: each payload is cut in the JVM into rows (record, chunk number, bytes);
-a writer task receives the chunks of its records in order and streams them into
-one gzip member per record. Reading: a reader task streams an archive and emits
-rows (record, chunk number, bytes, digest and length so far), so neither side
-builds a whole record in Python.
+Writing: the JVM cuts a payload into rows (record, chunk number, bytes) one
+chunk after another; a writer task receives the chunks of its records in order
+and streams them into one gzip member per record, with a running digest. Reading: a
+reader task streams an archive and emits rows (record, chunk number, bytes,
+digest and length so far). Beside the value that the source table itself holds,
+neither side builds a whole record.
 
 Records with equal payload digest: the one with the largest id is the response,
-the others are revisits that refer to it. The largest id per digest comes from
-a map-side combined aggregate joined back by digest on key columns only, so a
-digest that a third of all rows share is never gathered, and adaptive execution
-may split it in the join.
+the others are revisits that refer to it. Digests are counted on narrow rows
+with map-side combined aggregates, once by (digest, id) and once by digest.
+Payload rows meet the result by ``join_groups``: digests that many rows share are told
+by a broadcast of bounded size, and their rows, whose payloads are dropped where
+they are revisits, are dealt by id and not by digest.
 
 Defined cases: a null payload is an empty one; payloads shorter than
-``min_revisit_bytes`` are always responses; rows that repeat an id are separate
-records, and of those with the largest id the first written is the response; an
-empty table writes no archive and gives an empty result; other columns are not
-carried into archives. A null id becomes the text ``null`` in the header and
-null again on reading.
+``min_revisit_bytes`` are always responses; rows that repeat id and payload are
+separate records, numbered from 0, and only number 0 of the largest id is a response; a null id
+is smaller than all others, and is the text ``null`` in the header and null
+again on reading; an empty table writes no archive and gives an empty result;
+other columns are not carried into archives, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.shared import Workspace
+from docloom.llm.shared import Columns, Workspace, join_groups
 from docloom.ship import released, ship
 
 CHUNK_BYTES = 1 << 20
@@ -56,45 +58,60 @@ CHUNKS = T.StructType(
 )
 
 
-def record_id(page_id, copy: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{copy}')}>"
+def record_id(page_id, sha: str, copy: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{sha}/{copy}')}>"
 
 
 def _base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def plan_records(pages: DataFrame, *, id_col: str, payload_col: str, min_revisit_bytes: int) -> DataFrame:
-    """One row per record: page_id, copy, payload (binary), size, sha (hex), refers_to, refers_copy."""
-    payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
-    records = pages.select(F.col(id_col).cast("long").alias("page_id"), payload.alias("payload")).select(
-        "page_id", "payload", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha")
+def plan_records(pages: DataFrame, work: Workspace, *, id_col: str, payload_col: str, min_revisit_bytes: int) -> DataFrame:
+    """One row per record: ``page_id, copy, sha`` (hex)``, size, revisit, refers_to, payload`` (binary, empty for a revisit)."""
+    columns = Columns(pages)
+    payload = F.coalesce(F.encode(F.col(columns.at(payload_col)), "UTF-8"), F.lit(b""))
+    records = columns.plain.select(F.col(columns.at(id_col)).cast("long").alias("page_id"), payload.alias("payload")).select(
+        "page_id", F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("name"), "payload", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha")
     )
-    groups = records.where(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("same")).where("same > 1")
-    joined = records.join(groups.drop("same"), "sha", "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("kept_id")), None).otherwise(F.col("kept_id"))).drop("kept_id")
-
-
-def _head(kind: str, page_id, copy: int, sha: str, size: int, refers_to) -> bytes:
-    body = 0 if kind == "revisit" else size
+    pairs = records.groupBy("sha", "name").agg(F.first("page_id").alias("page_id"), F.first("size").alias("size"), F.count("*").alias("n"))
+    groups = pairs.groupBy("sha").agg(F.max("page_id").alias("kept"), F.first("size").alias("size"), F.sum("n").alias("n"), F.max("n").alias("repeats")).where("n > 1")
+    groups = work.table(groups, "digests")
+    if not groups.where("repeats > 1").isEmpty():  # equal rows go together, with their number, and apart again
+        again = work.table(records.groupBy("sha", "name").count().where("count > 1").select("sha", "name", F.col("count").alias("n")), "repeats")
+        marked = join_groups(records, again, ["sha", "name"], F.struct("name", "sha"))
+        several = marked.where("n IS NOT NULL").groupBy("sha", "name").agg(*[F.first(c).alias(c) for c in ("page_id", "payload", "size", "n")])
+        several = several.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+        several = several.withColumn("payload", F.when((F.col("copy") > 0) & (F.col("size") >= min_revisit_bytes), F.lit(b"")).otherwise(F.col("payload")))
+        records = marked.where("n IS NULL").withColumn("copy", F.lit(0)).drop("n").unionByName(several.drop("n"))
+    else:
+        records = records.withColumn("copy", F.lit(0))
+    shared = groups.where(F.col("size") >= min_revisit_bytes).select("sha", "kept", F.lit(True).alias("shared"), "n")
+    told = join_groups(records, shared, ["sha"], F.struct("name", "copy"))
+    told = told.withColumn("revisit", F.coalesce(F.col("shared") & ~(F.col("page_id").eqNullSafe(F.col("kept")) & (F.col("copy") == 0)), F.lit(False)))
+    data = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload"))
+    return told.select("page_id", "copy", "sha", "size", "revisit", F.when(F.col("revisit"), F.col("kept")).alias("refers_to"), data.alias("payload"))
+
+
+def _head(revisit: bool, page_id, copy: int, sha: str, size: int, refers_to) -> bytes:
+    shown = lambda i: "null" if i is None else i
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id, copy)}",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {record_id(page_id, sha, copy)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: urn:page:{page_id}",
+        f"WARC-Target-URI: urn:page:{shown(page_id)}",
         f"WARC-Payload-Digest: sha1:{_base32(sha)}",
         f"X-Payload-Length: {size}",
-        f"X-Page-ID: {'null' if page_id is None else page_id}",
+        f"X-Page-ID: {shown(page_id)}",
         "Content-Type: text/html",
     ]
-    if kind == "revisit":
+    if revisit:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {record_id(refers_to, 0)}",
-            f"X-Refers-To-Page-ID: {refers_to}",
+            f"WARC-Refers-To: {record_id(refers_to, sha, 0)}",
+            f"X-Refers-To-Page-ID: {shown(refers_to)}",
         ]
-    return ("\r\n".join([*lines, f"Content-Length: {body}"]) + "\r\n\r\n").encode()
+    return ("\r\n".join([*lines, f"Content-Length: {0 if revisit else size}"]) + "\r\n\r\n").encode()
 
 
 def _writer(root: str):
@@ -118,15 +135,14 @@ def _writer(root: str):
             for row in batch.to_pylist():
                 if sink is None:
                     sink = fs.open_output_stream(draft, compression=None)
-                key = (row["page_id"], row["copy"])
+                key = (row["page_id"], row["copy"], row["sha"])
                 if row["chunk_no"] == 0:
                     if current is not None:
                         finish()
-                    kind = "response" if row["refers_to"] is None else "revisit"
                     deflate, current, n = zlib.compressobj(1, zlib.DEFLATED, 31), key, n + 1
                     digest = hashlib.sha1()
-                    sha = row["sha"] if kind == "response" else digest.hexdigest()
-                    sink.write(deflate.compress(_head(kind, *key, row["sha"], row["size"], row["refers_to"])))
+                    sha = digest.hexdigest() if row["revisit"] else row["sha"]
+                    sink.write(deflate.compress(_head(row["revisit"], *key, row["size"], row["refers_to"])))
                 elif key != current:
                     raise OSError("a record's first chunk is missing")
                 digest.update(row["data"])
@@ -142,36 +158,20 @@ def _writer(root: str):
 
 def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", payload_col: str = "html", min_revisit_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> list[str]:
     """Write ``pages`` as ``.warc.gz`` files below ``root``; returns their paths (one per task)."""
-    from pyspark.sql.window import Window
-
     ship(pages.sparkSession)
-
-    plan = plan_records(pages, id_col=id_col, payload_col=payload_col, min_revisit_bytes=min_revisit_bytes)
-    # repeated ids are numbered; such groups are small unless rows repeat, so only ids seen twice go through the window
-    repeated = pages.groupBy(F.col(id_col).cast("long").alias("page_id")).count().where("count > 1").select("page_id", F.lit(True).alias("twice"))
-    numbered = _number_copies(plan, repeated, Window)
-    kind_data = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    cut = F.expr(f"transform(sequence(0, greatest(cast(ceil(octet_length(_data) / {chunk_bytes}) AS int) - 1, 0)), i -> struct(i AS chunk_no, substring(_data, i * {chunk_bytes} + 1, {chunk_bytes}) AS data))")
-    chunks = numbered.withColumn("_data", kind_data).withColumn("_c", F.explode(cut)).select("page_id", "copy", "sha", "size", "refers_to", "_c.chunk_no", "_c.data")
+    work = Workspace(pages.sparkSession, "records")
+    records = plan_records(pages, work, id_col=id_col, payload_col=payload_col, min_revisit_bytes=min_revisit_bytes)
+    # the generator makes numbers only, and a chunk is cut when its number comes
+    last = F.greatest(F.ceil(F.octet_length("payload") / chunk_bytes).cast("int") - 1, F.lit(0))
+    numbered = records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    chunk = F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
+    chunks = numbered.select("page_id", "copy", "sha", "size", "revisit", "refers_to", "chunk_no", chunk.alias("data"))
     fs, at = pafs.FileSystem.from_uri(root)
     fs.create_dir(at, recursive=True)
     done = chunks.mapInArrow(released(_writer(root)), "path string, records long")
-    return sorted(r.path for r in done.collect())
-
-
-def _number_copies(plan: DataFrame, repeated: DataFrame, window) -> DataFrame:
-    """Adds ``copy``: 0 for the first record of an id. Among equal ids and payloads only copy 0 may be a response."""
-    flagged = plan.withColumn("copy", F.lit(0))
-    if repeated.isEmpty():
-        return flagged
-    marked = plan.join(repeated, plan["page_id"].eqNullSafe(repeated["page_id"]), "left").drop(repeated["page_id"])
-    once = marked.where("twice IS NULL").drop("twice").withColumn("copy", F.lit(0))
-    again = marked.where("twice").drop("twice")
-    order = window.partitionBy("page_id").orderBy(F.col("refers_to").isNotNull(), "sha")
-    again = again.withColumn("copy", F.row_number().over(order) - 1)
-    same = window.partitionBy("page_id", "sha").orderBy("copy")
-    again = again.withColumn("_nth", F.row_number().over(same)).withColumn("refers_to", F.when((F.col("_nth") > 1) & F.col("refers_to").isNull(), F.col("page_id")).otherwise(F.col("refers_to"))).drop("_nth")
-    return once.unionByName(again)
+    paths = sorted(r.path for r in done.collect())
+    work.drop("digests", "repeats")
+    return paths
 
 
 _LINE = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
@@ -214,7 +214,7 @@ def stream_records(source, chunk_bytes: int = CHUNK_BYTES) -> Iterator[dict]:
             "record_id": head["warc-record-id"],
             "page_id": None if page == "null" else int(page),
             "record_type": head["warc-type"],
-            "refers_to": None if refers in (None, "None") else int(refers),
+            "refers_to": None if refers in (None, "null") else int(refers),
         }
         left, digest, seen, number = int(head["content-length"]), hashlib.sha1(), 0, 0
         while True:

@@ -1,14 +1,29 @@
 """Small inputs with the cases every operator must handle."""
 
+import contextlib
 import random
 
 #: Columns whose names clash with what operators add or use inside.
 CLASHING = (
     "size", "source_size", "target", "copies", "taken", "n_words", "n_hit", "hits", "item_ids", "contaminated", "score", "predicted", "n_lines", "n_removed", "deduped",
-    "n_bytes", "n_spans", "kept", "cleaned", "host", "path", "rule", "verdict", "_t", "_w", "_l", "_all", "_said", "_key", "_raw", "_spans", "_row", "_id", "comp",
+    "n_bytes", "n_spans", "kept", "cleaned", "host", "path", "rule", "verdict", "key", "line", "said", "place", "gone", "cut", "comp", "class", "stays", "id", "n", "c0", "c1", "c7",
+    "w", "h", "t", "copy", "spans", "raw", "fits", "values", "__values", "__deal", "__large_values", "__dl_id", "__dl_doc", "__dl_gone", "__dl_class", "__dl_copy", "__dl_source", "word_chars", "lost_chars",
 )
 
 
+@contextlib.contextmanager
+def settings(spark, wanted: dict):
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def sentence(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
 

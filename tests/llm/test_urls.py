@@ -1,3 +1,5 @@
+import numpy as np
+
 from docloom.llm import urls
 
 
@@ -30,14 +32,40 @@ def test_rules_equal_brute_force(spark):
         assert r.verdict == (fit[1] if fit else "block" if r.score >= 0.5 else "allow")
 
 
-def test_model_generalises():
+def test_held_out_by_name():
+    """Five folds over host names: no name of a test fold, with whatever subdomain, is in training."""
     rows = urls.labelled_urls()
-    held = [r for k, r in enumerate(rows) if k % 4 == 3]
-    weights = urls.train([r for k, r in enumerate(rows) if k % 4 != 3])
-    import numpy as np
+    names = sorted({urls.name_of(r[0]) for r in rows})
+    fold = {n: k * 7 % 5 for k, n in enumerate(names)}
+    said, true = [], []
+    for f in range(5):
+        held = [r for r in rows if fold[urls.name_of(r[0])] == f]
+        weights = urls.train([r for r in rows if fold[urls.name_of(r[0])] != f])
+        said += list(urls._logits(weights, [r[0] for r in held], [r[1] for r in held]) > 0)
+        true += [r[2] == 1 for r in held]
+    said, true = np.array(said), np.array(true)
+    assert np.mean(said == true) >= 0.95 and np.mean(said[true]) >= 0.9
+
+
+def test_training_names_are_not_those_of_the_test_tables(spark):
+    names = {urls.name_of(r[0]) for r in urls.labelled_urls()}
+    for sf in ("sf0.001", "sf0.1"):
+        hosts = urls.filter_urls(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")).select("host").distinct().collect()
+        assert not names & {urls.name_of(r.host) for r in hosts}
+
+
+def test_paths_carry_signal():
+    weights = urls.train(urls.labelled_urls())
+    hosts, paths = ["qwv.org"] * 2, ["/deposit/12", "/lesson/12"]
+    low, high = urls._logits(weights, hosts, paths)[::-1]
+    assert low < 0 and low + 1 < high
+
 
-    said = urls._logits(weights, [r[0] for r in held], [r[1] for r in held]) > 0
-    assert np.mean(said == np.array([r[2] == 1 for r in held])) >= 0.9
+def test_repeated_rows_and_long_urls(spark):
+    long = "http://casino-world.com/" + "a/" * 50_000
+    rows = [(1, long), (1, long), (None, long), (2, "http://" + "h" * 70_000 + ".org/x")]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == 4 and len({(r.host, r.path, r.verdict, r.score) for r in got}) == 2 and {len(r.path) for r in got} == {100_001, 2}
 
 
 def test_empty_table(spark):
