@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import Workspace
+from docloom.llm.shared import Workspace, join_groups
 
 
 def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """``a, b`` (longs) -> ``node, comp``: the smallest node each node can reach; nodes without edges are absent.
 
     A round takes the smallest label among the neighbours (a map-side combined
-    minimum, so a node with any number of edges is no hot spot) and then jumps
-    to that label's own label. Every round is kept until the next one is.
+    minimum) and then jumps to that label's own label. A node with very many edges, and
+    a label that very many nodes have, are told to their rows by ``join_groups``, so
+    neither is a hot key. Every round's labels are written to the shared folder,
+    which cuts the lineage: a lost executor costs parts of one round.
     """
-    both = work.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}_edges")
-    labels = work.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), f"{name}_0")
+    both = work.table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}_edges")
+    total = both.count()
+    labels = work.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"), F.count("*").alias("n")), f"{name}_0")
     step = 0
-    while not labels.isEmpty():
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+    while total:
+        told = labels.select(F.col("node").alias("b"), "comp", "n")
+        near = join_groups(both, told, ["b"], F.col("a"), total).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        lower = work.table(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"), F.col("n").alias("degree")), f"{name}_lower")
+        named = lower.groupBy("comp").agg(F.count("*").alias("n"))
+        further = named.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("further")), "comp")
+        further = work.table(further, f"{name}_further")
         step += 1
-        following = work.keep(
-            lower.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), f"{name}_{step}"
-        )
+        jumped = join_groups(lower, further, ["comp"], F.col("node")).select("node", "old", F.least("comp", "further").alias("comp"), F.col("degree").alias("n"))
+        following = work.table(jumped, f"{name}_{step}")
+        done = following.where("comp <> old").isEmpty()
+        labels = following.select("node", "comp", "n")
         work.drop(f"{name}_{step - 1}")
-        labels = following.select("node", "comp")
-        if following.where("comp <> old").isEmpty():
+        if done:
             break
-    work.drop(f"{name}_edges")
-    return labels
+    work.drop(f"{name}_edges", f"{name}_lower", f"{name}_further")
+    return labels.select("node", "comp")

@@ -5,31 +5,35 @@ with equal word sequences form one class and take part once. Then:
 
 1. Counting. One pass over the texts counts, for every shingle, the texts that
    hold it (as compressed sorted runs, merged by ranges of the hash). The most
-   frequent shingles, at most ``max_hot`` of them, are broadcast.
+   frequent shingles, at most ``max_hot`` of them, are broadcast; they only
+   decide the order of shingles, so neither that bound nor counts that end at 65,535 lose a link.
 2. Grouping. Eight one-permutation min-hashes propose, for each class, the
-   most central class with the same min-hash; proposals that agree in at least half
-   of the eight are verified exactly, and verified links make the groups. Large
-   families of near copies collapse here with one link per member.
-3. Matrix. Shingles are ordered: rare ones by hash, frequent ones last, by
+   most central class with the same min-hash. A class joins the group of the one it agrees with
+   most, in at least half of the eight. Similar texts so share a group, linked or not.
+3. Which groups can meet. Shingles are ordered: rare ones by hash, frequent ones last, by
    frequency. Of a set of n only the first n - ceil(t n) + 1 can be the first
-   one it shares with a set it links to (t: the threshold). The matrix holds,
-   per group, the union of these shingles over the group's members, and only
-   shingles that two groups hold.
-4. Bounding. Groups that share shingles are paired, and the number they share
-   bounds the overlap of any two members: the set whose shingles end first in
+   one it shares with a set it links to (t: the threshold). Per group the union of these leading shingles is
+   kept, and only those that two groups hold. Groups that share some are
+   paired, and the number they share bounds the overlap of any two members: the set whose shingles end first in
    the order has all its leading shingles decided, so at most n - alpha of them
    may be missing from the other, alpha being the overlap that the threshold
    asks for. Its leading shingles that lead in no other group are missing anyway;
-   of the other set this says nothing, as they may lie behind this one's leading
-   part. Groups that fall short are never opened.
-5. Opening. The members of qualifying pairs are bounded one by one in the same
-   way, block by block, and what is left is verified exactly on the texts. Verified links join groups.
-
-The result is exact but for 63-bit hash collisions: no link between classes of
-different groups is lost, and within a group nothing more is needed. Hot
-shingles, classes and groups are handled by map-side combined aggregates and by
-joins that adaptive execution can split; no group is gathered in one task and
-no pair within a group is emitted.
+   of the other set this says nothing, as they may lie behind this one's leading part.
+4. Matrix. Of groups with several members or a partner, members are stored with their whole sets in
+   blocks of bounded size; the shingles of a block's members, once each, are the block's token union.
+5. Opening. First every block is opened by itself, together with the text its group is named after, so a family
+   of near copies collapses with one link per member. Then blocks meet in pairs: those of one
+   group at growing distances, those of paired groups at once, and a pair is left out when one component holds all members of both.
+   A member of one block is compared with another block only if it shares enough shingles with that block's
+   union; what qualifies is counted by a matrix product. A row of work is two blocks, never a pair of texts, and the
+   links it finds leave as a spanning forest, at most one per member.
+
+The components are exact but for 63-bit hash collisions. Pairs within a component are not all looked at, so the operator gives no number of links.
+Min-hashes, blocks and rounds that many classes share are dealt by ``join_groups`` or by block, and no group is gathered in one task.
+
+Cost: leading shingles that g groups hold make g * g / 2 comparisons of bounds, in parts of 256 groups a side.
+A family whose members neither link nor differ in their leading shingles, as copies a little below the threshold from each other
+do, is opened block by block: the number of block pairs grows with the square of its size, by 256 * 256 text pairs each.
 
 Defined cases: a null or empty text has an empty set and links with nothing; a
 text of fewer words than ``width`` has its whole sequence as its only shingle;
@@ -50,8 +54,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.graph import components
-from docloom.llm.shared import Workspace
-from docloom.llm.words import _STEP, BLANK_SEPARATED, Words, _power_tables, mix, split_words, text_slices
+from docloom.llm.shared import Columns, Workspace, join_groups
+from docloom.llm.words import _STEP, BLANK_SEPARATED, Words, _power_tables, mix, runs, split_words, text_slices
 from docloom.ship import released, ship
 
 BINS = 8
@@ -60,7 +64,11 @@ _LOW43 = np.uint64((1 << 43) - 1)
 MAX_HOT = 1 << 19
 MAX_BROADCAST_IDS = 1_000_000
 _FLUSH = 3_000_000
-BLOCK = 64
+#: A block holds about so many members, and about so many shingles.
+BLOCK_MEMBERS = 256
+BLOCK_TOKENS = 1 << 16
+#: Groups that hold one leading shingle are compared in parts of so many.
+PART = 256
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,224 +302,321 @@ def _shared_tokens(runs: DataFrame, ranges: int) -> DataFrame:
     return runs.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(released(merge), "token long, class long")
 
 
-def _overlaps(a: pa.Array, b: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(intersection, union) of the sets of two equally long columns of texts, row by row."""
-    n = len(a)
-    inter, union = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    both = pa.chunked_array([pa.chunked_array([a.cast(pa.large_string()), b.cast(pa.large_string())]).combine_chunks()]).combine_chunks()
-    by_row = both.take(pa.array(np.arange(2 * n).reshape(2, n).T.reshape(-1)))
-    for first, stop, data, bounds in text_slices(by_row):
-        if first % 2 or stop % 2:
-            break
-    else:
-        for first, stop, data, bounds in text_slices(by_row):
-            _count_overlap(first, stop, data, bounds, width, inter, union)
-        return inter, union
-    for row in range(n):  # a slice ended between the two texts of a row
-        for first, stop, data, bounds in text_slices(by_row.slice(2 * row, 2), 1 << 62):
-            _count_overlap(first + 2 * row, stop + 2 * row, data, bounds, width, inter, union)
-    return inter, union
-
-
-def _count_overlap(first, stop, data, bounds, width, inter, union) -> None:
-    owner, h, size = shingle_sets(split_words(data, bounds, BLANK_SEPARATED), width)
-    row = owner // 2
-    by = np.lexsort((h, row))
-    same = (row[by][1:] == row[by][:-1]) & (h[by][1:] == h[by][:-1])
-    rows = (stop - first) // 2
-    shared = np.bincount(row[by][1:][same], minlength=rows)
-    inter[first // 2 : stop // 2] = shared
-    union[first // 2 : stop // 2] = size.reshape(-1, 2).sum(1) - shared
-
-
-def _open_blocks(num: int, den: int):
-    """Pairs (a, b) of members of two blocks that share enough leading shingles; see step 4 of the module's text."""
-
-    def matrix(block):
-        """Member columns, and (token, member) sorted by token."""
-        items = block.values
-        n, last, of = (items.field(k).to_numpy() for k in ("n", "l", "class"))
-        lists = items.field("tokens")
-        token = lists.flatten().to_numpy()
-        member = np.repeat(np.arange(len(n)), pa.compute.list_value_length(lists).to_numpy())
-        order = np.argsort(token, kind="stable")
-        return n, last, of, token[order], member[order]
+def _of_class(width: int):
+    """Rows (class, text) whose text is of the class, as (class, shingles): ascending 63-bit hashes, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for x, y in zip(batch.column(0), batch.column(1)):
-                nx, lx, cx, tx, mx = matrix(x)
-                ny, ly, cy, ty, my = matrix(y)
-                low, high = np.searchsorted(ty, tx, "left"), np.searchsorted(ty, tx, "right")
-                count = high - low
-                if not count.sum():
-                    continue
-                at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
-                code, shared = np.unique(np.repeat(mx, count) * len(ny) + my[at], return_counts=True)
-                i, j = code // len(ny), code % len(ny)
-                p, q = nx[i], ny[j]
-                ends = np.where(lx[i] <= ly[j], p, q)
-                need = -(-num * (p + q) // (num + den)) + 1 - -(-num * ends // den)
-                good = (shared >= need) & (den * p >= num * q) & (den * q >= num * p)
-                a.append(cx[i[good]])
-                b.append(cy[j[good]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            for first, stop, data, bounds in text_slices(batch.column(1)):
+                words = split_words(data, bounds, BLANK_SEPARATED)
+                mine = sequence_hash(words).view(np.int64) == batch.column(0).to_numpy()[first:stop]
+                owner, h, size = shingle_sets(words, width)
+                raw = h[mine[owner]].tobytes()
+                ends = np.concatenate(([0], np.cumsum(size[mine]))) * 8
+                sets = [raw[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first).filter(pa.array(mine)), pa.array(sets, pa.binary())], ["class", "shingles"])
 
     return run
 
 
-def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (class, text) whose text is of the class."""
-    for batch in batches:
-        for first, stop, data, bounds in text_slices(batch.column(1)):
-            mine = sequence_hash(split_words(data, bounds, BLANK_SEPARATED)).view(np.int64)
-            yield batch.slice(first, stop - first).filter(pa.array(mine == batch.column(0).to_numpy()[first:stop]))
+class _Block:
+    """Members of a block: class, size, and (token, member) pairs in order of tokens; ``union`` has each token once."""
 
+    def __init__(self, items: pa.StructArray):
+        of = items.field("class").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in items.field("shingles").to_pylist()]
+        self.of, self.size = of, np.array([len(x) for x in sets], np.int64)
+        token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        member = np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(token, kind="stable")
+        self.token, self.member = token[order], member[order]
+        self.union = self.token[runs(self.token)]
+
+    def only(self, members: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token number, member) pairs of chosen members and of the tokens of a sorted list."""
+        place = np.minimum(np.searchsorted(tokens, self.token), max(len(tokens) - 1, 0))
+        keep = members[self.member] & (tokens[place] == self.token) if len(tokens) else np.zeros(len(self.token), bool)
+        return place[keep], self.member[keep]
+
+
+def _enough(p: np.ndarray, q: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The overlap that sets of p and q shingles need to link."""
+    return -(-num * (p + q) // (num + den))
+
+
+def _product(x: tuple, y: tuple, nx: int, ny: int, n_tokens: int) -> np.ndarray:
+    """Overlaps of all members of two blocks, from their (token number, member) pairs; by counting or by a matrix product, whichever is less."""
+    (tx, mx), (ty, my) = x, y
+    cx, cy = np.bincount(tx, minlength=n_tokens), np.bincount(ty, minlength=n_tokens)
+    common = np.flatnonzero((cx > 0) & (cy > 0))
+    met = int((cx[common] * cy[common]).sum())
+    if met <= max(nx * ny * len(common) // 16, 1 << 12) and met <= 1 << 22:
+        low, count = np.searchsorted(ty, tx, "left"), cy[tx]
+        at = np.arange(met) + np.repeat(low - (np.cumsum(count) - count), count)
+        return np.bincount(np.repeat(mx, count) * ny + my[at], minlength=nx * ny).reshape(nx, ny)
+    out = np.zeros((nx, ny), np.float32)
+    number = np.full(n_tokens, -1)
+    number[common] = np.arange(len(common))
+    for from_ in range(0, len(common), 4096):
+        a, b = np.zeros((nx, 4096), np.float32), np.zeros((ny, 4096), np.float32)
+        for side, t, m in ((a, tx, mx), (b, ty, my)):
+            column = number[t] - from_
+            inside = (number[t] >= 0) & (column >= 0) & (column < 4096)
+            side[m[inside], column[inside]] = 1
+        out += a @ b.T
+    return np.rint(out).astype(np.int64)
+
+
+def _across(x: _Block, y: _Block, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member of x, member of y) that link. A block whose union shares too little with a member is not opened for it."""
+    chosen = []
+    for one, other in ((x, y), (y, x)):
+        place = np.minimum(np.searchsorted(other.union, one.token), max(len(other.union) - 1, 0))
+        held = np.bincount(one.member[other.union[place] == one.token], minlength=len(one.of)) if len(other.union) else np.zeros(len(one.of), np.int64)
+        chosen.append(held >= _enough(one.size, np.maximum(int(other.size.min()), -(-num * one.size // den)), num, den))
+    keep_x, keep_y = chosen
+    if not keep_x.any() or not keep_y.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = np.intersect1d(x.union, y.union, assume_unique=True)
+    shared = _product(x.only(keep_x, both), y.only(keep_y, both), len(x.of), len(y.of), len(both))
+    return np.nonzero((shared > 0) & (shared >= _enough(x.size[:, None], y.size[None, :], num, den)))
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n members the smallest one its links reach."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _links(of: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    label = _forest(len(of), i, j)
+    k = np.flatnonzero((label != np.arange(len(of))) & (of != of[label]))
+    return pa.RecordBatch.from_arrays([pa.array(of[k]), pa.array(of[label[k]])], ["a", "b"])
 
-def _verify(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
-    """The pairs (a, b of classes) whose sets link, checked on one text of each class."""
-    named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = work.keep(named.join(classes.select("class", "_row"), "class"), f"{name}_wanted")
-    few = wanted.count() <= MAX_BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_row"))).select("class", "text")
-    # rows that share an id may differ in text; rows that repeat are needed once
-    texts = work.table(texts.mapInArrow(released(_of_class), "class long, text string").dropDuplicates(["class"]), f"{name}_texts")
-    joined = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_alone(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                inter, union = _overlaps(part.column(2), part.column(3), width)
-                yield part.select([0, 1]).filter(pa.array((den * inter >= num * union) & (inter > 0)))
+            for members in batch.column(0):
+                x = _Block(members.values)
+                if len(x.of) > 1:
+                    yield _links(x.of, *_across(x, x, num, den))
 
-    linked = joined.select("a", "b", "text_a", "text_b").mapInArrow(released(check), "a long, b long")
-    out = work.keep(linked, f"{name}_links")
-    work.drop(f"{name}_texts")
-    return out
+    return run
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, max_hot: int = MAX_HOT, least_hot: int = 8) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links, text_class, stays``: one row per row of ``docs``.
+def _open_pair(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1)):
+                x, y = _Block(left.values), _Block(right.values)
+                i, j = _across(x, y, num, den)
+                if len(i):
+                    yield _links(np.concatenate((x.of, y.of)), i, j + len(x.of))
 
-    Two texts link when ``den * intersection >= num * union``; a component is
-    named by its smallest id. ``n_links``: verified links at the row's class.
-    ``text_class``: hash of the text's word sequence. ``stays``: whether the
-    row is of the one (id, text class) that stands for its component, or has no words.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    work = Workspace(spark, "jaccard")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = work.table(_first_pass(rows, width, ranges), "first")
-    texts = first.where("range IS NULL").select("id", "class", "size", "keys")
-    filled = texts.where("size > 0")
-    # equal word sequences are one class; _row names a row to take its text from
-    classes = work.table(filled.groupBy("class").agg(F.min("id").alias("_row"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
-    frequent = _frequent(first.where("range IS NOT NULL").select("range", "runs", "counts"), ranges, least_hot, max_hot)
+    return run
 
-    lead = work.table(_leading_pass(rows.select("text"), width, num, den, ranges, frequent), "lead")
-    last = work.table(lead.where("size IS NOT NULL").select("class", "size", "last", "rare").dropDuplicates(["class"]), "last")
 
+def _grouped(work: Workspace, classes: DataFrame, last: DataFrame) -> DataFrame:
+    """``class, comp``: the class whose group it joins, for classes that join one."""
     keyed = classes.select("class", F.posexplode("keys").alias("bin", "key")).where("key <> 0")
-    met = keyed.groupBy("bin", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = work.table(keyed.join(met, ["bin", "key"]), "shared")
+    met = work.table(keyed.groupBy("bin", "key").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    shared = work.table(join_groups(keyed, met, ["bin", "key"], F.col("class")).where("n IS NOT NULL"), "shared")
     # the leader of the classes with one min-hash is the middle of a family: the smallest share of shingles that few texts hold
     common = shared.groupBy("class").agg(F.sum("n").alias("n")).join(last, "class")
     central = common.select("class", F.struct(F.round(-F.col("rare") / F.col("size"), 3), "n", "class").alias("score"))
-    leaders = shared.join(central, "class").groupBy("bin", "key").agg(F.max("score")["class"].alias("leader"))
-    proposed = shared.join(leaders, ["bin", "key"]).where("class <> leader").groupBy(F.col("class").alias("a"), F.col("leader").alias("b")).count()
-    star = work.keep(proposed.where(F.col("count") >= BINS // 2).select("a", "b"), "star")
-    star_links = _verify(work, rows, classes, star, width, num, den, "star")
-    groups = components(work, star_links, "groups")
+    leaders = shared.join(central, "class").groupBy("bin", "key").agg(F.max("score").alias("leader"), F.count("*").alias("n"))
+    leaders = work.table(leaders, "leaders")
+    led = join_groups(shared.drop("n"), leaders, ["bin", "key"], F.col("class")).where("leader.class <> class")
+    proposed = led.groupBy("class", "leader").agg(F.count("*").alias("agree")).where(F.col("agree") >= BINS // 2)
+    best = work.table(proposed.groupBy("class").agg(F.max(F.struct("agree", "leader"))["leader"]["class"].alias("comp")), "best")
+    work.drop("met", "shared", "leaders")
+    return best
 
-    held = _shared_tokens(lead.where("range IS NOT NULL").select("range", "runs", "classes"), ranges).union(lead.where("token IS NOT NULL").select("token", "class").distinct())
-    member = last.drop("rare").join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+
+def _paired(work: Workspace, held: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame:
+    """``compx, compy``: pairs of groups whose leading shingles (``token, class``) leave room for a link."""
     tokens = work.table(held.join(member, "class"), "tokens")
-    several = work.table(tokens.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token"), "several")
-    inside = tokens.join(several, "token", "left_semi")
+    several = work.table(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("token", "n"), "several")
+    inside = join_groups(tokens, several, ["token"], F.col("class")).where("n IS NOT NULL").drop("n")
     # leading shingles that lead in no other group are missing from every set whose leading shingles end later:
     # ``reach`` bounds the overlap with those sets, and with no others
+    inside = work.table(inside, "inside")
     alive = inside.groupBy("class").agg(F.count("*").alias("alive"))
     reach = F.expr(f"size - (size - ceil({num} * size / {den}) + 1 - alive)")
-    inside = work.table(inside.join(alive, "class").withColumn("reach", reach), "inside")
-    matrix = inside.groupBy("token", "comp").agg(F.min("size").alias("n0"), F.max("size").alias("n1"), F.min("last").alias("l0"), F.max("last").alias("l1"), F.max("reach").alias("r"))
-    matrix = work.table(matrix, "matrix")
+    matrix = inside.join(alive, "class").withColumn("reach", reach).groupBy("token", "comp")
+    matrix = work.table(matrix.agg(F.min("size").alias("n0"), F.max("size").alias("n1"), F.min("last").alias("l0"), F.max("last").alias("l1"), F.max("reach").alias("r")), "matrix")
+    crowded = work.table(matrix.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > PART), "crowded")
+    parted = join_groups(matrix, crowded, ["token"], F.col("comp")).withColumn("parts", F.coalesce(F.ceil(F.col("n") / PART), F.lit(1)).cast("int")).drop("n")
 
-    def side(df: DataFrame, k: str, names: list[str]) -> DataFrame:
-        return df.select("token", *[F.col(c).alias(c + k) for c in names])
+    def side(df: DataFrame, k: str) -> DataFrame:
+        return df.select("token", "part", *[F.col(c).alias(c + k) for c in ("comp", "n0", "n1", "l0", "l1", "r")])
 
     alpha = f"ceil({num} * (n0x + n0y) / {num + den})"
-    sizes = ["comp", "n0", "n1", "l0", "l1", "r"]
     reached = "CASE WHEN l1x <= l0y THEN rx WHEN l1y <= l0x THEN ry ELSE greatest(rx, ry) END"
-    met = side(matrix, "x", sizes).join(side(matrix, "y", sizes), "token")
+    left = side(parted.withColumn("part", F.pmod(F.xxhash64("comp"), F.col("parts")).cast("int")), "x")
+    right = side(parted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "y")
+    met = left.join(right, ["token", "part"])
     met = met.where(f"compx < compy AND {den} * n1x >= {num} * n0y AND {den} * n1y >= {num} * n0x AND {reached} >= {alpha}")
     met = met.groupBy("compx", "compy").agg(F.count("*").alias("s"), *[f(c + k).alias(c + k) for k in "xy" for c, f in (("n0", F.min), ("n1", F.max), ("l0", F.min), ("l1", F.max))])
     spare = lambda k: f"(1 - ceil({num} * n1{k} / {den}))"  # noqa: E731  leading shingles less all, of the largest member
     need = f"{alpha} + CASE WHEN l1x <= l0y THEN {spare('x')} WHEN l1y <= l0x THEN {spare('y')} ELSE least({spare('x')}, {spare('y')}) END"
-    opened = work.keep(met.where(f"s >= {need}").select("compx", "compy"), "opened")
-
-    inside = inside.select("token", "class", "comp", F.col("size").alias("n"), F.col("last").alias("l"))
-    # a pair of groups of one class each is a pair of classes already, bounded exactly above
-    crowd = work.keep(member.groupBy("comp").agg(F.count("*").alias("members"), F.min("class").alias("only")), "crowd")
-    counted = opened.join(crowd.select(F.col("comp").alias("compx"), F.col("members").alias("mx"), F.col("only").alias("onlyx")), "compx")
-    counted = work.keep(counted.join(crowd.select(F.col("comp").alias("compy"), F.col("members").alias("my"), F.col("only").alias("onlyy")), "compy"), "counted")
-    single = counted.where("mx = 1 AND my = 1").select(F.col("onlyx").alias("a"), F.col("onlyy").alias("b"))
-    within = counted.where("mx > 1 OR my > 1").select("compx", "compy")
-    # a larger group is opened in blocks of members, so that one row meets a block and no pair is a row before it is bounded
-    some = within.select(F.col("compx").alias("comp")).union(within.select(F.col("compy").alias("comp"))).distinct()
-    held = inside.join(some, "comp", "left_semi").groupBy("comp", "class").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list("token").alias("tokens"))
-    sized = held.join(crowd.select("comp", "members"), "comp").withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / BLOCK)))
-    blocks = work.table(sized.groupBy("comp", "block").agg(F.collect_list(F.struct("class", "n", "l", "tokens")).alias("held")), "blocks")
-    met = within.join(blocks.select(F.col("comp").alias("compx"), F.col("held").alias("x")), "compx").join(blocks.select(F.col("comp").alias("compy"), F.col("held").alias("y")), "compy")
-    pairs = met.select("x", "y").mapInArrow(released(_open_blocks(num, den)), "a long, b long")
-    candidates = work.keep(single.union(pairs).distinct(), "candidates")
-    more_links = _verify(work, rows, classes, candidates, width, num, den, "open")
-
-    links = work.keep(star_links.union(more_links), "links")
-    joined = components(work, links, "joined")
-    degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    labelled = classes.select("class", F.col("_row")).join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    named = labelled.groupBy("comp").agg(F.min("_row").alias("component_id"), F.min_by("class", F.struct(F.col("_row").isNull(), "_row", "class")).alias("kept"))
-    labels = labelled.join(named, "comp").join(degree, "class", "left")
-    labels = work.table(labels.select("class", "component_id", "kept", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
-    work.drop_kept()
-    work.drop("lead", "last", "shared", "tokens", "several", "inside", "matrix")
-    out = texts.select("id", F.col("class").alias("text_class"), "size").join(labels, (F.col("text_class") == labels["class"]) & (F.col("size") > 0), "left")
+    found = work.table(met.where(f"s >= {need}").select("compx", "compy"), "paired")
+    work.drop("tokens", "several", "inside", "matrix", "crowded")
+    return found
+
+
+def _blocks(work: Workspace, docs: DataFrame, classes: DataFrame, member: DataFrame, paired: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """``comp, block, members`` of the groups to open, and ``class, comp, block`` of their members.
+
+    The class that a group is named after is in each of the group's blocks.
+    """
+    crowd = member.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.max(F.col("class") == F.col("comp")).alias("own"))
+    partners = paired.select(F.col("compx").alias("comp")).union(paired.select(F.col("compy").alias("comp"))).distinct().withColumn("partner", F.lit(True))
+    opened = crowd.join(partners, "comp", "left").where("partner OR n > 1 OR NOT own")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    opened = work.table(opened.select("comp", "n", parts.alias("parts")), "opened")
+    others = join_groups(member.where("class <> comp").select("class", "comp"), opened, ["comp"], F.col("class")).where("parts IS NOT NULL")
+    others = others.select("class", "comp", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("block"))
+    named = opened.select(F.col("comp").alias("class"), "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    placed = work.table(others.union(named), "placed")
+    wanted = work.table(placed.select("class").distinct().join(classes.select("class", "_row"), "class"), "wanted")
+    few = wanted.count() <= MAX_BROADCAST_IDS  # two longs each
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_row"))).select("class", "text")
+    # rows that share an id may differ in text; rows that repeat are needed once
+    sets = texts.mapInArrow(released(_of_class(width)), "class long, shingles binary").dropDuplicates(["class"])
+    blocks = placed.join(sets, "class").groupBy("comp", "block").agg(F.collect_list(F.struct("class", "shingles")).alias("members"))
+    blocks = work.table(blocks, "blocks")
+    work.drop("opened", "wanted")
+    return blocks, placed
+
+
+def _attached(work: Workspace, pairs: DataFrame, blocks: DataFrame, k: str, other: list[str]) -> DataFrame:
+    """``pairs`` with the members of their block ``k``; a block that many pairs name is dealt in copies, one for each 64 of them."""
+    name = [f"comp{k}", f"block{k}"]
+    counts = work.table(pairs.groupBy(*name).agg(F.count("*").alias("n")), f"counts{k}")
+    copies = F.ceil(F.col("n") / 64).cast("int")
+    dealt = join_groups(pairs, counts, name, F.struct(*other)).withColumn("deal", F.pmod(F.xxhash64(*other), copies).cast("int")).drop("n")
+    counted = counts.select(F.col(name[0]).alias("comp"), F.col(name[1]).alias("block"), "n")
+    ready = blocks.join(counted, ["comp", "block"]).select(F.col("comp").alias(name[0]), F.col("block").alias(name[1]), F.col("members").alias(f"members{k}"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("deal"))
+    return dealt.join(ready, [*name, "deal"]).drop("deal")
+
+
+def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, paired: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: verified links that join all that link; ``node, comp``: the components they make."""
+    links = work.table(blocks.where(F.size("members") > 1).select("members").mapInArrow(released(_open_alone(num, den)), "a long, b long"), "links0")
+    sizes = blocks.groupBy("comp").agg((F.max("block") + 1).alias("parts"))
+    parts = work.table(sizes, "parts")
+    largest = parts.agg(F.max("parts")).first()[0] or 0
+    reach, step = 0, 0
+    while True:
+        found = components(work, links, f"round{step}")
+        # a block within one component, and which
+        labelled = placed.join(found.withColumnRenamed("node", "class").withColumnRenamed("comp", "label"), "class", "left")
+        label = F.coalesce("label", "class")
+        whole = work.table(labelled.groupBy("comp", "block").agg(F.min(label).alias("lo"), F.max(label).alias("hi")), "whole")
+        # blocks of a group stand in a ring; a round takes the pairs at the distances that follow those of the round before
+        far = min(max(2, 4 * reach), largest // 2)
+        ring = parts.where(F.col("parts") > 2 * reach + 1).withColumn("blockx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        ring = ring.where(F.expr(f"floor(parts / 2) > {reach}")).withColumn("away", F.explode(F.expr(f"sequence({reach + 1}, least({max(far, reach + 1)}, floor(parts / 2)))").cast("array<int>")))
+        pairs = ring.select(F.col("comp").alias("compx"), "blockx", F.col("comp").alias("compy"), F.pmod(F.col("blockx") + F.col("away"), F.col("parts")).cast("int").alias("blocky"))
+        if step == 0:
+            at = lambda k: parts.select(F.col("comp").alias(f"comp{k}"), F.col("parts").alias(f"parts{k}"))
+            cross = paired.join(at("x"), "compx").join(at("y"), "compy").withColumn("blockx", F.explode(F.sequence(F.lit(0), F.col("partsx") - 1)))
+            cross = cross.withColumn("blocky", F.explode(F.sequence(F.lit(0), F.col("partsy") - 1)))
+            pairs = pairs.union(cross.select("compx", "blockx", "compy", "blocky"))
+        one = lambda k: whole.select(F.col("comp").alias(f"comp{k}"), F.col("block").alias(f"block{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}"))
+        open_ = pairs.join(one("x"), ["compx", "blockx"]).join(one("y"), ["compy", "blocky"]).where("NOT (lox = hix AND loy = hiy AND lox = loy)")
+        open_ = work.table(open_.select("compx", "blockx", "compy", "blocky"), f"pairs{step}")
+        some = not open_.isEmpty()
+        if some:
+            both = _attached(work, _attached(work, open_, blocks, "x", ["compy", "blocky"]), blocks, "y", ["compx", "blockx"])
+            more = both.select("membersx", "membersy").mapInArrow(released(_open_pair(num, den)), "a long, b long")
+            links = work.table(links.union(more), f"links{step + 1}")
+            work.drop(f"links{step}")
+        work.drop(f"pairs{step}", "whole")
+        reach, step = max(far, reach + 1), step + 1
+        if reach >= largest // 2:
+            return links, components(work, links, "joined") if some else found
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, max_hot: int = MAX_HOT, least_hot: int = 8) -> DataFrame:
+    """``doc_id, n_shingles, component_id, text_class, stays``: one row per row of ``docs``.
+
+    Two texts link when ``den * intersection >= num * union``; a component is
+    named by its smallest id. ``text_class``: hash of the text's word sequence. ``stays``: whether the
+    row is of the one (id, text class) that stands for its component, or has no words.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    work = Workspace(spark, "jaccard")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    first = work.table(_first_pass(rows, width, ranges), "first")
+    texts = first.where("range IS NULL").select("id", "class", "size", "keys")
+    # equal word sequences are one class; _row names a row to take its text from
+    classes = texts.where("size > 0").groupBy("class").agg(F.min("id").alias("_row"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    classes = work.table(classes, "classes")
+    frequent = _frequent(first.where("range IS NOT NULL").select("range", "runs", "counts"), ranges, least_hot, max_hot)
+    lead = work.table(_leading_pass(rows.select("text"), width, num, den, ranges, frequent), "lead")
+    last = work.table(lead.where("size IS NOT NULL").select("class", "size", "last", "rare").dropDuplicates(["class"]), "last")
+
+    best = _grouped(work, classes, last)
+    member = work.table(last.drop("rare").join(best, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "member")
+    held = _shared_tokens(lead.where("range IS NOT NULL").select("range", "runs", "classes"), ranges).union(lead.where("token IS NOT NULL").select("token", "class").distinct())
+    paired = _paired(work, held, member, num, den)
+    work.drop("lead", "last", "best")
+    blocks, placed = _blocks(work, rows, classes, member, paired, width)
+    links, joined = _opened(work, blocks, placed, paired, num, den)
+    work.drop("member", "paired", "blocks", "placed", "parts")
+
+    labelled = classes.select("class", "_row", "n").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    labelled = work.table(labelled, "labelled")
+    named = labelled.groupBy("comp").agg(F.min("_row").alias("component_id"), F.min_by("class", F.struct(F.col("_row").isNull(), "_row", "class")).alias("kept"), F.count("*").alias("n"))
+    labels = join_groups(labelled.withColumnRenamed("n", "rows"), work.table(named, "named"), ["comp"], F.col("class"))
+    labels = work.table(labels.select("class", "component_id", "kept", F.col("rows").alias("n")), "labels")
+    work.drop("labelled", "named")
+    out = join_groups(texts.select("id", "class", "size"), labels, ["class"], F.col("id"))
     return out.select(
-        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_class",
-        ((F.col("size") == 0) | (F.col("kept") == F.col("text_class")) & F.col("id").eqNullSafe(F.col("component_id"))).alias("stays"),
+        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
+        F.col("class").alias("text_class"), ((F.col("size") == 0) | (F.col("kept") == F.col("class")) & F.col("id").eqNullSafe(F.col("component_id"))).alias("stays"),
     )
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component; texts without words all stay."""
-    work = Workspace(docs.sparkSession, "representatives")
-    found = work.table(jaccard_components(docs, id_col=id_col, text_col=text_col, width=width, num=num, den=den).select("doc_id", "text_class", "stays", "n_shingles"), "found")
-    gone = found.where("NOT stays").select(F.col("doc_id").alias("__dl_gone")).distinct()
+    """``docs`` with one document of each component; texts without words all stay, and so do all columns."""
+    columns, work = Columns(docs), Workspace(docs.sparkSession, "representatives")
+    plain, id_, text = columns.plain, F.col(columns.at(id_col)).cast("long"), F.col(columns.at(text_col)).cast("string")
+    found = work.table(jaccard_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width=width, num=num, den=den).select("doc_id", "text_class", "stays", "n_shingles"), "found")
+    gone = found.where("NOT stays").select(F.col("doc_id").alias("gone")).distinct()
     repeated = found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
-        few = gone.count() <= MAX_BROADCAST_IDS
-        return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__dl_gone"), "left_anti")
+        few = gone.count() <= MAX_BROADCAST_IDS  # one long each
+        return columns.back(plain.join(F.broadcast(gone) if few else gone, id_ == F.col("gone"), "left_anti"))
 
     # ids do not name rows: rows are told apart by id and text class, and repeats of the row that stays go
-    base = docs.withColumn("__dl_id", F.col(id_col).cast("long")).withColumn("__dl_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    base = plain.withColumn("id", id_).withColumn("said", F.coalesce(text, F.lit("")))
 
     def with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__dl_text")
+            at = batch.schema.get_field_index("said")
             parts = [sequence_hash(split_words(data, bounds, BLANK_SEPARATED)).view(np.int64) for _, _, data, bounds in text_slices(batch.column(at))]
-            yield batch.append_column("__dl_class", pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+            yield batch.append_column("class", pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
-    staying = found.where("stays AND n_shingles > 0").select(F.col("doc_id").alias("__dl_i"), F.col("text_class").alias("__dl_c")).distinct()
-    rows = base.mapInArrow(released(with_class), T.StructType([*base.schema.fields, T.StructField("__dl_class", T.LongType())]))
-    wordless = rows.join(found.where("n_shingles = 0").select(F.col("text_class").alias("__dl_c")).distinct(), F.col("__dl_class") == F.col("__dl_c"), "left_semi")
-    kept = rows.join(staying, F.col("__dl_id").eqNullSafe(F.col("__dl_i")) & (F.col("__dl_class") == F.col("__dl_c")), "left_semi").dropDuplicates(["__dl_id", "__dl_class"])
-    return kept.union(wordless).drop("__dl_id", "__dl_text", "__dl_class")
+    staying = found.where("stays AND n_shingles > 0").select(F.col("doc_id").alias("i"), F.col("text_class").alias("k")).distinct()
+    rows = base.mapInArrow(released(with_class), T.StructType([*base.schema.fields, T.StructField("class", T.LongType())]))
+    wordless = rows.join(found.where("n_shingles = 0").select(F.col("text_class").alias("k")).distinct(), F.col("class") == F.col("k"), "left_semi")
+    kept = rows.join(staying, F.col("id").eqNullSafe(F.col("i")) & (F.col("class") == F.col("k")), "left_semi").dropDuplicates(["id", "class"])
+    return columns.back(kept.union(wordless))
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import frame, near_copies, odd_rows, sentence
+from helpers import frame, near_copies, odd_rows, sentence, settings
+from pyspark.sql import functions as F
 
 from docloom.llm import jaccard
 
@@ -119,3 +120,81 @@ def test_representatives_of_repeated_ids(spark):
 def test_empty_table(spark):
     assert jaccard.jaccard_components(frame(spark, [])).count() == 0
     assert jaccard.keep_representatives(frame(spark, [])).count() == 0
+
+
+def family(rng, n, words=204):
+    """Copies with three or four words changed each, none of them in the middle."""
+    base, out = sentence(rng, words).split(), []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), rng.choice((3, 4))):
+            w[k] = sentence(rng, 1)
+        out.append(" ".join(w))
+    return out
+
+
+def fast_brute(texts, width, num, den):
+    """Smallest linked index per text, with overlaps from a matrix product."""
+    sets = [shingles(t, width) for t in texts]
+    number = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(texts), len(number)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [number[x] for x in s]] = 1
+    inter, size = m @ m.T, m.sum(1)
+    near = (inter > 0) & (den * inter >= num * (size[:, None] + size[None, :] - inter))
+    label = np.arange(len(texts))
+    while True:
+        new = np.array([label[near[k]].min() if near[k].any() else k for k in range(len(texts))])
+        new = np.minimum(label, new)
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def test_families_without_a_centre(spark, monkeypatch):
+    """Work rows are blocks and pairs of blocks, links at most one per member and row; whatever the size, the components are right."""
+    seen = {}
+    table = jaccard.Workspace.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Workspace, "table", counted)
+    texts = family(random.Random(7), 700)
+    links = {}
+    for n, members in ((350, 256), (700, 256), (350, 40)):
+        monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", members)
+        seen.clear()
+        got = run(spark, list(enumerate(texts[:n])), 4, 85, 100)
+        assert [c for _, _, c in sorted(got)] == fast_brute(texts[:n], 4, 85, 100)
+        blocks = -(-n // members) + 8 * 2
+        assert seen["pairs0"] <= blocks * blocks and seen["paired"] <= 64
+        links[n, members] = max(v for k, v in seen.items() if k.startswith("links"))
+        assert links[n, members] <= 2 * n
+    assert links[700, 256] <= 3 * links[350, 256] + 50
+
+
+def test_large_family_of_near_copies_opens_no_pairs_of_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    base = sentence(rng, 120).split()
+    texts = [" ".join(base)]
+    for _ in range(300):
+        w = list(base)
+        w[rng.randrange(120)] = sentence(rng, 1)
+        texts.append(" ".join(w))
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 32)
+    got = run(spark, list(enumerate(texts)), 4, 85, 100)
+    assert {c for _, _, c in got} == {0}
+
+
+def test_no_task_gets_a_third_of_the_rows(spark):
+    """A text that a third of all rows repeat, with automatic broadcasts off."""
+    rows = [(k, "the same words over and over again" if k % 3 == 0 else sentence(random.Random(k), 12)) for k in range(1500)]
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.enabled": "false"}
+    with settings(spark, off):
+        out = jaccard.jaccard_components(frame(spark, rows, extra=False), width=4, num=85, den=100)
+        shares = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(shares) == 1500 and max(shares) < 1500 / 8
+        assert out.where("component_id = 0").count() == 500

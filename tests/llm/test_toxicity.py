@@ -32,7 +32,7 @@ def test_held_out_accuracy(spark):
     assert held and all(r.fold == zlib.crc32(str(r.doc_id).encode()) % 5 for r in got)
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
-    assert (model.rate[1] > model.rate[0]).all() and (model.weight <= 1).all()
+    assert 0.1 < model.prior < 0.3 and all(b > a - 1 for a, b in zip(model.likelihood, model.likelihood[1:]))
 
 
 def test_labels_of_held_out_rows_do_not_matter(spark):
@@ -57,13 +57,62 @@ def test_odd_rows_and_empty_tables(spark):
     assert toxicity.score(empty, patterns, weights).count() == 0
 
 
-def test_label_model_discounts_copies_of_a_voter():
-    rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.2
-    votes = [np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.05) for _ in range(3)]
-    votes += [votes[0]] * 2
-    patterns = sum(v.astype(int) << k for k, v in enumerate(votes))
-    counts = dict(zip(*(x.tolist() for x in np.unique(patterns, return_counts=True))))
-    model = toxicity.LabelModel(counts, 5, 0.1)
-    assert model.weight[0] < 0.6 < model.weight[1]
-    assert abs(model.rate[1][1] - 0.8) < 0.2 and np.mean((model.posterior(patterns) > 0.5) == y) > 0.9
+def test_repeated_rows_long_texts_and_repeated_labels(spark):
+    rows, labels = corpus(300)
+    long = "fine words here " * 60_000
+    rows += [(1000, rows[0][1])] * 3 + [(1001, long), (1002, long + "idiot moron"), (None, rows[0][1])]
+    table = spark.createDataFrame(labels + [(1000, 1)] * 4 + [(None, 1)], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    patterns, weights, _ = toxicity.fit(docs, table, max_training=100)
+    got = toxicity.score(docs, patterns, weights)
+    assert len(set(got.columns)) == len(got.columns)
+    scores = {}
+    for r in got.collect():
+        scores.setdefault(r.text, set()).add(r.score)
+    assert all(len(v) == 1 for v in scores.values()) and len(scores[long]) == 1
+
+
+def simulated(n=6000, share=0.2, seed=1):
+    """Answers of three independent voters, one that mostly repeats the first, and one that always does."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < share
+    votes = []
+    for right, wrong in ((0.8, 0.05), (0.7, 0.1), (0.75, 0.02)):
+        said = np.where(rng.random(n) < np.where(y, right, wrong), toxicity.TOXIC, toxicity.CLEAN)
+        votes.append(np.where(rng.random(n) < 0.2, toxicity.ABSTAIN, said))
+    votes += [np.where(rng.random(n) < 0.8, votes[0], rng.integers(0, 3, n)), votes[0]]
+    keys = sum(v.astype(np.int64) * 3**k for k, v in enumerate(votes))
+    return y, votes, keys, dict(zip(*(x.tolist() for x in np.unique(keys, return_counts=True))))
+
+
+def test_label_model_equals_enumeration():
+    """The tree's probabilities, term by term, over every possible pattern of votes."""
+    y, votes, keys, counts = simulated()
+    model = toxicity.LabelModel(counts, 5)
+    every = np.arange(3**5)
+    total = 0.0
+    for key in every.tolist():
+        said = [key // 3**k % 3 for k in range(5)]
+        p = [1 - model.prior, model.prior]
+        for c in (0, 1):
+            for v in range(5):
+                up = model.parent[v]
+                p[c] *= model.table[c, v, said[up] if up >= 0 else 0, said[v]]
+        total += sum(p)
+        assert abs(model.posterior(np.array([key]))[0] - p[1] / sum(p)) < 1e-9
+    assert abs(total - 1) < 1e-9
+    assert all(b > a - 1 for a, b in zip(model.likelihood[13:], model.likelihood[14:]))
+
+
+def test_label_model_learns_accuracies_and_correlations():
+    y, votes, keys, counts = simulated()
+    model = toxicity.LabelModel(counts, 5)
+    assert abs(model.prior - 0.2) < 0.03 and np.mean((model.posterior(keys) > 0.5) == y) > 0.88
+    assert model.parent.tolist() == [-1, -1, -1, 0, 0]
+    assert abs(model.table[1, 1, 0, toxicity.TOXIC] - 0.8 * 0.7) < 0.05 and abs(model.table[0, 1, 0, toxicity.TOXIC] - 0.8 * 0.1) < 0.03
+    # a copy of a voter adds nothing: the posterior without it is nearly the same
+    alone = toxicity.LabelModel(dict(zip(*(x.tolist() for x in np.unique(keys % 3**4, return_counts=True)))), 4)
+    assert np.abs(alone.posterior(keys % 3**4) - model.posterior(keys)).mean() < 0.05
+    # a mostly toxic corpus is not held below a half
+    y, votes, keys, counts = simulated(share=0.7, seed=2)
+    assert toxicity.LabelModel(counts, 5).prior > 0.5
