@@ -11,19 +11,22 @@ corpus-wide question splits into one small string per anchor:
 
 1. One pass cuts all texts into units and keeps, per task, the first place of
    each distinct (anchor, unit); other places repeat it and are covered whole.
-   Units travel as compressed sorted runs, merged by ranges of the anchor.
+   Units travel as compressed sorted runs, merged by ranges of the anchor whose number follows from the number of units.
 2. Anchors of one distinct unit have nothing left to decide. For the others the
    distinct units are joined to a string, the anchor gram folded to one symbol,
    and its suffix array is built (see ``suffixes``). Windows that share their
    prefix are neighbours there; all but the earliest of them are covered.
-   An anchor with many units is first cut by the windows' distance from it.
-3. Anchors with very many different units in one task, such as the edges of a
-   passage that a third of all documents share, are not gathered: their windows
-   are compared by 128-bit hash with map-side combined aggregates.
+3. An anchor with ``HOT_UNITS`` or more different units, in one task or in all, such as the edge of a
+   passage that very many documents share, is hot. Its units are cut: windows whose distance from the anchor lies in
+   one band of 8 share a core of bytes, and only windows with equal bands and cores can be equal, so band and core
+   are the anchor of smaller units, which go through steps 1 and 2 again as smaller suffix-array groups. Where such a group is hot once
+   more, bands have width 1: a unit is a window, and equal windows are settled as repeats by step 1.
+   A task that finds an anchor hot tells the others through the runs, so units that
+   another task did not find hot follow; no list of hot anchors is collected.
 4. Covered stretches are merged per document and cut out.
 
-Hash equality (64-bit anchor and 64-bit unit, or 128-bit window) stands for
-byte equality.
+Hash equality (64-bit anchor and 64-bit unit, from two different hashes of the bytes where a unit is cut) stands for
+byte equality. Texts are joined to their places by broadcast below ``MAX_BROADCAST_BYTES``, else by a shuffle.
 
 Defined cases: null is an empty text; texts under ``length`` bytes are never
 cut; documents are ordered by id (null first), those that share an id by a hash
@@ -39,35 +42,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.llm.jaccard import _pack, _pack_sorted, _unpack, _unpack_sorted
-from docloom.llm.shared import Workspace
+from docloom.llm.shared import Columns, Workspace
 from docloom.llm.suffixes import equal_windows
-from docloom.llm.words import _BYTE, _power_tables, mix, text_slices
+from docloom.llm.words import _BYTE, _power_tables, mix, runs, text_slices
 from docloom.ship import released, ship
 
 _PLACE = np.uint64((1 << 20) - 1)
 _SEGMENT = 1 << 19
 _FLUSH_UNITS = 350_000
-HOT_UNITS = 128
-MAX_BROADCAST = 2_000_000
+#: So many different units of one anchor are not sorted as one group but cut.
+HOT_UNITS = 64
+#: Widths of the bands of distances that units are cut by; 0: whole units.
+BANDS = (0, 8, 1)
+_RANGE_UNITS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 _SA_SYMBOLS = 500_000
-SPLIT_UNITS = 64
 _END, _SEPARATOR, _FOLD = 0, 1, 2
 
 
-def _text_hash(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    n = len(data)
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    a, b = bounds[:-1], bounds[1:]
-    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-
-
 def cut_units(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text number, first window, number of windows, anchor offset in the unit, anchor, unit hash) of all units."""
     n = len(data)
@@ -108,6 +105,31 @@ def cut_units(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> t
     return owner[lead], first, count, offset, mix(grams[anchor]), unit
 
 
+def cut_bands(data: np.ndarray, begin: np.ndarray, count: np.ndarray, offset: np.ndarray, length: int, band: int) -> tuple[np.ndarray, ...]:
+    """(unit number, first window after the unit's, number of windows, anchor offset, key of band and core, hash of the bytes) of the parts of units that begin at ``begin``."""
+    n = len(data)
+    low, high = (offset - count + 1) // band, offset // band
+    parts = high - low + 1
+    unit = np.repeat(np.arange(len(begin)), parts)
+    c = np.arange(len(unit)) - np.repeat(np.cumsum(parts) - parts, parts) + low[unit]
+    first = np.maximum(0, offset[unit] - band * (c + 1) + 1)
+    last = np.minimum(count[unit] - 1, offset[unit] - band * c)
+    up, down = _power_tables(n + 1)
+
+    def hashes(table: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[data] * up[:n], out=total[1:])
+        return (total[z] - total[a]) * down[a]
+
+    anchor = begin[unit] + offset[unit]
+    core = hashes(_BYTE, anchor - band * c, anchor - band * (c + 1) + 1 + length)
+    key = mix(core + (c + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    body = hashes(_BYTE[::-1], begin[unit] + first, begin[unit] + last + length)
+    rest = offset[unit] - first
+    number = last - first + 1
+    return unit, first, number, rest, key, mix(body + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def _first_places(anchor, unit, doc, first, count, offset):
     """Sorted by (anchor, unit, doc, first): the arrays, and masks of group heads and of exact repeats of a place."""
     order = np.argsort(anchor, kind="stable")
@@ -122,11 +144,9 @@ def _first_places(anchor, unit, doc, first, count, offset):
     return cols, head, again
 
 
-_FIRST = pa.schema(
-    [("doc", pa.int64()), ("a", pa.int64()), ("z", pa.int64()), ("hot", pa.int64())]
-    + [(k, pa.binary()) for k in ("anchors", "units", "docs", "firsts", "counts", "offsets")]
-)
-_FIRST_DDL = "doc long, a long, z long, hot long, anchors binary, units binary, docs binary, firsts binary, counts binary, offsets binary"
+_RUN = ("anchors", "units", "docs", "firsts", "counts", "offsets", "marks")
+_FIRST = pa.schema([(k, pa.int64()) for k in ("doc", "a", "z", "first", "count", "offset", "n")] + [(k, pa.binary()) for k in _RUN])
+_FIRST_DDL = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in _FIRST)
 
 
 def _rows(schema: pa.Schema, **known) -> pa.RecordBatch:
@@ -150,8 +170,11 @@ def _merged(doc, a, z):
     return doc[at], a[at], reach[last] - shift[last]
 
 
-def _unit_pass(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows of three kinds: covered (doc, a, z), hot anchors, and runs of first places."""
+def _unit_pass(docs: DataFrame, length: int, gram: int, band: int) -> DataFrame:
+    """Rows of three kinds: covered (doc, a, z), units of hot anchors (doc, first, count, offset), and runs of first places.
+
+    ``docs`` has ``doc, text``, and with ``band`` also the ``spans`` (first, count, offset) of the units to cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -164,22 +187,43 @@ def _unit_pass(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if len(doc_):
                 yield _rows(_FIRST, doc=doc_, a=a, z=z)
             anchor, unit, doc, first, count, offset = (c[head] for c in cols)
-            at = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-            many = anchor[at][np.diff(np.append(at, len(anchor))) >= HOT_UNITS]
-            if len(many):
-                yield _rows(_FIRST, hot=many.view(np.int64))
+            at = runs(anchor)
+            many = np.diff(np.append(at, len(anchor))) >= HOT_UNITS
+            hot = np.repeat(many, np.diff(np.append(at, len(anchor))))
+            if hot.any():
+                yield _rows(_FIRST, doc=doc[hot], first=first[hot], count=count[hot], offset=offset[hot])
+            rest = ~hot
             yield _rows(
-                _FIRST, anchors=[_pack_sorted(anchor)], units=[_pack(unit)], docs=[_pack(doc)], firsts=[_pack(first.astype(np.int64))],
-                counts=[_pack(count.astype(np.uint16))], offsets=[_pack(offset.astype(np.uint16))],
+                _FIRST, n=[int(rest.sum())], anchors=[_pack_sorted(anchor[rest])], units=[_pack(unit[rest])], docs=[_pack(doc[rest])], firsts=[_pack(first[rest].astype(np.int64))],
+                counts=[_pack(count[rest].astype(np.uint16))], offsets=[_pack(offset[rest].astype(np.uint16))], marks=[_pack_sorted(anchor[at[many]])],
             )
 
-        for batch in batches:
+        def units(batch):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for top, stop, data, bounds in text_slices(batch.column(1), _SEGMENT):
                 bounds = bounds - bounds[0]
-                owner, first, count, offset, anchor, unit = cut_units(data, bounds, length, gram)
-                held.append((anchor, unit, ids[top + owner], first - bounds[owner], count, offset))
-                n_held += len(anchor)
+                if not band:
+                    owner, first, count, offset, anchor, unit = cut_units(data, bounds, length, gram)
+                    yield anchor, unit, ids[top + owner], first - bounds[owner], count, offset
+                    continue
+                lists = batch.column(2).slice(top, stop - top)
+                owner = np.repeat(np.arange(stop - top), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+                first, count, offset = (lists.flatten().field(k).to_numpy() for k in ("first", "count", "offset"))
+                order = np.lexsort((first, owner))
+                owner, first, count, offset = owner[order], first[order], count[order], offset[order]
+                begin = first + bounds[owner]
+                at = 0
+                while at < len(begin):  # a long text is taken in parts
+                    to = max(int(np.searchsorted(begin, begin[at] + 2 * _SEGMENT)), at + 1)
+                    low, high = int(begin[at]), int((begin[at:to] + count[at:to]).max()) + length - 1
+                    k, inner, number, rest, key, unit = cut_bands(data[low:high], begin[at:to] - low, count[at:to], offset[at:to], length, band)
+                    yield key, unit, ids[top + owner[at:to][k]], first[at:to][k] + inner, number, rest
+                    at = to
+
+        for batch in batches:
+            for part in units(batch):
+                held.append(part)
+                n_held += len(part[0])
                 if n_held > _FLUSH_UNITS:
                     yield from flush()
                     held, n_held = [], 0
@@ -189,46 +233,44 @@ def _unit_pass(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(released(run), _FIRST_DDL)
 
 
-def _split_runs(runs: DataFrame, ranges: int, hot: np.ndarray) -> DataFrame:
-    """Each run cut by range of the anchor; the units of hot anchors come out as plain rows."""
-    shared = runs.sparkSession.sparkContext.broadcast(hot)
-    names = ("anchors", "units", "docs", "firsts", "counts", "offsets")
-    schema = pa.schema([("range", pa.int32())] + [(k, pa.binary()) for k in names] + [(k, pa.int64()) for k in ("doc", "first", "count", "offset")])
+def _split_runs(runs_: DataFrame, ranges: int) -> DataFrame:
+    """Each run cut by range of the anchor."""
+    types = (np.uint64, np.int64, np.int64, np.uint16, np.uint16)
+    schema = pa.schema([("range", pa.int32())] + [(k, pa.binary()) for k in _RUN])
     edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                anchor = _unpack_sorted(row["anchors"], np.uint64)
-                cols = [_unpack(row[k], t) for k, t in zip(names[1:], (np.uint64, np.int64, np.int64, np.uint16, np.uint16))]
-                if len(hot):
-                    known = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
-                    if known.any():
-                        yield _rows(schema, **dict(zip(("doc", "first", "count", "offset"), (c[known].astype(np.int64) for c in cols[1:]))))
-                        anchor, cols = anchor[~known], [c[~known] for c in cols]
+                anchor, marks = _unpack_sorted(row["anchors"], np.uint64), _unpack_sorted(row["marks"], np.uint64)
+                cols = [_unpack(row[k], t) for k, t in zip(_RUN[1:6], types)]
                 cut = np.concatenate(([0], np.searchsorted(anchor, edges), [len(anchor)]))
-                out = [(r, _pack_sorted(anchor[a:b]), *[_pack(c[a:b]) for c in cols]) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+                at = np.concatenate(([0], np.searchsorted(marks, edges), [len(marks)]))
+                pieces = zip(range(ranges), cut[:-1], cut[1:], at[:-1], at[1:])
+                out = [(r, _pack_sorted(anchor[a:b]), *[_pack(c[a:b]) for c in cols], _pack_sorted(marks[x:y])) for r, a, b, x, y in pieces if b > a or y > x]
                 if out:
-                    yield _rows(schema, **dict(zip(("range", *names), zip(*out))))
+                    yield _rows(schema, **dict(zip(schema.names, zip(*out))))
 
-    return runs.select(*names).mapInArrow(released(split), "range int, anchors binary, units binary, docs binary, firsts binary, counts binary, offsets binary, doc long, first long, count long, offset long")
+    return runs_.select(*_RUN).mapInArrow(released(split), "range int, " + ", ".join(f"{k} binary" for k in _RUN))
 
 
 def _merge_runs(parts: DataFrame, ranges: int, length: int) -> DataFrame:
-    """Covered stretches (doc, a, z), and the first places of units whose anchor has several (anchor, doc, first, count, offset)."""
-    schema = pa.schema([(k, pa.int64()) for k in ("doc", "a", "z", "anchor", "first", "count", "offset")])
+    """Covered stretches (doc, a, z), and the first places of units (anchor, doc, first, count, offset, hot) whose anchor has several or is hot."""
+    schema = pa.schema([(k, pa.int64()) for k in ("doc", "a", "z", "anchor", "first", "count", "offset")] + [("hot", pa.bool_())])
+    types = (np.uint64, np.int64, np.int64, np.uint16, np.uint16)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
 
         def done():
-            types = (np.uint64, np.int64, np.int64, np.uint16, np.uint16)
             cols = [np.concatenate([_unpack_sorted(h[0], np.uint64) for h in held])]
             cols += [np.concatenate([_unpack(h[k], t) for h in held]) for k, t in enumerate(types, 1)]
+            marks = np.unique(np.concatenate([_unpack_sorted(h[6], np.uint64) for h in held]))
             order = np.argsort(cols[0], kind="stable")
-            same = cols[0][order][1:] == cols[0][order][:-1]
-            some = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+            sorted_ = cols[0][order]
+            same = sorted_[1:] == sorted_[:-1]
+            marked = marks[np.minimum(np.searchsorted(marks, sorted_), len(marks) - 1)] == sorted_ if len(marks) else np.zeros(len(sorted_), bool)
+            some = order[np.concatenate((same, [False])) | np.concatenate(([False], same)) | marked] if len(order) else order
             if not len(some):
                 return
             (anchor, unit, doc, first, count, offset), head, again = _first_places(*(c[some] for c in cols))
@@ -238,10 +280,14 @@ def _merge_runs(parts: DataFrame, ranges: int, length: int) -> DataFrame:
             if len(doc_):
                 yield _rows(schema, doc=doc_, a=a, z=z)
             anchor, doc, first, count, offset = (c[head] for c in (anchor, doc, first, count, offset))
-            same = anchor[1:] == anchor[:-1]
-            open_ = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            if open_.any():
-                yield _rows(schema, anchor=anchor[open_].view(np.int64), doc=doc[open_], first=first[open_], count=count[open_], offset=offset[open_])
+            at = runs(anchor)
+            size = np.repeat(np.diff(np.append(at, len(anchor))), np.diff(np.append(at, len(anchor))))
+            hot = size >= HOT_UNITS
+            if len(marks):
+                hot |= marks[np.minimum(np.searchsorted(marks, anchor), len(marks) - 1)] == anchor
+            keep = hot | (size > 1)
+            if keep.any():
+                yield _rows(schema, anchor=anchor[keep].view(np.int64), doc=doc[keep], first=first[keep], count=count[keep], offset=offset[keep], hot=hot[keep])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -253,70 +299,26 @@ def _merge_runs(parts: DataFrame, ranges: int, length: int) -> DataFrame:
         if held:
             yield from done()
 
-    dealt = parts.where("range IS NOT NULL").select("range", "anchors", "units", "docs", "firsts", "counts", "offsets").repartition(ranges, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(released(merge), "doc long, a long, z long, anchor long, first long, count long, offset long")
-
-
-def _with_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``doc, text`` of documents with spans, and the spans: broadcast if few, else by shuffle."""
-    few = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    return docs.join(F.broadcast(spans) if few <= MAX_BROADCAST else spans, "doc")
-
+    dealt = parts.repartition(ranges, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(released(merge), "doc long, a long, z long, anchor long, first long, count long, offset long, hot boolean")
 
-def _split_group(group: list[tuple], length: int, step: int = 8) -> tuple[list[tuple], list[tuple]]:
-    """An anchor's units (group, doc, first, count, offset, body) cut by distance from the anchor.
 
-    Windows at distances ``step * c`` to ``step * (c + 1) - 1`` share a core of
-    bytes; only those with equal cores can be equal and stay together. Returns
-    the parts that met a different part, and (doc, first, count) of parts that
-    repeat an earlier one byte by byte.
-    """
-    parts: dict[tuple, dict[bytes, list]] = {}
-    for anchor, doc, first, count, offset, body in group:
-        for c in range((offset - count + 1) // step, offset // step + 1):
-            a, z = max(0, offset - step * (c + 1) + 1), min(count - 1, offset - step * c)
-            core = body[offset - step * c : offset - step * (c + 1) + 1 + length]
-            parts.setdefault((anchor, c, core), {}).setdefault(body[a : z + length], []).append((doc, first + a, z - a + 1, offset - a))
-    kept, repeats = [], []
-    for number, bodies in enumerate(parts.values()):
-        for places in bodies.values():
-            places.sort()
-            repeats += [p[:3] for p in places[1:]]
-        if len(bodies) > 1:
-            kept += [((group[0][0], number), *places[0], body) for body, places in bodies.items()]
-    return kept, repeats
+def _with_texts(docs: DataFrame, spans: DataFrame, key: str = "doc") -> DataFrame:
+    """``docs`` with the spans of those that have some; a table of spans (written, arrays in ``spans``) of few bytes is broadcast, a larger one shuffled."""
+    element = spans.schema["spans"].dataType.elementType
+    rows, entries = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    size = rows * 40 + (entries or 0) * (16 + 8 * len(element.fields))  # as unsafe rows
+    return docs.join(F.broadcast(spans) if size <= MAX_BROADCAST_BYTES else spans.hint("merge"), key)
 
 
 def _decide(units: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
-    """Suffix arrays over each anchor's units (anchor, doc, first, count, offset, body): covered stretches (doc, a, z)."""
+    """Suffix arrays over each anchor's units (anchor, doc, first, count, offset, body), under ``HOT_UNITS`` of them: covered stretches (doc, a, z)."""
     window = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, symbols, last = [], 0, None
 
         def done():
-            rows, repeats, at = [], [], 0
-            while at < len(held):
-                stop = at
-                while stop < len(held) and held[stop][0] == held[at][0]:
-                    stop += 1
-                kept, again = _split_group(held[at:stop], length) if stop - at > SPLIT_UNITS else (held[at:stop], [])
-                rows += kept
-                repeats += again
-                at = stop
-            if repeats:
-                doc_, a, n = (np.array(c, np.int64) for c in zip(*repeats))
-                doc_, a, z = _merged(doc_, a, a + n + length - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_), pa.array(a), pa.array(z)], ["doc", "a", "z"])
-            part, held_in_part = [], 0
-            for k, row in enumerate(rows):
-                part.append(row)
-                held_in_part += len(row[5])
-                if k + 1 == len(rows) or (held_in_part > 2 * _SA_SYMBOLS and rows[k + 1][0] != row[0]):
-                    yield from sorted_out(part)
-                    part, held_in_part = [], 0
-
-        def sorted_out(held):
             number: dict = {}
             anchor = np.array([number.setdefault(h[0], len(number)) for h in held], np.int64)
             doc, first, count, offset = (np.array(c, np.int64) for c in list(zip(*held))[1:5])
@@ -368,59 +370,24 @@ def _decide(units: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
     return dealt.mapInArrow(released(run), "doc long, a long, z long")
 
 
-def _hot_windows(with_spans: DataFrame, length: int) -> DataFrame:
-    """``h1, h2, doc, a``: every window of the given spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, spans = batch.column(0).to_numpy(), batch.column(2)
-            for top, stop, data, bounds in text_slices(batch.column(1), _SEGMENT):
-                bounds = bounds - bounds[0]
-                n = len(data)
-                up, down = _power_tables(n + 1)
-                starts, owners = [], []
-                for k in range(stop - top):
-                    for s in spans[top + k].as_py():
-                        starts.append(bounds[k] + s["first"] + np.arange(s["count"]))
-                        owners.append(np.full(s["count"], k))
-                if not starts:
-                    continue
-                start, owner = np.concatenate(starts), np.concatenate(owners)
-                hashes = []
-                for salt in (0, 1):
-                    total = np.zeros(n + 1, np.uint64)
-                    np.cumsum(_BYTE[data ^ np.uint8(255 * salt)] * up[:n], out=total[1:])
-                    hashes.append(mix((total[start + length] - total[start]) * down[start]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), pa.array(ids[top + owner]), pa.array(start - bounds[owner])], ["h1", "h2", "doc", "a"])
-
-    return with_spans.select("doc", "text", "spans").mapInArrow(released(run), "h1 long, h2 long, doc long, a long")
-
-
-def _numbered(docs: DataFrame, work: Workspace, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """``docs`` with ``__dl_doc``, a long that orders documents and names one (id, text), and whether it is the id itself, as ids are unique."""
-    ids = docs.select(F.col(id_col).cast("long").alias("i"))
+def _numbered(docs: DataFrame, work: Workspace, id_: Column, text: Column) -> tuple[DataFrame, bool]:
+    """``docs`` with ``doc``, a long that orders documents and names one (id, text), and whether it is the id itself, as ids are unique."""
+    ids = docs.select(id_.cast("long").alias("i"))
     unique = ids.where("i IS NULL").isEmpty() and ids.groupBy("i").count().where("count > 1").isEmpty()
     if unique:
-        return docs.withColumn("__dl_doc", F.col(id_col).cast("long")), True
+        return docs.withColumn("doc", id_.cast("long")), True
     spark = docs.sparkSession
-    keyed = docs.withColumn("__dl_i", F.col(id_col).cast("long")).withColumn("__dl_t", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    ordered = keyed.select("__dl_i", "__dl_t").distinct().orderBy(F.col("__dl_i").asc_nulls_first(), "__dl_t")
+    keyed = docs.withColumn("i", id_.cast("long")).withColumn("t", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+    ordered = keyed.select("i", "t").distinct().orderBy(F.col("i").asc_nulls_first(), "t")
     numbered = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
-    table = work.table(spark.createDataFrame(numbered, "__dl_i2 long, __dl_t2 long, __dl_doc long"), "numbers")
-    return keyed.join(table, F.col("__dl_i").eqNullSafe(F.col("__dl_i2")) & (F.col("__dl_t") == F.col("__dl_t2"))).drop("__dl_i", "__dl_t", "__dl_i2", "__dl_t2"), False
+    table = work.table(spark.createDataFrame(numbered, "i2 long, t2 long, doc long"), "numbers")
+    return keyed.join(table, F.col("i").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2"))), False
 
 
 def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram: int = 40) -> DataFrame:
     """``doc, text``, one row per ``doc`` -> ``doc, spans array<struct<a, z>>``: the merged covered stretches, only documents that have some."""
     spark = docs.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    first = work.table(_unit_pass(docs, length, gram), "first")
-    hot = first.where("hot IS NOT NULL").select("hot").distinct().limit(MAX_BROADCAST).toPandas()["hot"].to_numpy(np.int64).view(np.uint64)
-    parts = _split_runs(first.where("anchors IS NOT NULL"), ranges, np.sort(hot))
-    merged = work.table(_merge_runs(parts, ranges, length), "merged")
-
-    spans = merged.where("anchor IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "count", "offset")).alias("spans"))
-    opened = _with_texts(docs, work.table(spans, "spans"))
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
@@ -431,17 +398,25 @@ def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram:
                 arrays = [pa.array(cols[0], pa.int64()), pa.array([doc] * len(spans), pa.int64()), *[pa.array(c, pa.int64()) for c in cols[1:]], pa.array(found, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["anchor", "doc", "first", "count", "offset", "body"])
 
-    units = opened.select("doc", "text", "spans").mapInArrow(released(bodies), "anchor long, doc long, first long, count long, offset long, body binary")
-    decided = work.table(_decide(units, ranges, length, gram), "decided")
-    covered = first.where("doc IS NOT NULL").select("doc", "a", "z").union(merged.where("z IS NOT NULL").select("doc", "a", "z")).union(decided)
-    if len(hot):
-        split = _split_runs(first.where("anchors IS NOT NULL"), ranges, np.sort(hot)).where("doc IS NOT NULL")
-        hot_spans = work.table(split.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans")), "hot_spans")
-        windows = work.table(_hot_windows(_with_texts(docs, hot_spans), length), "hot_windows")
-        at = F.struct("doc", "a")
-        earliest = windows.groupBy("h1", "h2").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-        later = windows.join(earliest, ["h1", "h2"]).where(F.col("lo") < F.struct("doc", "a"))
-        covered = covered.union(later.select("doc", "a", (F.col("a") + length).alias("z")))
+    covered, level = [], docs.select("doc", "text")
+    for band in BANDS:
+        first = work.table(_unit_pass(level, length, gram, band), f"first{band}")
+        n_units = first.agg(F.sum("n")).first()[0] or 0
+        ranges = max(least, -(-n_units // _RANGE_UNITS))
+        merged = work.table(_merge_runs(_split_runs(first.where("anchors IS NOT NULL"), ranges), ranges, length), f"merged{band}")
+        covered += [first.where("z IS NOT NULL").select("doc", "a", "z"), merged.where("z IS NOT NULL").select("doc", "a", "z")]
+        spans = merged.where("NOT hot").groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "count", "offset")).alias("spans"))
+        opened = _with_texts(docs, work.table(spans, f"spans{band}"))
+        units = opened.select("doc", "text", "spans").mapInArrow(released(bodies), "anchor long, doc long, first long, count long, offset long, body binary")
+        covered.append(work.table(_decide(units, ranges, length, gram), f"decided{band}"))
+        hot = first.where("first IS NOT NULL").select("doc", "first", "count", "offset").union(merged.where("hot").select("doc", "first", "count", "offset"))
+        if band == BANDS[-1] or hot.isEmpty():
+            break
+        spans = work.table(hot.groupBy("doc").agg(F.collect_list(F.struct("first", "count", "offset")).alias("spans")), f"hot{band}")
+        level = _with_texts(docs, spans).select("doc", "text", "spans")
+    every = covered[0]
+    for part in covered[1:]:
+        every = every.union(part)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,38 +427,37 @@ def covered_spans(docs: DataFrame, work: Workspace, *, length: int = 100, gram:
                 out.append([{"a": int(x), "z": int(y)} for x, y in zip(a, z)])
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))], ["doc", "spans"])
 
-    gathered = covered.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    gathered = every.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     out = work.table(gathered.mapInArrow(released(merge), "doc long, spans array<struct<a: long, z: long>>"), "covered")
-    work.drop("first", "merged", "spans", "decided", "hot_windows", "hot_spans")
+    work.drop(*[f"{name}{band}" for name in ("first", "merged", "spans", "decided", "hot") for band in BANDS])
     return out
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40) -> DataFrame:
     """Adds ``n_bytes, n_removed, n_spans`` and ``kept`` (binary, what is left of the text)."""
     ship(docs.sparkSession)
-    added = ("n_bytes", "n_removed", "n_spans", "kept", "__dl_doc", "__dl_i", "__dl_t", "__dl_i2", "__dl_t2", "__dl_spans", "__dl_raw")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added and c not in (id_col, text_col)])
-    work = Workspace(docs.sparkSession, "substrings")
-    numbered, unique = _numbered(docs, work, id_col, text_col)
-    texts = numbered.select(F.col("__dl_doc").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    columns, work = Columns(docs), Workspace(docs.sparkSession, "substrings")
+    text = F.col(columns.at(text_col))
+    numbered, unique = _numbered(columns.plain, work, F.col(columns.at(id_col)), text)
+    texts = numbered.select("doc", F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     if not unique:  # repeated rows are one document
         texts = work.table(texts.dropDuplicates(["doc"]), "texts")
     spans = covered_spans(texts, work, length=length, gram=gram)
     work.drop("texts")
-    spans = spans.select(F.col("doc").alias("__dl_d"), F.col("spans").alias("__dl_spans"))
-    few = (spans.agg(F.sum(F.size("__dl_spans"))).first()[0] or 0) <= MAX_BROADCAST
-    joined = numbered.join(F.broadcast(spans) if few else spans, F.col("__dl_doc") == F.col("__dl_d"), "left").drop("__dl_d", "__dl_doc")
-    joined = joined.withColumn("__dl_raw", F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")))
-    joined = joined.withColumn("n_bytes", F.octet_length("__dl_raw").cast("long"))
-    gone = F.expr("CASE WHEN __dl_spans IS NULL THEN 0L ELSE aggregate(__dl_spans, 0L, (s, x) -> s + x.z - x.a) END")
+    rows, entries = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    few = rows * 40 + (entries or 0) * 32 <= MAX_BROADCAST_BYTES
+    spans = spans.withColumnRenamed("doc", "of")
+    joined = numbered.join(F.broadcast(spans) if few else spans.hint("merge"), F.col("doc") == F.col("of"), "left")
+    joined = joined.withColumn("raw", F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))).withColumn("n_bytes", F.octet_length("raw").cast("long"))
+    gone = F.expr("CASE WHEN spans IS NULL THEN 0L ELSE aggregate(spans, 0L, (s, x) -> s + x.z - x.a) END")
     # what lies between the removed stretches
-    kept = F.expr("""CASE WHEN __dl_spans IS NULL THEN __dl_raw
-        ELSE aggregate(transform(sequence(0, size(__dl_spans)), k -> substring(__dl_raw,
-            cast(CASE WHEN k = 0 THEN 1 ELSE __dl_spans[greatest(k - 1, 0)].z + 1 END AS int),
-            cast(CASE WHEN k = size(__dl_spans) THEN n_bytes ELSE __dl_spans[least(k, size(__dl_spans) - 1)].a END
-               - CASE WHEN k = 0 THEN 0 ELSE __dl_spans[greatest(k - 1, 0)].z END AS int))), X'', (s, x) -> concat(s, x)) END""")
-    spans = F.when(F.col("__dl_spans").isNull(), 0).otherwise(F.size("__dl_spans")).cast("long")
-    return joined.withColumn("n_removed", gone).withColumn("n_spans", spans).withColumn("kept", kept).drop("__dl_spans", "__dl_raw")
+    kept = F.expr("""CASE WHEN spans IS NULL THEN raw
+        ELSE aggregate(transform(sequence(0, size(spans)), k -> substring(raw,
+            cast(CASE WHEN k = 0 THEN 1 ELSE spans[greatest(k - 1, 0)].z + 1 END AS int),
+            cast(CASE WHEN k = size(spans) THEN n_bytes ELSE spans[least(k, size(spans) - 1)].a END
+               - CASE WHEN k = 0 THEN 0 ELSE spans[greatest(k - 1, 0)].z END AS int))), X'', (s, x) -> concat(s, x)) END""")
+    number = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long")
+    return columns.back(joined.withColumns({"n_removed": gone, "n_spans": number, "kept": kept}), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -46,10 +46,12 @@ def brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot,split", [(128, 64), (3, 64), (128, 2)])
-def test_equals_brute_force(spark, monkeypatch, hot, split):
+@pytest.mark.parametrize("hot,flush,limit", [(64, 350_000, 64 << 20), (5, 2_000, 64 << 20), (2, 500, 0)])
+def test_equals_brute_force(spark, monkeypatch, hot, flush, limit):
+    """With anchors that are hot in a task, only over tasks, or at both levels of cutting; with and without broadcasts."""
     monkeypatch.setattr(substrings, "HOT_UNITS", hot)
-    monkeypatch.setattr(substrings, "SPLIT_UNITS", split)
+    monkeypatch.setattr(substrings, "_FLUSH_UNITS", flush)
+    monkeypatch.setattr(substrings, "MAX_BROADCAST_BYTES", limit)
     rng = random.Random(7)
     passages = [sentence(rng, 30) for _ in range(4)]
     rows = []
@@ -65,6 +67,35 @@ def test_equals_brute_force(spark, monkeypatch, hot, split):
     assert got == sorted(brute(rows, 100))
 
 
+def test_passage_in_a_third_of_the_documents(spark, monkeypatch):
+    """Its edges are hot anchors; what is cut equals brute force, whether a task or only the whole finds them hot."""
+    rng = random.Random(12)
+    passage = sentence(rng, 45)
+    rows = [(k, sentence(rng, rng.randint(3, 12)) + (" " + passage + " " if k % 3 == 0 else " ") + sentence(rng, rng.randint(3, 12))) for k in range(600)]
+    want = sorted(brute(rows, 100))
+    for partitions in (1, 40):
+        docs = frame(spark, rows, extra=False).repartition(partitions, "doc_id")
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.dedup_substrings(docs).collect())
+        assert got == want
+
+
+def test_bands_hold_every_window_once():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    owner, first, count, offset, anchor, unit = substrings.cut_units(data, np.array([0, len(data)]), 100, 40)
+    windows = [(f + i, o - i) for f, c, o in zip(first, count, offset) for i in range(c)]
+    for band in (8, 3, 1):
+        k, inner, number, rest, key, body = substrings.cut_bands(data, first, count, offset, 100, band)
+        parts = [(first[u] + i + j, r - j) for u, i, n, r in zip(k, inner, number, rest) for j in range(n)]
+        assert sorted(parts) == sorted(windows) and number.max() <= band
+        same = {}
+        for u, i, n, r, x in zip(k, inner, number, rest, key):
+            begin = first[u] + i
+            low = begin + r - band * (r // band)
+            same.setdefault(x, set()).add((data[low : low + 101 - band].tobytes(), r // band))
+        assert all(len(v) == 1 for v in same.values())
+
+
 def test_long_text(spark):
     rng = random.Random(8)
     block = sentence(rng, 30_000)
