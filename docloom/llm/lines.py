@@ -44,7 +44,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     firsts = work.table(firsts.select("a", "b", "lo", "n"), "firsts")
     later = join_groups(places, firsts, ["a", "b"], F.struct("id", "key", "pos")).where(F.col("lo") < F.col("place"))
     gone = work.table(later.groupBy(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).agg(F.collect_set("pos").alias("gone")), "gone")
-    joined = lines.join(gone, id_.eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    # both sides are shuffled whatever their size, so that a plan that holds for a small table holds for a large one
+    joined = lines.join(gone.hint("merge"), id_.eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
     cut = joined.withColumn("cut", F.expr("CASE WHEN gone IS NULL THEN cast(array() AS array<int>) ELSE array_distinct(flatten(transform(gone, p -> array(said[p], said[p + 1], said[p + 2])))) END"))
     kept = F.expr(f"CASE WHEN gone IS NULL THEN {text} ELSE array_join(transform(array_except(sequence(0, size(line) - 1), cut), i -> line[i]), '\n') END")
     out = cut.withColumns({"n_lines": F.size("said").cast("long"), "n_removed": F.size("cut").cast("long"), "deduped": kept})
