@@ -4,17 +4,21 @@ A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 last return the columns of ``documents``. Between stages the documents are
 written as Parquet and read again, so a lost executor repeats one stage at most.
 
-Nulls, empty texts and repeated rows are handled as each operator's docstring
-says; empty tables pass through as empty results.
+Documents may have columns of any name beside ``doc_id``, ``text`` and
+``source``: every stage works on columns under names of its own and gives all
+columns back as they were. Nulls, empty texts and repeated rows are handled as
+each operator's docstring says (null and empty texts pass the first three
+stages, and mixing takes nothing of them); empty tables pass through as empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, jaccard, mixing, tokens, toxicity
-from docloom.llm.shared import Workspace
+from docloom.llm.shared import Columns, Workspace
 
 #: No stage of models, exact set similarity and token ids has an SQL form; see tests/llm for brute-force versions.
 ORACLE_SQL = None
@@ -22,9 +26,10 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier calls toxic go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    patterns, weights, _ = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, patterns, weights).where("predicted = 0").select(docs.columns)
+    own = Columns(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias(own.at("doc_id")), "toxic")
+    patterns, weights, _ = toxicity.fit(own.plain, labels, id_col=own.at("doc_id"), text_col=own.at("text"))
+    return own.back(toxicity.score(own.plain, patterns, weights, text_col=own.at("text")).where("predicted = 0"))
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +39,15 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with at least a twentieth of their words in benchmark windows go."""
+    own = Columns(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.drop_contaminated(decontaminate.find_contamination(docs, benchmark)).select(docs.columns)
+    return own.back(decontaminate.drop_contaminated(decontaminate.find_contamination(own.plain, benchmark, text_col=own.at("text"))))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source near its target; documents repeat at most three times."""
-    return mixing.emit_copies(mixing.mix_sources(docs)).select(docs.columns)
+    own = Columns(docs)
+    return own.back(mixing.emit_copies(mixing.mix_sources(own.plain, id_col=own.at("doc_id"), text_col=own.at("text"), source_col=own.at("source"))))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
