@@ -16,11 +16,23 @@ WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 WS_NO_LF = WS.replace(r"\t-\r", r"\t\x0b-\r")
 #: A line boundary.
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
+#: The control characters that cleaning removes.
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+#: The classes above as plain characters.
+_BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_BLANKS_NO_LF = _BLANKS.replace("\n", "")
+_LINE_ENDS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+#: Single characters, not ranges: the regex engine tests such a class by one look at a bit set.
+_REMOVED = "[" + "".join(rf"\x{c:02x}" for c in (*range(9), 11, 12, *range(14, 32), 127, 0xAD)) + "]"
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def strip_sql(c: str) -> str:
@@ -28,11 +40,21 @@ def strip_sql(c: str) -> str:
 
 
 def clean_text(c: Column) -> Column:
-    """Unify line ends and blanks, drop control characters, trim lines, cap blank runs, trim the whole; null gives ''."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
-    c = F.regexp_replace(F.translate(c, " ­", " "), CONTROLS, "")
-    c = F.regexp_replace(c, rf"[{WS_NO_LF}]+(?=\n|\z)", "")
-    return strip(F.regexp_replace(c, r"\n{4,}", "\n\n\n"))
+    """Unify line ends and blanks, drop control characters, trim lines, cap blank runs, trim the whole; null gives ''.
+
+    Byte replacements and end trims do the work; one regex over a bit-set class
+    drops controls, and one caps line feeds where there are four in a row.
+    """
+    c = _unified(F.coalesce(c, F.lit("")))
+    c = F.regexp_replace(F.replace(c, F.lit("\xa0"), F.lit(" ")), _REMOVED, "")
+    c = F.array_join(F.transform(F.split(c, "\n"), lambda line: F.rtrim(line, F.lit(_BLANKS_NO_LF))), "\n")
+    capped = let(c, lambda t: F.when(F.contains(t, F.lit("\n\n\n\n")), F.regexp_replace(t, r"\n{4,}", "\n\n\n")).otherwise(t))
+    return strip(capped)
+
+
+def _unified(c: Column) -> Column:
+    """CR LF and CR as line feeds."""
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def clean_text_sql(c: str) -> str:
@@ -44,7 +66,16 @@ def clean_text_sql(c: str) -> str:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, rf"[{WS}]+"), lambda x: x != "")).cast("long")
+    """Runs of other characters than blanks. Texts whose blanks are all spaces and line feeds need no regex."""
+    plain = lambda t: F.size(F.array_remove(F.split(F.replace(t, F.lit("\n"), F.lit(" ")), " "), ""))
+    every = lambda t: F.size(F.array_remove(F.split(t, rf"[{WS}]+"), ""))
+    odd = rf"[{_listed(_BLANKS.replace(' ', '').replace(chr(10), ''))}]"
+    return let(c, lambda t: F.when(t.rlike(odd), every(t)).otherwise(plain(t))).cast("long")
+
+
+def _listed(characters: str) -> str:
+    """The inside of a regex class, every character by its number."""
+    return "".join(rf"\x{{{ord(c):x}}}" for c in characters)
 
 
 def word_count_sql(c: str) -> str:
@@ -57,8 +88,9 @@ def char_count(c: Column) -> Column:
 
 def line_count(c: Column) -> Column:
     """How many lines there are; a final line end opens no new one."""
-    pieces = F.size(F.split(c, LINE_END)) - F.when(c.rlike(rf"(?s)(?:{LINE_END})\z"), 1).otherwise(0)
-    return F.when(c == "", 0).otherwise(pieces).cast("long")
+    one = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), f"[{_listed(_LINE_ENDS)}]", "\n")
+    ends = lambda t: F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit("")))
+    return let(one, lambda t: ends(t) + F.when((t == "") | t.endswith("\n"), 0).otherwise(1)).cast("long")
 
 
 def line_count_sql(c: str) -> str:
@@ -87,7 +119,7 @@ def decode_text(content: Column) -> Column:
     """Bytes as UTF-8 if valid, else as Latin-1; line ends become line feeds."""
     as_text = content.cast("string")
     text = F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(content, "ISO-8859-1"))
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return _unified(text)
 
 
 def suffix(name: Column) -> Column:
