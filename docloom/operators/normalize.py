@@ -2,83 +2,108 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 
-ELEMENT = "struct<element_type: string, index: int, title: string, content: string, metadata: struct<page_number: int, table_count: int, has_tables: boolean, has_notes: boolean, rows: int, columns: int, line_count: int>>"
-PARSED_METADATA = (
-    "struct<relative_path: string, subfolders: array<string>, file_size_bytes: bigint, total_pages: int, author: string, title: string, creation_date: string, "
-    "paragraph_count: int, table_count: int, section_count: int, total_slides: int, total_sheets: int, sheet_names: array<string>, rows: int, columns: int, "
-    "data_type: string, line_count: int, char_count: bigint, parsed_via: string>"
-)
+#: Name and type of what a parser may tell about an element, and about a document.
+ELEMENT_METADATA_FIELDS = {"page_number": "int", "table_count": "int", "has_tables": "boolean", "has_notes": "boolean", "rows": "int", "columns": "int", "line_count": "int"}
+METADATA_FIELDS = {
+    "relative_path": "string", "subfolders": "array<string>", "file_size_bytes": "bigint", "total_pages": "int", "author": "string", "title": "string", "creation_date": "string",
+    "paragraph_count": "int", "table_count": "int", "section_count": "int", "total_slides": "int", "total_sheets": "int", "sheet_names": "array<string>", "rows": "int", "columns": "int",
+    "data_type": "string", "line_count": "int", "char_count": "bigint", "parsed_via": "string",
+}
 
 
-def units_of(parsed: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per normalised unit of ``parsed`` (file_name, category, relative_path, content, elements, ``keep``).
+def _ddl(fields: dict[str, str]) -> str:
+    return f"struct<{', '.join(f'{n}: {t}' for n, t in fields.items())}>"
+
+
+ELEMENT_METADATA = _ddl(ELEMENT_METADATA_FIELDS)
+ELEMENT = f"struct<element_type: string, index: int, title: string, content: string, metadata: {ELEMENT_METADATA}>"
+PARSED_METADATA = _ddl(METADATA_FIELDS)
+_TABLE_INFO = "struct<rows: int, columns: int, has_markdown_format: boolean>"
+
+
+def told(fields: dict[str, str], **known: Column) -> Column:
+    """A struct of all ``fields``, null but for the known ones."""
+    return F.struct(*[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields.items()])
+
+
+def unit_array(document_type: Column) -> Column:
+    """The normalised units of a parsed document (file_name, category, relative_path, content, elements), in order.
 
     The index of an element is its position, gaps stay where an element is
     empty after cleaning. A document without elements has one default unit.
     """
-    base = ("file_name", "category", "relative_path", "document_type", *keep)
+    name, category, path = F.col("file_name"), F.col("category"), F.col("relative_path")
+
+    def unit(content: Column, index: Column, **of: Column) -> Column:
+        fields = {"unit_id": "string", "unit_type": "string", "title": "string", "breadcrumbs": "string", "page_number": "int", "slide_number": "int", "sheet_name": "string", "section_name": "string"}
+        return F.struct(
+            index.cast("int").alias("unit_index"), of["unit_id"].alias("unit_id"), of["unit_type"].alias("unit_type"), of["title"].alias("title"), content.alias("content"),
+            *[of.get(n, F.lit(None)).cast(t).alias(n) for n, t in list(fields.items())[3:]],
+            of["is_table"].alias("is_table"), of.get("table_info", F.lit(None)).cast(_TABLE_INFO).alias("table_info"), X.char_count(content).alias("char_count"), X.word_count(content).alias("word_count"),
+            of.get("metadata", F.lit(None)).cast(ELEMENT_METADATA).alias("metadata"), name.alias("parent_document"), category.alias("category"), document_type.alias("document_type"), path.alias("relative_path"),
+        )
+
+    def of_element(x: Column) -> Column:
+        e, content, index = x["e"], x["content"], x["i"] + 1
+        kind, title = F.lower(e["element_type"]), e["title"]
+        named = F.when(F.coalesce(title, F.lit("")) == "", F.concat(X.capitalize(e["element_type"]), F.lit(" "), index)).otherwise(title)
+        table = X.is_table(kind, content)
+        return unit(
+            content, index, unit_id=F.concat_ws("_", name, kind, index), unit_type=kind, title=named, breadcrumbs=F.concat_ws(" > ", category, name, named),
+            page_number=F.coalesce(e["metadata"]["page_number"], F.when(kind == "page", index)), slide_number=F.when(kind == "slide", index),
+            sheet_name=F.when(kind == "sheet", title), section_name=F.when(kind == "section", title), is_table=table,
+            table_info=F.when(table, X.table_info(content, e["metadata"]["rows"], e["metadata"]["columns"])), metadata=e["metadata"],
+        )
+
+    def whole(content: Column) -> Column:
+        return unit(content, F.lit(1), unit_id=F.concat(name, F.lit("_unit_1")), unit_type=F.lit("document"), title=X.stem(name), breadcrumbs=F.concat_ws(" > ", category, name), is_table=F.lit(False))
+
+    cleaned = F.transform("elements", lambda e, i: F.struct(e.alias("e"), i.alias("i"), X.clean_text(e["content"]).alias("content")))
+    filled = F.transform(F.filter(cleaned, lambda x: x["content"] != ""), of_element)
+    return F.when(F.size("elements") > 0, filled).otherwise(F.transform(F.array(X.clean_text(F.col("content"))), whole))
+
+
+def units_of(parsed: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per normalised unit of ``parsed``, with the columns named in ``keep``."""
     have = parsed.withColumn("document_type", X.document_type(F.col("file_name"), F.col("file_type")))
-    each = have.where(F.size("elements") > 0).select(*base, F.posexplode("elements").alias("_pos", "_e"))
-    each = each.withColumn("content", X.clean_text(F.col("_e.content"))).where("content <> ''")
-    kind, title, content = F.lower("_e.element_type"), F.col("_e.title"), F.col("content")
-    index = (F.col("_pos") + 1).cast("int")
-    named = F.when(F.coalesce(title, F.lit("")) == "", F.concat(X.capitalize(F.col("_e.element_type")), F.lit(" "), index)).otherwise(title)
-    table = X.is_table(kind, content)
-    each = each.select(
-        *base,
-        F.concat_ws("_", "file_name", kind, index).alias("unit_id"), kind.alias("unit_type"), index.alias("unit_index"), named.alias("title"), "content",
-        F.concat_ws(" > ", "category", "file_name", named).alias("breadcrumbs"),
-        F.coalesce(F.col("_e.metadata.page_number"), F.when(kind == "page", index)).alias("page_number"),
-        F.when(kind == "slide", index).alias("slide_number"),
-        F.when(kind == "sheet", title).alias("sheet_name"), F.when(kind == "section", title).alias("section_name"),
-        table.alias("is_table"), F.when(table, X.table_info(content, F.col("_e.metadata.rows"), F.col("_e.metadata.columns"))).alias("table_info"),
-        X.char_count(content).alias("char_count"), X.word_count(content).alias("word_count"), F.col("_e.metadata").alias("metadata"),
-    )
-    whole = have.where(F.size("elements") <= 0).withColumn("content", X.clean_text(F.col("content")))
-    content = F.col("content")
-    nothing = lambda name: F.lit(None).cast(each.schema[name].dataType).alias(name)
-    whole = whole.select(
-        *base,
-        F.concat("file_name", F.lit("_unit_1")).alias("unit_id"), F.lit("document").alias("unit_type"), F.lit(1).alias("unit_index"), X.stem(F.col("file_name")).alias("title"), "content",
-        F.concat_ws(" > ", "category", "file_name").alias("breadcrumbs"), nothing("page_number"), nothing("slide_number"), nothing("sheet_name"), nothing("section_name"),
-        F.lit(False).alias("is_table"), nothing("table_info"), X.char_count(content).alias("char_count"), X.word_count(content).alias("word_count"), nothing("metadata"),
+    base = ("file_name", "category", "relative_path", "document_type", *keep)
+    each = have.select(*base, F.explode(unit_array(F.col("document_type"))).alias("u"))
+    shown = (
+        "unit_id", "unit_type", "unit_index", "title", "content", "breadcrumbs", "page_number", "slide_number", "sheet_name", "section_name",
+        "is_table", "table_info", "char_count", "word_count", "metadata",
     )
-    return each.unionByName(whole)
+    return each.select(*base, *[f"u.{c}" for c in shown])
 
 
 def normalize(parsed: DataFrame) -> DataFrame:
     """One row per document with cleaned content, ``units`` (array of structs in order) and enriched ``metadata``.
 
-    Units are gathered on ``relative_path``, which names a document; the array
-    is put in order by index after the shuffle.
+    All of it happens within the row: no shuffle, and two documents of one path stay apart.
     """
-    flat = units_of(parsed)
-    packed = flat.groupBy("relative_path").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "unit_index", "unit_id", "unit_type", "title", "content", "breadcrumbs", "page_number", "slide_number", "sheet_name", "section_name",
-                    "is_table", "table_info", "char_count", "word_count", "metadata", F.col("file_name").alias("parent_document"), "category", "document_type", "relative_path",
-                )
-            )
-        ).alias("units")
-    )
-    content = X.clean_text(F.col("content"))
-    docs = parsed.select("file_path", "file_name", "relative_path", "file_type", "category", X.document_type(F.col("file_name"), F.col("file_type")).alias("document_type"), content.alias("content"), "error")
-    joined = docs.join(packed, "relative_path", "left").withColumn("units", F.coalesce("units", F.array().cast(packed.schema["units"].dataType)))
+    typed = parsed.withColumn("document_type", X.document_type(F.col("file_name"), F.col("file_type")))
+    docs = typed.withColumn("units", unit_array(F.col("document_type"))).select(
+        "file_path", "file_name", "relative_path", "file_type", "category", "document_type", X.clean_text(F.col("content")).alias("content"), "error",
+        F.coalesce("units", F.array().cast(_units_type(typed))).alias("units"),
+    )
     words, tables = X.word_count(F.col("content")), F.size(F.filter("units", lambda u: u["is_table"]))
-    return joined.withColumn("_words", words).withColumn(
+    counted = docs.withColumn("_counts", X.let(F.struct(words.alias("words"), tables.alias("tables")), lambda c: c))
+    n, t = F.col("_counts.words"), F.col("_counts.tables")
+    return counted.withColumn(
         "metadata",
         F.struct(
-            "file_name", "relative_path", "category", "file_type", "document_type", F.size("units").alias("total_units"), F.col("_words").alias("total_words"),
-            X.char_count(F.col("content")).alias("total_chars"), tables.alias("table_count"), X.reading_minutes(F.col("_words")).alias("estimated_reading_time_minutes"), (tables > 0).alias("has_tables"),
+            "file_name", "relative_path", "category", "file_type", "document_type", F.size("units").alias("total_units"), n.alias("total_words"),
+            X.char_count(F.col("content")).alias("total_chars"), t.alias("table_count"), X.reading_minutes(n).alias("estimated_reading_time_minutes"), (t > 0).alias("has_tables"),
         ),
-    ).drop("_words")
+    ).drop("_counts")
+
+
+def _units_type(typed: DataFrame):
+    return typed.select(unit_array(F.col("document_type")).alias("u")).schema["u"].dataType
 
 
 def flat_units(normalized: DataFrame) -> DataFrame:

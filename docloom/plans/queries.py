@@ -141,7 +141,7 @@ def _conversations(spark, sf_dir) -> DataFrame:
     title = F.when(F.col("turn") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("T"), "turn"))
     content = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, " \n ").otherwise(F.coalesce("text", F.lit("")))
     element = F.struct("turn", kind.alias("element_type"), title.alias("title"), content.alias("content"))
-    metadata = N.ELEMENT.split("metadata: ", 1)[1][:-1]
+    metadata = N.ELEMENT_METADATA
     packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(element)).alias("e"))
     elements = F.transform("e", lambda x, i: F.struct(x["element_type"].alias("element_type"), (i + 1).alias("index"), x["title"].alias("title"), x["content"].alias("content"), F.lit(None).cast(metadata).alias("metadata")))
     name = F.concat(F.lit("policy_"), "conv_id", F.lit(".md"))

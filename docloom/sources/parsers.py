@@ -19,11 +19,11 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.operators.normalize import ELEMENT, PARSED_METADATA
+from docloom.operators.normalize import ELEMENT, ELEMENT_METADATA_FIELDS, METADATA_FIELDS, PARSED_METADATA, told
 from docloom.ship import ship
 
 Handler = Callable[[bytes, str, str], dict | None]
@@ -378,6 +378,9 @@ def parse(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame
         for contents, names, categories in batches:
             rows = []
             for content, name, category in zip(contents, names, categories):
+                if content is None:
+                    rows.append(nothing)
+                    continue
                 row = nothing | {"outcome": "fallback"}
                 try:
                     found = handlers[_name_parts(name)[1]](bytes(content), name, category)
@@ -387,38 +390,35 @@ def parse(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame
                 rows.append(row)
             yield pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=object) for k in nothing})
 
+    # one scan: the library parsers get the bytes of their files only, and null for all others
     suffix = X.suffix(F.col("file_name"))
-    routed = files.withColumn("_suffix", suffix).withColumn("_special", F.col("_suffix").isin(*handlers) & F.col("content").isNotNull())
-    special = routed.where("_special").withColumn("_p", run("content", "file_name", "category"))
-    plain = routed.where("NOT _special").withColumn("_p", F.lit(None).cast(_PARSED))
-    both = special.unionByName(plain)
-
-    decoded = X.decode_text(F.coalesce("content", F.lit(b"")))
-    both = both.withColumn("_text", F.when(F.coalesce(F.col("_p.outcome"), F.lit("")) != "parsed", decoded))
-    as_text = (F.col("_p.outcome") == "text") | (F.col("_p").isNull() & F.col("_suffix").isin(*TEXT_EXTENSIONS))
-    route = F.when(F.col("content").isNull(), "missing").when(F.col("_p.outcome") == "parsed", "parsed").when(F.coalesce(as_text, F.lit(False)), "text").otherwise("fallback")
-    both = both.withColumn("_route", route)
-    readable = F.when((F.col("_route") == "fallback") & (X.printable_ratio(F.col("_text")) < 0.6), X.ascii_strings(F.col("content"))).otherwise(F.col("_text"))
-    both = both.withColumn("_text", readable).withColumn("_stem", X.stem(F.col("file_name")))
-    whole = F.array(
-        F.struct(
-            F.lit("document").alias("element_type"), F.lit(1).alias("index"), F.col("_stem").alias("title"), F.col("_text").alias("content"),
-            F.from_json(F.to_json(F.struct(F.when(F.col("_route") == "text", X.line_count(F.col("_text"))).alias("line_count"))), ELEMENT.split("metadata: ", 1)[1][:-1]).alias("metadata"),
-        )
-    )
-    told = F.struct(
-        F.when(F.col("_route") == "text", X.line_count(F.col("_text"))).cast("int").alias("line_count"), X.char_count(F.col("_text")).alias("char_count"),
-        F.when(F.col("_route") == "fallback", "universal_fallback").alias("parsed_via"),
-    )
-    metadata = F.when(F.col("_route") == "parsed", F.col("_p.metadata")).when(F.col("_route") == "missing", F.from_json(F.lit("{}"), PARSED_METADATA)).otherwise(F.from_json(F.to_json(told), PARSED_METADATA))
-    metadata = metadata.withField("relative_path", F.col("relative_path")).withField("subfolders", F.col("subfolders")).withField("file_size_bytes", F.col("file_size_bytes"))
+    special = suffix.isin(*handlers) & F.col("content").isNotNull()
+    routed = files.withColumn("_suffix", suffix).withColumn("_p", run(F.when(special, F.col("content")), "file_name", "category"))
+    outcome = F.coalesce(F.col("_p.outcome"), F.lit(""))
+    as_text = (outcome == "text") | ((outcome == "") & F.col("_suffix").isin(*TEXT_EXTENSIONS))
+    route = F.when(F.col("content").isNull(), "missing").when(outcome == "parsed", "parsed").when(as_text, "text").otherwise("fallback")
+    routed = routed.withColumn("_route", route)
+
+    def readable(text: Column) -> Column:
+        """The text and its counts, each computed once and only where the route needs it."""
+        binary = (F.col("_route") == "fallback") & (X.printable_ratio(text) < 0.6)
+        said = F.when(binary, X.ascii_strings(F.col("content"))).otherwise(text)
+        return X.let(said, lambda t: F.struct(t.alias("text"), F.when(F.col("_route") == "text", X.line_count(t)).cast("int").alias("lines"), X.char_count(t).alias("chars")))
+
+    both = routed.withColumn("_t", F.when(F.col("_route").isin("text", "fallback"), X.let(X.decode_text(F.col("content")), readable)))
+    text, lines = F.col("_t.text"), F.col("_t.lines")
+    element = F.struct(F.lit("document").alias("element_type"), F.lit(1).alias("index"), X.stem(F.col("file_name")).alias("title"), text.alias("content"), told(ELEMENT_METADATA_FIELDS, line_count=lines).alias("metadata"))
+    place = {n: F.col(n) for n in ("relative_path", "subfolders", "file_size_bytes")}
+    own = {n: F.col(f"_p.metadata.{n}") for n in METADATA_FIELDS}
+    own |= {"line_count": F.coalesce(own["line_count"], lines), "char_count": F.coalesce(own["char_count"], F.col("_t.chars"))}
+    own["parsed_via"] = F.coalesce(own["parsed_via"], F.when(F.col("_route") == "fallback", "universal_fallback"))
     missing, parsed = F.col("_route") == "missing", F.col("_route") == "parsed"
     default = F.when(F.col("_suffix") != "", F.col("_suffix")).when(F.col("_route") == "text", ".txt").otherwise("unknown")
     return both.select(
         F.col("path").alias("file_path"), "file_name", "relative_path",
         F.when(parsed, F.coalesce("_p.file_type", default)).otherwise(default).alias("file_type"), "category",
-        F.when(missing, "").when(parsed, F.col("_p.content")).otherwise(F.col("_text")).alias("content"),
-        F.when(missing, F.array().cast(f"array<{ELEMENT}>")).when(parsed, F.col("_p.elements")).otherwise(whole.cast(f"array<{ELEMENT}>")).alias("elements"),
-        metadata.alias("metadata"),
+        F.when(missing, "").when(parsed, F.col("_p.content")).otherwise(text).alias("content"),
+        F.when(missing, F.array().cast(f"array<{ELEMENT}>")).when(parsed, F.col("_p.elements")).otherwise(F.array(element.cast(ELEMENT))).alias("elements"),
+        told(METADATA_FIELDS, **(own | place)).alias("metadata"),
         F.when(missing, F.concat(F.lit("File not found: "), "path")).alias("error"),
     )
