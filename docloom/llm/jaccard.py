@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.graph import components
-from docloom.llm.shared import Columns, Workspace, join_groups
+from docloom.llm.shared import Columns, Workspace, dealt, join_groups
 from docloom.llm.words import _STEP, BLANK_SEPARATED, Words, _power_tables, mix, runs, split_words, text_slices
 from docloom.ship import released, ship
 
@@ -198,8 +198,7 @@ def _frequent(runs: DataFrame, ranges: int, least: int, max_hot: int) -> np.ndar
         if held:
             yield done()
 
-    dealt = runs.repartition(ranges, "range").sortWithinPartitions("range")
-    counted = dealt.mapInArrow(released(merge), "bucket long, n long")
+    counted = dealt(runs, ranges, "range").mapInArrow(released(merge), "bucket long, n long")
     found = counted.orderBy(F.desc("n"), "bucket").limit(max_hot).toPandas()
     return found["bucket"].to_numpy(np.int64)[::-1].astype(np.uint32)
 
@@ -299,7 +298,7 @@ def _shared_tokens(runs: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield done()
 
-    return runs.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(released(merge), "token long, class long")
+    return dealt(runs, ranges, "range").mapInArrow(released(merge), "token long, class long")
 
 
 def _of_class(width: int):
@@ -505,10 +504,10 @@ def _attached(work: Workspace, pairs: DataFrame, blocks: DataFrame, k: str, othe
     name = [f"comp{k}", f"block{k}"]
     counts = work.table(pairs.groupBy(*name).agg(F.count("*").alias("n")), f"counts{k}")
     copies = F.ceil(F.col("n") / 64).cast("int")
-    dealt = join_groups(pairs, counts, name, F.struct(*other)).withColumn("deal", F.pmod(F.xxhash64(*other), copies).cast("int")).drop("n")
+    spread_ = join_groups(pairs, counts, name, F.struct(*other)).withColumn("deal", F.pmod(F.xxhash64(*other), copies).cast("int")).drop("n")
     counted = counts.select(F.col(name[0]).alias("comp"), F.col(name[1]).alias("block"), "n")
     ready = blocks.join(counted, ["comp", "block"]).select(F.col("comp").alias(name[0]), F.col("block").alias(name[1]), F.col("members").alias(f"members{k}"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("deal"))
-    return dealt.join(ready, [*name, "deal"]).drop("deal")
+    return spread_.join(ready, [*name, "deal"]).drop("deal")
 
 
 def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, paired: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -517,7 +516,9 @@ def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, paired: DataF
     sizes = blocks.groupBy("comp").agg((F.max("block") + 1).alias("parts"))
     parts = work.table(sizes, "parts")
     largest = parts.agg(F.max("parts")).first()[0] or 0
-    reach, step = 0, 0
+    reach, step, some = 0, 0, False
+    if largest <= 1 and paired.isEmpty():
+        return links, components(work, links, "joined")
     while True:
         found = components(work, links, f"round{step}")
         # a block within one component, and which

@@ -69,25 +69,35 @@ class Columns:
 LARGE_GROUPS = 4096
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, total: int | None = None) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column) -> DataFrame:
     """Each row with the columns of its group (null without one); no group's rows meet in one task.
 
     ``groups`` is a written table with one row per ``keys`` and the group's number
     of rows in ``n``. Groups with more than one in ``LARGE_GROUPS`` of all ``n``
     are at most that many whatever the data's size, and are broadcast; their rows are
     dealt by ``spread`` where the others are dealt by key, and match nothing there.
+    Where there are no such groups, or no others, the join is a plain one.
     """
-    total = (groups.agg(F.sum("n")).first()[0] or 0) if total is None else total
-    large = F.col("n") * LARGE_GROUPS > total
+    number, total, most = groups.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    large = F.col("n") * LARGE_GROUPS > (total or 0)
     values = F.struct(*[c for c in groups.columns if c not in keys])
-    side = lambda where, tag: groups.where(where).select(*[F.col(k).alias(f"{tag}{k}") for k in keys], values.alias(f"{tag}values"))
+    side = lambda df, tag: df.select(*[F.col(k).alias(f"{tag}{k}") for k in keys], values.alias(f"{tag}values"))
     met = lambda tag: [F.col(k) == F.col(f"{tag}{k}") for k in keys]
-    known = rows.join(F.broadcast(side(large, "__large_")), met("__large_"), "left")
+    told = lambda found, value: found.select(*rows.columns, *[value.getField(c).alias(c) for c in groups.columns if c not in keys])
+    if number <= LARGE_GROUPS or most * LARGE_GROUPS <= total:
+        every = side(groups, "__small_")
+        return told(rows.join(F.broadcast(every) if number <= LARGE_GROUPS else every, met("__small_"), "left"), F.col("__small_values"))
+    known = rows.join(F.broadcast(side(groups.where(large), "__large_")), met("__large_"), "left")
     known = known.withColumn("__deal", F.when(F.col("__large_values").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 30))).cast("int"))
     # always 0, but no constant: the planner would fold one away and deal by the keys alone
-    small = side(~large, "__small_").withColumn("__dealt", F.pmod(F.col("__small_values.n"), F.lit(1)).cast("int"))
-    found = known.join(small, [F.col("__deal") == F.col("__dealt"), *met("__small_")], "left").withColumn("__values", F.coalesce("__large_values", "__small_values"))
-    return found.select(*rows.columns, *[F.col(f"__values.{c}").alias(c) for c in groups.columns if c not in keys])
+    small = side(groups.where(~large), "__small_").withColumn("__dealt", F.pmod(F.col("__small_values.n"), F.lit(1)).cast("int"))
+    found = known.join(small, [F.col("__deal") == F.col("__dealt"), *met("__small_")], "left")
+    return told(found, F.coalesce("__large_values", "__small_values"))
+
+
+def dealt(df: DataFrame, parts: int, number: str) -> DataFrame:
+    """One partition for each value 0 .. ``parts`` - 1 of the column ``number``."""
+    return df.repartitionById(parts, F.col(number))
 
 
 class Workspace:

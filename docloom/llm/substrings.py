@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.jaccard import _pack, _pack_sorted, _unpack, _unpack_sorted
-from docloom.llm.shared import Columns, Workspace
+from docloom.llm.shared import Columns, Workspace, dealt
 from docloom.llm.suffixes import equal_windows
 from docloom.llm.words import _BYTE, _power_tables, mix, runs, text_slices
 from docloom.ship import released, ship
@@ -299,8 +299,7 @@ def _merge_runs(parts: DataFrame, ranges: int, length: int) -> DataFrame:
         if held:
             yield from done()
 
-    dealt = parts.repartition(ranges, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(released(merge), "doc long, a long, z long, anchor long, first long, count long, offset long, hot boolean")
+    return dealt(parts, ranges, "range").mapInArrow(released(merge), "doc long, a long, z long, anchor long, first long, count long, offset long, hot boolean")
 
 
 def _with_texts(docs: DataFrame, spans: DataFrame, key: str = "doc") -> DataFrame:
@@ -366,8 +365,7 @@ def _decide(units: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
         if held:
             yield from done()
 
-    dealt = units.repartition(ranges, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(released(run), "doc long, a long, z long")
+    return units.repartition(ranges, "anchor").sortWithinPartitions("anchor").mapInArrow(released(run), "doc long, a long, z long")
 
 
 def _numbered(docs: DataFrame, work: Workspace, id_: Column, text: Column) -> tuple[DataFrame, bool]:
