@@ -139,6 +139,17 @@ def stem_sql(name: str) -> str:
     return f"substr({name}, 1, length({name}) - length({suffix_sql(name)}))"
 
 
+def folders(path: Column) -> Column:
+    """The folders of a relative path, outermost first."""
+    pieces = F.split(path, "/")
+    return F.slice(pieces, 1, F.size(pieces) - 1)
+
+
+def category(path: Column) -> Column:
+    """The folder of a relative path, ``root`` at the top."""
+    return F.when(F.contains(path, F.lit("/")), F.array_join(folders(path), "/")).otherwise("root")
+
+
 def capitalize(c: Column) -> Column:
     """First character upper, all others lower."""
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))

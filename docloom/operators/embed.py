@@ -3,8 +3,9 @@
 Model weights cannot be part of this repository. A registry entry carries what
 the engine does around a model: dimension, prefixes, pooling, input limit and
 the L2 step. ``backend`` is a factory called once per Python worker that
-returns ``texts -> float32 (n, dim)``. The default backend of tests,
-``hash_backend``, is deterministic and knows nothing of meaning.
+returns ``texts -> float32 (n, dim)``: ``transformer_backend`` runs a real model
+where the optional libraries are installed, ``hash_backend`` is deterministic
+and knows nothing of meaning.
 """
 
 from __future__ import annotations
@@ -64,26 +65,117 @@ MODELS = {
 }
 
 
-def hash_backend(dim: int) -> Callable[[], Backend]:
-    """A stand-in without a model: sums of vectors drawn from each word's hash."""
+def pool(hidden: np.ndarray, mask: np.ndarray, how: str) -> np.ndarray:
+    """(texts, tokens, dim) token vectors to one vector a text: the first token's, or the mean over the tokens of the mask."""
+    if how == "cls":
+        return hidden[:, 0]
+    if how == "mean":
+        weight = mask[:, :, None].astype(np.float32)
+        return (hidden * weight).sum(1) / np.maximum(weight.sum(1), 1e-9)
+    raise ValueError(f"no pooling named {how}")
+
+
+def pick_device(asked: str | None = None) -> str:
+    """The device asked for, else a GPU where the worker has one, else the CPU."""
+    if asked:
+        return asked
+    try:
+        import torch
+
+        return "cuda" if torch.cuda.is_available() else "cpu"
+    except ImportError:
+        return "cpu"
+
+
+def _load_transformer(name: str, device: str):
+    """(tokenizer, model) of the public libraries; the model sits on ``device``, or is spread by them if that fails to fit."""
+    from transformers import AutoModel, AutoTokenizer
+
+    tokenizer = AutoTokenizer.from_pretrained(name, trust_remote_code=True)
+    try:
+        spread = {"device_map": "auto"} if device == "cuda" else {}
+        model = AutoModel.from_pretrained(name, trust_remote_code=True, **spread)
+        model = model if spread else model.to(device)
+    except Exception:  # a library without device maps
+        model = AutoModel.from_pretrained(name, trust_remote_code=True).to(device)
+    model.eval()
+    return tokenizer, model
+
+
+def _load_sentence_model(name: str, device: str):
+    from sentence_transformers import SentenceTransformer
+
+    return SentenceTransformer(name, device=device)
+
+
+def _as_numpy(x) -> np.ndarray:
+    for step in ("detach", "cpu"):
+        x = getattr(x, step)() if hasattr(x, step) else x
+    return np.asarray(x)
+
+
+def transformer_backend(model: EmbeddingModel, *, device: str | None = None, load: Callable | None = None) -> Callable[[], Backend]:
+    """A backend that runs a real model, loaded once per Python worker on its own device.
+
+    ``load(name, device)`` returns a tokenizer and a model, or one sentence model
+    where pooling is ``delegated``; by default the public libraries are imported then.
+    Texts are cut at ``max_tokens`` tokens, padded to the longest of their batch, and pooled as the registry says.
+    """
 
     def open_() -> Backend:
-        known: dict[str, np.ndarray] = {}
+        where = pick_device(device)
+        if model.pooling == "delegated":
+            sentence = (load or _load_sentence_model)(model.name, where)
 
-        def vector(word: str) -> np.ndarray:
-            if word not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                seed = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "little")
-                known[word] = np.random.default_rng(seed).standard_normal(dim).astype(np.float32)
-            return known[word]
+            def delegate(texts: list[str]) -> np.ndarray:
+                return np.asarray(sentence.encode(texts, batch_size=len(texts), normalize_embeddings=True, convert_to_numpy=True, show_progress_bar=False), np.float32)
 
+            return delegate
+        tokenizer, net = (load or _load_transformer)(model.name, where)
+
+        def encode(texts: list[str]) -> np.ndarray:
+            try:
+                from torch import no_grad
+            except ImportError:  # a model of another library
+                from contextlib import nullcontext as no_grad
+            cut = {"truncation": True, "max_length": model.max_tokens} if model.max_tokens else {}
+            tokens = tokenizer(texts, padding=True, return_tensors="pt", **cut)
+            with no_grad():
+                hidden = net(**{k: v.to(where) if hasattr(v, "to") else v for k, v in tokens.items()})[0]
+            return pool(_as_numpy(hidden), _as_numpy(tokens["attention_mask"]), model.pooling).astype(np.float32)
+
+        return encode
+
+    return open_
+
+
+def hash_backend(dim: int) -> Callable[[], Backend]:
+    """A stand-in without a model: sums of vectors that the md5 digits of each word spell.
+
+    Component j of a word is the j-th hexadecimal digit, less 7.5, of md5(word); past 32
+    components, of md5(word followed by a blank and the number of the 32s before).
+    """
+
+    def vector(word: str) -> np.ndarray:
+        digits = "".join(hashlib.md5((f"{word} {k}" if k else word).encode()).hexdigest() for k in range(-(-dim // 32)))
+        return np.frombuffer(bytes.fromhex(digits), np.uint8).repeat(2)[:dim]
+
+    def open_() -> Backend:
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), np.float32)
-            for k, text in enumerate(texts):
-                for word in text.lower().split():
-                    out[k] += vector(word)
-            return out
+            words = [t.lower().split() for t in texts]
+            distinct, which = np.unique(np.array([w for ws in words for w in ws] or [""], object).astype(str), return_inverse=True)
+            raw = np.stack([vector(w) for w in distinct.tolist()])
+            raw[:, ::2] >>= 4
+            raw &= 15
+            owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+            out = np.zeros((len(texts), dim), np.float64)
+            if len(owner):
+                pair, times = np.unique(owner * len(distinct) + which, return_counts=True)
+                row = pair // len(distinct)
+                parts = (raw[pair % len(distinct)] - 7.5) * times[:, None]
+                lead = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                out[row[lead]] = np.add.reduceat(parts, lead)
+            return out.astype(np.float32)
 
         return encode
 
@@ -91,9 +183,13 @@ def hash_backend(dim: int) -> Callable[[], Backend]:
 
 
 def embed(df: DataFrame, model: EmbeddingModel, *, text_col: str = "content", out: str = "embedding", is_query: bool = False, batch_size: int = 16, backend: Callable[[], Backend] | None = None, normalize: bool = True) -> DataFrame:
-    """Adds ``out`` (array<float>): prefix, encode in batches, L2-normalise. Null texts count as empty."""
+    """Adds ``out`` (array<float>): prefix, encode in batches, L2-normalise. Null texts count as empty.
+
+    Without a ``backend`` a model of the registry runs through
+    ``transformer_backend``, any other through ``hash_backend``.
+    """
     ship(df.sparkSession)
-    open_ = backend or hash_backend(model.dim)
+    open_ = backend or (transformer_backend(model) if model in MODELS.values() else hash_backend(model.dim))
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
-def heading_segments(lines: DataFrame, *, doc: str = "doc_id", pos: str = "pos", text: str = "line", heading: str = "is_heading", first_title: str = "Overview") -> DataFrame:
-    """Sections of each document: ``doc, index, title, content``.
+def heading_segments(docs: DataFrame, lines: Column, is_heading: Callable[[Column], Column], *, doc: str = "doc_id", first_title: str = "Overview") -> DataFrame:
+    """Sections of each document: ``doc, index, title, content``; ``lines`` is its array of lines.
 
     Lines belong to the last heading before them, lines before any heading to
     ``first_title``. Of consecutive headings the last counts, one without lines
-    after it makes no section.
+    after it makes no section. A document is cut within its row: no shuffle, and
+    every line is copied once.
     """
-    order = Window.partitionBy(doc).orderBy(pos)
-    marked = lines.withColumn("_g", F.sum(F.col(heading).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = marked.groupBy(doc, "_g").agg(
-        F.max(F.when(F.col(heading), F.col(text))).alias("_title"),
-        F.array_sort(F.collect_list(F.when(~F.col(heading), F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))).alias("_lines"),
-    )
-    filled = grouped.where(F.size("_lines") > 0)
-    index = F.row_number().over(Window.partitionBy(doc).orderBy("_g"))
-    return filled.select(doc, index.alias("index"), F.coalesce("_title", F.lit(first_title)).alias("title"), F.array_join(F.transform("_lines", lambda x: x["t"]), "\n").alias("content"))
+    marked = docs.select(doc, lines.alias("_lines"))
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(is_heading(x), i)), lambda i: i.isNotNull())
+    cut = marked.withColumn("_starts", F.concat(F.array(F.lit(-1)), heads, F.array(F.size("_lines"))))
+    pair = F.transform(F.sequence(F.lit(0), F.size("_starts") - 2), lambda k: F.struct(F.get("_starts", k).alias("a"), F.get("_starts", k + 1).alias("z")))
+    filled = F.filter(pair, lambda p: p["z"] - p["a"] > 1)
+    sections = F.transform(filled, lambda p: F.struct(
+        F.when(p["a"] < 0, F.lit(first_title)).otherwise(F.get("_lines", p["a"])).alias("title"),
+        F.array_join(F.slice("_lines", p["a"] + 2, p["z"] - p["a"] - 1), "\n").alias("content"),
+    ))
+    return cut.select(doc, F.posexplode(sections).alias("_i", "_s")).select(doc, (F.col("_i") + 1).alias("index"), "_s.title", "_s.content")
+
+
+def overlaps(one, other):
+    """Whether two boxes (x0, y0, x1, y1) share area; of numbers or of columns."""
+    return (one[0] < other[2]) & (one[2] > other[0]) & (one[1] < other[3]) & (one[3] > other[1])
 
 
-def _overlap():
-    return (F.col("b.x0") < F.col("t.x1")) & (F.col("b.x1") > F.col("t.x0")) & (F.col("b.y0") < F.col("t.y1")) & (F.col("b.y1") > F.col("t.y0"))
+def page_text(blocks: list[tuple], tables: list[tuple]) -> str:
+    """One page in reading order, from (box, text) blocks and (box, shown) tables.
+
+    As in the operators below, a block belongs to the first table it overlaps, a
+    table stands where its first block stood, and tables without blocks follow at the
+    end. A table that cannot be shown leaves its first block's text.
+    """
+    said = [(box, text.strip()) for box, text in blocks if text.strip()]
+    owner = [next((k for k, (area, _) in enumerate(tables) if overlaps(box, area)), None) for box, _ in said]
+    first = {k: at for at, k in reversed(list(enumerate(owner)))}
+    parts = [text if k is None else tables[k][1] or text for at, (k, (_, text)) in enumerate(zip(owner, said)) if k is None or first[k] == at]
+    parts += [shown for k, (_, shown) in enumerate(tables) if k not in first and shown]
+    return "\n\n".join(parts).strip()
 
 
 def first_overlap(blocks: DataFrame, tables: DataFrame, *, page: str = "page", block: str = "block", table: str = "table_idx") -> DataFrame:
@@ -34,8 +53,8 @@ def first_overlap(blocks: DataFrame, tables: DataFrame, *, page: str = "page", b
 
     The page is an equi key, so the overlap test runs within pages only.
     """
-    b, t = blocks.alias("b"), tables.alias("t")
-    joined = b.join(t, (F.col(f"b.{page}") == F.col(f"t.{page}")) & _overlap(), "left")
+    box = lambda side: [F.col(f"{side}.{c}") for c in ("x0", "y0", "x1", "y1")]
+    joined = blocks.alias("b").join(tables.alias("t"), (F.col(f"b.{page}") == F.col(f"t.{page}")) & overlaps(box("b"), box("t")), "left")
     return joined.groupBy(F.col(f"b.{page}").alias(page), F.col(f"b.{block}").alias(block)).agg(F.min(f"t.{table}").alias(table))
 
 

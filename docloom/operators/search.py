@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom.functions import vectors
+from docloom.ship import ship
 
 #: Query tables up to this many rows are broadcast; larger ones are taken in blocks of this size.
 MAX_QUERIES = 2_048
@@ -27,34 +31,85 @@ def top_k(docs: DataFrame, query: Sequence[float], *, k: int = 5, metric: str =
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc(key))))
 
 
+def _score_block(queries: np.ndarray, vectors_: np.ndarray, metric: str) -> np.ndarray:
+    """(query, row) scores in double precision."""
+    if metric in ("cosine", "dot"):
+        return queries @ vectors_.T
+    if metric == "euclidean":
+        square = (queries**2).sum(1)[:, None] + (vectors_**2).sum(1)[None, :] - 2 * (queries @ vectors_.T)
+        return 1 / (1 + np.sqrt(np.maximum(square, 0)))
+    raise ValueError(f"Unsupported metric: {metric}")
+
+
+def _blocks(queries: DataFrame, docs: DataFrame, key: str, vector: str, query_key: str, query_vector: str, metric: str, pick) -> DataFrame:
+    """``query_key, key, score`` of the pairs that ``pick(scores)`` leaves of each batch of documents: a matrix product per batch."""
+    ship(docs.sparkSession)
+    if metric not in vectors.METRICS:
+        raise ValueError(f"Unsupported metric: {metric}")
+    asked = queries.select(query_key, query_vector).limit(MAX_QUERIES + 1).toArrow()
+    if asked.num_rows > MAX_QUERIES:
+        raise ValueError(f"one block takes at most {MAX_QUERIES} queries; use top_k_many for more")
+    names = asked.column(0).combine_chunks()
+    matrix = _matrix(asked.column(1).combine_chunks())
+    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        scores_of = lambda b: _score_block(matrix, _matrix(b.column(1)), metric)
+        if len(names):
+            step = max(1, (1 << 22) // len(names))  # scores held at once
+            parts = (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step))
+            for q, keys, score in pick((b.column(0), scores_of(b)) for b in parts):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), keys, pa.array(score)], [query_key, key, "score"])
+
+    schema = T.StructType([queries.select(query_key).schema[0], docs.select(key).schema[0], T.StructField("score", T.DoubleType())])
+    return docs.select(key, vector).mapInArrow(run, schema)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    n = len(lists)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
 def similarity_matrix(queries: DataFrame, docs: DataFrame, *, query_key: str = "query_id", query_vector: str = "query_embedding", key: str = "unit_id", vector: str = "embedding", metric: str = "cosine") -> DataFrame:
-    """``query_key, key, score`` for every pair of a bounded query table and all documents."""
-    bounded = queries.select(query_key, query_vector)
-    if bounded.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"a similarity matrix takes at most {MAX_QUERIES} queries; use top_k_many for more")
-    packed = bounded.agg(F.collect_list(F.struct(query_key, query_vector)).alias("_queries"))
-    paired = docs.select(key, vector).crossJoin(F.broadcast(packed)).withColumn("_q", F.explode("_queries"))
-    return paired.select(F.col(f"_q.{query_key}").alias(query_key), key, vectors.score(F.col(f"_q.{query_vector}"), F.col(vector), metric).alias("score"))
+    """``query_key, key, score`` for every pair of a bounded query table (at most ``MAX_QUERIES`` rows, broadcast once) and all documents."""
+
+    def every(parts):
+        for keys, scores in parts:
+            for q in range(len(scores)):
+                yield np.full(len(keys), q), keys, scores[q]
+
+    return _blocks(queries, docs, key, vector, query_key, query_vector, metric, every)
 
 
 def top_k_many(queries: DataFrame, docs: DataFrame, *, k: int = 5, metric: str = "cosine", query_key: str = "query_id", query_vector: str = "query_embedding", key: str = "unit_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` best documents of each query: ``query_key, rank, key, score``.
+    """The ``k`` best documents of each query: ``query_key, rank, key, score``; equal scores go to the larger key.
 
-    A block of queries is broadcast as one row and scored against each document
-    in place. The window over query and score has a group limit below its
-    shuffle, so a task sends ``k`` rows per query at most. More than
-    ``MAX_QUERIES`` queries are dealt into blocks by a hash of their key.
+    A block of queries is broadcast as a matrix and multiplied with each batch of
+    documents; a batch sends on its ``k`` best rows per query (and those that equal the
+    last of them), from which the window ranks the best of all. More than ``MAX_QUERIES`` queries are dealt
+    into blocks by a hash of their key.
     """
     if k < 0:
         raise ValueError("k must not be negative")
+
+    def best(parts):
+        for keys, scores in parts:
+            if not k:
+                continue
+            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+            # scores that differ by rounding only are left to the window
+            q, row = np.nonzero(scores >= (least - 1e-9 * np.abs(least) - 1e-12)[:, None]) if scores.shape[1] > k else np.nonzero(scores == scores)
+            yield q, keys.take(pa.array(row)), scores[q, row]
+
     blocks = max(1, -(-queries.count() // (MAX_QUERIES // 2)))
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc(key))
     out = None
     for b in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
-        pairs = similarity_matrix(block, docs, query_key=query_key, query_vector=query_vector, key=key, vector=vector, metric=metric)
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
-        out = best if out is None else out.unionByName(best)
+        pairs = _blocks(block, docs, key, vector, query_key, query_vector, metric, best)
+        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
+        out = ranked if out is None else out.unionByName(ranked)
     return out
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.operators import embed as E
 from docloom.operators.normalize import flat_units, normalize, summary_stats
@@ -16,12 +18,22 @@ from docloom.sources.files import FILES_SCHEMA, read_files
 from docloom.sources.parsers import ParserRegistry, parse
 from docloom.sources.sinks import export_normalized, export_parsed, write_embeddings
 
-#: The demonstration queries.
-DEMO_QUERIES = (
-    "What are the remote work policy guidelines for employees?",
-    "How do we deploy services in engineering?",
-    "Security incident response procedure and access control",
-)
+log = logging.getLogger("docloom")
+
+
+def watched(df: DataFrame, what: str) -> tuple[DataFrame, Callable[[], dict]]:
+    """``df`` that counts its rows, characters and errors as it runs, in the same job; the call after an action logs and returns them with the seconds since."""
+    seen, began = Observation(what), time.perf_counter()
+    columns = [F.count(F.lit(1)).alias("rows")]
+    columns += [F.sum(F.length("content")).alias("characters")] if "content" in df.columns else []
+    columns += [F.count("error").alias("errors")] if "error" in df.columns else []
+
+    def told() -> dict:
+        found = dict(seen.get) | {"seconds": round(time.perf_counter() - began, 3)}
+        log.info("%s: %s", what, found)
+        return found
+
+    return df.observe(seen, *columns), told
 
 
 def load_all(spark: SparkSession, root: str, registry: ParserRegistry | None = None) -> DataFrame:
@@ -50,18 +62,21 @@ def process_all(spark: SparkSession, root: str, registry: ParserRegistry | None
     """Normalised documents. With ``stage`` the parsed ones are written there first, as parsing is the costly step."""
     parsed = load_all(spark, root, registry)
     if stage:
+        parsed, told = watched(parsed, f"parsed {root}")
         parsed.write.mode("overwrite").parquet(stage)
+        told()
         parsed = spark.read.schema(parsed.schema).parquet(stage)
     return normalize(parsed)
 
 
-def run_embedding_pipeline(spark: SparkSession, units: DataFrame, out: str, model: str = "bge", *, batch_size: int = 16, backend=None, queries=DEMO_QUERIES, k: int = 3) -> dict[tuple[str, str], DataFrame]:
-    """Embed flat units, write them below ``out``, and search them: (query, metric) -> ranked report."""
+def run_embedding_pipeline(spark: SparkSession, units: DataFrame, out: str, model: str = "bge", *, queries: Sequence[str], batch_size: int = 16, backend=None, device: str | None = None, k: int = 3) -> dict[tuple[str, str], DataFrame]:
+    """Embed flat units, write them below ``out``, and search them: (query, metric) -> ranked report.
+
+    ``backend`` defaults to the registry's model on ``device`` (each worker's own choice if None).
+    """
     m = E.MODELS[model]
-    began = time.time()
-    embedded = E.embed(units, m, batch_size=batch_size, backend=backend)
-    write_embeddings(embedded, out, model_name=m.name, dim=m.dim, seconds=time.time() - began)
-    stored = spark.read.parquet(f"{out}/units")
+    backend = backend or E.transformer_backend(m, device=device)
+    stored = write_embeddings(E.embed(units, m, batch_size=batch_size, backend=backend), out, model_name=m.name, dim=m.dim)
     asked = spark.createDataFrame([(q,) for q in queries], "content string")
     vectors = {r.content: r.embedding for r in E.embed(asked, m, is_query=True, backend=backend).collect()}
     return {(q, metric): report(top_k(stored, vectors[q], k=k, metric=metric)) for q in queries for metric in ("cosine", "euclidean")}
@@ -74,8 +89,12 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("source")
     parser.add_argument("target")
     parser.add_argument("--model", choices=tuple(E.MODELS), default="bge")
+    parser.add_argument("--device", help="where each worker runs the model; by default a GPU if it has one")
+    parser.add_argument("--stand-in", action="store_true", help="hashed words instead of the model, for a trial without weights")
+    parser.add_argument("--query", action="append", default=[], help="a question to search the vectors for; may be given again")
     asked = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("docloom").getOrCreate()
+    logging.basicConfig(level=logging.INFO)
+    spark = SparkSession.getActiveSession() or SparkSession.builder.appName("docloom").getOrCreate()
     if asked.step == "load":
         parsed = load_all(spark, asked.source)
         summary_stats(parsed).show(truncate=False)
@@ -84,7 +103,8 @@ def main(argv: list[str] | None = None) -> None:
         export_normalized(process_all(spark, asked.source, stage=f"{asked.target}/_parsed"), asked.target)
     else:
         units = flat_units(process_all(spark, asked.source, stage=f"{asked.target}/_parsed"))
-        for (query, metric), hits in run_embedding_pipeline(spark, units, asked.target, asked.model).items():
+        backend = E.hash_backend(E.MODELS[asked.model].dim) if asked.stand_in else None
+        for (query, metric), hits in run_embedding_pipeline(spark, units, asked.target, asked.model, queries=asked.query, backend=backend, device=asked.device).items():
             print(query, metric)
             hits.show(truncate=False)
 

@@ -6,9 +6,6 @@ their input from them by the same expressions in both engines.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,10 +102,12 @@ def document_type(spark, sf_dir):
         FROM (SELECT page_id, p, regexp_extract(p, '[^/]*$') AS n FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', '') || CASE WHEN page_id % 3 = 0 THEN '.TAR.gz' ELSE '' END AS p FROM pages))""",
 )
 def path_parts(spark, sf_dir):
+    from docloom.sources.files import as_files
+
     path = F.concat(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "[?#].*$", ""), F.when(F.col("page_id") % 3 == 0, ".TAR.gz").otherwise(""))
-    p = _table(spark, sf_dir, "pages").select("page_id", path.alias("relative_path")).withColumn("file_name", F.regexp_extract("relative_path", "[^/]*$", 0))
-    category = F.when(F.contains("relative_path", F.lit("/")), F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1)).otherwise("root")
-    return p.select("page_id", "relative_path", "file_name", X.suffix(F.col("file_name")).alias("suffix"), X.stem(F.col("file_name")).alias("stem"), category.alias("category"))
+    files = as_files(_table(spark, sf_dir, "pages").select(path.alias("relative_path"), F.col("page_id").cast("string").cast("binary").alias("content")))
+    name = F.col("file_name")
+    return files.select(F.col("content").cast("string").cast("long").alias("page_id"), "relative_path", "file_name", X.suffix(name).alias("suffix"), X.stem(name).alias("stem"), "category")
 
 
 _TABLES_SQL = """WITH t AS (
@@ -212,9 +211,9 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g)::INT AS "index
 
 @_query("heading_segments", _SEGMENTS_SQL)
 def heading_segments(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    lines = docs.where(F.trim("line") != "").withColumn("is_heading", F.length("line") < 40)
-    return L.heading_segments(lines)
+    docs = _table(spark, sf_dir, "documents")
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.trim(line) != "")
+    return L.heading_segments(docs, lines, lambda line: F.length(line) < 40)
 
 
 def _as_parsed(docs: DataFrame) -> DataFrame:
@@ -300,10 +299,10 @@ for _metric, _k in (("cosine", 5), ("dot", 5), ("euclidean", 3)):
 
 
 def _query_vectors(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
 
 
-_PAIRS_SQL = "SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 10"
+_PAIRS_SQL = "SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0"
 
 
 @_query("topk_multi_query", f"SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id DESC)::INT AS rank FROM ({_PAIRS_SQL}) QUALIFY rank <= 5")
@@ -353,27 +352,62 @@ def unmatched_tables(spark, sf_dir):
     return L.unmatched_tables(tables, L.first_overlap(blocks, tables)).select("page", "table_idx")
 
 
-@_query("mean_pooling", "SELECT label, list_transform(range(1, 65), lambda i: round(list_avg(list_transform(v, lambda x: x[i::INT])), 5)) AS pooled FROM (SELECT label, list(embedding::DOUBLE[]) AS v FROM embeddings GROUP BY label)")
+@_query("mean_pooling", "SELECT label, list_transform(range(1, 65), lambda i: round(list_sum(list_transform(v, lambda x: x[i::INT])) / greatest(len(v), 1e-9), 5)) AS pooled FROM (SELECT label, list(embedding::DOUBLE[]) FILTER (WHERE vec_id % 3 <> 0) AS v FROM embeddings GROUP BY label)")
 def mean_pooling(spark, sf_dir):
-    packed = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("v"))
-    pooled = V.mean_pool(F.col("v"), F.transform("v", lambda x: F.lit(1)))
+    """Vectors stand for a text's tokens; every third one is padding, which the mask leaves out."""
+    packed = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    pooled = V.mean_pool(F.transform("v", lambda x: x["embedding"]), F.transform("v", lambda x: F.when(x["vec_id"] % 3 == 0, 0).otherwise(1)))
     return packed.select("label", F.transform(pooled, lambda x: F.round(x.cast("double"), 5)).alias("pooled"))
 
 
+@_query("cls_pooling", "SELECT label, list_transform(arg_min(embedding, vec_id)::DOUBLE[], lambda x: round(x, 5)) AS pooled FROM embeddings GROUP BY label")
+def cls_pooling(spark, sf_dir):
+    packed = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    first = V.cls_pool(F.transform("v", lambda x: x["embedding"]))
+    return packed.select("label", F.transform(first, lambda x: F.round(x.cast("double"), 5)).alias("pooled"))
+
+
+@_query(
+    "search_report",
+    """SELECT row_number() OVER (ORDER BY s DESC, vec_id DESC)::INT AS rank, round(s, 4) AS score, 'u' || vec_id AS unit_id, 'f' || label AS file_name, 'c > f' || label AS breadcrumbs,
+       substr('line ' || vec_id || ' ' || repeat('x', 200), 1, 120) || '...' AS snippet FROM (
+       SELECT vec_id, label, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings) QUALIFY rank <= 3""",
+)
+def search_report(spark, sf_dir):
+    """Ranked hits as people see them."""
+    units = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.concat(F.lit("u"), "vec_id").alias("unit_id"), F.concat(F.lit("f"), "label").alias("file_name"), F.concat(F.lit("c > f"), "label").alias("breadcrumbs"),
+        F.concat(F.lit("line "), "vec_id", F.lit("\n"), F.repeat(F.lit("x"), 200)).alias("content"), "embedding",
+    )
+    return S.report(S.top_k(units, _first_vector(spark, sf_dir), k=3, key="vec_id"))
+
+
 @_query("cell_normalize", f"SELECT c_custkey, replace({X.strip_sql('t')}, chr(10), ' ') AS cell FROM (SELECT c_custkey, chr(160) || c_name || chr(10) || c_mktsegment || chr(9) AS t FROM customer)")
 def cell_normalize(spark, sf_dir):
     raw = F.concat(F.lit(" "), "c_name", F.lit("\n"), "c_mktsegment", F.lit("\t"))
     return _table(spark, sf_dir, "customer").select("c_custkey", X.normalize_cell(raw).alias("cell"))
 
 
-@_query("hash_embed")
+_EMBED_SQL = f"""
+WITH d AS (SELECT doc_id, CASE WHEN starts_with(t, 'query: ') OR starts_with(t, 'passage: ') THEN t ELSE 'passage: ' || t END AS t FROM (SELECT doc_id, {X.strip_sql("coalesce(text, '')")} AS t FROM documents)
+), w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(t), '[{X.WS}]+'), lambda x: x <> '')) AS w FROM d
+), n AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL
+), v AS (SELECT w, unnest(range(1, 33)) AS j, md5(w) AS h FROM (SELECT DISTINCT w FROM n)
+), c AS (SELECT w, j, instr('0123456789abcdef', substr(h, j::INT, 1)) - 1 - 7.5::DOUBLE AS x FROM v
+), s AS (SELECT doc_id, j, sum(n * x) AS s FROM n JOIN c USING (w) GROUP BY ALL)
+SELECT d.doc_id, coalesce(embedding, list_transform(range(32), lambda i: 0.0)) AS embedding FROM d LEFT JOIN (SELECT doc_id, list(s::DOUBLE ORDER BY j) AS embedding FROM s GROUP BY doc_id) USING (doc_id)"""
+
+
+@_query("hash_embed", _EMBED_SQL)
 def hash_embed(spark, sf_dir):
+    """The sums before the L2 step, which are exact in both engines."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = E.EmbeddingModel("hash", 32, "query: ", "passage: ", "hash", None, ("query: ", "passage: "))
-    return E.embed(docs, model, text_col="text").select("doc_id", "embedding")
+    found = E.embed(docs, model, text_col="text", normalize=False, batch_size=256)
+    return found.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-@_query("json_pretty")
+@_query("json_pretty", "SELECT event_id || '.json' AS relative_path, '{' || chr(10) || '  ' || replace(substr(props, 2, length(props) - 2), ', ', ',' || chr(10) || '  ') || chr(10) || '}' AS content, 'dict' AS data_type FROM events")
 def json_pretty(spark, sf_dir):
     from docloom.sources.parsers import parse
 
@@ -398,21 +432,279 @@ def parse_text(spark, sf_dir):
     return parse(files).select("relative_path", "content", "metadata.line_count", "metadata.char_count", "file_type", F.size("elements").alias("n_elements"))
 
 
-@_query("discover_files")
+def _values(columns: str, rows: list[tuple]) -> str:
+    """Expected rows as SQL."""
+
+    def shown(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).upper()
+        if isinstance(v, int):
+            return f"{v}::BIGINT"
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(map(shown, v)) + "]::VARCHAR[]"
+        return "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def _as_bigint(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f.name).cast("long").alias(f.name) if f.dataType.simpleString() in ("int", "bigint") else F.col(f.name) for f in df.schema])
+
+
+@_query(
+    "discover_files",
+    _values(
+        "relative_path, file_name, subfolders, category, file_size_bytes, extension, text",
+        [
+            ("_under.md", "_under.md", [], "root", 9, ".md", "_under.md"), ("a/_u/f.txt", "f.txt", ["a", "_u"], "a/_u", 10, ".txt", "a/_u/f.txt"), (".hid/in.txt", "in.txt", [".hid"], ".hid", 11, ".txt", ".hid/in.txt"),
+            ("c._COPYING_", "c._COPYING_", [], "root", 11, "._copying_", "c._COPYING_"), ("empty.bin", "empty.bin", [], "root", 0, ".bin", ""), ("noext", "noext", [], "root", 5, "no_extension", "noext"),
+            ("a/b.tar.gz", "b.tar.gz", ["a"], "a", 10, ".gz", "a/b.tar.gz"), ("sp ace/ü é.TXT", "ü é.TXT", ["sp ace"], "sp ace", 16, ".txt", "sp ace/ü é.TXT"),
+        ],
+    ),
+)
 def discover_files(spark, sf_dir):
-    """The source over a small tree with the names that matter; made where driver and executors see it in local mode."""
+    """The source over a small tree with the names that matter, in the folder that driver and executors share."""
+    import pyarrow.fs as pafs
+
+    from docloom.plans.samples import HIDDEN, SHOWN
+    from docloom.ship import shared_folder
     from docloom.sources.files import read_files
 
-    root = tempfile.mkdtemp(prefix="docloom-tree-")
-    for relative in ("a/_u/f.txt", ".hid/in.txt", "_under.md", ".dot.txt", "~$lock.docx", "c._COPYING_", "noext", "a/b.tar.gz", "sp ace/ü é.TXT"):
-        os.makedirs(os.path.dirname(os.path.join(root, relative)), exist_ok=True)
-        with open(os.path.join(root, relative), "w") as file:
-            file.write(relative)
-    open(os.path.join(root, "empty.bin"), "w").close()
-    return read_files(spark, root).drop("path")
+    root = shared_folder(spark, "tree")
+    fs, at = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+    for relative in (*SHOWN, *HIDDEN):
+        fs.create_dir(f"{at}/{relative}".rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(f"{at}/{relative}", compression=None) as file:
+            file.write(b"" if relative == "empty.bin" else relative.encode())
+    return read_files(spark, root).select("relative_path", "file_name", "subfolders", "category", "file_size_bytes", "extension", F.decode("content", "UTF-8").alias("text"))
+
+
+def _samples(spark) -> DataFrame:
+    from functools import partial
+
+    from docloom.plans.samples import FILES, PDF, stub_pdf_reader
+    from docloom.sources.files import read_bytes
+    from docloom.sources.parsers import ParserRegistry, parse, parse_pdf
+
+    registry = ParserRegistry()
+    registry.register(".stub", partial(parse_pdf, reader=stub_pdf_reader))
+    gone = read_bytes(spark, [("x/gone.MD", b"")]).withColumn("content", F.lit(None).cast("binary"))
+    return parse(read_bytes(spark, [*FILES, ("p/pages.stub", PDF)]).unionByName(gone), registry)
+
+
+_BANNER = X.BINARY_BANNER
+_PIPES = "| a |\n| b |"
+
+
+@_query(
+    "sample_documents",
+    _values(
+        "relative_path, file_type, category, n_elements, line_count, char_count, parsed_via, data_type, n_rows, n_columns, total_pages, total_slides, total_sheets, section_count, error",
+        [
+            ("a/plain.txt", ".txt", "a", 1, 3, 14, *[None] * 9), ("a/latin.txt", ".txt", "a", 1, 1, 4, *[None] * 9), ("a/empty.txt", ".txt", "a", 1, 0, 0, *[None] * 9),
+            ("data/ok.json", ".json", "data", 1, 1, 9, *[None] * 9), ("data/good.json", ".json", "data", 1, None, None, None, "dict", *[None] * 7),
+            ("data/two.jsonl", ".jsonl", "data", 1, 2, 18, *[None] * 9), ("data/one.jsonl", ".jsonl", "data", 1, None, None, None, "dict", *[None] * 7),
+            ("data/t.csv", ".csv", "data", 1, None, None, None, None, 2, 2, *[None] * 5), ("data/h.tsv", ".tsv", "data", 1, None, None, None, None, 0, 2, *[None] * 5),
+            ("data/bad.csv", ".csv", "data", 1, None, 16, "universal_fallback", *[None] * 8),
+            ("bin/blob.xyz", ".xyz", "bin", 1, None, 48, "universal_fallback", *[None] * 8), ("bin/nothing.xyz", ".xyz", "bin", 1, None, 37, "universal_fallback", *[None] * 8),
+            ("bin/text.xyz", ".xyz", "bin", 1, None, 15, "universal_fallback", *[None] * 8), ("bin/cjk.xyz", ".xyz", "bin", 1, None, 37, "universal_fallback", *[None] * 8),
+            ("o/d.docx", ".docx", "o", 3, *[None] * 9, 3, None), ("o/p.pptx", ".pptx", "o", 1, *[None] * 7, 2, None, None, None), ("o/s.xlsx", ".xlsx", "o", 2, *[None] * 8, 3, None, None),
+            ("o/broken.docx", ".docx", "o", 1, None, 12, "universal_fallback", *[None] * 8), ("o/some.pdf", ".pdf", "o", 1, None, 14, "universal_fallback", *[None] * 8),
+            ("noext", "unknown", "root", 1, None, 11, "universal_fallback", *[None] * 8), ("p/pages.stub", ".pdf", "p", 2, *[None] * 6, 2, *[None] * 4),
+            ("x/gone.MD", ".md", "x", 0, *[None] * 10, "File not found: x/gone.MD"),
+        ],
+    ),
+)
+def sample_documents(spark, sf_dir):
+    """Every handler and every fallback, on small files made in memory."""
+    m = [F.col(f"metadata.{c}").alias(c) for c in ("line_count", "char_count", "parsed_via", "data_type")]
+    n = [F.col(f"metadata.{c}").alias(a) for c, a in (("rows", "n_rows"), ("columns", "n_columns"), ("total_pages", "total_pages"), ("total_slides", "total_slides"), ("total_sheets", "total_sheets"), ("section_count", "section_count"))]
+    return _as_bigint(_samples(spark).select("relative_path", "file_type", "category", F.size("elements").alias("n_elements"), *m, *n, "error"))
+
+
+@_query(
+    "sample_elements",
+    _values(
+        "relative_path, element_type, element_index, title, content, n_rows, n_columns, has_notes, page_number, table_count",
+        [
+            ("a/plain.txt", "document", 1, "plain", "one\ntwo\x85three\n", *[None] * 5), ("a/latin.txt", "document", 1, "latin", "café", *[None] * 5), ("a/empty.txt", "document", 1, "empty", "", *[None] * 5),
+            ("data/ok.json", "document", 1, "ok", '\ufeff{"b": 1}', *[None] * 5), ("data/good.json", "document", 1, "good", '{\n  "b": [\n    1,\n    1.5\n  ],\n  "a": "\\u00e9"\n}', *[None] * 5),
+            ("data/two.jsonl", "document", 1, "two", '{"a": 1}\n{"a": 2}\n', *[None] * 5), ("data/one.jsonl", "document", 1, "one", '{\n  "a": 1\n}', *[None] * 5),
+            ("data/bad.csv", "document", 1, "bad", "a,b\n1,2\n1,2,3,4\n", *[None] * 5), ("bin/blob.xyz", "document", 1, "blob", _BANNER + "hello world", *[None] * 5),
+            ("bin/nothing.xyz", "document", 1, "nothing", _BANNER, *[None] * 5), ("bin/text.xyz", "document", 1, "text", "readable enough", *[None] * 5), ("bin/cjk.xyz", "document", 1, "cjk", _BANNER, *[None] * 5),
+            ("o/d.docx", "section", 1, "Overview", "intro", *[None] * 5), ("o/d.docx", "section", 2, "Second", "line one\nline two", *[None] * 5), ("o/d.docx", "table", 1, "Table 1", " | h2\nwide | wide", *[None] * 5),
+            ("o/p.pptx", "slide", 2, "Our Plan", "Our Plan\npoint one\npoint two\nk | v\n[Speaker Notes: say hello]", None, None, True, None, None),
+            ("o/broken.docx", "document", 1, "broken", "PK not a zip", *[None] * 5), ("o/some.pdf", "document", 1, "some", "%PDF-1.4 plain", *[None] * 5), ("noext", "document", 1, "noext", _PIPES, *[None] * 5),
+            ("p/pages.stub", "page", 1, "Page 1", "first\n\n| a |\n\nlast\n\n| far |", None, None, None, 1, 2), ("p/pages.stub", "page", 3, "Page 3", "not shown as a table\n\nbelow", None, None, None, 3, 2),
+        ],
+    ),
+)
+def sample_elements(spark, sf_dir):
+    """The elements of the sample files; tables rendered by a library whose layout varies are in ``sample_sheets``."""
+    each = _samples(spark).select("relative_path", F.explode("elements").alias("e")).where("e.element_type <> 'sheet'")
+    m = [F.col(f"e.metadata.{c}").alias(a) for c, a in (("rows", "n_rows"), ("columns", "n_columns"), ("has_notes", "has_notes"), ("page_number", "page_number"), ("table_count", "table_count"))]
+    return _as_bigint(each.select("relative_path", "e.element_type", F.col("e.index").alias("element_index"), "e.title", "e.content", *m))
+
+
+@_query(
+    "sample_sheets",
+    _values(
+        "relative_path, element_index, title, n_rows, n_columns, words",
+        [("data/t.csv", 1, "t", 2, 2, "x y 1 2 3 4"), ("data/h.tsv", 1, "h", 0, 2, "x y"), ("o/s.xlsx", 1, "One", 2, 2, "name n x 2024 01 01 00 00 00 y 4"), ("o/s.xlsx", 3, "Three", 1, 1, "q 1.5")],
+    ),
+)
+def sample_sheets(spark, sf_dir):
+    """Tables of CSV and spreadsheet files: sizes, and cells in reading order (numbers without a trailing .0)."""
+    each = _samples(spark).select("relative_path", F.explode("elements").alias("e")).where("e.element_type = 'sheet'")
+    cells = F.regexp_extract_all("e.content", F.lit(r"(?<![0-9.])[0-9]+(?:\.[1-9][0-9]*)?|[A-Za-z]+"), F.lit(0))
+    told = F.filter(cells, lambda c: ~c.isin("Empty", "DataFrame", "Columns", "Index"))
+    return _as_bigint(each.select("relative_path", F.col("e.index").alias("element_index"), "e.title", F.col("e.metadata.rows").alias("n_rows"), F.col("e.metadata.columns").alias("n_columns"), F.array_join(told, " ").alias("words")))
+
+
+@_query(
+    "sample_units",
+    _values(
+        "relative_path, unit_id, unit_type, unit_index, title, breadcrumbs, parent_document, document_type, page_number, slide_number, sheet_name, section_name, is_table, table_rows, table_columns",
+        [
+            ("a/plain.txt", "plain.txt_document_1", "document", 1, "plain", "a > plain.txt > plain", "plain.txt", "text_document", None, None, None, None, False, None, None),
+            ("data/two.jsonl", "two.jsonl_document_1", "document", 1, "two", "data > two.jsonl > two", "two.jsonl", "text_document", None, None, None, None, False, None, None),
+            ("o/d.docx", "d.docx_section_1", "section", 1, "Overview", "o > d.docx > Overview", "d.docx", "text_document", None, None, None, "Overview", False, None, None),
+            ("o/d.docx", "d.docx_section_2", "section", 2, "Second", "o > d.docx > Second", "d.docx", "text_document", None, None, None, "Second", False, None, None),
+            ("o/d.docx", "d.docx_table_3", "table", 3, "Table 1", "o > d.docx > Table 1", "d.docx", "text_document", None, None, None, None, True, 1, 0),
+            ("o/p.pptx", "p.pptx_slide_1", "slide", 1, "Our Plan", "o > p.pptx > Our Plan", "p.pptx", "presentation", None, 1, None, None, True, 0, 0),
+            ("noext", "noext_document_1", "document", 1, "noext", "root > noext > noext", "noext", "text_document", None, None, None, None, True, 2, 1),
+            ("p/pages.stub", "pages.stub_page_1", "page", 1, "Page 1", "p > pages.stub > Page 1", "pages.stub", "pdf_document", 1, None, None, None, True, 2, 1),
+            ("p/pages.stub", "pages.stub_page_2", "page", 2, "Page 3", "p > pages.stub > Page 3", "pages.stub", "pdf_document", 3, None, None, None, False, None, None),
+            ("x/gone.MD", "gone.MD_unit_1", "document", 1, "gone", "x > gone.MD", "gone.MD", "text_document", None, None, None, None, False, None, None),
+        ],
+    ),
+)
+def sample_units(spark, sf_dir):
+    """Normalised units of some sample files, with their parents and places."""
+    chosen = ("a/plain.txt", "a/empty.txt", "data/two.jsonl", "o/d.docx", "o/p.pptx", "noext", "p/pages.stub", "x/gone.MD")
+    u = N.normalize(_samples(spark).where(F.col("relative_path").isin(*chosen))).select(F.explode("units").alias("u"))
+    names = ("relative_path", "unit_id", "unit_type", "unit_index", "title", "breadcrumbs", "parent_document", "document_type", "page_number", "slide_number", "sheet_name", "section_name", "is_table")
+    return _as_bigint(u.select(*[f"u.{c}" for c in names], F.col("u.table_info.rows").alias("table_rows"), F.col("u.table_info.columns").alias("table_columns")))
+
+
+@_query(
+    "default_units",
+    f"""SELECT doc_id || '.md_unit_1' AS unit_id, 'document' AS unit_type, 1::INT AS unit_index, doc_id::VARCHAR AS title, clean AS content, lang || ' > ' || doc_id || '.md' AS breadcrumbs,
+        length(clean)::BIGINT AS char_count, {X.word_count_sql('clean')} AS word_count, doc_id || '.md' AS parent_document, lang AS category
+        FROM (SELECT doc_id, lang, {X.clean_text_sql('t')} AS clean FROM (SELECT doc_id, lang, {_NOISY_SQL} AS t FROM documents))""",
+)
+def default_units(spark, sf_dir):
+    """Documents without elements have one unit, which keeps an empty content too."""
+    docs = _noisy(_table(spark, sf_dir, "documents"))
+    name = F.concat("doc_id", F.lit(".md"))
+    parsed = docs.select(
+        name.alias("file_path"), name.alias("file_name"), name.alias("relative_path"), F.lit(".md").alias("file_type"), F.col("lang").alias("category"), F.col("noisy").alias("content"),
+        F.array().cast(f"array<{N.ELEMENT}>").alias("elements"), F.lit(None).cast("string").alias("error"),
+    )
+    u = N.normalize(parsed).select(F.explode("units").alias("u"))
+    return u.select(*[f"u.{c}" for c in ("unit_id", "unit_type", "unit_index", "title", "content", "breadcrumbs", "char_count", "word_count", "parent_document", "category")])
+
+
+_LATIN_SQL = r"regexp_replace(coalesce(text, ''), '[^\x00-\x{FF}]', '?', 'g')"
+
+
+def _file_rows(docs: DataFrame, name, content) -> DataFrame:
+    from docloom.sources.files import as_files
+
+    return as_files(docs.select(name.alias("relative_path"), content.alias("content")))
+
+
+@_query("decode_text", f"SELECT doc_id || '.txt' AS relative_path, regexp_replace(replace({_LATIN_SQL}, chr(10), chr(13) || chr(10)), '\r\n?', chr(10), 'g') AS content, length({_LATIN_SQL})::BIGINT AS char_count FROM documents")
+def decode_text(spark, sf_dir):
+    """Bytes that are no UTF-8 are read as Latin-1; line ends become line feeds."""
+    from docloom.sources.parsers import parse
+
+    latin = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\xFF]", "?")
+    content = F.encode(F.replace(latin, F.lit("\n"), F.lit("\r\n")), "ISO-8859-1")
+    files = _file_rows(_table(spark, sf_dir, "documents"), F.concat("doc_id", F.lit(".txt")), content)
+    return parse(files).select("relative_path", "content", "metadata.char_count")
+
+
+@_query(
+    "fallback_route",
+    f"""SELECT doc_id || '.bin' AS relative_path, CASE WHEN {X.printable_ratio_sql('t')} < 0.6 THEN '[Binary Document Extracted Strings]' || chr(10) || chr(10) || array_to_string(regexp_extract_all(t, '[\x20-\x7E]{{4,}}'), chr(10)) ELSE t END AS content,
+        'universal_fallback' AS parsed_via, '.bin' AS file_type FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(coalesce(text, ''), '[a-p]', 'é', 'g') ELSE coalesce(text, '') END AS t FROM documents)""",
+)
+def fallback_route(spark, sf_dir):
+    """Unknown files: their text, or the readable runs of their bytes if too little of them is readable."""
+    from docloom.sources.parsers import parse
+
+    text = F.coalesce("text", F.lit(""))
+    odd = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(text, "[a-p]", "é")).otherwise(text)
+    files = _file_rows(_table(spark, sf_dir, "documents"), F.concat("doc_id", F.lit(".bin")), F.encode(odd, "UTF-8"))
+    return parse(files).select("relative_path", "content", "metadata.parsed_via", "file_type")
+
+
+@_query("report_paths", r"SELECT DISTINCT regexp_replace(p, '([^/])\.[^./]+$', '\1') || '_parsed.txt' AS path FROM (SELECT lang || '/' || doc_id || (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.md' ELSE '.tar.gz' END) AS p FROM documents)")
+def report_paths(spark, sf_dir):
+    """Where the reports of a tree go: its folders, and stems with a new ending."""
+    from docloom.ship import shared_folder
+    from docloom.sources.sinks import write_texts
+
+    ending = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, ".md").otherwise(".tar.gz")
+    root = shared_folder(spark, "reports")
+    written = write_texts(_table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), "doc_id", ending).alias("relative_path"), F.lit("x").alias("text")), root, "_parsed")
+    return written.select(F.substring_index("path", root.rpartition("/")[2] + "/", -1).alias("path"))
+
+
+@_query(
+    "load_normalized",
+    _UNITS_SQL + f"SELECT f || '_' || kind || '_' || i AS unit_id, f AS file_name, 'chat' AS category, 'chat > ' || f || ' > ' || named AS breadcrumbs, named AS title, kind AS unit_type, content, {X.word_count_sql('content')} AS word_count, length(content)::BIGINT AS char_count FROM u",
+)
+def load_normalized(spark, sf_dir):
+    """Normalised documents written to one JSON file, and read back as flat units."""
+    from docloom.ship import shared_folder
+    from docloom.sources.sinks import export_normalized
+
+    root = shared_folder(spark, "normalized")
+    export_normalized(N.normalize(_conversations(spark, sf_dir)), root)
+    return N.load_normalized_dataset(spark, f"{root}/normalized_dataset_summary.json")
+
+
+@_query("summary_file", "SELECT count(*) AS total_documents, count(*) AS total_structural_elements, sum(length(n_name) + 2)::BIGINT AS total_characters, 0::BIGINT AS error_count, count(*) AS n_documents FROM nation")
+def summary_file(spark, sf_dir):
+    """The dataset summary, written to one JSON file and read back."""
+    from docloom.ship import shared_folder
+    from docloom.sources.parsers import parse
+    from docloom.sources.sinks import export_parsed
+
+    root = shared_folder(spark, "summary")
+    nations = _table(spark, sf_dir, "nation")
+    files = _file_rows(nations, F.concat("n_regionkey", F.lit("/"), "n_name", F.lit(".txt")), F.encode(F.concat(F.lit("# "), "n_name"), "UTF-8"))
+    export_parsed(parse(files), root)
+    told = spark.read.json(f"{root}/dataset_summary.json", multiLine=True)
+    return told.select(*[f"stats.{c}" for c in ("total_documents", "total_structural_elements", "total_characters", "error_count")], F.size("documents").cast("long").alias("n_documents"))
+
+
+@_query("thousands", "SELECT o_orderkey, format('{:,}', o_orderkey * 1237) AS shown FROM orders")
+def thousands(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", X.thousands(F.col("o_orderkey") * 1237).alias("shown"))
+
+
+_REPORT_SQL = _UNITS_SQL + f"""
+, d AS (SELECT conv_id, 'policy_' || conv_id || '.md' AS f, {X.clean_text_sql("string_agg(raw, chr(10) || chr(10) ORDER BY turn)")} AS content FROM e GROUP BY conv_id
+), t AS (SELECT *, kind = 'table' OR (contains(content, '|') AND contains(content, chr(10))) AS tab, list_filter(list_transform(string_split(content, chr(10)), lambda l: {X.strip_sql('l')}), lambda l: starts_with(l, '|')) AS l FROM u
+), p AS (SELECT conv_id, i, concat_ws(chr(10),
+    '• ID: ' || f || '_' || kind || '_' || i, '  Type: ' || upper(kind) || ' | Title: ' || named || ' ' || CASE WHEN tab THEN '[TABLE FORMAT]' ELSE '' END, '  Breadcrumbs: chat > ' || f || ' > ' || named,
+    CASE WHEN kind = 'page' THEN '  Page: ' || i END, CASE WHEN kind = 'slide' THEN '  Slide: ' || i END, CASE WHEN kind = 'section' AND title <> '' THEN '  Section: ' || title END,
+    CASE WHEN tab THEN '  Table Info: {{''rows'': ' || len(l) || ', ''columns'': ' || coalesce(list_max(list_transform(l, lambda x: length(x) - length(replace(x, '|', '')) - 1)), 0) || ', ''has_markdown_format'': ' || CASE WHEN contains(content, '|') THEN 'True' ELSE 'False' END || '}}' END,
+    '  Length: ' || format('{{:,}}', length(content)) || ' chars (' || {X.word_count_sql('content')} || ' words)') || chr(10) AS listed,
+    '=== [' || upper(kind) || ' ' || i || ': ' || named || '] ===' || chr(10) || 'Breadcrumbs: chat > ' || f || ' > ' || named || chr(10) || content || chr(10) AS full_text, tab FROM t
+), g AS (SELECT conv_id, string_agg(listed, chr(10) ORDER BY i) AS listed, string_agg(full_text, chr(10) ORDER BY i) AS full_text, count(*) AS n, count(*) FILTER (WHERE tab) AS tables FROM p GROUP BY conv_id)
+SELECT f AS relative_path, concat_ws(chr(10), repeat('=', 85), 'DOCUMENT        : ' || f, 'RELATIVE PATH   : ' || f, 'CATEGORY        : chat', 'DOCUMENT TYPE   : policy', 'FILE TYPE       : .md',
+  'TOTAL UNITS     : ' || coalesce(n, 0) || ' unit(s)', 'TOTAL WORDS     : ' || format('{{:,}}', {X.word_count_sql('content')}), 'TOTAL CHARACTERS: ' || format('{{:,}}', length(content)), 'TABLE COUNT     : ' || coalesce(tables, 0),
+  repeat('=', 85), chr(10), '--- STRUCTURAL UNITS & BREADCRUMBS ---', listed, repeat('=', 85), '--- NORMALIZED CONTENT ---' || chr(10), full_text) AS text FROM d LEFT JOIN g USING (conv_id)
+"""
 
 
-@_query("report_texts")
+@_query("report_texts", _REPORT_SQL)
 def report_texts(spark, sf_dir):
     from docloom.sources.sinks import normalized_text
 

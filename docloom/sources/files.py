@@ -2,19 +2,24 @@
 
 Spark's own ``binaryFile`` drops names that start with ``_``, hidden folders
 and empty files, all of which count here; only names that start with ``.`` or
-``~$`` do not. The walk runs on the driver and yields paths and sizes; files
-are packed into partitions by size and read on the executors, so the folder
-must be one that all of them can reach.
+``~$`` do not. The folder is listed on the driver, which yields paths and sizes; files
+are packed into partitions by size and read on the executors. A plain path, or
+``file://``, must be one that all of them can reach; any other scheme that
+pyarrow's file systems know is listed and read through them.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from docloom.functions import text as X
 from docloom.ship import ship
 
 FILES_SCHEMA = "path string, file_name string, relative_path string, subfolders array<string>, category string, file_size_bytes bigint, extension string, content binary"
@@ -30,26 +35,43 @@ class FilePartition(InputPartition):
         self.files = files
 
 
+def _listing(root: str) -> Iterator[tuple[str, str, int]]:
+    """(path, relative path, size) of the files that count; links are files if they lead to one, and folders they lead to are not entered."""
+    scheme, has_scheme, rest = root.partition("://")
+    if not has_scheme or scheme == "file":
+        top = os.path.realpath(unquote(rest) if has_scheme else root)
+        for folder, _, names in os.walk(top, followlinks=False):
+            for name in names:
+                path = os.path.join(folder, name)
+                if not name.startswith((".", "~$")) and os.path.isfile(path):
+                    yield path, os.path.relpath(path, top).replace(os.sep, "/"), os.path.getsize(path)
+        return
+    fs, top = pafs.FileSystem.from_uri(root)
+    for found in fs.get_file_info(pafs.FileSelector(top, recursive=True, allow_not_found=True)):
+        if found.type == pafs.FileType.File and not found.base_name.startswith((".", "~$")):
+            yield found.path, found.path[len(top) :].lstrip("/"), found.size or 0
+
+
+def _open(root: str, path: str):
+    scheme, has_scheme, _ = root.partition("://")
+    return open(path, "rb") if not has_scheme or scheme == "file" else pafs.FileSystem.from_uri(root)[0].open_input_stream(path, compression=None)
+
+
 class DocFilesReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root = os.path.realpath(options["path"])
+        self.root = options["path"]
         self.pack_bytes = int(options.get("packBytes", 64 << 20))
         self.pack_files = int(options.get("packFiles", 10_000))
         self.with_content = options.get("content", "true").lower() == "true"
 
     def partitions(self) -> list[FilePartition]:
         packs, current, held = [], [], 0
-        for folder, _, names in os.walk(self.root, followlinks=False):
-            for name in names:
-                path = os.path.join(folder, name)
-                if name.startswith((".", "~$")) or not os.path.isfile(path):
-                    continue
-                size = os.path.getsize(path)
-                if current and (held + size > self.pack_bytes or len(current) >= self.pack_files):
-                    packs.append(FilePartition(current))
-                    current, held = [], 0
-                current.append((path, os.path.relpath(path, self.root).replace(os.sep, "/"), size))
-                held += size
+        for path, relative, size in _listing(self.root):
+            if current and (held + size > self.pack_bytes or len(current) >= self.pack_files):
+                packs.append(FilePartition(current))
+                current, held = [], 0
+            current.append((path, relative, size))
+            held += size
         if current:
             packs.append(FilePartition(current))
         return packs or [FilePartition([])]
@@ -57,13 +79,12 @@ class DocFilesReader(DataSourceReader):
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         for path, relative, size in partition.files:
             folders = relative.split("/")[:-1]
-            real = os.path.realpath(path)
-            name = os.path.basename(real)
+            real = path if "://" in self.root and not self.root.startswith("file://") else os.path.realpath(path)
             content = None
             if self.with_content:
-                with open(real, "rb") as file:
+                with _open(self.root, real) as file:
                     content = file.read()
-            yield real, name, relative, folders, "/".join(folders) or "root", size, _suffix(os.path.basename(relative)) or "no_extension", content
+            yield real, real.rpartition("/")[2], relative, folders, "/".join(folders) or "root", size, _suffix(relative.rpartition("/")[2]) or "no_extension", content
 
 
 class DocFilesSource(DataSource):
@@ -87,9 +108,14 @@ def read_files(spark: SparkSession, root: str, *, content: bool = True) -> DataF
 
 def read_bytes(spark: SparkSession, rows: list[tuple[str, bytes]]) -> DataFrame:
     """The same table from (relative path, bytes) pairs in memory."""
-    out = []
-    for relative, data in rows:
-        folders = relative.split("/")[:-1]
-        name = relative.split("/")[-1]
-        out.append((relative, name, relative, folders, "/".join(folders) or "root", len(data), _suffix(name) or "no_extension", data))
-    return spark.createDataFrame(out, FILES_SCHEMA)
+    return as_files(spark.createDataFrame(rows, "relative_path string, content binary"))
+
+
+def as_files(named: DataFrame) -> DataFrame:
+    """The same table from ``relative_path`` and ``content`` columns."""
+    path = F.col("relative_path")
+    name = F.substring_index(path, "/", -1)
+    return named.select(
+        path.alias("path"), name.alias("file_name"), "relative_path", X.folders(path).alias("subfolders"), X.category(path).alias("category"),
+        F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("file_size_bytes"), F.when(X.suffix(name) == "", "no_extension").otherwise(X.suffix(name)).alias("extension"), "content",
+    )

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.operators.layout import page_text
 from docloom.operators.normalize import ELEMENT, ELEMENT_METADATA_FIELDS, METADATA_FIELDS, PARSED_METADATA, told
 from docloom.ship import ship
 
@@ -302,43 +303,36 @@ def parse_xlsx(content: bytes, name: str, category: str) -> dict:
     return {"content": "\n\n".join(blocks), "elements": elements, "metadata": {"total_sheets": len(names), "sheet_names": names}}
 
 
-def parse_pdf(content: bytes, name: str, category: str) -> dict:
-    """Pages with text blocks and tables in reading order; needs PyMuPDF."""
+def _shown(table) -> str | None:
+    try:
+        return table.to_pandas().to_markdown(index=False)
+    except Exception:  # no table after all, or a library is missing: the text stands for it
+        return None
+
+
+def read_pdf(content: bytes):
+    """(document information, pages) by PyMuPDF; a page is its text blocks and its tables, each a box with what it shows."""
     import fitz
 
-    elements, blocks = [], []
-    with fitz.open(stream=content, filetype="pdf") as document:
-        about = document.metadata or {}
-        for number, page in enumerate(document, 1):
-            tables = page.find_tables().tables
-            boxes = [fitz.Rect(t.bbox) for t in tables]
-            used: set[int] = set()
-            parts = []
-            for block in page.get_text("blocks"):
-                text = block[4].strip()
-                if not text:
-                    continue
-                hit = next((k for k, box in enumerate(boxes) if fitz.Rect(block[:4]).intersects(box)), None)
-                if hit is None:
-                    parts.append(text)
-                elif hit not in used:
-                    used.add(hit)
-                    try:
-                        parts.append(tables[hit].to_pandas().to_markdown(index=False))
-                    except Exception:
-                        parts.append(text)
-            for k, table in enumerate(tables):
-                if k not in used:
-                    try:
-                        parts.append(table.to_pandas().to_markdown(index=False))
-                    except Exception:
-                        continue
-            whole = "\n\n".join(parts).strip()
-            if whole:
-                elements.append(_element("page", number, f"Page {number}", whole, page_number=number, table_count=len(tables), has_tables=bool(tables)))
-                blocks.append(f"--- Page {number} ---\n{whole}")
+    def pages(document):
+        with document:
+            for page in document:
+                yield [(tuple(b[:4]), b[4]) for b in page.get_text("blocks")], [(tuple(t.bbox), _shown(t)) for t in page.find_tables().tables]
+
+    document = fitz.open(stream=content, filetype="pdf")
+    return document.metadata or {}, pages(document)
+
+
+def parse_pdf(content: bytes, name: str, category: str, reader: Callable = read_pdf) -> dict:
+    """Pages of text with their tables in place; pages that show nothing are counted by number but make no element."""
+    about, pages = reader(content)
+    elements = []
+    for number, (blocks, tables) in enumerate(pages, 1):
+        shown = page_text(blocks, tables)
+        if shown:
+            elements.append(_element("page", number, f"Page {number}", shown, page_number=number, table_count=len(tables), has_tables=bool(tables)))
     return {
-        "file_type": ".pdf", "content": "\n\n".join(blocks), "elements": elements,
+        "file_type": ".pdf", "content": "\n\n".join(f"--- {e['title']} ---\n{e['content']}" for e in elements), "elements": elements,
         "metadata": {"total_pages": len(elements), "author": about.get("author", ""), "title": about.get("title", ""), "creation_date": about.get("creationDate", "")},
     }
 

@@ -1,22 +1,28 @@
 """Sinks: text reports mirrored into folders, JSON summaries, vectors as Parquet or JSON.
 
 Report texts are built as columns; a task writes its own documents through
-pyarrow's file systems, so nothing passes through the driver but the paths.
+pyarrow's file systems, so nothing passes through the driver but what goes into
+a single JSON file, row by row.
 """
 
 from __future__ import annotations
 
+import json
+import logging
+import os
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from docloom.functions.text import thousands
 from docloom.operators.normalize import normalized_totals, summary_stats
 from docloom.ship import ship
 
+log = logging.getLogger("docloom")
 
 def _lines(*parts: Column) -> Column:
     """Lines joined by line feeds; null parts are left out."""
@@ -79,18 +85,19 @@ def normalized_text(docs: DataFrame) -> DataFrame:
     return docs.select("relative_path", F.array_join(body, "\n").alias("text"))
 
 
-def write_texts(texts: DataFrame, root: str, ending: str) -> list[str]:
-    """Write ``relative_path, text`` rows as ``<folder>/<stem><ending>.txt`` below ``root``; returns the paths.
+def write_texts(texts: DataFrame, root: str, ending: str) -> DataFrame:
+    """Write ``relative_path, text`` rows as ``<folder>/<stem><ending>.txt`` below ``root``; returns the ``path`` of each as a table.
 
     Two files of one folder that share a stem share a name, and the one with
-    the later relative path stays.
+    the later relative path stays. The paths are kept as a table below ``root`` too, in
+    ``_paths<ending>``: there may be as many as documents, so they never come to the driver at once.
     """
     ship(texts.sparkSession)
     stem = F.regexp_replace("relative_path", r"(?<=[^/])\.[^./]+\z", "")
     named = texts.select(F.concat(stem, F.lit(f"{ending}.txt")).alias("target"), F.struct("relative_path", "text").alias("s")).groupBy("target").agg(F.max("s").alias("s"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = pafs.FileSystem.from_uri(root)
+        fs, at = _file_system(root)
         for batch in batches:
             done = []
             for target, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -101,23 +108,77 @@ def write_texts(texts: DataFrame, root: str, ending: str) -> list[str]:
                 done.append(path)
             yield pa.RecordBatch.from_pydict({"path": pa.array(done, pa.string())})
 
-    return sorted(r.path for r in named.select("target", "s.text").mapInArrow(write, "path string").collect())
+    listing = f"{root}/_paths{ending}"
+    named.select("target", "s.text").mapInArrow(write, "path string").write.mode("overwrite").parquet(listing)
+    return texts.sparkSession.read.schema("path string").parquet(listing)
 
 
-def export_parsed(docs: DataFrame, root: str, *, summary: bool = True) -> list[str]:
-    """Text reports of parsed documents, and ``dataset_summary`` with ``stats`` and ``documents`` as JSON folders."""
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), os.path.abspath(path)
+
+
+def _known(value):
+    """Nested rows as dicts; what a ``metadata`` has no value for is left out of it."""
+    if isinstance(value, Row):
+        return {k: {n: _known(v) for n, v in x.asDict().items() if v is not None} if k == "metadata" and isinstance(x, Row) else _known(x) for k, x in value.asDict().items()}
+    return [_known(v) for v in value] if isinstance(value, list) else value
+
+
+def write_json_file(path: str, head: dict, name: str, rows: DataFrame) -> int:
+    """One JSON file ``{**head, name: [rows]}``, indented by two; returns the number of rows.
+
+    A single file has a single writer: rows come to the driver partition by
+    partition and go out one by one, so its memory follows a partition and not the table.
+    """
+    fs, at = _file_system(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    shown = lambda value, by: json.dumps(value, indent=2).replace("\n", "\n" + " " * by)
+    n = 0
+    with fs.open_output_stream(at, compression=None) as out:
+        out.write(("{\n" + "".join(f"  {json.dumps(k)}: {shown(v, 2)},\n" for k, v in head.items()) + f"  {json.dumps(name)}: [").encode())
+        for n, row in enumerate(rows.toLocalIterator(), 1):
+            out.write((("," if n > 1 else "") + "\n    " + shown(_known(row), 4)).encode())
+        out.write(("\n  ]\n}" if n else "]\n}").encode())
+    return n
+
+
+def export_parsed(docs: DataFrame, root: str, *, summary: bool = True, one_file: bool = True) -> DataFrame:
+    """Text reports of parsed documents, and their summary; returns the reports' paths.
+
+    The summary is one file ``dataset_summary.json`` with ``stats`` and
+    ``documents``. With ``one_file=False`` it is a folder of JSON lines for each, which no single task writes.
+    """
     paths = write_texts(parsed_text(docs), root, "_parsed")
-    if summary:
-        summary_stats(docs).coalesce(1).write.mode("overwrite").json(f"{root}/dataset_summary/stats")
+    stats = summary_stats(docs)
+    if summary and one_file:
+        shown = docs.select("file_path", "file_name", "file_type", "category", "content", "elements", "metadata", "error")
+        write_json_file(f"{root}/dataset_summary.json", {"stats": stats.first().asDict(recursive=True)}, "documents", shown)
+    elif summary:
+        stats.coalesce(1).write.mode("overwrite").json(f"{root}/dataset_summary/stats")
         docs.withColumn("total_elements", F.size("elements")).write.mode("overwrite").json(f"{root}/dataset_summary/documents")
     return paths
 
 
-def export_normalized(docs: DataFrame, root: str) -> list[str]:
-    """Text reports of normalised documents, and ``normalized_dataset_summary`` as totals and documents in JSON folders."""
+#: What a unit shows in JSON, in order.
+UNIT_KEYS = (
+    "unit_id", "unit_type", "unit_index", "title", "content", "page_number", "slide_number", "sheet_name", "section_name", "is_table", "table_info", "breadcrumbs",
+    "char_count", "word_count", "metadata",
+)
+
+
+def export_normalized(docs: DataFrame, root: str, *, one_file: bool = True) -> DataFrame:
+    """Text reports of normalised documents, and ``normalized_dataset_summary`` with totals and documents; see ``export_parsed``."""
     paths = write_texts(normalized_text(docs), root, "_normalized")
-    normalized_totals(docs).coalesce(1).write.mode("overwrite").json(f"{root}/normalized_dataset_summary/totals")
-    docs.withColumn("total_units", F.size("units")).write.mode("overwrite").json(f"{root}/normalized_dataset_summary/documents")
+    totals = normalized_totals(docs)
+    if one_file:
+        units = F.transform("units", lambda u: F.struct(*[u[k].alias(k) for k in UNIT_KEYS]))
+        shown = docs.select("file_path", "file_name", "relative_path", "file_type", "category", "document_type", "content", units.alias("units"), "metadata", "error")
+        write_json_file(f"{root}/normalized_dataset_summary.json", totals.first().asDict(), "documents", shown)
+    else:
+        totals.coalesce(1).write.mode("overwrite").json(f"{root}/normalized_dataset_summary/totals")
+        docs.withColumn("total_units", F.size("units")).write.mode("overwrite").json(f"{root}/normalized_dataset_summary/documents")
     return paths
 
 
@@ -126,9 +187,19 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(name))
 
 
-def write_embeddings(embedded: DataFrame, root: str, *, model_name: str, dim: int, seconds: float) -> None:
-    """Vectors as Parquet in ``units`` and a one-row ``manifest``."""
+def write_embeddings(embedded: DataFrame, root: str, *, model_name: str, dim: int, one_file: bool = True) -> DataFrame:
+    """Vectors as Parquet in ``units``, a one-row ``manifest``, and both in one file ``embeddings.json``; returns the stored vectors.
+
+    The seconds in the manifest are those of computing and writing the vectors, which happens here.
+    """
+    spark = embedded.sparkSession
+    began = time.perf_counter()
     embedded.write.mode("overwrite").parquet(f"{root}/units")
-    count = embedded.sparkSession.read.parquet(f"{root}/units").count()
-    row = [(model_name, dim, count, round(seconds, 2))]
-    embedded.sparkSession.createDataFrame(row, "model_name string, embedding_dim int, total_units long, generation_time_seconds double").coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+    seconds = time.perf_counter() - began
+    stored = spark.read.parquet(f"{root}/units")
+    head = {"model_name": model_name, "embedding_dim": dim, "total_units": stored.count(), "generation_time_seconds": round(seconds, 2)}
+    log.info("%d vectors of %s in %.2f s", head["total_units"], model_name, seconds)
+    spark.createDataFrame([tuple(head.values())], "model_name string, embedding_dim int, total_units long, generation_time_seconds double").coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+    if one_file:
+        write_json_file(f"{root}/embeddings.json", head, "units", stored)
+    return stored
