@@ -64,6 +64,7 @@ _LOW43 = np.uint64((1 << 43) - 1)
 MAX_HOT = 1 << 19
 MAX_BROADCAST_IDS = 1_000_000
 _FLUSH = 3_000_000
+_RANGE_TOKENS = 2_000_000
 #: A block holds about so many members, and about so many shingles.
 BLOCK_MEMBERS = 256
 BLOCK_TOKENS = 1 << 16
@@ -173,30 +174,32 @@ def _first_pass(docs: DataFrame, width: int, ranges: int) -> DataFrame:
 
 
 def _frequent(runs: DataFrame, ranges: int, least: int, max_hot: int) -> np.ndarray:
-    """Buckets (32 leading bits) of frequent shingles, ascending by frequency; at most ``max_hot``."""
+    """Buckets (32 leading bits) of frequent shingles, ascending by frequency; at most ``max_hot``.
+
+    A task holds one sum per bucket of its range, so at most 2**32 / ``ranges``, however many runs it reads.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        held, n_held = [], 0
 
-        def done():
-            values = np.concatenate([_unpack_sorted(r, np.uint32) for r, _ in held])
-            counts = np.concatenate([_unpack(c, np.uint16) for _, c in held]).astype(np.int64)
+        def summed():
+            values, counts = (np.concatenate(c) for c in zip(*held))
             order = np.argsort(values, kind="stable")
             values, counts = values[order], counts[order]
             start = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-            total = np.add.reduceat(counts, start)
-            hot = total >= least
-            return pa.RecordBatch.from_arrays([pa.array(values[start][hot].astype(np.int64)), pa.array(total[hot])], ["bucket", "n"])
+            return values[start], np.add.reduceat(counts, start)
 
         for batch in batches:
-            for r, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if r != current and held:
-                    yield done()
-                    held = []
-                current = r
-                held.append((a, b))
-        if held:
-            yield done()
+            for a, b in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                held.append((_unpack_sorted(a, np.uint32), _unpack(b, np.uint16).astype(np.int64)))
+                n_held += len(held[-1][0])
+                if n_held > 2 * len(held[0][0]) + _FLUSH:
+                    held = [summed()]
+                    n_held = len(held[0][0])
+        if n_held:
+            values, total = summed()
+            hot = total >= least
+            yield pa.RecordBatch.from_arrays([pa.array(values[hot].astype(np.int64)), pa.array(total[hot])], ["bucket", "n"])
 
     counted = dealt(runs, ranges, "range").mapInArrow(released(merge), "bucket long, n long")
     found = counted.orderBy(F.desc("n"), "bucket").limit(max_hot).toPandas()
@@ -426,7 +429,7 @@ def _open_pair(num: int, den: int):
 
 
 def _grouped(work: Workspace, classes: DataFrame, last: DataFrame) -> DataFrame:
-    """``class, comp``: the class whose group it joins, for classes that join one."""
+    """``class, size, last, comp``: the class that names the group it joins, itself if it joins none."""
     keyed = classes.select("class", F.posexplode("keys").alias("bin", "key")).where("key <> 0")
     met = work.table(keyed.groupBy("bin", "key").agg(F.count("*").alias("n")).where("n > 1"), "met")
     shared = work.table(join_groups(keyed, met, ["bin", "key"], F.col("class")).where("n IS NOT NULL"), "shared")
@@ -437,9 +440,10 @@ def _grouped(work: Workspace, classes: DataFrame, last: DataFrame) -> DataFrame:
     leaders = work.table(leaders, "leaders")
     led = join_groups(shared.drop("n"), leaders, ["bin", "key"], F.col("class")).where("leader.class <> class")
     proposed = led.groupBy("class", "leader").agg(F.count("*").alias("agree")).where(F.col("agree") >= BINS // 2)
-    best = work.table(proposed.groupBy("class").agg(F.max(F.struct("agree", "leader"))["leader"]["class"].alias("comp")), "best")
+    best = proposed.groupBy("class").agg(F.max(F.struct("agree", "leader"))["leader"]["class"].alias("comp"))
+    member = work.table(last.drop("rare").join(best, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "member")
     work.drop("met", "shared", "leaders")
-    return best
+    return member
 
 
 def _paired(work: Workspace, held: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame:
@@ -474,8 +478,8 @@ def _paired(work: Workspace, held: DataFrame, member: DataFrame, num: int, den:
     return found
 
 
-def _blocks(work: Workspace, docs: DataFrame, classes: DataFrame, member: DataFrame, paired: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """``comp, block, members`` of the groups to open, and ``class, comp, block`` of their members.
+def _blocks(work: Workspace, docs: DataFrame, classes: DataFrame, member: DataFrame, paired: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``comp, block, members`` of the groups to open; ``class, comp, block`` of their members; ``comp, parts``, in how many blocks a group is.
 
     The class that a group is named after is in each of the group's blocks.
     """
@@ -495,8 +499,8 @@ def _blocks(work: Workspace, docs: DataFrame, classes: DataFrame, member: DataFr
     sets = texts.mapInArrow(released(_of_class(width)), "class long, shingles binary").dropDuplicates(["class"])
     blocks = placed.join(sets, "class").groupBy("comp", "block").agg(F.collect_list(F.struct("class", "shingles")).alias("members"))
     blocks = work.table(blocks, "blocks")
-    work.drop("opened", "wanted")
-    return blocks, placed
+    work.drop("wanted")
+    return blocks, placed, opened.select("comp", "parts")
 
 
 def _attached(work: Workspace, pairs: DataFrame, blocks: DataFrame, k: str, other: list[str]) -> DataFrame:
@@ -510,11 +514,9 @@ def _attached(work: Workspace, pairs: DataFrame, blocks: DataFrame, k: str, othe
     return spread_.join(ready, [*name, "deal"]).drop("deal")
 
 
-def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, paired: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, parts: DataFrame, paired: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """``a, b``: verified links that join all that link; ``node, comp``: the components they make."""
     links = work.table(blocks.where(F.size("members") > 1).select("members").mapInArrow(released(_open_alone(num, den)), "a long, b long"), "links0")
-    sizes = blocks.groupBy("comp").agg((F.max("block") + 1).alias("parts"))
-    parts = work.table(sizes, "parts")
     largest = parts.agg(F.max("parts")).first()[0] or 0
     reach, step, some = 0, 0, False
     if largest <= 1 and paired.isEmpty():
@@ -568,24 +570,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = texts.where("size > 0").groupBy("class").agg(F.min("id").alias("_row"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     classes = work.table(classes, "classes")
     frequent = _frequent(first.where("range IS NOT NULL").select("range", "runs", "counts"), ranges, least_hot, max_hot)
-    lead = work.table(_leading_pass(rows.select("text"), width, num, den, ranges, frequent), "lead")
+    # a range of leading shingles is sorted at once, so the number of ranges follows theirs
+    shingles = texts.agg(F.sum("size")).first()[0] or 0
+    lead_ranges = max(ranges, (den - num) * shingles // den // _RANGE_TOKENS)
+    lead = work.table(_leading_pass(rows.select("text"), width, num, den, lead_ranges, frequent), "lead")
     last = work.table(lead.where("size IS NOT NULL").select("class", "size", "last", "rare").dropDuplicates(["class"]), "last")
 
-    best = _grouped(work, classes, last)
-    member = work.table(last.drop("rare").join(best, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "member")
-    held = _shared_tokens(lead.where("range IS NOT NULL").select("range", "runs", "classes"), ranges).union(lead.where("token IS NOT NULL").select("token", "class").distinct())
+    member = _grouped(work, classes, last)
+    held = _shared_tokens(lead.where("range IS NOT NULL").select("range", "runs", "classes"), lead_ranges).union(lead.where("token IS NOT NULL").select("token", "class").distinct())
     paired = _paired(work, held, member, num, den)
-    work.drop("lead", "last", "best")
-    blocks, placed = _blocks(work, rows, classes, member, paired, width)
-    links, joined = _opened(work, blocks, placed, paired, num, den)
-    work.drop("member", "paired", "blocks", "placed", "parts")
+    work.drop("lead", "last")
+    blocks, placed, parts = _blocks(work, rows, classes, member, paired, width)
+    _, joined = _opened(work, blocks, placed, parts, paired, num, den)
+    work.drop("member", "paired", "blocks", "placed", "opened")
 
     labelled = classes.select("class", "_row", "n").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    labelled = work.table(labelled, "labelled")
     named = labelled.groupBy("comp").agg(F.min("_row").alias("component_id"), F.min_by("class", F.struct(F.col("_row").isNull(), "_row", "class")).alias("kept"), F.count("*").alias("n"))
     labels = join_groups(labelled.withColumnRenamed("n", "rows"), work.table(named, "named"), ["comp"], F.col("class"))
     labels = work.table(labels.select("class", "component_id", "kept", F.col("rows").alias("n")), "labels")
-    work.drop("labelled", "named")
+    work.drop("named")
     out = join_groups(texts.select("id", "class", "size"), labels, ["class"], F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),

@@ -10,7 +10,8 @@ others share what is left at level ``(total - caps) / weights``. That level
 rises as long as sources are capped rightly and never rises after, so the
 final level is the largest of them. A target is ``least(cap, level * weight)``.
 
-Only the per-source table meets in one task. It is written to the shared folder
+Only the per-source table meets in one task, one row per source, where windows
+sort it with spill. It is written to the shared folder
 first, so Spark knows its size and joins it by broadcast only below
 ``spark.sql.autoBroadcastJoinThreshold``, else by a shuffle that adaptive
 execution can split at a hot source.

@@ -1,10 +1,9 @@
 """Shared storage for intermediate tables and binary artefacts.
 
-What an operator writes between two jobs goes to the folder named by
-``spark.checkpoint.dir``, which every executor and the driver can reach, so what
-a lost executor had written is read again and not computed again. Only small
-tables of a few steps (``Workspace.keep``) stay on the executors' disks, with
-their lineage down to the written tables they come from.
+Everything an operator keeps between two jobs is written as Parquet to the folder
+named by ``spark.checkpoint.dir``, which every executor and the driver can
+reach: lineage ends there, and what a lost executor had written is read again and
+not computed again. Nothing is cached on executors.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,16 +101,13 @@ def dealt(df: DataFrame, parts: int, number: str) -> DataFrame:
 class Workspace:
     """One query's folder below the shared one. Its tables are Parquet.
 
-    ``table`` writes one and reads it back. ``keep`` holds a smaller, short-lived
-    one on the executors' disks with its lineage, so that parts lost with an
-    executor are computed again. ``drop`` frees either; what the returned lazy
-    result still needs must be a written table, and goes when the driver exits.
+    ``table`` writes one and reads it back. ``drop`` frees some; what the returned
+    lazy result still needs goes when the driver exits.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom/{label}-{uuid.uuid4().hex}"
-        self.kept: dict[str, DataFrame] = {}
         atexit.register(self._close)
 
     def path(self, name: str) -> str:
@@ -124,29 +119,9 @@ class Workspace:
         df.write.mode("overwrite").options(compression="zstd", **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Compute ``df`` now and keep its rows on disk for the steps to come.
-
-        The result is a leaf for the planner (a plan that held the plans of all
-        steps before would grow with every join), yet its RDD knows its parents,
-        so what a lost executor held is computed again.
-        """
-        df = df.persist(StorageLevel.DISK_ONLY)
-        df.count()
-        self.kept[name] = df
-        plan = df.select("*")._jdf
-        leaf = self.spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False)
-        return DataFrame(leaf, self.spark)
-
     def drop(self, *names: str) -> None:
         for name in names:
-            if name in self.kept:
-                self.kept.pop(name).unpersist()
-            else:
-                delete(self.spark, self.path(name))
-
-    def drop_kept(self) -> None:
-        self.drop(*list(self.kept))
+            delete(self.spark, self.path(name))
 
     def _close(self) -> None:
         try:

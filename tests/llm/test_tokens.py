@@ -53,6 +53,28 @@ def test_random_access_reads_only_asked_frames(spark):
     assert got == {k: e.tolist() for k, e in zip((3, 4, 40), expected([rows[k][1] for k in (3, 4, 40)]))}
 
 
+def test_a_reader_touches_only_the_frames_asked_for(spark):
+    """Byte ranges, counted: each asked frame once, neighbours together, nothing else."""
+    rows = [(k, f"text number {k} " * (k + 1)) for k in range(30)]
+    root = Workspace(spark, "test").path("ranges")
+    shards = tokens.write_tokens(frame(spark, rows, extra=False).coalesce(1), root, tokenizer=tokens.production_tokenizer(), end_id=2)
+    shard = max((tokens.ShardReader(s[0]) for s in shards), key=len)
+    n = len(shard)
+    asked = [0, 1, n - 1] if n > 3 else [0]
+    source, reads = shard.source, []
+
+    class Counted:
+        def read_at(self, size, offset):
+            reads.append((offset, size))
+            return source.read_at(size, offset)
+
+    shard.source = Counted()
+    assert [row for row, _ in shard.documents(asked)] == asked
+    at = shard.offsets.tolist()
+    want = [(at[0], at[2] - at[0]), (at[n - 1], at[n] - at[n - 1])] if n > 3 else [(at[0], at[1] - at[0])]
+    assert reads == want
+
+
 def test_damage_is_found(spark, tmp_path):
     root = Workspace(spark, "test").path("damaged")
     shards = tokens.write_tokens(frame(spark, [(1, "some words here " * 30)], extra=False).coalesce(1), root, tokenizer=tokens.production_tokenizer(), end_id=2)
