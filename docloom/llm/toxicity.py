@@ -50,6 +50,8 @@ LEXICONS = (
 PREFIX_BYTES = (4, 5, 6, 7, 8)
 #: Disjoint portions of the labelled rows, one voter each.
 PORTIONS = 3
+#: A voter's strong and pure patterns are met in at least so many times more toxic than clean texts.
+STRONG, PURE = 10, 40
 ABSTAIN, CLEAN, TOXIC = 0, 1, 2
 
 
@@ -96,13 +98,13 @@ class Patterns:
     """Known patterns in hash order, and which of them the voters know.
 
     ``lexicons[k]`` masks a fixed lexicon; ``learned[k]`` holds a portion's
-    (strong, weak) masks: a strong pattern makes its voter say "toxic", and no
-    weak one "clean".
+    (pure, strong, weak) masks: one pure pattern, or two strong ones, as a word
+    and its beginning are, make its voter say "toxic", and no weak one "clean".
     """
 
     hashes: np.ndarray
     lexicons: list[np.ndarray]
-    learned: list[tuple[np.ndarray, np.ndarray]]
+    learned: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @property
     def n_voters(self) -> int:
@@ -126,7 +128,8 @@ class Patterns:
         insults = count(np.logical_or.reduce(self.lexicons))
         said.append(np.where(insults >= 2, TOXIC, np.where(insults == 0, CLEAN, ABSTAIN)))
         said += _shapes(words, n)
-        said += [np.where(count(strong) > 0, TOXIC, np.where(count(weak) == 0, CLEAN, ABSTAIN)) for strong, weak in self.learned]
+        for pure, strong, weak in self.learned:
+            said.append(np.where((count(pure) > 0) | (count(strong) > 1), TOXIC, np.where(count(weak) == 0, CLEAN, ABSTAIN)))
         return sum(v.astype(np.int64) * 3**k for k, v in enumerate(said))
 
 
@@ -170,7 +173,7 @@ def propose(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, l
     """The fixed lexicons, and what voters learn from their portions of the labelled rows.
 
     A voter's pattern is frequent in its portion's toxic texts and rare in the others,
-    and at least one more portion must have met it so.
+    and at least one more portion must have met it mostly in toxic texts.
     """
     usable = labels.where(F.col(label_col).isNotNull() & (fold(F.col(id_col), folds) != held_out))
     usable = usable.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["i"])
@@ -178,7 +181,7 @@ def propose(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, l
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), F.col("id") == F.col("i"))
     sample = found.groupBy("i").agg(F.min("t").alias("t"), F.first("y").alias("y")).select("t", "y")
     portions = [(F.col(f"t{k}"), F.col(f"c{k}")) for k in range(PORTIONS)]
-    strong = [(t >= least) & (t >= 10 * c) for t, c in portions]
+    strong = [(t >= least) & (t >= STRONG * c) for t, c in portions]
     seen = sum(((t >= 2) & (t >= 4 * c)).cast("int") for t, c in portions)
     rate = F.greatest(*[F.when(s, (t + 0.5) / (c + 0.5)).otherwise(0.0) for s, (t, c) in zip(strong, portions)])
     rows = _count_patterns(sample).withColumn("rate", rate).where((F.col("rate") > 0) & (seen >= 2)).orderBy(F.desc("rate"), "pattern").limit(max_patterns).collect()
@@ -190,9 +193,9 @@ def propose(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, l
     for k in range(PORTIONS):
         t, c = np.zeros((2, len(hashes)))
         t[at], c[at] = [r[f"t{k}"] for r in rows], [r[f"c{k}"] for r in rows]
-        told = (t >= least) & (t >= 10 * c)
+        told = (t >= least) & (t >= STRONG * c)
         if told.any():
-            learned.append((told, (t >= 2) & (t >= 2 * c)))
+            learned.append((told & (t >= PURE * c), told, (t >= 2) & (t >= 2 * c)))
     return Patterns(hashes, [np.isin(hashes, f) for f in fixed], learned)
 
 
