@@ -40,15 +40,14 @@ def _removed(text: Column, pattern: str) -> Column:
 
 
 
-def line_passes(bare: Column, words: Column) -> Column:
-    """The per-line rules on a stripped line and its number of words; true keeps the line."""
+def line_passes(bare: Column, lowered: Column, words: Column) -> Column:
+    """The per-line rules on a stripped line, the same in lower case, and its number of words; true keeps the line."""
     chars = F.length(bare)
     noisy = _removed(bare, _SYMBOLS) * 12 > chars
     letters = F.length(F.regexp_replace(bare, "[^\\p{L}]+", ""))
     shouting = (words >= 4) & (_removed(bare, "\\p{Lu}") * 10 > letters * 7)
     navigation = chars - F.length(F.replace(bare, F.lit("|"), F.lit(""))) >= 2
     unfinished = (words >= 3) & ~bare.rlike("[.!?:;,…\"'”’»)\\]。！？]$")
-    lowered = F.lower(bare)
     boilerplate = F.contains(lowered, F.lit(BOILERPLATE[0]))
     for phrase in BOILERPLATE[1:]:
         boilerplate = boilerplate | F.contains(lowered, F.lit(phrase))
@@ -58,8 +57,8 @@ def line_passes(bare: Column, words: Column) -> Column:
 def _cleaned(lines: Column) -> Column:
     """Lines that pass, joined; what a line needs twice is computed once."""
     stripped = F.transform(lines, lambda x: F.struct(x.alias("l"), F.btrim(x, F.lit(_BLANK)).alias("b")))
-    counted = F.transform(stripped, lambda s: F.struct(s["l"].alias("l"), s["b"].alias("b"), F.size(F.split(s["b"], BLANKS)).alias("w")))
-    return F.array_join(F.transform(F.filter(counted, lambda s: line_passes(s["b"], s["w"])), lambda s: s["l"]), "\n")
+    counted = F.transform(stripped, lambda s: F.struct(s["l"].alias("l"), s["b"].alias("b"), F.lower(s["b"]).alias("x"), F.size(F.split(s["b"], BLANKS)).alias("w")))
+    return F.array_join(F.transform(F.filter(counted, lambda s: line_passes(s["b"], s["x"], s["w"])), lambda s: s["l"]), "\n")
 
 
 def assess(docs: DataFrame, *, text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_lost_pct: int = 50) -> DataFrame:
