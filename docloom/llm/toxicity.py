@@ -223,7 +223,7 @@ class LabelModel:
     voter it hangs on, ``parent[v]``, answers a (for a root all a are alike). An edge joins
     voters that tell much about each other within the classes (``least`` nats of conditional mutual information); the
     weaker ties are left to the class, which could not be told from them otherwise. The forest
-    is found anew in the steps ``rebuild`` and fixed after the last of them, from where on every step
+    is found anew in the steps ``rebuild``, where the fit starts afresh on it, and fixed after the last of them, from where on every step
     of expectation maximisation raises the (smoothed) likelihood. Votes that repeat
     another voter's so add nothing, as their table says what the neighbour said.
     """
@@ -234,7 +234,7 @@ class LabelModel:
         votes = self.answers(keys, n_voters)
         self.prior, self.parent, self.likelihood = prior, np.full(n_voters, -1), []
         self.table = np.empty((2, n_voters, 3, 3))
-        self.table[0], self.table[1] = (0.55, 0.40, 0.05), (0.35, 0.10, 0.55)
+        self._start()
         shown = np.eye(3)[votes].reshape(len(keys), 3 * n_voters)
         for step in range(steps if len(keys) else 0):
             p, log = self._expect(votes)
@@ -242,8 +242,15 @@ class LabelModel:
             self.prior = float(np.clip((n @ p + 1) / (n.sum() + 2), 1e-4, 1 - 1e-4))
             joint = np.stack([(shown * (n * share)[:, None]).T @ shown for share in (1 - p, p)]).reshape(2, n_voters, 3, n_voters, 3)
             if step in rebuild:
-                self.parent = self._forest(joint, least)
-            self._fit(joint, smooth)
+                self.parent, self.prior = self._forest(joint, least), prior
+                self._start()
+            else:
+                self._fit(joint, smooth)
+
+    def _start(self) -> None:
+        """Roots are taken to be right more often than not; what hangs on another voter is to say nothing of its own yet."""
+        self.table[0], self.table[1] = (0.55, 0.40, 0.05), (0.35, 0.10, 0.55)
+        self.table[:, self.parent >= 0] = 1 / 3
 
     @staticmethod
     def answers(keys: np.ndarray, n_voters: int) -> np.ndarray:
