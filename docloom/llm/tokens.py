@@ -69,7 +69,7 @@ class Encoder:
     ``max_pieces`` pieces and starts anew when it is full.
     """
 
-    def __init__(self, path: str, end_id: int, max_pieces: int = 700_000):
+    def __init__(self, path: str, end_id: int, max_pieces: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
