@@ -19,8 +19,8 @@ with equal word sequences form one class and take part once. Then:
    may be missing from the other, alpha being the overlap that the threshold
    asks for. Its leading shingles that lead in no other group are missing anyway;
    of the other set this says nothing, as they may lie behind this one's leading part.
-4. Matrix. Of groups with several members or a partner, members are stored with their whole sets in
-   blocks of bounded size; the shingles of a block's members, once each, are the block's token union.
+4. Matrix. Groups with several members or a partner are stored in blocks of bounded size. A block is a
+   token-member matrix of whole sets: the union of its members' shingles, each once, and for each shingle the members that hold it.
 5. Opening. First every block is opened by itself, together with the text its group is named after, so a family
    of near copies collapses with one link per member. Then blocks meet in pairs: those of one
    group at growing distances, those of paired groups at once, and a pair is left out when one component holds all members of both.
@@ -321,18 +321,35 @@ def _of_class(width: int):
     return run
 
 
+_MATRIX = pa.schema([("comp", pa.int64()), ("block", pa.int32()), ("of", pa.binary()), ("size", pa.binary()), ("union", pa.binary()), ("held", pa.binary()), ("member", pa.binary())])
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(comp, block, members with their sets) -> the block's token-member matrix.
+
+    ``of`` and ``size`` are the members' classes and numbers of shingles, ``union`` has every shingle of the block once and in
+    order, ``held`` the number of members that hold it, and ``member`` names them, shingle by shingle.
+    """
+    for batch in batches:
+        for comp, block, members in zip(*batch.columns):
+            items = members.values
+            sets = [np.frombuffer(x, np.uint64) for x in items.field("shingles").to_pylist()]
+            size = np.array([len(x) for x in sets], np.int64)
+            token, member = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), size)
+            order = np.argsort(token, kind="stable")
+            start = runs(token[order])
+            columns = (items.field("class").to_numpy(), size, token[order][start], np.diff(np.append(start, len(token))).astype(np.uint32), member[order])
+            yield pa.RecordBatch.from_arrays([pa.array([comp.as_py()], pa.int64()), pa.array([block.as_py()], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], schema=_MATRIX)
+
+
 class _Block:
-    """Members of a block: class, size, and (token, member) pairs in order of tokens; ``union`` has each token once."""
-
-    def __init__(self, items: pa.StructArray):
-        of = items.field("class").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in items.field("shingles").to_pylist()]
-        self.of, self.size = of, np.array([len(x) for x in sets], np.int64)
-        token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        member = np.repeat(np.arange(len(sets)), self.size)
-        order = np.argsort(token, kind="stable")
-        self.token, self.member = token[order], member[order]
-        self.union = self.token[runs(self.token)]
+    """A block's matrix: members' classes and sizes, the token union, and (token, member) pairs in order of tokens."""
+
+    def __init__(self, row: dict):
+        self.of, self.size = np.frombuffer(row["of"], np.int64), np.frombuffer(row["size"], np.int64)
+        self.union = np.frombuffer(row["union"], np.uint64)
+        self.token = np.repeat(self.union, np.frombuffer(row["held"], np.uint32))
+        self.member = np.frombuffer(row["member"], np.uint32).astype(np.int64)
 
     def only(self, members: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(token number, member) pairs of chosen members and of the tokens of a sorted list."""
@@ -408,8 +425,8 @@ def _links(of: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
 def _open_alone(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members in batch.column(0):
-                x = _Block(members.values)
+            for row in batch.column(0).to_pylist():
+                x = _Block(row)
                 if len(x.of) > 1:
                     yield _links(x.of, *_across(x, x, num, den))
 
@@ -419,8 +436,8 @@ def _open_alone(num: int, den: int):
 def _open_pair(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1)):
-                x, y = _Block(left.values), _Block(right.values)
+            for left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = _Block(left), _Block(right)
                 i, j = _across(x, y, num, den)
                 if len(i):
                     yield _links(np.concatenate((x.of, y.of)), i, j + len(x.of))
@@ -479,7 +496,7 @@ def _paired(work: Workspace, held: DataFrame, member: DataFrame, num: int, den:
 
 
 def _blocks(work: Workspace, docs: DataFrame, classes: DataFrame, member: DataFrame, paired: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``comp, block, members`` of the groups to open; ``class, comp, block`` of their members; ``comp, parts``, in how many blocks a group is.
+    """``comp, block, matrix`` of the groups to open; ``class, comp, block`` of their members; ``comp, parts``, in how many blocks a group is.
 
     The class that a group is named after is in each of the group's blocks.
     """
@@ -497,26 +514,28 @@ def _blocks(work: Workspace, docs: DataFrame, classes: DataFrame, member: DataFr
     texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_row"))).select("class", "text")
     # rows that share an id may differ in text; rows that repeat are needed once
     sets = texts.mapInArrow(released(_of_class(width)), "class long, shingles binary").dropDuplicates(["class"])
-    blocks = placed.join(sets, "class").groupBy("comp", "block").agg(F.collect_list(F.struct("class", "shingles")).alias("members"))
-    blocks = work.table(blocks, "blocks")
+    gathered = placed.join(sets, "class").groupBy("comp", "block").agg(F.collect_list(F.struct("class", "shingles")).alias("members"))
+    ddl = "comp long, block int, of binary, size binary, union binary, held binary, member binary"
+    parts_of = ["of", "size", "union", "held", "member"]
+    blocks = work.table(gathered.mapInArrow(released(_matrices), ddl).select("comp", "block", F.struct(*parts_of).alias("matrix")), "blocks")
     work.drop("wanted")
     return blocks, placed, opened.select("comp", "parts")
 
 
 def _attached(work: Workspace, pairs: DataFrame, blocks: DataFrame, k: str, other: list[str]) -> DataFrame:
-    """``pairs`` with the members of their block ``k``; a block that many pairs name is dealt in copies, one for each 64 of them."""
+    """``pairs`` with the matrix of their block ``k``; a block that many pairs name is dealt in copies, one for each 64 of them."""
     name = [f"comp{k}", f"block{k}"]
     counts = work.table(pairs.groupBy(*name).agg(F.count("*").alias("n")), f"counts{k}")
     copies = F.ceil(F.col("n") / 64).cast("int")
     spread_ = join_groups(pairs, counts, name, F.struct(*other)).withColumn("deal", F.pmod(F.xxhash64(*other), copies).cast("int")).drop("n")
     counted = counts.select(F.col(name[0]).alias("comp"), F.col(name[1]).alias("block"), "n")
-    ready = blocks.join(counted, ["comp", "block"]).select(F.col("comp").alias(name[0]), F.col("block").alias(name[1]), F.col("members").alias(f"members{k}"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("deal"))
+    ready = blocks.join(counted, ["comp", "block"]).select(F.col("comp").alias(name[0]), F.col("block").alias(name[1]), F.col("matrix").alias(f"matrix{k}"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("deal"))
     return spread_.join(ready, [*name, "deal"]).drop("deal")
 
 
 def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, parts: DataFrame, paired: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """``a, b``: verified links that join all that link; ``node, comp``: the components they make."""
-    links = work.table(blocks.where(F.size("members") > 1).select("members").mapInArrow(released(_open_alone(num, den)), "a long, b long"), "links0")
+    links = work.table(blocks.where(F.octet_length("matrix.of") > 8).select("matrix").mapInArrow(released(_open_alone(num, den)), "a long, b long"), "links0")
     largest = parts.agg(F.max("parts")).first()[0] or 0
     reach, step, some = 0, 0, False
     if largest <= 1 and paired.isEmpty():
@@ -543,7 +562,7 @@ def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, parts: DataFr
         some = not open_.isEmpty()
         if some:
             both = _attached(work, _attached(work, open_, blocks, "x", ["compy", "blocky"]), blocks, "y", ["compx", "blockx"])
-            more = both.select("membersx", "membersy").mapInArrow(released(_open_pair(num, den)), "a long, b long")
+            more = both.select("matrixx", "matrixy").mapInArrow(released(_open_pair(num, den)), "a long, b long")
             links = work.table(links.union(more), f"links{step + 1}")
             work.drop(f"links{step}")
         work.drop(f"pairs{step}", "whole")
