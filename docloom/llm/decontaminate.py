@@ -206,7 +206,8 @@ def _found(
             union = union.union(one)
         more = work.table(union.groupBy("key").agg(F.collect_list("hits").alias("more_hits"), F.collect_list("item_ids").alias("more_items"), F.max("n").alias("n")), "more")
         keyed = out.withColumn("key", F.md5(F.coalesce(F.col("said"), F.lit("")).cast("binary")))
-        out = _with_more(out, join_groups(keyed, more, ["key"], F.struct(columns.plain.columns[:1])).drop("n", "key"))
+        apart = [c for c, kind in columns.plain.dtypes if c != text and "map<" not in kind and "variant" not in kind] or [text]
+        out = _with_more(out, join_groups(keyed, more, ["key"], F.struct(*apart)).drop("n", "key"))
     out = out.withColumn("n_hit", F.expr("cast(aggregate(hits, 0, (s, h) -> s + h.end - h.start) AS long)"))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (share.denominator * F.col("n_hit") >= share.numerator * F.col("n_words")))
     return columns.back(out, "n_words", "n_hit", "hits", "item_ids", "contaminated")
