@@ -162,9 +162,10 @@ def hash_backend(dim: int) -> Callable[[], Backend]:
 
     def open_() -> Backend:
         def encode(texts: list[str]) -> np.ndarray:
-            words = [t.lower().split() for t in texts]
-            distinct, which = np.unique(np.array([w for ws in words for w in ws] or [""], object).astype(str), return_inverse=True)
-            raw = np.stack([vector(w) for w in distinct.tolist()])
+            words, number = [t.lower().split() for t in texts], {"": 0}
+            which = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), np.int64)
+            distinct = list(number)
+            raw = np.stack([vector(w) for w in distinct])
             raw[:, ::2] >>= 4
             raw &= 15
             owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
