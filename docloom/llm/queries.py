@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontaminate, jaccard, lines, mixing, quality, substrings, tokens, toxicity, urls, warc
+from docloom.llm import decontaminate, golden, jaccard, lines, mixing, quality, substrings, tokens, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_suffix_dedup": substrings.op8_suffix_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_warc": warc.op10_warc,
+        "op11_golden": golden.op11_golden,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality": quality.ORACLE_SQL,
         "op7_lines": lines.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
+        "op11_golden": golden.ORACLE_SQL,
     }
