@@ -305,18 +305,17 @@ def _shared_tokens(runs: DataFrame, ranges: int) -> DataFrame:
 
 
 def _of_class(width: int):
-    """Rows (class, text) whose text is of the class, as (class, shingles): ascending 63-bit hashes, eight bytes each."""
+    """Texts as (class, shingles): ascending 63-bit hashes, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, stop, data, bounds in text_slices(batch.column(1)):
+            for _, _, data, bounds in text_slices(batch.column(0)):
                 words = split_words(data, bounds, BLANK_SEPARATED)
-                mine = sequence_hash(words).view(np.int64) == batch.column(0).to_numpy()[first:stop]
-                owner, h, size = shingle_sets(words, width)
-                raw = h[mine[owner]].tobytes()
-                ends = np.concatenate(([0], np.cumsum(size[mine]))) * 8
+                _, h, size = shingle_sets(words, width)
+                raw = h.tobytes()
+                ends = np.concatenate(([0], np.cumsum(size))) * 8
                 sets = [raw[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first).filter(pa.array(mine)), pa.array(sets, pa.binary())], ["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(sequence_hash(words).view(np.int64)), pa.array(sets, pa.binary())], ["class", "shingles"])
 
     return run
 
@@ -509,10 +508,10 @@ def _blocks(work: Workspace, docs: DataFrame, classes: DataFrame, member: DataFr
     others = others.select("class", "comp", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("block"))
     named = opened.select(F.col("comp").alias("class"), "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
     placed = work.table(others.union(named), "placed")
-    wanted = work.table(placed.select("class").distinct().join(classes.select("class", "_row"), "class"), "wanted")
-    few = wanted.count() <= MAX_BROADCAST_IDS  # two longs each
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_row"))).select("class", "text")
-    # rows that share an id may differ in text; rows that repeat are needed once
+    wanted = work.table(placed.select("class").distinct().join(classes.select("class", "_row"), "class").select("_row").distinct(), "wanted")
+    few = wanted.count() <= MAX_BROADCAST_IDS  # one long each
+    # a semi-join: each row once, however many texts share its id; those of other classes meet no place
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_row")), "left_semi").select("text")
     sets = texts.mapInArrow(released(_of_class(width)), "class long, shingles binary").dropDuplicates(["class"])
     gathered = placed.join(sets, "class").groupBy("comp", "block").agg(F.collect_list(F.struct("class", "shingles")).alias("members"))
     ddl = "comp long, block int, of binary, size binary, union binary, held binary, member binary"
@@ -599,10 +598,20 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     held = _shared_tokens(lead.where("range IS NOT NULL").select("range", "runs", "classes"), lead_ranges).union(lead.where("token IS NOT NULL").select("token", "class").distinct())
     paired = _paired(work, held, member, num, den)
     work.drop("lead", "last")
+    joined = verified_components(work, rows, classes, member, paired, width, num, den)
+    return name_components(work, texts, classes, joined)
+
+
+def verified_components(work: Workspace, rows: DataFrame, classes: DataFrame, member: DataFrame, paired: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``node, comp``: components of the classes that link, decided on whole sets. ``member`` has each class's group, ``paired`` the groups that may link."""
     blocks, placed, parts = _blocks(work, rows, classes, member, paired, width)
     _, joined = _opened(work, blocks, placed, parts, paired, num, den)
     work.drop("member", "paired", "blocks", "placed", "opened")
+    return joined
+
 
+def name_components(work: Workspace, texts: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Each row of ``texts`` (``id, class, size``) with its component, as ``jaccard_components`` returns it."""
     labelled = classes.select("class", "_row", "n").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     named = labelled.groupBy("comp").agg(F.min("_row").alias("component_id"), F.min_by("class", F.struct(F.col("_row").isNull(), "_row", "class")).alias("kept"), F.count("*").alias("n"))
     labels = join_groups(labelled.withColumnRenamed("n", "rows"), work.table(named, "named"), ["comp"], F.col("class"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontaminate, golden, jaccard, lines, mixing, negatives, quality, substrings, tokens, toxicity, urls, warc
+from docloom.llm import decontaminate, golden, jaccard, lines, mixing, negatives, quality, sketches, substrings, tokens, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_warc": warc.op10_warc,
         "op11_golden": golden.op11_golden,
+        "op12_minhash": sketches.op12_minhash,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
