@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.sources.jsonarray import read_records
 
 #: Name and type of what a parser may tell about an element, and about a document.
 ELEMENT_METADATA_FIELDS = {"page_number": "int", "table_count": "int", "has_tables": "boolean", "has_notes": "boolean", "rows": "int", "columns": "int", "line_count": "int"}
@@ -114,7 +115,7 @@ def flat_units(normalized: DataFrame) -> DataFrame:
 
 
 def load_normalized_dataset(spark, path: str, *, one_file: bool = True) -> DataFrame:
-    """Flat units from a summary JSON file with a ``documents`` list; missing keys become null.
+    """Flat units from a summary JSON file with a ``documents`` list, read in splits; missing keys become null.
 
     With ``one_file=False`` the path is a folder of documents, one JSON object a
     line, as the exports of this package write them.
@@ -122,7 +123,7 @@ def load_normalized_dataset(spark, path: str, *, one_file: bool = True) -> DataF
     unit = "struct<unit_id: string, unit_type: string, title: string, content: string, breadcrumbs: string, word_count: bigint, char_count: bigint>"
     fields = (("file_name", "string"), ("category", "string"), ("units", f"array<{unit}>"))
     if one_file:
-        docs = spark.read.schema(f"documents array<struct<{', '.join(map(': '.join, fields))}>>").json(path, multiLine=True).select(F.explode("documents").alias("d"))
+        docs = read_records(spark, path, ", ".join(map(" ".join, fields)), name="documents").select(F.struct("*").alias("d"))
     else:
         docs = spark.read.schema(", ".join(map(" ".join, fields))).json(path).select(F.struct("*").alias("d"))
     flat = docs.select("d.file_name", "d.category", F.explode("d.units").alias("u"))

@@ -15,6 +15,7 @@ from docloom.operators import embed as E
 from docloom.operators import layout as L
 from docloom.operators import normalize as N
 from docloom.operators import search as S
+from docloom.plans import file_queries
 
 _Q, _SQL = {}, {}
 
@@ -432,163 +433,6 @@ def parse_text(spark, sf_dir):
     return parse(files).select("relative_path", "content", "metadata.line_count", "metadata.char_count", "file_type", F.size("elements").alias("n_elements"))
 
 
-def _values(columns: str, rows: list[tuple]) -> str:
-    """Expected rows as SQL."""
-
-    def shown(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).upper()
-        if isinstance(v, int):
-            return f"{v}::BIGINT"
-        if isinstance(v, (list, tuple)):
-            return "[" + ", ".join(map(shown, v)) + "]::VARCHAR[]"
-        return "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) AS t({columns})"
-
-
-def _as_bigint(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f.name).cast("long").alias(f.name) if f.dataType.simpleString() in ("int", "bigint") else F.col(f.name) for f in df.schema])
-
-
-@_query(
-    "discover_files",
-    _values(
-        "relative_path, file_name, subfolders, category, file_size_bytes, extension, text",
-        [
-            ("_under.md", "_under.md", [], "root", 9, ".md", "_under.md"), ("a/_u/f.txt", "f.txt", ["a", "_u"], "a/_u", 10, ".txt", "a/_u/f.txt"), (".hid/in.txt", "in.txt", [".hid"], ".hid", 11, ".txt", ".hid/in.txt"),
-            ("c._COPYING_", "c._COPYING_", [], "root", 11, "._copying_", "c._COPYING_"), ("empty.bin", "empty.bin", [], "root", 0, ".bin", ""), ("noext", "noext", [], "root", 5, "no_extension", "noext"),
-            ("a/b.tar.gz", "b.tar.gz", ["a"], "a", 10, ".gz", "a/b.tar.gz"), ("sp ace/ü é.TXT", "ü é.TXT", ["sp ace"], "sp ace", 16, ".txt", "sp ace/ü é.TXT"),
-        ],
-    ),
-)
-def discover_files(spark, sf_dir):
-    """The source over a small tree with the names that matter, in the folder that driver and executors share."""
-    import pyarrow.fs as pafs
-
-    from docloom.plans.samples import HIDDEN, SHOWN
-    from docloom.ship import shared_folder
-    from docloom.sources.files import read_files
-
-    root = shared_folder(spark, "tree")
-    fs, at = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
-    for relative in (*SHOWN, *HIDDEN):
-        fs.create_dir(f"{at}/{relative}".rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(f"{at}/{relative}", compression=None) as file:
-            file.write(b"" if relative == "empty.bin" else relative.encode())
-    return read_files(spark, root).select("relative_path", "file_name", "subfolders", "category", "file_size_bytes", "extension", F.decode("content", "UTF-8").alias("text"))
-
-
-def _samples(spark) -> DataFrame:
-    from functools import partial
-
-    from docloom.plans.samples import FILES, PDF, stub_pdf_reader
-    from docloom.sources.files import read_bytes
-    from docloom.sources.parsers import ParserRegistry, parse, parse_pdf
-
-    registry = ParserRegistry()
-    registry.register(".stub", partial(parse_pdf, reader=stub_pdf_reader))
-    gone = read_bytes(spark, [("x/gone.MD", b"")]).withColumn("content", F.lit(None).cast("binary"))
-    return parse(read_bytes(spark, [*FILES, ("p/pages.stub", PDF)]).unionByName(gone), registry)
-
-
-_BANNER = X.BINARY_BANNER
-_PIPES = "| a |\n| b |"
-
-
-@_query(
-    "sample_documents",
-    _values(
-        "relative_path, file_type, category, n_elements, line_count, char_count, parsed_via, data_type, n_rows, n_columns, total_pages, total_slides, total_sheets, section_count, error",
-        [
-            ("a/plain.txt", ".txt", "a", 1, 3, 14, *[None] * 9), ("a/latin.txt", ".txt", "a", 1, 1, 4, *[None] * 9), ("a/empty.txt", ".txt", "a", 1, 0, 0, *[None] * 9),
-            ("data/ok.json", ".json", "data", 1, 1, 9, *[None] * 9), ("data/good.json", ".json", "data", 1, None, None, None, "dict", *[None] * 7),
-            ("data/two.jsonl", ".jsonl", "data", 1, 2, 18, *[None] * 9), ("data/one.jsonl", ".jsonl", "data", 1, None, None, None, "dict", *[None] * 7),
-            ("data/t.csv", ".csv", "data", 1, None, None, None, None, 2, 2, *[None] * 5), ("data/h.tsv", ".tsv", "data", 1, None, None, None, None, 0, 2, *[None] * 5),
-            ("data/bad.csv", ".csv", "data", 1, None, 16, "universal_fallback", *[None] * 8),
-            ("bin/blob.xyz", ".xyz", "bin", 1, None, 48, "universal_fallback", *[None] * 8), ("bin/nothing.xyz", ".xyz", "bin", 1, None, 37, "universal_fallback", *[None] * 8),
-            ("bin/text.xyz", ".xyz", "bin", 1, None, 15, "universal_fallback", *[None] * 8), ("bin/cjk.xyz", ".xyz", "bin", 1, None, 37, "universal_fallback", *[None] * 8),
-            ("o/d.docx", ".docx", "o", 3, *[None] * 9, 3, None), ("o/p.pptx", ".pptx", "o", 1, *[None] * 7, 2, None, None, None), ("o/s.xlsx", ".xlsx", "o", 2, *[None] * 8, 3, None, None),
-            ("o/broken.docx", ".docx", "o", 1, None, 12, "universal_fallback", *[None] * 8), ("o/some.pdf", ".pdf", "o", 1, None, 14, "universal_fallback", *[None] * 8),
-            ("noext", "unknown", "root", 1, None, 11, "universal_fallback", *[None] * 8), ("p/pages.stub", ".pdf", "p", 2, *[None] * 6, 2, *[None] * 4),
-            ("x/gone.MD", ".md", "x", 0, *[None] * 10, "File not found: x/gone.MD"),
-        ],
-    ),
-)
-def sample_documents(spark, sf_dir):
-    """Every handler and every fallback, on small files made in memory."""
-    m = [F.col(f"metadata.{c}").alias(c) for c in ("line_count", "char_count", "parsed_via", "data_type")]
-    n = [F.col(f"metadata.{c}").alias(a) for c, a in (("rows", "n_rows"), ("columns", "n_columns"), ("total_pages", "total_pages"), ("total_slides", "total_slides"), ("total_sheets", "total_sheets"), ("section_count", "section_count"))]
-    return _as_bigint(_samples(spark).select("relative_path", "file_type", "category", F.size("elements").alias("n_elements"), *m, *n, "error"))
-
-
-@_query(
-    "sample_elements",
-    _values(
-        "relative_path, element_type, element_index, title, content, n_rows, n_columns, has_notes, page_number, table_count",
-        [
-            ("a/plain.txt", "document", 1, "plain", "one\ntwo\x85three\n", *[None] * 5), ("a/latin.txt", "document", 1, "latin", "café", *[None] * 5), ("a/empty.txt", "document", 1, "empty", "", *[None] * 5),
-            ("data/ok.json", "document", 1, "ok", '\ufeff{"b": 1}', *[None] * 5), ("data/good.json", "document", 1, "good", '{\n  "b": [\n    1,\n    1.5\n  ],\n  "a": "\\u00e9"\n}', *[None] * 5),
-            ("data/two.jsonl", "document", 1, "two", '{"a": 1}\n{"a": 2}\n', *[None] * 5), ("data/one.jsonl", "document", 1, "one", '{\n  "a": 1\n}', *[None] * 5),
-            ("data/bad.csv", "document", 1, "bad", "a,b\n1,2\n1,2,3,4\n", *[None] * 5), ("bin/blob.xyz", "document", 1, "blob", _BANNER + "hello world", *[None] * 5),
-            ("bin/nothing.xyz", "document", 1, "nothing", _BANNER, *[None] * 5), ("bin/text.xyz", "document", 1, "text", "readable enough", *[None] * 5), ("bin/cjk.xyz", "document", 1, "cjk", _BANNER, *[None] * 5),
-            ("o/d.docx", "section", 1, "Overview", "intro", *[None] * 5), ("o/d.docx", "section", 2, "Second", "line one\nline two", *[None] * 5), ("o/d.docx", "table", 1, "Table 1", " | h2\nwide | wide", *[None] * 5),
-            ("o/p.pptx", "slide", 2, "Our Plan", "Our Plan\npoint one\npoint two\nk | v\n[Speaker Notes: say hello]", None, None, True, None, None),
-            ("o/broken.docx", "document", 1, "broken", "PK not a zip", *[None] * 5), ("o/some.pdf", "document", 1, "some", "%PDF-1.4 plain", *[None] * 5), ("noext", "document", 1, "noext", _PIPES, *[None] * 5),
-            ("p/pages.stub", "page", 1, "Page 1", "first\n\n| a |\n\nlast\n\n| far |", None, None, None, 1, 2), ("p/pages.stub", "page", 3, "Page 3", "not shown as a table\n\nbelow", None, None, None, 3, 2),
-        ],
-    ),
-)
-def sample_elements(spark, sf_dir):
-    """The elements of the sample files; tables rendered by a library whose layout varies are in ``sample_sheets``."""
-    each = _samples(spark).select("relative_path", F.explode("elements").alias("e")).where("e.element_type <> 'sheet'")
-    m = [F.col(f"e.metadata.{c}").alias(a) for c, a in (("rows", "n_rows"), ("columns", "n_columns"), ("has_notes", "has_notes"), ("page_number", "page_number"), ("table_count", "table_count"))]
-    return _as_bigint(each.select("relative_path", "e.element_type", F.col("e.index").alias("element_index"), "e.title", "e.content", *m))
-
-
-@_query(
-    "sample_sheets",
-    _values(
-        "relative_path, element_index, title, n_rows, n_columns, words",
-        [("data/t.csv", 1, "t", 2, 2, "x y 1 2 3 4"), ("data/h.tsv", 1, "h", 0, 2, "x y"), ("o/s.xlsx", 1, "One", 2, 2, "name n x 2024 01 01 00 00 00 y 4"), ("o/s.xlsx", 3, "Three", 1, 1, "q 1.5")],
-    ),
-)
-def sample_sheets(spark, sf_dir):
-    """Tables of CSV and spreadsheet files: sizes, and cells in reading order (numbers without a trailing .0)."""
-    each = _samples(spark).select("relative_path", F.explode("elements").alias("e")).where("e.element_type = 'sheet'")
-    cells = F.regexp_extract_all("e.content", F.lit(r"(?<![0-9.])[0-9]+(?:\.[1-9][0-9]*)?|[A-Za-z]+"), F.lit(0))
-    told = F.filter(cells, lambda c: ~c.isin("Empty", "DataFrame", "Columns", "Index"))
-    return _as_bigint(each.select("relative_path", F.col("e.index").alias("element_index"), "e.title", F.col("e.metadata.rows").alias("n_rows"), F.col("e.metadata.columns").alias("n_columns"), F.array_join(told, " ").alias("words")))
-
-
-@_query(
-    "sample_units",
-    _values(
-        "relative_path, unit_id, unit_type, unit_index, title, breadcrumbs, parent_document, document_type, page_number, slide_number, sheet_name, section_name, is_table, table_rows, table_columns",
-        [
-            ("a/plain.txt", "plain.txt_document_1", "document", 1, "plain", "a > plain.txt > plain", "plain.txt", "text_document", None, None, None, None, False, None, None),
-            ("data/two.jsonl", "two.jsonl_document_1", "document", 1, "two", "data > two.jsonl > two", "two.jsonl", "text_document", None, None, None, None, False, None, None),
-            ("o/d.docx", "d.docx_section_1", "section", 1, "Overview", "o > d.docx > Overview", "d.docx", "text_document", None, None, None, "Overview", False, None, None),
-            ("o/d.docx", "d.docx_section_2", "section", 2, "Second", "o > d.docx > Second", "d.docx", "text_document", None, None, None, "Second", False, None, None),
-            ("o/d.docx", "d.docx_table_3", "table", 3, "Table 1", "o > d.docx > Table 1", "d.docx", "text_document", None, None, None, None, True, 1, 0),
-            ("o/p.pptx", "p.pptx_slide_1", "slide", 1, "Our Plan", "o > p.pptx > Our Plan", "p.pptx", "presentation", None, 1, None, None, True, 0, 0),
-            ("noext", "noext_document_1", "document", 1, "noext", "root > noext > noext", "noext", "text_document", None, None, None, None, True, 2, 1),
-            ("p/pages.stub", "pages.stub_page_1", "page", 1, "Page 1", "p > pages.stub > Page 1", "pages.stub", "pdf_document", 1, None, None, None, True, 2, 1),
-            ("p/pages.stub", "pages.stub_page_2", "page", 2, "Page 3", "p > pages.stub > Page 3", "pages.stub", "pdf_document", 3, None, None, None, False, None, None),
-            ("x/gone.MD", "gone.MD_unit_1", "document", 1, "gone", "x > gone.MD", "gone.MD", "text_document", None, None, None, None, False, None, None),
-        ],
-    ),
-)
-def sample_units(spark, sf_dir):
-    """Normalised units of some sample files, with their parents and places."""
-    chosen = ("a/plain.txt", "a/empty.txt", "data/two.jsonl", "o/d.docx", "o/p.pptx", "noext", "p/pages.stub", "x/gone.MD")
-    u = N.normalize(_samples(spark).where(F.col("relative_path").isin(*chosen))).select(F.explode("units").alias("u"))
-    names = ("relative_path", "unit_id", "unit_type", "unit_index", "title", "breadcrumbs", "parent_document", "document_type", "page_number", "slide_number", "sheet_name", "section_name", "is_table")
-    return _as_bigint(u.select(*[f"u.{c}" for c in names], F.col("u.table_info.rows").alias("table_rows"), F.col("u.table_info.columns").alias("table_columns")))
-
-
 @_query(
     "default_units",
     f"""SELECT doc_id || '.md_unit_1' AS unit_id, 'document' AS unit_type, 1::INT AS unit_index, doc_id::VARCHAR AS title, clean AS content, lang || ' > ' || doc_id || '.md' AS breadcrumbs,
@@ -712,8 +556,8 @@ def report_texts(spark, sf_dir):
 
 
 def queries() -> dict:
-    return dict(_Q)
+    return _Q | file_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | file_queries.oracle_sql()

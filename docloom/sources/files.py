@@ -1,109 +1,99 @@
-"""The ``docfiles`` source: every regular file below a folder, with path metadata and bytes.
+"""Every regular file below a folder, with path metadata and bytes.
 
 Spark's own ``binaryFile`` drops names that start with ``_``, hidden folders
 and empty files, all of which count here; only names that start with ``.`` or
-``~$`` do not. The folder is listed on the driver, which yields paths and sizes; files
-are packed into partitions by size and read on the executors. A plain path, or
-``file://``, must be one that all of them can reach; any other scheme that
-pyarrow's file systems know is listed and read through them.
+``~$`` do not. Folders are listed by tasks, level by level: each round lists the
+folders that the round before has found and writes what is in them as a table
+in the shared folder, so the driver knows how many folders and bytes there are and no name.
+Files are then dealt to tasks, about ``pack_bytes`` and at most ``pack_files`` each, and read there.
+Paths of any scheme that ``storage`` knows will do; a plain one, or ``file://``, must be one that all executors can reach.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from urllib.parse import unquote
 
-import pyarrow.fs as pafs
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docloom.functions import text as X
-from docloom.ship import ship
+from docloom.ship import released, ship, shared_folder
+from docloom.sources.storage import Store
 
 FILES_SCHEMA = "path string, file_name string, relative_path string, subfolders array<string>, category string, file_size_bytes bigint, extension string, content binary"
+#: Names that do not count begin with one of these.
+_PASSED_OVER = (".", "~$")
+_LISTED = "path string, relative string, folder boolean, bytes bigint"
+#: Rows of a listing that leave a task at once.
+_BATCH = 10_000
+
+
+def _list_folders(store: Store):
+    """Rows (path, relative) of folders -> rows of what they hold."""
+    schema = pa.schema([("path", pa.string()), ("relative", pa.string()), ("folder", pa.bool_()), ("bytes", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, relative in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = []
+                for found, name, folder, size in store.folder(path):
+                    if folder or not name.startswith(_PASSED_OVER):
+                        held.append((found, f"{relative}{name}" + "/" * folder, folder, size))
+                    if len(held) >= _BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    return run
+
+
+def list_files(spark: SparkSession, root: str, *, folders_a_task: int = 64) -> tuple[DataFrame, int, int]:
+    """``path, relative, bytes`` of the files below ``root``, their number and the sum of their bytes."""
+    ship(spark)
+    store, kept = Store(root), shared_folder(spark, "listing")
+    frontier, level, n = spark.createDataFrame([(None, "")], "path string, relative string"), 0, 1
+    tables, files, size = [], 0, 0
+    while n:
+        at = f"{kept}/{level}"
+        frontier.repartition(max(1, min(-(-n // folders_a_task), 100_000))).mapInArrow(released(_list_folders(store)), _LISTED).write.parquet(at)
+        found = spark.read.schema(_LISTED).parquet(at)
+        count = found.groupBy("folder").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
+        n = sum(r.n for r in count if r.folder)
+        files, size = files + sum(r.n for r in count if not r.folder), size + sum(r.bytes for r in count if not r.folder)
+        tables.append(at)
+        frontier, level = found.where("folder").select("path", "relative"), level + 1
+    every = spark.read.schema(_LISTED).parquet(*tables)
+    return every.where("NOT folder").select("path", "relative", "bytes"), files, size
+
+
+def read_files(spark: SparkSession, root: str, *, content: bool = True, pack_bytes: int = 64 << 20, pack_files: int = 10_000) -> DataFrame:
+    """All files below ``root``; a missing folder gives no rows. The folder is listed now, the files are read when the table is."""
+    listed, files, size = list_files(spark, root)
+    store = Store(root)
+    packs = max(1, -(-size // pack_bytes) if content else 0, -(-files // pack_files))
+    # dealt by name, so that a task that runs again gets the same files
+    dealt = listed.repartition(packs, F.xxhash64("path"))
+    told = dealt.mapInArrow(released(_with_contents(store, content)), "path string, relative string, bytes bigint, content binary")
+    name = F.substring_index("relative", "/", -1)
+    return told.select(
+        "path", F.substring_index("path", "/", -1).alias("file_name"), F.col("relative").alias("relative_path"), X.folders(F.col("relative")).alias("subfolders"), X.category(F.col("relative")).alias("category"),
+        F.col("bytes").alias("file_size_bytes"), F.when(X.suffix(name) == "", "no_extension").otherwise(X.suffix(name)).alias("extension"), "content",
+    )
 
 
-def _suffix(name: str) -> str:
-    at = name.rfind(".")
-    return name[at:].lower() if 0 < at < len(name) - 1 else ""
-
-
-class FilePartition(InputPartition):
-    def __init__(self, files: list[tuple[str, str, int]]):
-        self.files = files
-
-
-def _listing(root: str) -> Iterator[tuple[str, str, int]]:
-    """(path, relative path, size) of the files that count; links are files if they lead to one, and folders they lead to are not entered."""
-    scheme, has_scheme, rest = root.partition("://")
-    if not has_scheme or scheme == "file":
-        top = os.path.realpath(unquote(rest) if has_scheme else root)
-        for folder, _, names in os.walk(top, followlinks=False):
-            for name in names:
-                path = os.path.join(folder, name)
-                if not name.startswith((".", "~$")) and os.path.isfile(path):
-                    yield path, os.path.relpath(path, top).replace(os.sep, "/"), os.path.getsize(path)
-        return
-    fs, top = pafs.FileSystem.from_uri(root)
-    for found in fs.get_file_info(pafs.FileSelector(top, recursive=True, allow_not_found=True)):
-        if found.type == pafs.FileType.File and not found.base_name.startswith((".", "~$")):
-            yield found.path, found.path[len(top) :].lstrip("/"), found.size or 0
-
-
-def _open(root: str, path: str):
-    scheme, has_scheme, _ = root.partition("://")
-    return open(path, "rb") if not has_scheme or scheme == "file" else pafs.FileSystem.from_uri(root)[0].open_input_stream(path, compression=None)
-
-
-class DocFilesReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.root = options["path"]
-        self.pack_bytes = int(options.get("packBytes", 64 << 20))
-        self.pack_files = int(options.get("packFiles", 10_000))
-        self.with_content = options.get("content", "true").lower() == "true"
-
-    def partitions(self) -> list[FilePartition]:
-        packs, current, held = [], [], 0
-        for path, relative, size in _listing(self.root):
-            if current and (held + size > self.pack_bytes or len(current) >= self.pack_files):
-                packs.append(FilePartition(current))
-                current, held = [], 0
-            current.append((path, relative, size))
-            held += size
-        if current:
-            packs.append(FilePartition(current))
-        return packs or [FilePartition([])]
-
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        for path, relative, size in partition.files:
-            folders = relative.split("/")[:-1]
-            real = path if "://" in self.root and not self.root.startswith("file://") else os.path.realpath(path)
-            content = None
-            if self.with_content:
-                with _open(self.root, real) as file:
-                    content = file.read()
-            yield real, real.rpartition("/")[2], relative, folders, "/".join(folders) or "root", size, _suffix(relative.rpartition("/")[2]) or "no_extension", content
-
-
-class DocFilesSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "docfiles"
-
-    def schema(self) -> str:
-        return FILES_SCHEMA
-
-    def reader(self, schema) -> DocFilesReader:
-        return DocFilesReader(dict(self.options))
-
-
-def read_files(spark: SparkSession, root: str, *, content: bool = True) -> DataFrame:
-    """All files below ``root``; a missing folder gives no rows."""
-    ship(spark)
-    spark.dataSource.register(DocFilesSource)
-    return spark.read.format("docfiles").option("content", str(content).lower()).load(root)
+def _with_contents(store: Store, content: bool):
+    """Rows (path, relative, bytes) with the real path and the file's bytes, a file at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                real = os.path.realpath(path) if store.local else path
+                yield pa.RecordBatch.from_arrays([pa.array([real]), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1), pa.array([store.read(real) if content else None], pa.binary())], ["path", "relative", "bytes", "content"])
+
+    return run
 
 
 def read_bytes(spark: SparkSession, rows: list[tuple[str, bytes]]) -> DataFrame:

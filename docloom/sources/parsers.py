@@ -26,6 +26,7 @@ from docloom.functions import text as X
 from docloom.operators.layout import page_text
 from docloom.operators.normalize import ELEMENT, ELEMENT_METADATA_FIELDS, METADATA_FIELDS, PARSED_METADATA, told
 from docloom.ship import ship
+from docloom.sources.pdf import read as read_pdf
 
 Handler = Callable[[bytes, str, str], dict | None]
 
@@ -303,26 +304,6 @@ def parse_xlsx(content: bytes, name: str, category: str) -> dict:
     return {"content": "\n\n".join(blocks), "elements": elements, "metadata": {"total_sheets": len(names), "sheet_names": names}}
 
 
-def _shown(table) -> str | None:
-    try:
-        return table.to_pandas().to_markdown(index=False)
-    except Exception:  # no table after all, or a library is missing: the text stands for it
-        return None
-
-
-def read_pdf(content: bytes):
-    """(document information, pages) by PyMuPDF; a page is its text blocks and its tables, each a box with what it shows."""
-    import fitz
-
-    def pages(document):
-        with document:
-            for page in document:
-                yield [(tuple(b[:4]), b[4]) for b in page.get_text("blocks")], [(tuple(t.bbox), _shown(t)) for t in page.find_tables().tables]
-
-    document = fitz.open(stream=content, filetype="pdf")
-    return document.metadata or {}, pages(document)
-
-
 def parse_pdf(content: bytes, name: str, category: str, reader: Callable = read_pdf) -> dict:
     """Pages of text with their tables in place; pages that show nothing are counted by number but make no element."""
     about, pages = reader(content)

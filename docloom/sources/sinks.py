@@ -1,8 +1,7 @@
 """Sinks: text reports mirrored into folders, JSON summaries, vectors as Parquet or JSON.
 
-Report texts are built as columns; a task writes its own documents through
-pyarrow's file systems, so nothing passes through the driver but what goes into
-a single JSON file, row by row.
+Report texts are built as columns; a task writes its own documents through the
+file systems of ``storage``, and its own bytes of a single JSON file, so no row passes through the driver.
 """
 
 from __future__ import annotations
@@ -14,15 +13,19 @@ import time
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, Row
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import thousands
 from docloom.operators.normalize import normalized_totals, summary_stats
-from docloom.ship import ship
+from docloom.ship import released, shared_folder, ship
+from docloom.sources.storage import Store
 
 log = logging.getLogger("docloom")
+#: Names that are broadcast at most, where reports clash.
+MAX_CLASHES = 100_000
+
 
 def _lines(*parts: Column) -> Column:
     """Lines joined by line feeds; null parts are left out."""
@@ -85,62 +88,142 @@ def normalized_text(docs: DataFrame) -> DataFrame:
     return docs.select("relative_path", F.array_join(body, "\n").alias("text"))
 
 
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write ``target, content`` rows (path below ``root``, bytes) where they are; ``path`` and ``bytes`` of each as a table, which is also kept in ``_paths`` beside ``root``.
+
+    A target that several rows name gets one of them. A task that runs again writes the same files again.
+    """
+    ship(files.sparkSession)
+    store, ddl, listing = Store(root), "path string, bytes long", f"{root.rstrip('/')}_paths"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, at = store.opened()
+        for batch in batches:
+            done = []
+            for target, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.write(f"{at}/{target}", content)
+                done.append((f"{at}/{target}", len(content)))
+            yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in done], pa.string()), "bytes": pa.array([n for _, n in done], pa.int64())})
+
+    files.select("target", "content").mapInArrow(write, ddl).write.mode("overwrite").parquet(listing)
+    return files.sparkSession.read.schema(ddl).parquet(listing)
+
+
 def write_texts(texts: DataFrame, root: str, ending: str) -> DataFrame:
     """Write ``relative_path, text`` rows as ``<folder>/<stem><ending>.txt`` below ``root``; returns the ``path`` of each as a table.
 
     Two files of one folder that share a stem share a name, and the one with
-    the later relative path stays. The paths are kept as a table below ``root`` too, in
-    ``_paths<ending>``: there may be as many as documents, so they never come to the driver at once.
+    the later relative path stays (of rows that repeat a relative path, one). Clashes are found among the names, and the losers'
+    names are broadcast (up to ``MAX_CLASHES``), so texts are written where they are and no exchange has them. The paths are kept
+    as a table below ``root`` too, in ``_paths<ending>``: there may be as many as documents, so they never come to the driver at once.
     """
     ship(texts.sparkSession)
-    stem = F.regexp_replace("relative_path", r"(?<=[^/])\.[^./]+\z", "")
-    named = texts.select(F.concat(stem, F.lit(f"{ending}.txt")).alias("target"), F.struct("relative_path", "text").alias("s")).groupBy("target").agg(F.max("s").alias("s"))
+    target = F.concat(F.regexp_replace("relative_path", r"(?<=[^/])\.[^./]+\z", ""), F.lit(f"{ending}.txt"))
+    names = texts.select(target.alias("target"), "relative_path").distinct()
+    clashes = names.groupBy("target").agg(F.max("relative_path").alias("last"), F.count("*").alias("names")).where("names > 1")
+    names.join(clashes, "target").where("relative_path < last").select(F.col("relative_path").alias("loser")).write.mode("overwrite").parquet(f"{root}/_clashes{ending}")
+    losers = texts.sparkSession.read.schema("loser string").parquet(f"{root}/_clashes{ending}")
+    count, kept = losers.count(), texts
+    if count:
+        few = count <= MAX_CLASHES  # names only; beyond that the texts of all are shuffled
+        kept = texts.join(F.broadcast(losers) if few else losers, F.col("relative_path") == F.col("loser"), "left_anti")
+    named = kept.select(target.alias("target"), F.col("text"))
+    store = Store(root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _file_system(root)
+        _, at = store.opened()
         for batch in batches:
             done = []
             for target, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                path = f"{at}/{target}"
-                fs.create_dir(path.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(path, compression=None) as out:
-                    out.write(text.encode("utf-8", "replace"))
-                done.append(path)
+                store.write(f"{at}/{target}", text.encode("utf-8", "replace"))
+                done.append(f"{at}/{target}")
             yield pa.RecordBatch.from_pydict({"path": pa.array(done, pa.string())})
 
     listing = f"{root}/_paths{ending}"
-    named.select("target", "s.text").mapInArrow(write, "path string").write.mode("overwrite").parquet(listing)
-    return texts.sparkSession.read.schema("path string").parquet(listing)
-
-
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), os.path.abspath(path)
+    named.mapInArrow(write, "path string").write.mode("overwrite").parquet(listing)
+    return texts.sparkSession.read.schema("path string").parquet(listing).distinct()
 
 
 def _known(value):
-    """Nested rows as dicts; what a ``metadata`` has no value for is left out of it."""
-    if isinstance(value, Row):
-        return {k: {n: _known(v) for n, v in x.asDict().items() if v is not None} if k == "metadata" and isinstance(x, Row) else _known(x) for k, x in value.asDict().items()}
+    """Nested rows; what a ``metadata`` has no value for is left out of it."""
+    if isinstance(value, dict):
+        return {k: {n: _known(v) for n, v in x.items() if v is not None} if k == "metadata" and isinstance(x, dict) else _known(x) for k, x in value.items()}
     return [_known(v) for v in value] if isinstance(value, list) else value
 
 
+def _rendered(by: int):
+    """Rows -> (part, place, text): each as ``,`` and an indented JSON value, with its place among the bytes of its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            texts, places = [], []
+            for row in batch.to_pylist(maps_as_pydicts="strict"):
+                texts.append((",\n" + " " * by + json.dumps(_known(row), indent=2).replace("\n", "\n" + " " * by)).encode())
+                places.append(place)
+                place += len(texts[-1])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(texts), pa.int32()), pa.array(places, pa.int64()), pa.array(texts, pa.binary())], ["part", "place", "text"])
+
+    return run
+
+
 def write_json_file(path: str, head: dict, name: str, rows: DataFrame) -> int:
     """One JSON file ``{**head, name: [rows]}``, indented by two; returns the number of rows.
 
-    A single file has a single writer: rows come to the driver partition by
-    partition and go out one by one, so its memory follows a partition and not the table.
+    Tasks render the rows and keep them with their places as a table in the shared folder; the sizes of
+    the tasks' parts give every row its place in the file. On a mounted folder the tasks then
+    write side by side, each at its places, into a file of the right size that gets its name at the
+    end; the driver writes head and tail. An object store takes one writer a file: a single task streams the rows in order.
     """
-    fs, at = _file_system(path)
-    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    spark = rows.sparkSession
+    ship(spark)
+    store, kept, ddl = Store(path), shared_folder(spark, "json"), "part int, place long, text binary"
     shown = lambda value, by: json.dumps(value, indent=2).replace("\n", "\n" + " " * by)
-    n = 0
-    with fs.open_output_stream(at, compression=None) as out:
-        out.write(("{\n" + "".join(f"  {json.dumps(k)}: {shown(v, 2)},\n" for k, v in head.items()) + f"  {json.dumps(name)}: [").encode())
-        for n, row in enumerate(rows.toLocalIterator(), 1):
-            out.write((("," if n > 1 else "") + "\n    " + shown(_known(row), 4)).encode())
-        out.write(("\n  ]\n}" if n else "]\n}").encode())
+    first = ("{\n" + "".join(f"  {json.dumps(k)}: {shown(v, 2)},\n" for k, v in head.items()) + f"  {json.dumps(name)}: [").encode()
+    rows.mapInArrow(released(_rendered(4)), ddl).write.parquet(kept)
+    parts = spark.read.schema(ddl).parquet(kept)
+    sizes = parts.groupBy("part").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).orderBy("part").collect()
+    n, base, end = sum(r.n for r in sizes), {}, len(first) - 1  # the first row has no comma before it
+    for r in sizes:
+        base[r.part], end = end, end + r.bytes
+    end += not n
+    tail, at = (b"\n  ]\n}" if n else b"]\n}"), store.opened()[1]
+    if not store.local:
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with store.create(at) as out:
+                out.write(first)
+                skip = 1
+                for batch in batches:
+                    for text in batch.column(2).to_pylist():
+                        out.write(text[skip:])
+                        skip = 0
+                out.write(tail)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], ["done"])
+
+        parts.coalesce(1).sortWithinPartitions("part", "place").mapInArrow(released(stream), "done long").collect()
+        return n
+    store.create(f"{at}.part").close()
+    with open(f"{at}.part", "r+b") as out:
+        out.truncate(end + len(tail))
+        os.pwrite(out.fileno(), first, 0)
+        os.pwrite(out.fileno(), tail, end)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(f"{at}.part", "r+b") as out:
+            for batch in batches:
+                for part, place, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    start = base[part] + place
+                    if start < len(first):
+                        start, text = len(first), text[1:]
+                    os.pwrite(out.fileno(), text, start)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["done"])
+            os.fsync(out.fileno())
+
+    written = parts.mapInArrow(released(put), "done long").agg(F.sum("done")).first()[0] or 0
+    if written != n:
+        raise RuntimeError(f"{written} of {n} rows were written to {path}")
+    os.replace(f"{at}.part", at)
     return n
 
 

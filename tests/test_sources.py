@@ -4,15 +4,20 @@ import shutil
 from pathlib import Path
 
 import pytest
+import samples
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from samples import FILES, HIDDEN, PDF, SHOWN, docx, pptx, stub_pdf, stub_pdf_reader
 
 from docloom.operators.normalize import flat_units, normalize, normalized_totals, summary_stats
 from docloom.plans.pipelines import load_all
-from docloom.plans.samples import FILES, HIDDEN, PDF, SHOWN, docx, pptx, stub_pdf, stub_pdf_reader
 from docloom.sources.files import read_bytes, read_files
 from docloom.sources.parsers import ParserRegistry, parse, parse_pdf
 
 
+cloudpickle.register_pickle_by_value(samples)
+
+
 @pytest.fixture(scope="module")
 def parsed(spark):
     rows = {r.relative_path: r for r in parse(read_bytes(spark, FILES)).collect()}
