@@ -23,21 +23,22 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """
     own = edges.select("a").union(edges.select(F.col("b").alias("a"))).select("a", F.col("a").alias("b"))
     both = work.table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").union(own).distinct(), f"{name}_edges")
-    labels = work.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"), F.count("*").alias("n")), f"{name}_0")
+    size = both.count()
+    labels = work.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"), F.count("*").alias("n")), f"{name}_0", size)
     step, more = 0, not labels.isEmpty()
     while more:
         near = join_groups(both, labels.select(F.col("node").alias("b"), "comp", "n"), ["b"], F.col("a"))
         lower = near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("comp"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("old"), F.count("*").alias("n"))
         step += 1
-        following = work.table(lower, f"{name}_{step}")
+        following = work.table(lower, f"{name}_{step}", size)
         more = not following.where("comp <> old").isEmpty()
         work.drop(f"{name}_{step - 1}")
         if more and step >= PLAIN_ROUNDS:
             named = following.groupBy("comp").agg(F.count("*").alias("n"))
-            further = work.table(named.join(following.select(F.col("node").alias("comp"), F.col("comp").alias("further")), "comp"), f"{name}_further")
+            further = work.table(named.join(following.select(F.col("node").alias("comp"), F.col("comp").alias("further")), "comp"), f"{name}_further", size)
             jumped = join_groups(following.select("node", "comp", F.col("n").alias("degree")), further, ["comp"], F.col("node"))
             step += 1
-            following = work.table(jumped.select("node", F.least("comp", "further").alias("comp"), F.col("degree").alias("n")), f"{name}_{step}")
+            following = work.table(jumped.select("node", F.least("comp", "further").alias("comp"), F.col("degree").alias("n")), f"{name}_{step}", size)
             work.drop(f"{name}_{step - 1}", f"{name}_further")
         labels = following.select("node", "comp", "n")
     work.drop(f"{name}_edges")

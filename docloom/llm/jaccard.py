@@ -524,7 +524,7 @@ def _blocks(work: Workspace, docs: DataFrame, classes: DataFrame, member: DataFr
 def _attached(work: Workspace, pairs: DataFrame, blocks: DataFrame, k: str, other: list[str]) -> DataFrame:
     """``pairs`` with the matrix of their block ``k``; a block that many pairs name is dealt in copies, one for each 64 of them."""
     name = [f"comp{k}", f"block{k}"]
-    counts = work.table(pairs.groupBy(*name).agg(F.count("*").alias("n")), f"counts{k}")
+    counts = work.table(pairs.groupBy(*name).agg(F.count("*").alias("n")), f"counts{k}", pairs.count())
     copies = F.ceil(F.col("n") / 64).cast("int")
     spread_ = join_groups(pairs, counts, name, F.struct(*other)).withColumn("deal", F.pmod(F.xxhash64(*other), copies).cast("int")).drop("n")
     counted = counts.select(F.col(name[0]).alias("comp"), F.col(name[1]).alias("block"), "n")
@@ -535,7 +535,8 @@ def _attached(work: Workspace, pairs: DataFrame, blocks: DataFrame, k: str, othe
 def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, parts: DataFrame, paired: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """``a, b``: verified links that join all that link; ``node, comp``: the components they make."""
     links = work.table(blocks.where(F.octet_length("matrix.of") > 8).select("matrix").mapInArrow(released(_open_alone(num, den)), "a long, b long"), "links0")
-    largest = parts.agg(F.max("parts")).first()[0] or 0
+    largest, n_blocks = parts.agg(F.max("parts"), F.sum("parts")).first()
+    largest, n_blocks = largest or 0, n_blocks or 0
     reach, step, some = 0, 0, False
     if largest <= 1 and paired.isEmpty():
         return links, components(work, links, "joined")
@@ -544,7 +545,7 @@ def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, parts: DataFr
         # a block within one component, and which
         labelled = placed.join(found.withColumnRenamed("node", "class").withColumnRenamed("comp", "label"), "class", "left")
         label = F.coalesce("label", "class")
-        whole = work.table(labelled.groupBy("comp", "block").agg(F.min(label).alias("lo"), F.max(label).alias("hi")), "whole")
+        whole = work.table(labelled.groupBy("comp", "block").agg(F.min(label).alias("lo"), F.max(label).alias("hi")), "whole", n_blocks)
         # blocks of a group stand in a ring; a round takes the pairs at the distances that follow those of the round before
         far = min(max(2, 4 * reach), largest // 2)
         ring = parts.where(F.col("parts") > 2 * reach + 1).withColumn("blockx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -557,7 +558,7 @@ def _opened(work: Workspace, blocks: DataFrame, placed: DataFrame, parts: DataFr
             pairs = pairs.union(cross.select("compx", "blockx", "compy", "blocky"))
         one = lambda k: whole.select(F.col("comp").alias(f"comp{k}"), F.col("block").alias(f"block{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}"))
         open_ = pairs.join(one("x"), ["compx", "blockx"]).join(one("y"), ["compy", "blocky"]).where("NOT (lox = hix AND loy = hiy AND lox = loy)")
-        open_ = work.table(open_.select("compx", "blockx", "compy", "blocky"), f"pairs{step}")
+        open_ = work.table(open_.select("compx", "blockx", "compy", "blocky"), f"pairs{step}", 32 * n_blocks)
         some = not open_.isEmpty()
         if some:
             both = _attached(work, _attached(work, open_, blocks, "x", ["compy", "blocky"]), blocks, "y", ["compx", "blockx"])

@@ -63,6 +63,8 @@ class Columns:
         return df.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(self.names) if n.lower() not in taken], *added)
 
 
+#: Rows that a task writes at least, where their number is known.
+ROWS_A_FILE = 50_000
 #: A group is large when it holds more than one in so many of all rows; so there are at most as many large groups.
 LARGE_GROUPS = 4096
 
@@ -113,9 +115,12 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: lineage is cut and its size is known."""
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: lineage is cut and its size is known. With about how many ``rows`` are to come, few rows make few files."""
         at = self.path(name)
+        if rows is not None:
+            most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.coalesce(max(1, min(most, rows // ROWS_A_FILE + 4)))
         df.write.mode("overwrite").options(compression="zstd", **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 

@@ -149,10 +149,13 @@ def _likely(num: int, den: int):
     """Cells (one side's rows, the other side's rows) -> pairs of groups that have a pair of texts that may link."""
     threshold = num / den
     least = threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+    # an estimate of ``least`` needs about so many equal registers; a tenth less is left to the likelihood
+    fewest = int(0.9 * least * REGISTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell in batch.column(0).to_pylist():
+            for key, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                band = key >> (8 * ROWS)
                 comp, size = (np.array([r[c] for r in cell], np.int64) for c in ("comp", "size"))
                 minor = np.array([r["minor"] for r in cell])
                 sketch = np.frombuffer(b"".join(r["sketch"] for r in cell), np.uint8).reshape(len(cell), REGISTERS)
@@ -162,6 +165,12 @@ def _likely(num: int, den: int):
                     i, j = (x.reshape(-1) for x in np.meshgrid(one[k : k + step], other, indexing="ij"))
                     apart = (comp[i] != comp[j]) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
                     i, j = i[apart], j[apart]
+                    equal = sketch[i] == sketch[j]
+                    maybe = np.flatnonzero(equal.sum(1) >= fewest)
+                    # a pair is judged in the first band that it shares, and so in one bucket only
+                    first = equal[maybe].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+                    maybe = maybe[first == band]
+                    i, j = i[maybe], j[maybe]
                     likely = likely_similarity((sketch[i] > sketch[j]).sum(1), (sketch[i] < sketch[j]).sum(1), size[i], size[j]) >= least
                     found |= set(zip(np.minimum(comp[i], comp[j])[likely].tolist(), np.maximum(comp[i], comp[j])[likely].tolist()))
                 if found:
@@ -185,7 +194,7 @@ def _paired(work: Workspace, shared: DataFrame, classes: DataFrame, member: Data
     any_ = told.select("key", every("rest").alias("one"), own("n").alias("other"), "comp", "size", "sketch", F.lit(False).alias("minor"))
     minor = told.where("comp <> major").withColumn("one", own("rest")).select("key", "one", every("n").alias("other"), "comp", "size", "sketch", F.lit(True).alias("minor"))
     cells = any_.union(minor).groupBy("key", "one", "other").agg(F.collect_list(F.struct("comp", "size", "sketch", "minor")).alias("rows"))
-    found = work.table(cells.select("rows").mapInArrow(released(_likely(num, den)), "compx long, compy long").distinct(), "paired")
+    found = work.table(cells.select("key", "rows").mapInArrow(released(_likely(num, den)), "compx long, compy long").distinct(), "paired")
     work.drop("bucketed", "crossing", "shared")
     return found
 
