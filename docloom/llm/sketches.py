@@ -154,11 +154,11 @@ def _likely(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cells, rows = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            comps, sizes, minors, sketches = *(rows.field(c).to_numpy(zero_copy_only=False) for c in ("comp", "size", "minor")), _matrix(rows.field("sketch"))
+            for key, start, end in zip(batch.column(0).to_pylist(), cells[:-1], cells[1:]):
                 band = key >> (8 * ROWS)
-                comp, size = (np.array([r[c] for r in cell], np.int64) for c in ("comp", "size"))
-                minor = np.array([r["minor"] for r in cell])
-                sketch = np.frombuffer(b"".join(r["sketch"] for r in cell), np.uint8).reshape(len(cell), REGISTERS)
+                comp, size, minor, sketch = (x[start:end] for x in (comps, sizes, minors, sketches))
                 one, other, found = np.flatnonzero(minor), np.flatnonzero(~minor), set()
                 step = max(1, (1 << 14) // max(len(other), 1))
                 for k in range(0, len(one), step):
@@ -171,6 +171,8 @@ def _likely(num: int, den: int):
                     first = equal[maybe].reshape(-1, BANDS, ROWS).all(2).argmax(1)
                     maybe = maybe[first == band]
                     i, j = i[maybe], j[maybe]
+                    if not len(i):
+                        continue
                     likely = likely_similarity((sketch[i] > sketch[j]).sum(1), (sketch[i] < sketch[j]).sum(1), size[i], size[j]) >= least
                     found |= set(zip(np.minimum(comp[i], comp[j])[likely].tolist(), np.maximum(comp[i], comp[j])[likely].tolist()))
                 if found:
@@ -188,12 +190,12 @@ def _paired(work: Workspace, shared: DataFrame, classes: DataFrame, member: Data
     rows = join_groups(placed, crossing, ["key"], F.col("class")).where("n IS NOT NULL")
     # sections of the rows outside the largest group, and of all rows: each row goes to every section of the other side
     sections = lambda column: F.ceil(F.col(column) / SECTION).cast("int")
-    every = lambda column: F.explode(F.sequence(F.lit(0), sections(column) - 1))
     own = lambda column: F.pmod(F.xxhash64("class"), sections(column)).cast("int")
-    told = rows.join(classes.select("class", "size", "sketch"), "class")
-    any_ = told.select("key", every("rest").alias("one"), own("n").alias("other"), "comp", "size", "sketch", F.lit(False).alias("minor"))
-    minor = told.where("comp <> major").withColumn("one", own("rest")).select("key", "one", every("n").alias("other"), "comp", "size", "sketch", F.lit(True).alias("minor"))
-    cells = any_.union(minor).groupBy("key", "one", "other").agg(F.collect_list(F.struct("comp", "size", "sketch", "minor")).alias("rows"))
+    cell = lambda one, other, minor: F.struct(one.alias("one"), other.alias("other"), F.lit(minor).alias("minor"))
+    any_ = F.transform(F.sequence(F.lit(0), sections("rest") - 1), lambda k: cell(k, own("n"), False))
+    minor = F.transform(F.sequence(F.lit(0), sections("n") - 1), lambda k: cell(own("rest"), k, True))
+    told = rows.join(classes.select("class", "size", "sketch"), "class").select("key", "comp", "size", "sketch", F.explode(F.when(F.col("comp") == F.col("major"), any_).otherwise(F.concat(any_, minor))).alias("at"))
+    cells = told.groupBy("key", "at.one", "at.other").agg(F.collect_list(F.struct("comp", "size", "sketch", "at.minor")).alias("rows"))
     found = work.table(cells.select("key", "rows").mapInArrow(released(_likely(num, den)), "compx long, compy long").distinct(), "paired")
     work.drop("bucketed", "crossing", "shared")
     return found
