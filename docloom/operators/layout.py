@@ -48,14 +48,36 @@ def page_text(blocks: list[tuple], tables: list[tuple]) -> str:
     return "\n\n".join(parts).strip()
 
 
-def first_overlap(blocks: DataFrame, tables: DataFrame, *, page: str = "page", block: str = "block", table: str = "table_idx") -> DataFrame:
+def first_overlap(blocks: DataFrame, tables: DataFrame, *, page: str = "page", block: str = "block", table: str = "table_idx", cells: int = 2) -> DataFrame:
     """Each block with the first table (by ``table``) of its page whose box it overlaps, else null.
 
-    The page is an equi key, so the overlap test runs within pages only.
+    Boxes are dealt to the cells of a grid that they touch, and meet within cells of a page only. Cells are as
+    wide and high as the page's tables are on average, but a page of n tables has at most ``cells`` times the root of n
+    columns and rows of them, so even a box as large as the page touches no more cells than there are tables, about. A pair that meets in
+    several cells is judged in the first of them alone.
     """
+    width, height = (F.greatest(F.col(f"{b}") - F.col(f"{a}"), F.lit(0.0)) for a, b in (("x0", "x1"), ("y0", "y1")))
+    root = F.lit(cells) * F.ceil(F.sqrt(F.count("*")))
+    step = lambda mean, low, high: F.greatest(mean, (F.max(high) - F.min(low)) / root, F.lit(1e-9))
+    grid = tables.groupBy(page).agg(F.min("x0").alias("_x"), F.min("y0").alias("_y"), F.max("x1").alias("_u"), F.max("y1").alias("_v"), step(F.avg(width), "x0", "x1").alias("_w"), step(F.avg(height), "y0", "y1").alias("_h"))
+
+    def dealt(df: DataFrame, *names: str) -> DataFrame:
+        # what lies outside all tables of the page has no cell
+        placed = df.join(grid, page)
+        at = lambda c, low, high, size: F.floor((F.least(F.greatest(F.col(c).cast("double"), F.col(low)), F.col(high)) - F.col(low)) / F.col(size))
+        spans = {"i": ("x0", "x1", "_x", "_u", "_w"), "j": ("y0", "y1", "_y", "_v", "_h")}
+        known = placed.withColumns({f"_{k}{n}": at(c, low, high, size) for k, (a, z, low, high, size) in spans.items() for n, c in ((0, a), (1, z))})
+        known = known.where(F.col("_i1") >= F.col("_i0")).where(F.col("_j1") >= F.col("_j0"))
+        opened = known.withColumn("_i", F.explode(F.sequence("_i0", "_i1"))).withColumn("_j", F.explode(F.sequence("_j0", "_j1")))
+        return opened.select(page, *names, "_i", "_j", "_i0", "_j0", "x0", "y0", "x1", "y1")
+
     box = lambda side: [F.col(f"{side}.{c}") for c in ("x0", "y0", "x1", "y1")]
-    joined = blocks.alias("b").join(tables.alias("t"), (F.col(f"b.{page}") == F.col(f"t.{page}")) & overlaps(box("b"), box("t")), "left")
-    return joined.groupBy(F.col(f"b.{page}").alias(page), F.col(f"b.{block}").alias(block)).agg(F.min(f"t.{table}").alias(table))
+    b, t = dealt(blocks, block).alias("b"), dealt(tables, table).alias("t")
+    first = (F.col("b._i") == F.greatest("b._i0", "t._i0")) & (F.col("b._j") == F.greatest("b._j0", "t._j0"))
+    same = [F.col(f"b.{c}") == F.col(f"t.{c}") for c in (page, "_i", "_j")]
+    met = b.join(t, [*same, first, overlaps(box("b"), box("t"))]).select(F.col(f"b.{page}").alias(page), F.col(f"b.{block}").alias(block), F.col(f"t.{table}").alias(table))
+    alone = blocks.select(page, block, F.lit(None).cast(tables.schema[table].dataType).alias(table))
+    return met.unionByName(alone).groupBy(page, block).agg(F.min(table).alias(table))
 
 
 def emitted_tables(matched: DataFrame, *, page: str = "page", block: str = "block", table: str = "table_idx") -> DataFrame:

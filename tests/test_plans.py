@@ -1,3 +1,4 @@
+import functools
 import json
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vectors as V
 from docloom.operators import embed as E
+from docloom.operators import layout as L
 from docloom.operators import search as S
 from docloom.operators.layout import heading_segments
 from docloom.operators.normalize import flat_units, load_normalized_dataset, normalize, normalized_totals
@@ -202,13 +204,99 @@ def test_top_k_many_equals_single_searches(spark, monkeypatch):
     docs = spark.createDataFrame([(k, rng.standard_normal(4).astype(np.float32).tolist()) for k in range(60)], "unit_id long, embedding array<float>")
     queries = docs.where("unit_id < 9").select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     whole = sorted(map(tuple, S.top_k_many(queries, docs, k=3).collect()))
-    monkeypatch.setattr(S, "MAX_QUERIES", 8)
-    blocks = sorted(map(tuple, S.top_k_many(queries, docs, k=3).collect()))
-    assert whole == blocks and len(whole) == 27
+    for size in ({"SCORES_AT_ONCE": 27}, {"MAX_BROADCAST": 0, "BLOCK_BYTES": 64}):
+        with monkeypatch.context() as m:
+            for name, value in size.items():
+                m.setattr(S, name, value)
+            assert sorted(map(tuple, S.top_k_many(queries, docs.repartition(3), k=3).collect())) == whole
+    assert len(whole) == 27 and S.top_k_many(queries, docs, k=0).isEmpty() and S.top_k_many(queries.limit(0), docs).isEmpty() and S.top_k_many(queries, docs.limit(0)).isEmpty()
     for q in queries.collect():
         assert [r.unit_id for r in S.top_k(docs, q.query_embedding, k=3).orderBy("rank").collect()] == [w[2] for w in whole if w[0] == q.query_id]
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_ten_thousand_queries(spark, monkeypatch, far):
+    """One scan of the documents, and no more rows than k for each query and task are shuffled; equal scores go to the larger key."""
+    if far:
+        monkeypatch.setattr(S, "MAX_BROADCAST", 0)
+        monkeypatch.setattr(S, "BLOCK_BYTES", 1 << 16)
+    rng = np.random.default_rng(3)
+    m = rng.integers(-3, 4, (400, 4)).astype(float)
+    q = rng.integers(-3, 4, (10_000, 4)).astype(float)
+    docs = spark.createDataFrame([(f"u{k:03}", v.tolist()) for k, v in enumerate(m)] + [("none", None)], "unit_id string, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)], "query_id long, query_embedding array<double>")
+    found = S.top_k_many(queries, docs, k=2, metric="dot")
+    got = found.toPandas().sort_values(["query_id", "rank"])
+    scores = q @ m.T
+    order = np.lexsort((-np.arange(400)[None].repeat(10_000, 0), -scores), axis=1)[:, :2]
+    assert got["unit_id"].tolist() == [f"u{k:03}" for k in order.reshape(-1)] and got["rank"].tolist() == [1, 2] * 10_000
+    pairs = S._meet(queries, docs, "unit_id", "embedding", "query_id", "query_embedding", "dot", functools.partial(S._Best, k=2))
+    assert pairs.groupBy(F.spark_partition_id(), "query_id").count().agg(F.max("count")).first()[0] == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert far or "Join" not in plan
+
+
+def test_similarity_matrix_of_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m, q = rng.standard_normal((70, 3)), rng.standard_normal((90, 3))
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "unit_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)], "query_id long, query_embedding array<double>")
+    for bound in (1 << 20, 0):
+        monkeypatch.setattr(S, "MAX_BROADCAST", bound)
+        monkeypatch.setattr(S, "BLOCK_BYTES", 512)
+        got = {(r.query_id, r.unit_id): r.score for r in S.similarity_matrix(queries, docs, metric="dot").collect()}
+        assert len(got) == 6300 and all(abs(s - q[a] @ m[b]) < 1e-12 for (a, b), s in got.items())
+
+
+def brute_overlap(blocks, tables):
+    return {(p, b): min((t for q, t, *u in tables if p == q and u[0] < z[2] and u[2] > z[0] and u[1] < z[3] and u[3] > z[1]), default=None) for p, b, *z in blocks}
+
+
+def test_first_overlap_by_cells(spark):
+    """Boxes of all sizes, some of no size or beyond all tables, over several pages; one page without tables."""
+    rng = np.random.default_rng(5)
+
+    def boxes(n, pages):
+        for k in range(n):
+            x, y = rng.integers(0, 100, 2)
+            w, h = rng.integers(0, (5, 30, 120)[k % 3], 2)
+            yield int(rng.integers(0, pages)), k, float(x), float(y), float(x + w), float(y + h)
+
+    blocks, tables = list(boxes(300, 5)), list(boxes(40, 3))
+    ddl = "page int, {} int, x0 double, y0 double, x1 double, y1 double"
+    got = L.first_overlap(spark.createDataFrame(blocks, ddl.format("block")), spark.createDataFrame(tables, ddl.format("table_idx"))).collect()
+    assert {(r.page, r.block): r.table_idx for r in got} == brute_overlap(blocks, tables) and len(got) == 300
+
+
+def test_one_page_of_very_many_boxes(spark):
+    """10^5 blocks and 10^4 tables of one page: the join's rows follow the boxes, not their pairs."""
+    n, t = 100_000, 10_000
+    blocks = spark.range(n).selectExpr("1 AS page", "id AS block", "id % 1000 * 1.0 AS x0", "floor(id / 1000) * 10.0 AS y0", "id % 1000 + 0.9 AS x1", "floor(id / 1000) * 10.0 + 5 AS y1")
+    tables = spark.range(t).selectExpr("1 AS page", "id AS table_idx", "id % 100 * 10.0 AS x0", "floor(id / 100) * 10.0 AS y0", "id % 100 * 10.0 + 8 AS x1", "floor(id / 100) * 10.0 + 8 AS y1")
+    found = L.first_overlap(blocks, tables)
+    assert found.count() == n and found.where("table_idx = floor(block / 1000) * 100 + floor(block % 1000 / 10)").count() == 8 * n // 10 == found.where("table_idx IS NOT NULL").count()
+    rows = {}
+
+    def walk(node):
+        for metric, value in ((m._1(), m._2().value()) for m in _scala(node.metrics())):
+            rows.setdefault(node.nodeName(), []).append(value) if metric == "numOutputRows" else None
+        for child in _scala(node.children()):
+            walk(child)
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        if hasattr(node, "plan") and "QueryStage" in node.nodeName():
+            walk(node.plan())
+
+    def _scala(seq):
+        iterator = seq.iterator()
+        while iterator.hasNext():
+            yield iterator.next()
+
+    found.write.format("noop").mode("overwrite").save()
+    walk(found._jdf.queryExecution().executedPlan())
+    assert max(v for values in rows.values() for v in values) <= 6 * n
+
+
 def test_pooling_and_norm(spark):
     row = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0], [9.0, 9.0]], [1, 1, 0])], "v array<array<float>>, m array<int>")
     got = row.select(V.mean_pool(F.col("v"), F.col("m")).alias("mean"), V.cls_pool(F.col("v")).alias("cls"), V.l2_normalize(F.array(F.lit(3.0), F.lit(4.0))).alias("unit"), V.l2_normalize(F.array(F.lit(0.0))).alias("zero")).first()
