@@ -37,13 +37,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.shared import Workspace
 from docloom.llm.words import mix, span_hash, split_words
 from docloom.ship import released, ship
+from docloom.sources.storage import Store
 
 _SKIPPABLE_INDEX = 0x184D2A50
 _SKIPPABLE_TABLE = 0x184D2A5E
@@ -208,7 +208,7 @@ class ShardReader:
     """Random access to one shard's documents."""
 
     def __init__(self, path: str):
-        fs, at = pafs.FileSystem.from_uri(path)
+        fs, at = Store(path).opened()
         self.source = fs.open_input_file(at)
         size = self.source.size()
         count, descriptor, magic = struct.unpack("<IBI", self.source.read_at(9, size - 9))
@@ -259,14 +259,15 @@ def write_tokens(docs: DataFrame, root: str, *, tokenizer: str, end_id: int, id_
     Only the shard list comes to the driver.
     """
     ship(docs.sparkSession)
-    fs, at = pafs.FileSystem.from_uri(root)
+    store = Store(root)
+    fs, at = store.opened()
     fs.create_dir(at, recursive=True)
     out_schema = pa.schema([("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, fs, at = TaskContext.get(), *pafs.FileSystem.from_uri(root)
+        task, fs, at = TaskContext.get(), *store.opened()
         name = f"part-{task.partitionId():05d}.ztok"
         draft = f"{at}/{name}.{task.taskAttemptId()}.tmp"
         code, shard, tokens = encoder(tokenizer, end_id), None, 0

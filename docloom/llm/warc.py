@@ -32,13 +32,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.shared import Columns, Workspace, join_groups
 from docloom.ship import released, ship
+from docloom.sources.storage import Store
 
 CHUNK_BYTES = 1 << 20
 _NAMESPACE = uuid.UUID("5f3bc1a2-7f0e-4a53-9f6e-0d8d2a1c77aa")
@@ -114,7 +114,7 @@ def _head(revisit: bool, page_id, copy: int, sha: str, size: int, refers_to) ->
     return ("\r\n".join([*lines, f"Content-Length: {0 if revisit else size}"]) + "\r\n\r\n").encode()
 
 
-def _writer(root: str):
+def _writer(store: Store):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -128,7 +128,7 @@ def _writer(root: str):
                 raise OSError("chunks of a record came out of order or incomplete")
             sink.write(deflate.compress(b"\r\n\r\n") + deflate.flush())
 
-        fs, at = pafs.FileSystem.from_uri(root)
+        fs, at = store.opened()
         name = f"{at}/part-{task.partitionId():05d}.warc.gz"
         draft = f"{name}.{task.taskAttemptId()}.tmp"
         for batch in batches:
@@ -151,7 +151,7 @@ def _writer(root: str):
             finish()
             sink.close()
             fs.move(draft, name)
-            yield pa.RecordBatch.from_pydict({"path": [f"{root}/{name.rsplit('/', 1)[1]}"], "records": [n]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"path": [f"{store.root}/{name.rsplit('/', 1)[1]}"], "records": [n]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
     return write
 
@@ -166,9 +166,10 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", payl
     numbered = records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     chunk = F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
     chunks = numbered.select("page_id", "copy", "sha", "size", "revisit", "refers_to", "chunk_no", chunk.alias("data"))
-    fs, at = pafs.FileSystem.from_uri(root)
+    store = Store(root)
+    fs, at = store.opened()
     fs.create_dir(at, recursive=True)
-    done = chunks.mapInArrow(released(_writer(root)), "path string, records long")
+    done = chunks.mapInArrow(released(_writer(store)), "path string, records long")
     paths = sorted(r.path for r in done.collect())
     work.drop("digests", "repeats")
     return paths
@@ -250,7 +251,7 @@ def read_archives(spark: SparkSession, paths: list[str], *, chunk_bytes: int = C
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs, at = pafs.FileSystem.from_uri(path)
+                fs, at = Store(path).opened()
                 rows, held = [], 0
                 with fs.open_input_stream(at, compression=None) as source:
                     for row in stream_records(source, chunk_bytes):
