@@ -89,6 +89,20 @@ def _attribute(node, name: str) -> str | None:
     return next((v for k, v in node.attrib.items() if _local(k) == name), None) if node is not None else None
 
 
+def _each(archive: zipfile.ZipFile, part: str, parent: str) -> Iterator:
+    """The children of the element ``parent`` of a part, one at a time as they are read; what was before them is freed."""
+    with archive.open(part) as source:
+        above: list = []
+        for event, node in ElementTree.iterparse(source, ("start", "end")):
+            if event == "start":
+                above.append(node)
+                continue
+            above.pop()
+            if above and _local(above[-1].tag) == parent:
+                yield node
+                above[-1].remove(node)
+
+
 def _run_text(paragraph) -> str:
     """Text of a paragraph of either office format: runs, tabs and breaks, also inside links."""
     out = []
@@ -125,56 +139,59 @@ def _relations(archive: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]
     return found
 
 
+def _docx_table(table) -> str | None:
+    """Rows of cells, merged ones repeated; null for a table without rows."""
+    above: list[str] = []
+    rows = []
+    for row in _children(table, "tr"):
+        cells: list[str] = []
+        for cell in _children(row, "tc"):
+            text = _flat_cell("\n".join(_run_text(p) for p in _children(cell, "p")))
+            merge = _child(cell, "tcPr", "vMerge")
+            if merge is not None and _attribute(merge, "val") != "restart" and len(cells) < len(above):
+                text = above[len(cells)]
+            cells += [text] * int(_attribute(_child(cell, "tcPr", "gridSpan"), "val") or 1)
+        above = cells
+        rows.append(" | ".join(cells))
+    return "\n".join(rows) if rows else None
+
+
 def parse_docx(content: bytes, name: str, category: str) -> dict:
     """Sections under headings, then tables. ``section_count`` counts both."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = _child(ElementTree.fromstring(archive.read("word/document.xml")), "body")
         styles, default = {}, None
         if "word/styles.xml" in archive.namelist():
             for style in _children(ElementTree.fromstring(archive.read("word/styles.xml")), "style"):
                 styles[_attribute(style, "styleId")] = _attribute(_child(style, "name"), "val") or ""
                 if _attribute(style, "type") == "paragraph" and _attribute(style, "default") in ("1", "true"):
                     default = _attribute(style, "styleId")
-
-    sections: list[tuple[str, list[str]]] = [("Overview", [])]
-    paragraphs = _children(body, "p")
-    for paragraph in paragraphs:
-        line = _run_text(paragraph).strip()
-        if not line:
-            continue
-        style = _attribute(_child(paragraph, "pPr", "pStyle"), "val") or default
-        # style files name headings in lower case; readers show them capitalised
-        if styles.get(style, "").lower().startswith("heading"):
-            sections.append((line, []))
-        else:
-            sections[-1][1].append(line)
+        sections: list[tuple[str, list[str]]] = [("Overview", [])]
+        paragraphs, tables = 0, []
+        for node in _each(archive, "word/document.xml", "body"):
+            if _local(node.tag) == "tbl":
+                tables.append(_docx_table(node))
+            if _local(node.tag) != "p":
+                continue
+            paragraphs += 1
+            line = _run_text(node).strip()
+            if not line:
+                continue
+            style = _attribute(_child(node, "pPr", "pStyle"), "val") or default
+            # style files name headings in lower case; readers show them capitalised
+            if styles.get(style, "").lower().startswith("heading"):
+                sections.append((line, []))
+            else:
+                sections[-1][1].append(line)
     filled = [(title, "\n".join(lines)) for title, lines in sections if lines]
     elements = [_element("section", k, title, text) for k, (title, text) in enumerate(filled, 1)]
     blocks = [f"## {title}\n{text}" for title, text in filled]
-
-    tables, shown = _children(body, "tbl"), []
-    for k, table in enumerate(tables, 1):
-        above: list[str] = []
-        rows = []
-        for row in _children(table, "tr"):
-            cells: list[str] = []
-            for cell in _children(row, "tc"):
-                text = _flat_cell("\n".join(_run_text(p) for p in _children(cell, "p")))
-                merge = _child(cell, "tcPr", "vMerge")
-                if merge is not None and _attribute(merge, "val") != "restart" and len(cells) < len(above):
-                    text = above[len(cells)]
-                span = int(_attribute(_child(cell, "tcPr", "gridSpan"), "val") or 1)
-                cells += [text] * span
-            above = cells
-            rows.append(" | ".join(cells))
-        if rows:
-            shown.append("\n".join(rows))
-            elements.append(_element("table", k, f"Table {k}", shown[-1]))
+    shown = [text for text in tables if text is not None]
+    elements += [_element("table", k, f"Table {k}", text) for k, text in enumerate(tables, 1) if text is not None]
     if shown:
         blocks.append("--- Tables ---\n" + "\n\n".join(shown))
     return {
         "file_type": ".docx", "content": "\n\n".join(blocks), "elements": elements,
-        "metadata": {"paragraph_count": len(paragraphs), "table_count": len(tables), "section_count": len(elements)},
+        "metadata": {"paragraph_count": paragraphs, "table_count": len(tables), "section_count": len(elements)},
     }
 
 
@@ -238,38 +255,41 @@ def _date_styles(archive: zipfile.ZipFile) -> set[int]:
     return {k for k, node in enumerate(used if used is not None else ()) if int(node.get("numFmtId", 0)) in dates}
 
 
-def _sheet_rows(archive: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> list[list]:
-    rows: list[list] = []
-    data = _child(ElementTree.fromstring(archive.read(part)), "sheetData")
-    for node in data if data is not None else ():
-        at = int(node.get("r", len(rows) + 1)) - 1
-        while len(rows) <= at:
-            rows.append([])
+def _cell_value(cell, strings: list[str], dates: set[int]):
+    raw, kind = _child(cell, "v"), cell.get("t", "n")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter() if _local(t.tag) == "t")
+    if raw is None or raw.text is None:
+        return None
+    if kind == "s":
+        return strings[int(raw.text)]
+    if kind == "b":
+        return raw.text == "1"
+    if kind == "n" and int(cell.get("s", 0)) in dates:
+        return datetime(1899, 12, 30) + timedelta(days=float(raw.text))
+    if kind == "n":
+        number = float(raw.text)
+        return int(number) if number.is_integer() and "." not in raw.text and "E" not in raw.text.upper() else number
+    return raw.text
+
+
+def _sheet_rows(archive: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> Iterator[list]:
+    """The rows of a sheet in order, as they are read; rows that the file leaves out are empty."""
+    n = 0
+    for node in _each(archive, part, "sheetData"):
+        while n < int(node.get("r", n + 1)) - 1:
+            n += 1
+            yield []
+        row: list = []
         for cell in _children(node, "c"):
-            letters = "".join(c for c in cell.get("r", "") if c.isalpha())
             column = 0
-            for c in letters:
-                column = column * 26 + ord(c.upper()) - 64
-            column = column - 1 if letters else len(rows[at])
-            raw, kind = _child(cell, "v"), cell.get("t", "n")
-            if kind == "inlineStr":
-                value = "".join(t.text or "" for t in cell.iter() if _local(t.tag) == "t")
-            elif raw is None or raw.text is None:
-                value = None
-            elif kind == "s":
-                value = strings[int(raw.text)]
-            elif kind == "b":
-                value = raw.text == "1"
-            elif kind == "n" and int(cell.get("s", 0)) in dates:
-                value = datetime(1899, 12, 30) + timedelta(days=float(raw.text))
-            elif kind == "n":
-                number = float(raw.text)
-                value = int(number) if number.is_integer() and "." not in raw.text and "E" not in raw.text.upper() else number
-            else:
-                value = raw.text
-            rows[at] += [None] * (column + 1 - len(rows[at]))
-            rows[at][column] = value
-    return rows
+            for c in cell.get("r", ""):
+                column = column * 26 + ord(c.upper()) - 64 if c.isalpha() else column
+            column = column - 1 if column else len(row)
+            row += [None] * (column + 1 - len(row))
+            row[column] = _cell_value(cell, strings, dates)
+        n += 1
+        yield row
 
 
 def parse_xlsx(content: bytes, name: str, category: str) -> dict:
@@ -278,14 +298,14 @@ def parse_xlsx(content: bytes, name: str, category: str) -> dict:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         strings = []
         if "xl/sharedStrings.xml" in archive.namelist():
-            for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")):
+            for item in _each(archive, "xl/sharedStrings.xml", "sst"):
                 strings.append("".join(t.text or "" for t in item.iter() if _local(t.tag) == "t"))
         relations = _relations(archive, "xl/workbook.xml")
         sheets, dates = _child(ElementTree.fromstring(archive.read("xl/workbook.xml")), "sheets"), _date_styles(archive)
         for number, sheet in enumerate(sheets, 1):
             title = sheet.get("name")
             names.append(title)
-            rows = _sheet_rows(archive, relations[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))][1], strings, dates)
+            rows = list(_sheet_rows(archive, relations[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))][1], strings, dates))
             width = max(map(len, rows), default=0)
             rows = [r + [None] * (width - len(r)) for r in rows]
             if not rows:
