@@ -655,3 +655,30 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_components(docs, width=4, num=85, den=100).drop("text_class", "stays")
+
+
+_COMPONENTS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sets FROM d
+), t AS (
+  SELECT r, len(sets) AS n, hash(k) AS k FROM (SELECT r, sets, unnest(sets) AS k FROM s)
+), p AS (
+  SELECT a.r AS x, b.r AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM t a JOIN t b ON a.k = b.k AND a.r < b.r GROUP BY ALL
+), e AS (
+  SELECT x, y FROM p WHERE 100 * c >= {num} * (nx + ny - c) UNION ALL SELECT y, x FROM p WHERE 100 * c >= {num} * (nx + ny - c)
+), reach AS (
+  SELECT r AS a, r AS b FROM s UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x
+)
+SELECT s.doc_id, len(s.sets)::BIGINT AS n_shingles, min(o.doc_id) AS component_id{more}
+FROM s JOIN reach ON reach.a = s.r JOIN s o ON o.r = reach.b GROUP BY s.r, s.doc_id, s.sets
+"""
+
+
+def components_sql(num: int, more: str = "") -> str:
+    """DuckDB SQL for components of documents with ``num`` hundredths of four-word shingles in common; hashes of 64 bits stand for shingles."""
+    return _COMPONENTS_SQL.replace("{num}", str(num)).replace("{more}", more)
+
+
+ORACLE_SQL = components_sql(85)

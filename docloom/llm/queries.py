@@ -25,10 +25,12 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard": jaccard.ORACLE_SQL,
         "op4_decontaminate": decontaminate.ORACLE_SQL,
         "op5_quality": quality.ORACLE_SQL,
         "op7_lines": lines.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
         "op11_golden": golden.ORACLE_SQL,
+        "op12_minhash": sketches.ORACLE_SQL,
         "op13_hard_negatives": negatives.ORACLE_SQL,
     }

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.jaccard import name_components, sequence_hash, shingle_sets, verified_components
+from docloom.llm.jaccard import components_sql, name_components, sequence_hash, shingle_sets, verified_components
 from docloom.llm.shared import Workspace, join_groups
 from docloom.llm.words import BLANK_SEPARATED, mix, split_words, text_slices
 from docloom.ship import released, ship
@@ -223,3 +223,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op12_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, num=80, den=100)
+
+
+ORACLE_SQL = components_sql(80, ", s.doc_id = min(o.doc_id) AS kept")

@@ -123,3 +123,18 @@ def test_no_task_gets_a_third_of_the_rows(spark):
         shares = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(shares) == 1500 and max(shares) <= 1500 / 4
         assert out.where("component_id = 0").count() == 500
+
+
+@pytest.mark.parametrize("name", ["op2_jaccard", "op12_minhash"])
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    from docloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, sf)
+    assert sorted(names) == sorted(got.columns) and sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
