@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, jaccard, mixing, tokens, toxicity
 from docloom.llm.shared import Columns, Workspace
