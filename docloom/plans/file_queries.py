@@ -206,6 +206,99 @@ def discover_files(spark, sf_dir):
     return read_files(spark, root).select("relative_path", "file_name", "subfolders", "category", "file_size_bytes", "extension", F.decode("content", "UTF-8").alias("text"))
 
 
+#: Texts of the written trees, in SQL.
+_TREE = """WITH d AS (SELECT doc_id, lang, left(coalesce(text, ''), 300) AS said, lang || '/' || doc_id || CASE WHEN doc_id % 4 = 3 THEN '.NOTE' ELSE '.md' END AS path, doc_id || CASE WHEN doc_id % 4 = 3 THEN '.NOTE' ELSE '.md' END AS file FROM documents)"""
+
+
+def _tree(spark, sf_dir: str) -> str:
+    """Documents' first 300 characters as files in a folder for each language; returns the root."""
+    from docloom.ship import shared_folder
+    from docloom.sources.sinks import write_files
+
+    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark, "tree")
+    target = F.concat("lang", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 4 == 3, ".NOTE").otherwise(".md"))
+    write_files(docs.select(target.alias("target"), F.encode(F.left(F.coalesce("text", F.lit("")), F.lit(300)), "UTF-8").alias("content")), root)
+    return root
+
+
+@_query("load_tree", _TREE + f"""
+SELECT path AS relative_path, path AS metadata_path, lang AS category, [lang] AS subfolders, strlen(said)::BIGINT AS file_size_bytes, 1::BIGINT AS n_elements, CASE WHEN doc_id % 4 = 3 THEN '.note' ELSE '.md' END AS file_type,
+  CASE WHEN doc_id % 4 = 3 THEN file || ' in ' || lang || ': ' || strlen(said) ELSE said END AS content, CASE WHEN doc_id % 4 <> 3 THEN length(said) END::BIGINT AS char_count, CASE WHEN doc_id % 4 <> 3 THEN {X.line_count_sql("said")} END::BIGINT AS line_count, NULL::VARCHAR AS error
+FROM d""")
+def load_tree(spark, sf_dir):
+    """A tree discovered and parsed, with a handler of our own for one extension; every row has its file's place and size."""
+    from docloom.plans.pipelines import load_all
+    from docloom.sources.parsers import ParserRegistry
+
+    def note(content: bytes, name: str, category: str) -> dict:
+        said = f"{name} in {category}: {len(content)}"
+        return {"content": said, "elements": [{"element_type": "note", "index": 1, "title": name, "content": said, "metadata": {}}], "metadata": {}}
+
+    registry = ParserRegistry()
+    registry.register("Note", note)
+    docs = load_all(spark, _tree(spark, sf_dir), registry)
+    m = [F.col(f"metadata.{c}").alias(c) for c in ("subfolders", "file_size_bytes", "char_count", "line_count")]
+    return _as_bigint(docs.select("relative_path", F.col("metadata.relative_path").alias("metadata_path"), "category", *m, F.size("elements").alias("n_elements"), "file_type", "content", "error"))
+
+
+@_query("process_tree", _TREE + f"""
+, u AS (SELECT *, {X.clean_text_sql("said")} AS clean FROM d)
+SELECT path AS doc_key, file || '_document_1' AS unit_id, file AS file_name, lang AS category, lang || ' > ' || file || ' > ' || doc_id AS breadcrumbs, doc_id::VARCHAR AS title, 'document' AS unit_type, clean AS content, {X.word_count_sql("clean")} AS word_count, length(clean)::BIGINT AS char_count
+FROM u WHERE clean <> ''""")
+def process_tree(spark, sf_dir):
+    """A tree loaded, staged, cleaned and normalised in one call, as flat units."""
+    from docloom.plans.pipelines import process_all
+    from docloom.ship import shared_folder
+
+    return _as_bigint(N.flat_units(process_all(spark, _tree(spark, sf_dir), stage=f"{shared_folder(spark, 'stage')}/parsed")))
+
+
+@_query("report_files", """
+WITH d AS (SELECT lang, doc_id, coalesce(text, '') AS said FROM documents)
+SELECT lang || '/' || doc_id || '_parsed.txt' AS relative_path, concat_ws(chr(10), repeat('=', 80), 'DOCUMENT TITLE: ' || doc_id || '.md', 'CATEGORY      : ' || lang, 'FILE FORMAT   : .md', 'ORIGINAL PATH : ' || lang || '/' || doc_id || '.md',
+  'RELATIVE PATH : ' || lang || '/' || doc_id || '.md', 'TOTAL UNITS   : 1 structural unit(s)', 'CHAR COUNT    : ' || format('{:,}', length(said)) || ' characters', repeat('=', 80), chr(10)) || '--- STRUCTURAL BREAKDOWN ---' || chr(10)
+  || '[DOCUMENT 1: ' || doc_id || '] (' || length(said) || ' chars)' || chr(10) || chr(10) || repeat('=', 80) || chr(10) || '--- EXTRACTED CONTENT ---' || chr(10) || chr(10) || said AS report
+FROM d""")
+def report_files(spark, sf_dir):
+    """Whole texts parsed, their reports written by tasks into mirrored folders, and read back as files."""
+    from docloom.ship import shared_folder
+    from docloom.sources.files import read_files
+    from docloom.sources.sinks import export_parsed
+
+    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark, "reports")
+    files = as_files(docs.select(F.concat("lang", F.lit("/"), "doc_id", F.lit(".md")).alias("relative_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")))
+    export_parsed(parse(files), f"{root}/out", summary=False)
+    return read_files(spark, f"{root}/out").where("NOT startswith(relative_path, '_')").select("relative_path", F.decode("content", "UTF-8").alias("report"))
+
+
+@_query("embeddings_file", "SELECT vec_id, label::BIGINT AS label, len(embedding)::BIGINT AS size, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS embedding, (SELECT count(*) FROM embeddings) AS total_units, 'stand-in' AS model_name, 64::BIGINT AS embedding_dim FROM embeddings")
+def embeddings_file(spark, sf_dir):
+    """Vectors stored with a manifest and as one JSON file, which is read back in splits."""
+    from docloom.ship import shared_folder
+    from docloom.sources.jsonarray import read_records
+    from docloom.sources.sinks import write_embeddings
+
+    root = shared_folder(spark, "vectors")
+    write_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), root, model_name="stand-in", dim=64)
+    units = read_records(spark, f"{root}/embeddings.json", "vec_id long, embedding array<double>, label long", name="units", chunk=1 << 20)
+    manifest = spark.read.schema("model_name string, embedding_dim long, total_units long").json(f"{root}/manifest").first()
+    rounded = F.transform("embedding", lambda x: F.round(x, 6))
+    return units.select("vec_id", "label", F.size("embedding").cast("long").alias("size"), rounded.alias("embedding"), *[F.lit(v).alias(k) for k, v in manifest.asDict().items()])
+
+
+@_query("documents_as_json", """
+SELECT doc_id || '.md' AS relative_path, '.md' AS file_type, coalesce(text, '') AS content, length(coalesce(text, ''))::BIGINT AS char_count, 'document' AS element_type, doc_id::VARCHAR AS element_title, true AS error_is_null FROM documents""")
+def documents_as_json(spark, sf_dir):
+    """Parsed documents as one JSON text each, and what a reader finds in it; nulls are written too."""
+    from docloom.sources.sinks import as_json
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = as_files(docs.select(F.concat("doc_id", F.lit(".md")).alias("relative_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")))
+    found = F.from_json("json", "relative_path string, file_type string, content string, metadata struct<char_count: long>, elements array<struct<element_type: string, title: string>>")
+    told = as_json(parse(files)).select(found.alias("d"), F.instr("json", '"error":null').alias("at"))
+    return told.select("d.relative_path", "d.file_type", "d.content", "d.metadata.char_count", F.col("d.elements")[0]["element_type"].alias("element_type"), F.col("d.elements")[0]["title"].alias("element_title"), (F.col("at") > 0).alias("error_is_null"))
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -353,19 +353,23 @@ def unmatched_tables(spark, sf_dir):
     return L.unmatched_tables(tables, L.first_overlap(blocks, tables)).select("page", "table_idx")
 
 
-@_query("mean_pooling", "SELECT label, list_transform(range(1, 65), lambda i: round(list_sum(list_transform(v, lambda x: x[i::INT])) / greatest(len(v), 1e-9), 5)) AS pooled FROM (SELECT label, list(embedding::DOUBLE[]) FILTER (WHERE vec_id % 3 <> 0) AS v FROM embeddings GROUP BY label)")
+#: So many vectors in a row stand for the tokens of a text.
+_TOKENS = 32
+
+
+@_query("mean_pooling", f"SELECT text_id, list_transform(range(1, 65), lambda i: round(list_sum(list_transform(v, lambda x: x[i::INT])) / greatest(len(v), 1e-9), 5)) AS pooled FROM (SELECT vec_id // {_TOKENS} AS text_id, list(embedding::DOUBLE[]) FILTER (WHERE vec_id % 3 <> 0) AS v FROM embeddings GROUP BY 1)")
 def mean_pooling(spark, sf_dir):
-    """Vectors stand for a text's tokens; every third one is padding, which the mask leaves out."""
-    packed = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    """Every 32 vectors stand for a text's tokens; every third one is padding, which the mask leaves out."""
+    packed = _table(spark, sf_dir, "embeddings").groupBy(F.expr(f"vec_id div {_TOKENS}").alias("text_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
     pooled = V.mean_pool(F.transform("v", lambda x: x["embedding"]), F.transform("v", lambda x: F.when(x["vec_id"] % 3 == 0, 0).otherwise(1)))
-    return packed.select("label", F.transform(pooled, lambda x: F.round(x.cast("double"), 5)).alias("pooled"))
+    return packed.select("text_id", F.transform(pooled, lambda x: F.round(x.cast("double"), 5)).alias("pooled"))
 
 
-@_query("cls_pooling", "SELECT label, list_transform(arg_min(embedding, vec_id)::DOUBLE[], lambda x: round(x, 5)) AS pooled FROM embeddings GROUP BY label")
+@_query("cls_pooling", f"SELECT vec_id // {_TOKENS} AS text_id, list_transform(arg_min(embedding, vec_id)::DOUBLE[], lambda x: round(x, 5)) AS pooled FROM embeddings GROUP BY 1")
 def cls_pooling(spark, sf_dir):
-    packed = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    packed = _table(spark, sf_dir, "embeddings").groupBy(F.expr(f"vec_id div {_TOKENS}").alias("text_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
     first = V.cls_pool(F.transform("v", lambda x: x["embedding"]))
-    return packed.select("label", F.transform(first, lambda x: F.round(x.cast("double"), 5)).alias("pooled"))
+    return packed.select("text_id", F.transform(first, lambda x: F.round(x.cast("double"), 5)).alias("pooled"))
 
 
 @_query(
