@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from docloom.operators import embed as E
 from docloom.operators.normalize import flat_units, normalize, summary_stats
 from docloom.operators.search import report, top_k
-from docloom.sources.files import FILES_SCHEMA, read_files
+from docloom.sources.files import read_contents, read_files
 from docloom.sources.parsers import ParserRegistry, parse
 from docloom.sources.sinks import export_normalized, export_parsed, write_embeddings
+from docloom.sources.storage import Store
 
 log = logging.getLogger("docloom")
 
@@ -43,14 +44,13 @@ def load_all(spark: SparkSession, root: str, registry: ParserRegistry | None = N
 
 def load_single(spark: SparkSession, path: str, registry: ParserRegistry | None = None, category: str = "general") -> DataFrame:
     """One file as a parsed document outside any tree: its own name as relative path, no folders, size 0. A missing file gives an error row."""
-    found = os.path.isfile(path)
-    content = None
-    if found:
-        with open(path, "rb") as file:
-            content = file.read()
-    name = os.path.basename(os.path.realpath(path))
-    row = (os.path.realpath(path), name, name, [], category, 0, "", content)
-    return parse(spark.createDataFrame([row], FILES_SCHEMA), registry)
+    store = Store(path)
+    at = os.path.realpath(store.top) if store.local else store.opened()[1]
+    name = at.rpartition("/")[2]
+    place = spark.createDataFrame([(at, name, 0)], "path string, relative string, bytes bigint")
+    file = read_contents(place, store) if store.size(at) is not None else place.withColumn("content", F.lit(None).cast("binary"))
+    columns = ("path", F.lit(name).alias("file_name"), F.lit(name).alias("relative_path"), F.array().cast("array<string>").alias("subfolders"), F.lit(category).alias("category"), F.col("bytes").alias("file_size_bytes"), F.lit("").alias("extension"), "content")
+    return parse(file.select(*columns), registry)
 
 
 def as_dicts(docs: DataFrame) -> Iterator[dict]:

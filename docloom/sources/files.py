@@ -76,7 +76,7 @@ def read_files(spark: SparkSession, root: str, *, content: bool = True, pack_byt
     packs = max(1, -(-size // pack_bytes) if content else 0, -(-files // pack_files))
     # dealt by name, so that a task that runs again gets the same files
     dealt = listed.repartition(packs, F.xxhash64("path"))
-    told = dealt.mapInArrow(released(_with_contents(store, content)), "path string, relative string, bytes bigint, content binary")
+    told = read_contents(dealt, store, content)
     name = F.substring_index("relative", "/", -1)
     return told.select(
         "path", F.substring_index("path", "/", -1).alias("file_name"), F.col("relative").alias("relative_path"), X.folders(F.col("relative")).alias("subfolders"), X.category(F.col("relative")).alias("category"),
@@ -84,6 +84,12 @@ def read_files(spark: SparkSession, root: str, *, content: bool = True, pack_byt
     )
 
 
+def read_contents(places: DataFrame, store: Store, content: bool = True) -> DataFrame:
+    """``path, relative, bytes`` rows with the ``content`` of each file (null unless asked for), read by the tasks that hold them."""
+    ship(places.sparkSession)
+    return places.mapInArrow(released(_with_contents(store, content)), "path string, relative string, bytes bigint, content binary")
+
+
 def _with_contents(store: Store, content: bool):
     """Rows (path, relative, bytes) with the real path and the file's bytes, a file at a time."""
 
