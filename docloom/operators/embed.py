@@ -10,6 +10,7 @@ and knows nothing of meaning.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -92,11 +93,11 @@ def _load_transformer(name: str, device: str):
     from transformers import AutoModel, AutoTokenizer
 
     tokenizer = AutoTokenizer.from_pretrained(name, trust_remote_code=True)
-    try:
-        spread = {"device_map": "auto"} if device == "cuda" else {}
-        model = AutoModel.from_pretrained(name, trust_remote_code=True, **spread)
-        model = model if spread else model.to(device)
-    except Exception:  # a library without device maps
+    model = None
+    if device == "cuda":
+        with contextlib.suppress(ImportError, ValueError):  # a library, or a model, without device maps
+            model = AutoModel.from_pretrained(name, trust_remote_code=True, device_map="auto")
+    if model is None:
         model = AutoModel.from_pretrained(name, trust_remote_code=True).to(device)
     model.eval()
     return tokenizer, model
@@ -149,6 +150,10 @@ def transformer_backend(model: EmbeddingModel, *, device: str | None = None, loa
     return open_
 
 
+#: Bytes of word vectors that a task of the stand-in remembers.
+_KNOWN_BYTES = 32 << 20
+
+
 def hash_backend(dim: int) -> Callable[[], Backend]:
     """A stand-in without a model: sums of vectors that the md5 digits of each word spell.
 
@@ -161,19 +166,27 @@ def hash_backend(dim: int) -> Callable[[], Backend]:
         return np.frombuffer(bytes.fromhex(digits), np.uint8).repeat(2)[:dim]
 
     def open_() -> Backend:
+        number, table = {}, np.zeros((0, dim), np.uint8)  # words of the task's texts so far, and their vectors
+
         def encode(texts: list[str]) -> np.ndarray:
-            words, number = [t.lower().split() for t in texts], {"": 0}
-            which = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), np.int64)
-            distinct = list(number)
-            raw = np.stack([vector(w) for w in distinct])
-            raw[:, ::2] >>= 4
-            raw &= 15
+            nonlocal number, table
+            if len(number) * dim > _KNOWN_BYTES:
+                number, table = {}, table[:0]
+            words, fresh, known = [t.lower().split() for t in texts], [], len(number)
+            which = np.fromiter((number[w] if w in number else number.setdefault(w, len(fresh.append(w) or number)) for ws in words for w in ws), np.int64)
+            if fresh:
+                raw = np.stack([vector(w) for w in fresh])
+                raw[:, ::2] >>= 4
+                raw &= 15
+                if len(number) > len(table):  # room for as many again
+                    table = np.concatenate((table[:known], np.zeros((len(number), dim), np.uint8)))
+                table[known : len(number)] = raw
             owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
             out = np.zeros((len(texts), dim), np.float64)
             if len(owner):
-                pair, times = np.unique(owner * len(distinct) + which, return_counts=True)
-                row = pair // len(distinct)
-                parts = (raw[pair % len(distinct)] - 7.5) * times[:, None]
+                pair, times = np.unique(owner * len(number) + which, return_counts=True)
+                row = pair // len(number)
+                parts = (table[pair % len(number)] - 7.5) * times[:, None]
                 lead = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
                 out[row[lead]] = np.add.reduceat(parts, lead)
             return out.astype(np.float32)
