@@ -156,8 +156,8 @@ def test_families_without_a_centre(spark, monkeypatch):
     seen = {}
     table = jaccard.Workspace.table
 
-    def counted(self, df, name):
-        out = table(self, df, name)
+    def counted(self, df, name, *more):
+        out = table(self, df, name, *more)
         seen[name] = out.count()
         return out
 
