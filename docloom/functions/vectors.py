@@ -40,6 +40,12 @@ def score(a: Column, b: Column, metric: str = "cosine") -> Column:
     raise ValueError(f"Unsupported metric: {metric}")
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded half away from zero; unlike Spark's ``round``, a negative number that rounds to zero keeps its sign."""
+    x = x.cast("double")
+    return F.signum(x) * F.round(F.abs(x), places)
+
+
 def l2_normalize(v: Column, least: float = 1e-12) -> Column:
     """Unit-length float vector; norms under ``least`` divide by ``least``."""
     length = F.greatest(norm(v), F.lit(least))

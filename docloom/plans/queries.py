@@ -271,7 +271,7 @@ for _key in E.MODELS:
 )
 def l2_normalize(spark, sf_dir):
     v = F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("label")))
-    unit = F.transform(V.l2_normalize(v), lambda x: F.round(x.cast("double"), 5))
+    unit = F.transform(V.l2_normalize(v), lambda x: V.rounded(x, 5))
     return _table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("unit"))
 
 
@@ -292,7 +292,7 @@ def _top_query(metric: str, k: int):
     )
     def run(spark, sf_dir):
         hits = S.top_k(_table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), k=k, metric=metric, key="vec_id")
-        return hits.select("vec_id", "label", F.round("score", 6).alias("score"), "rank")
+        return hits.select("vec_id", "label", V.rounded(F.col("score"), 6).alias("score"), "rank")
 
 
 for _metric, _k in (("cosine", 5), ("dot", 5), ("euclidean", 3)):
@@ -309,13 +309,13 @@ _PAIRS_SQL = "SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.embedd
 @_query("topk_multi_query", f"SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id DESC)::INT AS rank FROM ({_PAIRS_SQL}) QUALIFY rank <= 5")
 def topk_multi_query(spark, sf_dir):
     hits = S.top_k_many(_query_vectors(spark, sf_dir), _table(spark, sf_dir, "embeddings"), k=5, key="vec_id")
-    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return hits.select("query_id", "vec_id", V.rounded(F.col("score"), 6).alias("score"), "rank")
 
 
 @_query("similarity_matrix", f"SELECT query_id, vec_id, round(s, 6) AS score FROM ({_PAIRS_SQL})")
 def similarity_matrix(spark, sf_dir):
     pairs = S.similarity_matrix(_query_vectors(spark, sf_dir), _table(spark, sf_dir, "embeddings"), key="vec_id")
-    return pairs.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return pairs.select("query_id", "vec_id", V.rounded(F.col("score"), 6).alias("score"))
 
 
 @_query("snippet", "SELECT doc_id, substr(replace(coalesce(text, ''), chr(10), ' '), 1, 120) || '...' AS snippet FROM documents")
@@ -362,14 +362,14 @@ def mean_pooling(spark, sf_dir):
     """Every 32 vectors stand for a text's tokens; every third one is padding, which the mask leaves out."""
     packed = _table(spark, sf_dir, "embeddings").groupBy(F.expr(f"vec_id div {_TOKENS}").alias("text_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
     pooled = V.mean_pool(F.transform("v", lambda x: x["embedding"]), F.transform("v", lambda x: F.when(x["vec_id"] % 3 == 0, 0).otherwise(1)))
-    return packed.select("text_id", F.transform(pooled, lambda x: F.round(x.cast("double"), 5)).alias("pooled"))
+    return packed.select("text_id", F.transform(pooled, lambda x: V.rounded(x, 5)).alias("pooled"))
 
 
 @_query("cls_pooling", f"SELECT vec_id // {_TOKENS} AS text_id, list_transform(arg_min(embedding, vec_id)::DOUBLE[], lambda x: round(x, 5)) AS pooled FROM embeddings GROUP BY 1")
 def cls_pooling(spark, sf_dir):
     packed = _table(spark, sf_dir, "embeddings").groupBy(F.expr(f"vec_id div {_TOKENS}").alias("text_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
     first = V.cls_pool(F.transform("v", lambda x: x["embedding"]))
-    return packed.select("text_id", F.transform(first, lambda x: F.round(x.cast("double"), 5)).alias("pooled"))
+    return packed.select("text_id", F.transform(first, lambda x: V.rounded(x, 5)).alias("pooled"))
 
 
 @_query(

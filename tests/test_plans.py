@@ -333,3 +333,21 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.doc_id, r.clean, r.word_count) for r in spark.table("cleaned").collect()) == [(1, "a  b", 2), (2, "", 0)]
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    """As SQL's round does: -0.000001 at five places is -0.0, halves go away from zero."""
+    values = [-1e-6, 1e-6, -0.0, 0.0, -0.015625, 0.015625, -1.234567, float("nan"), float("-inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").select(V.rounded(F.col("x"), 5)).collect()]
+    assert list(map(repr, got)) == ["-0.0", "0.0", "-0.0", "0.0", "-0.01563", "0.01563", "-1.23457", "nan", "-inf", "None"]
+
+
+@pytest.mark.parametrize("name, column", [("cls_pooling", "pooled"), ("l2_normalize", "unit"), ("embeddings_file", "embedding"), ("similarity_matrix", "score")])
+def test_small_negative_components_round_to_negative_zero(spark, tmp_path, name, column):
+    from docloom.plans import queries
+
+    spark.createDataFrame([(0, 0, [-1e-7, 1.0])], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    if name == "similarity_matrix":
+        spark.createDataFrame([(1, 0, [1.0, 0.0])], "vec_id long, label int, embedding array<float>").write.mode("append").parquet(f"{tmp_path}/embeddings.parquet")
+    got = [r[0] for r in queries.queries()[name](spark, str(tmp_path)).select(column).collect()]
+    assert "-0.0" in repr(got)
