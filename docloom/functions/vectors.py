@@ -53,7 +53,7 @@ def l2_normalize(v: Column, least: float = 1e-12) -> Column:
 
 
 def mean_pool(tokens: Column, mask: Column, least: float = 1e-9) -> Column:
-    """Mean of the token vectors (array<array<float>>) whose mask is 1; the divisor is at least ``least``."""
+    """Mean of the token vectors (array<array<float>>) whose mask is 1, in double precision; the divisor is at least ``least``."""
     kept = F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda t: t["m"] != 0)
     total = F.aggregate(
         F.transform(kept, lambda t: F.transform(t["v"], lambda x: x.cast("double"))),
@@ -61,7 +61,7 @@ def mean_pool(tokens: Column, mask: Column, least: float = 1e-9) -> Column:
         lambda s, v: F.zip_with(s, v, lambda x, y: x + y),
     )
     share = F.greatest(F.size(kept).cast("double"), F.lit(least))
-    return F.transform(total, lambda x: (x / share).cast("float"))
+    return F.transform(total, lambda x: x / share)
 
 
 def cls_pool(tokens: Column) -> Column:

@@ -351,3 +351,19 @@ def test_small_negative_components_round_to_negative_zero(spark, tmp_path, name,
         spark.createDataFrame([(1, 0, [1.0, 0.0])], "vec_id long, label int, embedding array<float>").write.mode("append").parquet(f"{tmp_path}/embeddings.parquet")
     got = [r[0] for r in queries.queries()[name](spark, str(tmp_path)).select(column).collect()]
     assert "-0.0" in repr(got)
+
+
+def test_means_are_doubles(spark):
+    """A mean that is rounded later must not be rounded to a float first."""
+    values = [1.0, 2.0, 2.0]
+    tokens = spark.createDataFrame([([[v] for v in values], [1, 1, 1])], "v array<array<double>>, m array<int>")
+    mean = tokens.select(V.mean_pool(F.col("v"), F.col("m"))).first()[0][0]
+    assert mean == sum(values) / 3 != float(np.float32(mean))
+
+
+def test_process_tree_takes_notes_as_text(spark, tmp_path):
+    """Texts of few ASCII letters are no binary files."""
+    from docloom.plans import queries
+
+    spark.createDataFrame([(3, "é ü ö " * 20, "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.content for r in queries.queries()["process_tree"](spark, str(tmp_path)).collect()] == [("é ü ö " * 20).strip()]
