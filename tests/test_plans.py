@@ -367,3 +367,37 @@ def test_process_tree_takes_notes_as_text(spark, tmp_path):
 
     spark.createDataFrame([(3, "é ü ö " * 20, "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.content for r in queries.queries()["process_tree"](spark, str(tmp_path)).collect()] == [("é ü ö " * 20).strip()]
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.37])
+def test_first_overlap_where_tables_cover_each_other(spark, scale):
+    """Many tables over each other, of whole and of broken coordinates, also at the page's edges, and boxes without size."""
+    rng = np.random.default_rng(11)
+
+    def boxes(n, least, most):
+        for k in range(n):
+            x, y, w, h = *rng.integers(0, 60, 2), *rng.integers(least, most, 2)
+            yield int(rng.integers(0, 2)), k, *(float(v) * scale for v in (x, y, x + w, y + h))
+
+    blocks, tables = list(boxes(600, 0, 9)), list(boxes(150, 0, 35))
+    ddl = "page int, {} int, x0 double, y0 double, x1 double, y1 double"
+    got = L.first_overlap(spark.createDataFrame(blocks, ddl.format("block")), spark.createDataFrame(tables, ddl.format("table_idx"))).collect()
+    assert {(r.page, r.block): r.table_idx for r in got} == brute_overlap(blocks, tables) and len(got) == 600
+
+
+def test_tables_over_each_other_meet_few_blocks(spark):
+    """All 2,000 tables of a page cover its middle; a cell keeps the first of them, and few at the left and right edges."""
+    tables = spark.range(2000).selectExpr("1 AS page", "id AS table_idx", "id * 7919 % 2000 / 100 AS x0", "0.0 AS y0", "80 + id * 31 % 2000 / 100 AS x1", "100.0 AS y1")
+    blocks = spark.range(20_000).selectExpr("1 AS page", "id AS block", "id % 100 AS x0", "floor(id / 200) AS y0", "id % 100 + 1 AS x1", "floor(id / 200) + 1 AS y1")
+    found = L.first_overlap(blocks, tables)
+    plan, pairs = found._jdf.queryExecution().optimizedPlan(), []
+
+    def joins(node):
+        if node.nodeName() == "Join" and "_i" in node.toString().split("\n")[0]:
+            pairs.append(node)
+        for k in range(node.children().length()):
+            joins(node.children().apply(k))
+
+    joins(plan)
+    frame = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, pairs[0])
+    assert len(pairs) == 1 and frame.count() < 20 * 20_000
