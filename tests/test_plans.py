@@ -401,3 +401,14 @@ def test_tables_over_each_other_meet_few_blocks(spark):
     joins(plan)
     frame = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, pairs[0])
     assert len(pairs) == 1 and frame.count() < 20 * 20_000
+
+
+@pytest.mark.parametrize("name", ["pdf_pages", "sample_documents", "sample_elements", "sample_sheets", "sample_units"])
+def test_files_are_made_and_parsed_once(spark, name):
+    """Filters stay above the parser, and files are dealt to all cores however few bytes they are made of."""
+    from docloom.plans import queries
+
+    made = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(") == plan.count("ArrowEvalPython [made(") == 1
+    assert made.rdd.getNumPartitions() >= 4

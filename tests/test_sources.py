@@ -1,8 +1,10 @@
 import functools
+import io
 import json
 import shutil
 from pathlib import Path
 
+import pandas as pd
 import pytest
 import samples
 from pyspark import cloudpickle
@@ -192,3 +194,30 @@ def test_committed_corpus(spark, tmp_path):
     assert (unit.unit_id, unit.title, unit.breadcrumbs) == ("api_standards.md_document_1", "api_standards", "engineering > api_standards.md > api_standards")
     lines = {r.relative_path: r.metadata.line_count for r in docs.collect()}
     assert lines["engineering/api_standards.md"] == 211 and lines["readme.md"] == 34 and lines["security/incident_response.txt"] == 298
+
+
+def test_plain_tables_are_shown_as_pandas_shows_them():
+    """The short way through a table of whole numbers and texts gives what pandas gives, and leaves all else to it."""
+    import random
+
+    from docloom.sources import parsers as P
+
+    rng = random.Random(7)
+    words = ["a", "Bc d", "1-URGENT", "x" * 30, "é ü", "O", "NA", "nan", "true", "1e5", "007", "", " 5", "inf", "-3", "2.5", "None", "12", "9" * 9, "日本"]
+    short = 0
+    for k in range(400):
+        n, few = rng.randrange(1, 8), rng.random() < 0.6
+        columns = [[str(rng.randrange(10 ** rng.randrange(1, 10))) for _ in range(n)] if rng.random() < 0.5 else [rng.choice(words[:6] if few else words) for _ in range(n)] for _ in range(rng.randrange(2, 4))]
+        rows = [*map(list, zip(*columns)), *([[""] * len(columns)] * rng.randrange(2))]
+        heads = ["order", "status", "long head of all"][: len(columns)]
+        content = "".join(",".join(r) + "\n" for r in [heads, *rows]).encode()
+        frame = pd.read_csv(io.BytesIO(content)).dropna(how="all")
+        got = P.parse_csv(content, "a.csv", "")
+        assert (got["content"], got["metadata"]) == (P.render_table(frame), {"rows": len(frame), "columns": len(frame.columns)}), content
+        short += P._plain_csv(content, ",") is not None
+        cells = [[(int(v) if v.isdigit() and k % 3 else v) or None for v in r] for r in rows]
+        frame = pd.DataFrame(cells, columns=heads).infer_objects().dropna(how="all")
+        kept = [r for r in cells if any(v is not None for v in r)]
+        shown = P._plain_table(heads, kept, len(kept) < len(cells))
+        assert shown is None or shown == P.render_table(frame), cells
+    assert short > 100
