@@ -160,3 +160,31 @@ def test_files_written_by_tasks(spark, tmp_path):
     done = write_files(spark.createDataFrame(rows, "target string, content binary"), f"{tmp_path}/tree")
     assert {(r.path.rpartition("tree/")[2], r.bytes) for r in done.collect()} == {("a/b.bin", 2), ("c", 0)}
     assert {r.relative_path: bytes(r.content) for r in read_files(spark, f"{tmp_path}/tree").collect()} == dict(rows)
+
+
+def test_small_files_share_folders_and_batches(tmp_path):
+    """A folder is made once, and files that are read leave a task together, up to about a megabyte."""
+    import pyarrow as pa
+
+    from docloom.sources.files import _with_contents
+    from docloom.sources.storage import Store
+
+    store, made = Store(str(tmp_path)), []
+    fs, top = store.opened()
+
+    class Counted:
+        open_output_stream = fs.open_output_stream
+
+        def create_dir(self, path, recursive):
+            made.append(path)
+            fs.create_dir(path, recursive=recursive)
+
+    store._opened = (Counted(), top)
+    sizes = [10] * 50 + [700_000] * 3 + [0]
+    for k, size in enumerate(sizes):
+        store.write(f"{top}/a/{k}", b"x" * size)
+    assert made == [f"{top}/a"]
+    rows = pa.RecordBatch.from_pydict({"path": [f"{top}/a/{k}" for k in range(len(sizes))], "relative": [f"a/{k}" for k in range(len(sizes))], "bytes": sizes})
+    got = list(_with_contents(store, True)(iter([rows])))
+    assert [b.num_rows for b in got] == [52, 2] and [len(c) for b in got for c in b.column(3).to_pylist()] == sizes
+    assert [r for b in got for r in b.column(1).to_pylist()] == rows.column(1).to_pylist()
